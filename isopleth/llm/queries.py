@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pii
+from . import bpe_duckdb, media_gif, mixing, pii
 from .common import table
 
 
+def op1_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_gif.media_digests(table(spark, sf_dir, "documents"))
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_duckdb.token_digests(table(spark, sf_dir, "documents"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -19,4 +27,4 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_pii": op8_pii, "op9_mix": op9_mix}
+    return {"op1_gif": op1_gif, "op3_bpe": op3_bpe, "op8_pii": op8_pii, "op9_mix": op9_mix}
