@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe_duckdb, media_gif, mixing, pii
-from .common import table
+from . import bpe_duckdb, media_gif, mixing, pii, zstd_toxicity
+from .common import crc_bucket, table
 
 
 def op1_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,5 +27,12 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = zstd_toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = zstd_toxicity.score_toxicity(docs, model, out="score")
+    return scored.select("doc_id", (crc_bucket(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_gif": op1_gif, "op3_bpe": op3_bpe, "op8_pii": op8_pii, "op9_mix": op9_mix}
+    return {"op1_gif": op1_gif, "op3_bpe": op3_bpe, "op8_pii": op8_pii, "op9_mix": op9_mix, "op10_toxicity": op10_toxicity}
