@@ -18,6 +18,9 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
+from .common import with_field
 
 #: Pieces kept encoded in a worker; when there are more, the memory starts afresh.
 CACHE_PIECES = 900_000
@@ -193,7 +196,7 @@ def encode_documents(df: DataFrame, text: str = "text", out: str = "ids", tokeni
                 part = batch.slice(start, len(texts))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32()))], [*part.schema.names, out])
 
-    return df.mapInArrow(run, df.schema.add(out, "array<int>"))
+    return df.mapInArrow(run, with_field(df, out, T.ArrayType(T.IntegerType())))
 
 
 def decode_documents(df: DataFrame, ids: str = "ids", out: str = "decoded", tokenizer: tuple[str, str] | None = None) -> DataFrame:
@@ -209,7 +212,7 @@ def decode_documents(df: DataFrame, ids: str = "ids", out: str = "decoded", toke
             lists = [np.array([i for i in x or [] if i is not None], "<u4").tobytes() for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(coder.decode(lists), pa.binary())], [*batch.schema.names, out])
 
-    return df.mapInArrow(run, df.schema.add(out, "binary"))
+    return df.mapInArrow(run, with_field(df, out, T.BinaryType()))
 
 
 def token_digests(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: tuple[str, str] | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word everywhere in this subpackage: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -31,3 +32,8 @@ def crc_bucket(key: Column, modulus: int) -> Column:
 def word_count(text: Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def with_field(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
+    """Schema of `df` and one more column, for Arrow functions."""
+    return T.StructType([*df.schema.fields, T.StructField(name, kind)])

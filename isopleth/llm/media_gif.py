@@ -15,6 +15,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
+from .common import with_field
 
 #: Samples in a line, lines in a frame, and show time of the frames that `encode` writes.
 WIDTH, FRAME_LINES, DELAY_CS = 64, 256, 4
@@ -254,7 +257,7 @@ def store_texts(df: DataFrame, text: str = "text", out: str = "gif") -> DataFram
                 media = [encode(payload_of(t)[1]) for t in part.column(text).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(media, pa.binary())], [*part.schema.names, out])
 
-    return df.mapInArrow(run, df.schema.add(out, "binary"))
+    return df.mapInArrow(run, with_field(df, out, T.BinaryType()))
 
 
 def frames(df: DataFrame, key: str, media: str = "gif") -> DataFrame:

@@ -20,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import crc_bucket
+from .common import crc_bucket, with_field
 
 #: Labelled documents that a model is fitted on, at most for each label, in the order of a hash of doc_id.
 TRAIN_PER_LABEL = 1500
@@ -250,4 +251,4 @@ def score_toxicity(df: DataFrame, model: ToxicityModel, text: str = "text", out:
                 scores = pa.array(scorer.scores(part.column(text).to_pylist()), pa.float64())
                 yield pa.RecordBatch.from_arrays([*part.columns, scores], [*part.schema.names, out])
 
-    return df.mapInArrow(run, df.schema.add(out, "double"))
+    return df.mapInArrow(run, with_field(df, out, T.DoubleType()))
