@@ -233,7 +233,9 @@ class _Scorer:
         return self.model.score(np.array([_features(np.fromiter(map(self.known.__getitem__, ws), np.int32, len(ws))) for ws in each])).tolist()
 
 
-_scorer = lru_cache(maxsize=2)(_Scorer)
+@lru_cache(maxsize=2)
+def _scorer(model: ToxicityModel) -> _Scorer:
+    return _Scorer(model)
 
 
 def score_toxicity(df: DataFrame, model: ToxicityModel, text: str = "text", out: str = "toxicity") -> DataFrame:
@@ -241,10 +243,8 @@ def score_toxicity(df: DataFrame, model: ToxicityModel, text: str = "text", out:
 
     Rows and other columns stay; `out` must not name one of them. The model, some hundred kB, goes with the tasks.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _scorer(shared.value)
+        scorer = _scorer(model)
         for batch in batches:
             for i in range(0, batch.num_rows, 1000):
                 part = batch.slice(i, 1000)
