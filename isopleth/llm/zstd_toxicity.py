@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_bucket, with_field
+from .common import bounded_sample, crc_bucket, with_field
 
 #: Labelled documents that a model is fitted on, at most for each label, in the order of a hash of doc_id.
 TRAIN_PER_LABEL = 1500
@@ -202,8 +202,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_PER
 
     Only ids are ranked; texts are fetched for the chosen few. A doc_id in several rows gives its least text.
     """
-    known, order = labelled(labels), (F.xxhash64("doc_id"), F.col("doc_id"))
-    ordinary, toxic = (known.where(F.col("toxic") == y).orderBy(*order).limit(per_label) for y in (0, 1))
+    known = labelled(labels)
+    ordinary, toxic = (bounded_sample(known.where(F.col("toxic") == y), "doc_id", per_label) for y in (0, 1))
     chosen = ordinary.unionByName(toxic)  # at most 2 * per_label ids
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     return texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
