@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_duckdb, crf_langid, media_gif, mixing, pii, zstd_toxicity
+from . import bagminhash, bpe_duckdb, crf_langid, media_gif, mixing, pii, zstd_toxicity
 from .common import crc_bucket, table
 
 
@@ -26,6 +26,10 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf_langid.predict_language(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op7_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -42,4 +46,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_gif": op1_gif, "op3_bpe": op3_bpe, "op6_langid": op6_langid, "op8_pii": op8_pii, "op9_mix": op9_mix, "op10_toxicity": op10_toxicity}
+    return {"op1_gif": op1_gif, "op3_bpe": op3_bpe, "op6_langid": op6_langid, "op7_bagminhash": op7_bagminhash, "op8_pii": op8_pii, "op9_mix": op9_mix, "op10_toxicity": op10_toxicity}
