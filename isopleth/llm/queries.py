@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, bpe_duckdb, crf_langid, media_gif, mixing, pii, zstd_toxicity
+from . import bagminhash, bpe_duckdb, crf_langid, media_gif, mixing, pii, substring_dedup, zstd_toxicity
 from .common import crc_bucket, table
 
 
@@ -19,6 +19,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_duckdb.token_digests(table(spark, sf_dir, "documents"))
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = crc_bucket(F.col("doc_id"), 3) == 1
@@ -46,4 +50,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_gif": op1_gif, "op3_bpe": op3_bpe, "op6_langid": op6_langid, "op7_bagminhash": op7_bagminhash, "op8_pii": op8_pii, "op9_mix": op9_mix, "op10_toxicity": op10_toxicity}
+    return {"op1_gif": op1_gif, "op3_bpe": op3_bpe, "op4_substrings": op4_substrings, "op6_langid": op6_langid, "op7_bagminhash": op7_bagminhash, "op8_pii": op8_pii, "op9_mix": op9_mix, "op10_toxicity": op10_toxicity}
