@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, bpe_duckdb, crf_langid, media_gif, mixing, pii, substring_dedup, zstd_toxicity
+from . import bagminhash, bpe_duckdb, crf_langid, link_graph, media_gif, mixing, pii, pivot_topk, substring_dedup, zstd_toxicity
 from .common import crc_bucket, table
 
 
@@ -15,6 +15,11 @@ def op1_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_gif.media_digests(table(spark, sf_dir, "documents"))
 
 
+def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = link_graph.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_duckdb.token_digests(table(spark, sf_dir, "documents"))
 
@@ -23,6 +28,10 @@ def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_topk.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = crc_bucket(F.col("doc_id"), 3) == 1
@@ -50,4 +59,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_gif": op1_gif, "op3_bpe": op3_bpe, "op4_substrings": op4_substrings, "op6_langid": op6_langid, "op7_bagminhash": op7_bagminhash, "op8_pii": op8_pii, "op9_mix": op9_mix, "op10_toxicity": op10_toxicity}
+    return {"op1_gif": op1_gif, "op2_urls": op2_urls, "op3_bpe": op3_bpe, "op4_substrings": op4_substrings, "op5_topk": op5_topk, "op6_langid": op6_langid, "op7_bagminhash": op7_bagminhash, "op8_pii": op8_pii, "op9_mix": op9_mix, "op10_toxicity": op10_toxicity}
