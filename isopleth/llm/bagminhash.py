@@ -26,6 +26,8 @@ BANDS, ROWS = 30, 5
 SLOTS = BANDS * ROWS
 #: Shingles signed together, and the most ids that are broadcast to fetch their texts.
 BATCH_SHINGLES, BROADCAST_IDS = 200_000, 200_000
+#: Size of a block of a bucket, and columns of the membership matrix multiplied at once.
+BLOCK_CHARS, BLOCK_ROWS, MATRIX_COLUMNS = 1_000_000, 1000, 4096
 
 _GOLD = 0x9E3779B97F4A7C15
 
@@ -131,6 +133,63 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def linked(bags: list[np.ndarray], labels: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """One pair of positions for each two labels that some two of the bags (in the form of `multiset`) link.
+
+    Overlaps of all pairs come from products of the membership matrix, a slice of its columns at a time.
+    """
+    sizes = np.array([len(b) for b in bags], np.float32)
+    flat, owner = np.concatenate(bags), np.repeat(np.arange(len(bags)), sizes.astype(np.int64))
+    values, column, counts = np.unique(flat, return_inverse=True, return_counts=True)
+    useful = counts > 1
+    place = np.cumsum(useful) - 1
+    keep = useful[column]
+    owner, column, width = owner[keep], place[column[keep]], int(useful.sum())
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    shared = np.zeros((len(bags), len(bags)), np.float32)
+    for at in range(0, width, MATRIX_COLUMNS):
+        lo, hi = np.searchsorted(column, (at, at + MATRIX_COLUMNS))
+        part = np.zeros((len(bags), min(MATRIX_COLUMNS, width - at)), np.float32)
+        part[owner[lo:hi], column[lo:hi] - at] = 1
+        shared += part @ part.T
+    good = (shared >= similarity * (sizes[:, None] + sizes[None] - shared) - 1e-3) & (labels[:, None] < labels[None])
+    found: dict[tuple[int, int], tuple[int, int]] = {}
+    for x, y in zip(*np.nonzero(good)):
+        if (ends := (int(labels[x]), int(labels[y]))) not in found and overlap(bags[x], bags[y]) >= similarity:
+            found[ends] = (int(x), int(y))
+    return list(found.values())
+
+
+def _links_in_blocks(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links between members (bucket, id, label) of one bucket that differ in label.
+
+    A bucket is cut by a hash of the id into blocks of about BLOCK_CHARS of text and BLOCK_ROWS members, and
+    every block meets itself and every other block of its bucket: rows move by the block, never by the pair.
+    """
+    held = members.join(texts, "id").select("bucket", "id", "label", "text")
+    held = checkpoint(held)
+    cuts = held.groupBy("bucket").agg(F.ceil(F.greatest(F.sum(F.length("text")) / BLOCK_CHARS, F.count("*") / BLOCK_ROWS)).cast("int").alias("cuts"))
+    placed = held.join(cuts, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), "cuts").cast("int"))
+    # block i goes to all pairs (i, j) and (j, i), named by the smaller first
+    other = F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("other")
+    sent = placed.select("bucket", "id", "label", "text", "block", other)
+    paired = sent.groupBy("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list(F.struct("id", "label", "text")).alias("rows"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends: list[tuple[int, int]] = []
+            for rows in batch.column("rows"):
+                fields = [rows.values.field(c) for c in ("id", "label", "text")]
+                ids, labels = fields[0].to_numpy(), fields[1].to_numpy()
+                bags = [multiset(shingles(hash_words(split_words(t.as_py())), WIDTH)) for t in fields[2]]
+                ends += [(int(ids[x]), int(ids[y])) for x, y in linked(bags, labels, similarity)]
+            ends = list(dict.fromkeys(ends))
+            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in ends], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return paired.select("rows").mapInArrow(run, "a long, b long").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, label) of every end of `edges` (a, b): label is the least id that it is connected with.
 
@@ -153,50 +212,34 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     """(doc_id, class_id): one row per row of `docs` (doc_id, text); class_id is the least doc_id of its class.
 
     Equal word sequences are one class from the start and are represented by their least doc_id. Members of
-    one band bucket are compared in rounds: first each with the leader (least id) that it shares most buckets
-    with, then with its other leaders, then all that still differ in class within a bucket; every link is
-    verified. Work is spared only where two texts are of one class already, so no pair of a bucket is left
-    out. Documents without words, or without a doc_id, are classes of their own. Rows that repeat a doc_id
-    share its class, the least one if their texts differ.
+    band buckets are first compared with one leader each; then, in buckets whose members still differ in
+    class, all members with all, block by block inside the tasks, where only links come out. Every link is
+    verified, and no pair of a bucket is left out but those of one class already. Documents without words, or
+    without a doc_id, are classes of their own. Rows that repeat a doc_id share its class, the least one if
+    their texts differ.
     """
     signed = checkpoint(sign(docs))
-    copies = signed.groupBy("copy").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
-    copies = checkpoint(copies)
+    copies = checkpoint(signed.groupBy("copy").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")))
     bands = copies.select("id", F.explode("bands").alias("bucket"))
-    shared = bands.groupBy("bucket").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1").select("bucket", "leader")
-    members = checkpoint(bands.join(shared, "bucket"))
-    led = members.where("id <> leader").groupBy(F.col("id").alias("a"), F.col("leader").alias("b")).agg(F.count("*").alias("buckets"))
-    led = checkpoint(led)
+    sizes = bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    members = checkpoint(bands.join(sizes, "bucket"))
     needed = members.select("id").distinct()
     if needed.count() <= BROADCAST_IDS:
         needed = F.broadcast(needed)
     plain = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("text is not null")
     texts = checkpoint(plain.join(needed, "id").groupBy("id").agg(F.min("text").alias("text")))
+    # the member with most bucket mates leads a bucket; a member is compared with the leader it meets most often
+    mates = members.groupBy("id").agg(F.sum("n").alias("mates"))
+    ranked = members.join(mates, "id")
+    leaders = ranked.groupBy("bucket").agg(F.max_by("id", F.struct("mates", -F.col("id"))).alias("leader"))
+    led = members.join(leaders, "bucket").where("id <> leader").groupBy(F.col("id").alias("a"), F.col("leader").alias("b")).agg(F.count("*").alias("buckets"))
     first = led.groupBy("a").agg(F.max_by("b", F.struct("buckets", -F.col("b"))).alias("b"))
     edges = checkpoint(_verified(first, texts, similarity))
     labels = components(edges)
-
-    def relabelled(labels: DataFrame) -> DataFrame:
-        known = labels.withColumnRenamed("label", "known")
-        return members.join(known, "id", "left").select("bucket", "id", F.coalesce("known", "id").alias("label"))
-
-    def between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-        known = [labels.select(F.col("id").alias(x), F.col("label").alias(f"label_{x}")) for x in "ab"]
-        named = pairs.join(known[0], "a", "left").join(known[1], "b", "left")
-        return named.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
-
-    # other leaders, where the classes still differ
-    rest = between(led.select("a", "b").join(first, ["a", "b"], "left_anti"), labels)
-    more = checkpoint(_verified(rest, texts, similarity))
-    edges = edges.unionByName(more)
-    labels = components(edges)
-    # all pairs of a bucket that are still in different classes and were not compared with a leader
-    marked = checkpoint(relabelled(labels))
+    marked = checkpoint(members.join(labels, "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label")))
     mixed = marked.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
-    apart = checkpoint(marked.join(mixed, "bucket"))
-    left, right = apart.select("bucket", F.col("id").alias("a"), F.col("label").alias("label_a")), apart.select("bucket", F.col("id").alias("b"), F.col("label").alias("label_b"))
-    last = left.join(right, "bucket").where("a > b and label_a <> label_b").select("a", "b").distinct().join(led.select("a", "b"), ["a", "b"], "left_anti")
-    labels = components(edges.unionByName(checkpoint(_verified(last, texts, similarity))))
+    links = checkpoint(_links_in_blocks(marked.join(mixed, "bucket"), texts, similarity))
+    labels = components(edges.unionByName(links))
     classes = copies.select("copy", "id").join(labels, "id", "left").select("copy", F.coalesce("label", "id").alias("label"))
     found = signed.select("doc_id", "copy").join(classes, "copy").groupBy("doc_id").agg(F.min("label").alias("class_id"))
     return docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("class_id", F.col("doc_id").cast("long")).alias("class_id"))
