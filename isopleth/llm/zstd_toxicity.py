@@ -2,8 +2,8 @@
 
 Windows are each word with its borders and the word's first few bytes, each byte widened to four, so that
 zstandard's whole-byte lengths tell single characters apart. A window's distance is its length under the
-ordinary dictionary less its length under the toxic one, a word's the largest of its windows'. How many
-words pass which distance thresholds gives a document's score, calibrated by logistic regression on the
+ordinary dictionary less its length under the toxic one, and words pass thresholds by their whole
+and by their best head. How many do gives a document's score, calibrated by logistic regression on the
 same labelled sample. Workers keep the distances of the words they have met, so most words cost a lookup.
 """
 
@@ -38,6 +38,10 @@ CACHE_WINDOWS = 500_000
 #: Bytes of a word in the windows at its head.
 HEADS = (4, 5, 7)
 LEVEL = 1
+#: A toxic document missed counts as much as so many ordinary ones taken for toxic.
+MISS_COST = 3.0
+#: Base that packs two distances into one integer; distances are far smaller.
+PACK = 1 << 12
 
 _WORD = None
 
@@ -97,17 +101,18 @@ def _window_distances(toxic: bytes, ordinary: bytes, windows: list[bytes]) -> np
 
 
 def _distances(toxic: bytes, ordinary: bytes, words: list[bytes]) -> list[int]:
-    """Largest distance among each word's windows."""
+    """Of each word: distance of the whole, and the largest of its heads' (of the whole where it has none), packed into one integer."""
     each = [_windows(w) for w in words]
     some = list({x for xs in each for x in xs})
     known = dict(zip(some, _window_distances(toxic, ordinary, some).tolist()))
-    return [max(known[x] for x in xs) for xs in each]
+    return [known[xs[0]] * PACK + max(known[x] for x in xs[1:] or xs) + PACK // 2 for xs in each]
 
 
-def _features(distances: np.ndarray) -> np.ndarray:
-    """Per document: log counts of windows that reach each threshold, log number of words, one."""
-    counts = [math.log1p(int((distances >= t).sum())) for t in THRESHOLDS]
-    return np.array([*counts, math.log1p(len(distances)) / 5, 1.0])
+def _features(packed: np.ndarray) -> np.ndarray:
+    """Per document: log counts of words whose whole, and whose head, reach each threshold, log number of words, one."""
+    both = np.stack([packed // PACK, packed % PACK - PACK // 2])
+    counts = np.log1p((both[:, None, :] >= np.array(THRESHOLDS)[None, :, None]).sum(2)).reshape(-1)
+    return np.array([*counts, math.log1p(len(packed)) / 5, 1.0])
 
 
 def _segments(words: set[bytes]) -> set[bytes]:
@@ -151,7 +156,7 @@ def fit(texts: list[str | None], labels: list[int], share: float | None = None)
 
     toxic = list(dict.fromkeys(t for t, y in zip(texts, labels) if y == 1 and t))
     ordinary = list(dict.fromkeys(t for t, y in zip(texts, labels) if y == 0 and t))
-    flat = [0.0] * (len(THRESHOLDS) + 1)
+    flat = [0.0] * (2 * len(THRESHOLDS) + 1)
     if not toxic or not ordinary:
         share = (sum(labels) + 0.5) / (len(labels) + 1)
         return ToxicityModel(b"\0" * 8, b"\0" * 8, (*flat, math.log(share / (1 - share))))
@@ -187,7 +192,7 @@ def fit(texts: list[str | None], labels: list[int], share: float | None = None)
         if np.abs(step).max() < 1e-8:
             break
     if share is not None and 0 < share < 1:
-        weights[-1] += math.log(share / (1 - share)) - math.log(len(toxic) / len(ordinary))
+        weights[-1] += math.log(MISS_COST * share / (1 - share)) - math.log(len(toxic) / len(ordinary))
     return ToxicityModel(poison, content, tuple(weights.tolist()))
 
 
