@@ -58,7 +58,7 @@ def _plain(query: Query) -> Query:
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         found = query(spark, sf_dir)
-        return found.select(*(F.col(c).cast("string").alias(c) if kind in ("date", "timestamp") else F.col(c) for c, kind in found.dtypes))
+        return found.select(*(F.col(c).cast("string").alias(c) if kind in ("date", "timestamp", "timestamp_ntz") else F.col(c) for c, kind in found.dtypes))
 
     return run
 
