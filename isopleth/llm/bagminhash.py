@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, resident
 from .shingles import hash_words, mix64, multiset, overlap, shingles, split_words
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -25,7 +25,7 @@ WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 30, 5
 SLOTS = BANDS * ROWS
 #: Shingles signed together, and the most ids that are broadcast to fetch their texts.
-BATCH_SHINGLES, BROADCAST_IDS = 200_000, 200_000
+BATCH_SHINGLES, BROADCAST_IDS = 100_000, 200_000
 #: Size of a block of a bucket, and columns of the membership matrix multiplied at once.
 BLOCK_CHARS, BLOCK_ROWS, MATRIX_COLUMNS = 1_000_000, 1000, 4096
 
@@ -88,6 +88,7 @@ def sign(docs: DataFrame) -> DataFrame:
     """(doc_id, copy binary, bands array<long>): a digest of the words and the band keys of every row with words and a doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident("none", lambda: None)
         for batch in batches:
             ids, copies, bags, held = [], [], [], 0
 

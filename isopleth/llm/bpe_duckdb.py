@@ -13,17 +13,16 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import with_field
+from .common import resident, with_field
 
 #: Pieces kept encoded in a worker; when there are more, the memory starts afresh.
-CACHE_PIECES = 900_000
+CACHE_PIECES = 600_000
 #: Bytes of new pieces in one recursive query, and characters of text handled at once.
 QUERY_BYTES, BATCH_CHARS = 400_000, 4_000_000
 #: One contraction a step is quadratic in a piece's length; longer pieces take the same contractions off a heap.
@@ -156,9 +155,8 @@ class DuckBpe:
         return out
 
 
-@lru_cache(maxsize=2)
 def _coder(path: str, pattern: str) -> DuckBpe:
-    return DuckBpe(path, pattern)
+    return resident(("bpe", path, pattern), lambda: DuckBpe(path, pattern))
 
 
 def default_tokenizer() -> tuple[str, str]:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Hashable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,3 +56,17 @@ def bounded_sample(ids: DataFrame, key: str, n: int) -> DataFrame:
     total, hashed = ids.count(), F.xxhash64(key)
     near = ids if total <= 4 * n else ids.where(F.pmod(hashed, F.lit(1_000_000)) < int(4_000_000 * n / total) + 1)
     return near.orderBy(hashed, key).limit(n)
+
+
+_resident: dict[Hashable, Any] = {}
+
+
+def resident(key: Hashable, make: Callable[[], Any]) -> Any:
+    """The one object that a Python worker keeps between tasks; asking for another key gives up the one before.
+
+    Workers serve many stages, so what one operator has learnt must not stay beside what the next one learns.
+    """
+    if key not in _resident:
+        _resident.clear()
+        _resident[key] = make()
+    return _resident[key]

@@ -12,7 +12,6 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_sample
+from .common import bounded_sample, resident
 
 #: Documents of each language that the model is fitted on, at most, in the order of a hash of doc_id.
 TRAIN_PER_LANG = 250
@@ -205,9 +204,8 @@ class Tagger:
         return [self.langs[b] if c else UNKNOWN for b, c in zip(best, counts)], [min(max(float(x), 0.0), 1.0) for x in share]
 
 
-@lru_cache(maxsize=2)
 def _tagger(model: CrfModel) -> Tagger:
-    return Tagger(model)
+    return resident(("crf", model), lambda: Tagger(model))
 
 
 def predict_language(df: DataFrame, model: CrfModel, text: str = "text") -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_sample, crc_bucket, with_field
+from .common import bounded_sample, crc_bucket, resident, with_field
 
 #: Labelled documents that a model is fitted on, at most for each label, in the order of a hash of doc_id.
 TRAIN_PER_LABEL = 1500
@@ -34,7 +34,7 @@ SEGMENT_SHARE, SEGMENT_DOCS, SEGMENT_RATIO = 0.02, 5, 20.0
 #: Distances at which windows are counted, and rounds of appending hard ordinary windows.
 THRESHOLDS = (5, 6, 7, 8, 9, 10, 11, 12, 14)
 HARD_ROUNDS, HARD_DISTANCE = 6, 5
-CACHE_WINDOWS = 500_000
+CACHE_WINDOWS = 300_000
 #: Bytes of a word in the windows at its head.
 HEADS = (4, 5, 7)
 LEVEL = 1
@@ -85,7 +85,7 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(features @ np.array(self.weights), -30, 30)))
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def _compressors(toxic: bytes, ordinary: bytes):
     import zstandard as zs
 
@@ -238,9 +238,8 @@ class _Scorer:
         return self.model.score(np.array([_features(np.fromiter(map(self.known.__getitem__, ws), np.int32, len(ws))) for ws in each])).tolist()
 
 
-@lru_cache(maxsize=2)
 def _scorer(model: ToxicityModel) -> _Scorer:
-    return _Scorer(model)
+    return resident(("zstd", model), lambda: _Scorer(model))
 
 
 def score_toxicity(df: DataFrame, model: ToxicityModel, text: str = "text", out: str = "toxicity") -> DataFrame:
