@@ -22,9 +22,9 @@ from pyspark.sql import types as T
 from .common import resident, with_field
 
 #: Pieces kept encoded in a worker; when there are more, the memory starts afresh.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 400_000
 #: Bytes of new pieces in one recursive query, and characters of text handled at once.
-QUERY_BYTES, BATCH_CHARS = 400_000, 4_000_000
+QUERY_BYTES, BATCH_CHARS = 150_000, 1_000_000
 #: One contraction a step is quadratic in a piece's length; longer pieces take the same contractions off a heap.
 LONG_PIECE = 400
 
@@ -58,7 +58,7 @@ class DuckBpe:
         self.pattern = regex.compile(pattern)
         self.of_byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.pieces: dict[str, bytes] = {}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
         # a pair merges when its joined bytes are a token: every split of a token into two tokens
         splits = [(a, b, i) for token, i in self.ranks.items() for k in range(1, len(token)) if (a := self.ranks.get(token[:k])) is not None and (b := self.ranks.get(token[k:])) is not None]
         merges = pa.table(dict(zip("lri", (pa.array(x, pa.int32()) for x in zip(*splits)))))
@@ -165,11 +165,11 @@ def default_tokenizer() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-def _chunks(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
+def _chunks(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
     """Runs of texts of bounded size, each with its first index; null is the empty text."""
     start, some, size = 0, [], 0
     for i, text in enumerate(texts):
-        some.append(text or "")
+        some.append(text.as_py() or "")
         size += len(some[-1])
         if size > BATCH_CHARS:
             yield start, some
@@ -189,7 +189,7 @@ def encode_documents(df: DataFrame, text: str = "text", out: str = "ids", tokeni
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(path, pattern)
         for batch in batches:
-            for start, texts in _chunks(batch.column(text).to_pylist()):
+            for start, texts in _chunks(batch.column(text)):
                 ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in coder.encode(texts)]
                 part = batch.slice(start, len(texts))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32()))], [*part.schema.names, out])
@@ -224,7 +224,7 @@ def token_digests(df: DataFrame, key: str = "doc_id", text: str = "text", tokeni
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(path, pattern)
         for batch in batches:
-            for start, texts in _chunks(batch.column(text).to_pylist()):
+            for start, texts in _chunks(batch.column(text)):
                 ids = coder.encode(texts)
                 whole = coder.decode(ids)
                 yield pa.RecordBatch.from_arrays(
