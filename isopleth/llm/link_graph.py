@@ -8,6 +8,7 @@ distrust exceeds its trust by the threshold; pages that no rule fits get their h
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -16,7 +17,9 @@ from pyspark.sql import functions as F
 from .common import checkpoint
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-DAMPING, TOLERANCE, MOST_ROUNDS, THRESHOLD = 0.85, 1e-6, 50, 1.0
+DAMPING, TOLERANCE, THRESHOLD = 0.85, 1e-6, 1.0
+#: Least mass of a host that mass reaches, well above the numbers that doubles hold with fewer digits.
+LEAST_MASS = 1e-290
 #: Verdicts are broadcast to the pages up to this number of hosts.
 BROADCAST_HOSTS = 200_000
 LINK = r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)"""
@@ -76,11 +79,13 @@ def host_links(pages: DataFrame) -> DataFrame:
     return hosts.groupBy("src", "dst").agg(F.count("*").alias("links"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE, rounds: int = MOST_ROUNDS) -> DataFrame:
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE, rounds: int | None = None) -> DataFrame:
     """(host, mass): personalised PageRank of `seeds` (host, seed) over `edges` (src, dst, links), total mass that of the seeds.
 
-    Mass at hosts without outgoing edges returns to the seeds. Stops when a round moves less than `tolerance`
-    of the total, at `rounds` at the latest. One row per host is kept in the checkpoint folder each round.
+    Mass at hosts without outgoing edges returns to the seeds. Runs until a round reaches no new host and moves
+    no host's mass by more than `tolerance` of that mass, however many rounds that takes; `rounds`, if given,
+    ends it earlier. A host that mass reaches keeps at least LEAST_MASS, so it differs from one out of reach.
+    One row per host is kept in the checkpoint folder each round.
     """
     total = seeds.agg(F.sum("seed")).first()[0] or 0.0
     out = edges.groupBy("src").agg(F.sum("links").alias("all_links"))
@@ -89,14 +94,17 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, tole
     ranks = base.select("host", "seed", "links_out", F.col("seed").alias("mass"))
     if not total:
         return ranks.select("host", "mass")
-    for _ in range(rounds):
-        stuck = ranks.where("links_out is null").agg(F.sum("mass")).first()[0] or 0.0
-        moved = flows.join(ranks.select(F.col("host").alias("src"), "mass"), "src").groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("mass") * F.col("share")).alias("come"))
+    stuck = ranks.where("links_out is null").agg(F.sum("mass")).first()[0] or 0.0
+    for _ in count() if rounds is None else range(rounds):
+        moved = flows.join(ranks.select(F.col("host").alias("src"), "mass"), "src").where("mass > 0").groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("mass") * F.col("share")).alias("come"))
         mass = F.lit(1 - damping) * F.col("seed") + damping * (F.coalesce("come", F.lit(0.0)) + F.lit(stuck / total) * F.col("seed"))
-        after = checkpoint(ranks.join(moved, "host", "left").select("host", "seed", "links_out", mass.alias("next"), "mass"))
-        delta = after.agg(F.sum(F.abs(F.col("next") - F.col("mass")))).first()[0]
+        reached = F.when(F.col("come").isNotNull(), F.greatest(mass, F.lit(LEAST_MASS))).otherwise(mass)
+        after = checkpoint(ranks.join(moved, "host", "left").select("host", "seed", "links_out", reached.alias("next"), "mass"))
+        moves = F.abs(F.col("next") - F.col("mass")) > F.lit(tolerance) * F.col("next")
+        left = F.sum(F.when(F.col("links_out").isNull(), F.col("next")))
+        restless, stuck = after.agg(F.count_if(moves), F.coalesce(left, F.lit(0.0))).first()
         ranks = after.select("host", "seed", "links_out", F.col("next").alias("mass"))
-        if delta <= tolerance * total:
+        if not restless:
             break
     return ranks.select("host", "mass")
 

@@ -155,6 +155,21 @@ def test_propagation_against_matrix(spark):
     assert np.allclose([dict(map(tuple, got.collect()))[h] for h in hosts], x, atol=1e-6)
 
 
+def test_far_hosts_of_a_chain_beside_a_large_unlinked_mass(spark):
+    hops = 52
+    seeds = [("bulk", 1e7), ("c0", 3.0), *((f"c{i}", 0.0) for i in range(1, hops + 1)), ("apart", 0.0)]
+    links = [(f"c{i}", f"c{i + 1}", 1) for i in range(hops)]
+    got = dict(map(tuple, link_graph.propagate(spark.createDataFrame(seeds, "host string, seed double"), spark.createDataFrame(links, "src string, dst string, links long")).collect()))
+    s = np.array([v for _, v in seeds])
+    step = np.zeros((len(s), len(s)))
+    for i in range(1, hops + 1):
+        step[i + 1, i] = 1
+    back = np.outer(s / s.sum(), step.sum(0) == 0)
+    x = np.linalg.solve(np.eye(len(s)) - 0.85 * (step + back), 0.15 * s)
+    assert got["apart"] == 0 and all(got[f"c{i}"] > 0 for i in range(hops + 1))
+    assert np.allclose([got[h] for h, _ in seeds], x, rtol=1e-4, atol=0)
+
+
 def test_distrust_flows_back_along_links(spark):
     html = '<a href="http://bad.com/de/1">x</a><a href=\'//ok.org/\'>y</a><a href="/self">z</a>'
     pages = spark.createDataFrame([(1, "http://bad.com/de/1", None), (2, "http://spam.net/", html.split("<a href='")[0] * 3), (3, "http://ok.org/", '<a href="http://fine.net/">f</a>'), (4, "http://fine.net/", "")], "page_id long, url string, html string")
