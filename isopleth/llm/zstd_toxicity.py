@@ -1,10 +1,13 @@
 """Toxicity by compression distance: separate zstandard dictionaries of toxic and of ordinary text.
 
-Windows are each word with its borders and the word's first few bytes, each byte widened to four, so that
-zstandard's whole-byte lengths tell single characters apart. A window's distance is its length under the
-ordinary dictionary less its length under the toxic one, and words pass thresholds by their whole
-and by their best head. How many do gives a document's score, calibrated by logistic regression on the
-same labelled sample. Workers keep the distances of the words they have met, so most words cost a lookup.
+Two kinds of windows are judged. A distance is a window's length under the ordinary dictionary less its length
+under the toxic one; each byte is widened to four, so that zstandard's whole-byte lengths tell single
+characters apart. Windows of running text, a few words long and overlapping, meet the two dictionaries that
+zstandard trains on the sampled toxic and on the ordinary texts, so phrases of ordinary words and insults too
+rare for the list tell too. Words with their borders, and their first few bytes, meet an ordinary dictionary
+that the words it explained worst are added to, and a list of word heads and words that toxic documents share. How many windows pass each threshold gives a document's score, calibrated
+by logistic regression on the same labelled sample. Workers keep the distances of the words they have met, so
+most words cost a lookup; running text is compressed anew.
 """
 
 from __future__ import annotations
@@ -26,17 +29,24 @@ from .common import bounded_sample, crc_bucket, resident, with_field
 
 #: Labelled documents that a model is fitted on, at most for each label, in the order of a hash of doc_id.
 TRAIN_PER_LABEL = 1500
-#: Bytes of the ordinary dictionary, before the windows it explained worst are appended.
-ORDINARY_BYTES = 65_536
+#: Bytes of the ordinary dictionary, before the windows it explained worst are appended, and of each dictionary for running text.
+ORDINARY_BYTES, RUN_BYTES = 65_536, 65_536
 WIDEN = 4
 #: A toxic segment occurs in this share of the toxic documents, at least this often, and this much more often than in ordinary ones.
 SEGMENT_SHARE, SEGMENT_DOCS, SEGMENT_RATIO = 0.02, 5, 20.0
-#: Distances at which windows are counted, and rounds of appending hard ordinary windows.
+#: Distances at which windows of words are counted, and rounds of appending hard ordinary windows.
 THRESHOLDS = (5, 6, 7, 8, 9, 10, 11, 12, 14)
 HARD_ROUNDS, HARD_DISTANCE = 6, 5
+#: Words of a window of running text, words between the starts of two, and distances at which they are counted.
+RUN_WORDS, RUN_STRIDE = 6, 3
+RUN_THRESHOLDS = (4, 6, 8, 10, 12, 15, 18, 24)
+#: Parts of the sample whose running text is judged by dictionaries of the other parts while the weights are fitted.
+CROSS = 3
+#: Bytes (k) of the segments that zstandard picks for running text, long enough for a phrase, and of what it counts in them (d).
+RUN_SEGMENT = {"k": 200, "d": 8}
 CACHE_WINDOWS = 300_000
-#: Bytes of a word in the windows at its head.
-HEADS = (4, 5, 7)
+#: Bytes of a word in the windows at its head; chosen, like MISS_COST, on a split of the training fold (crc32 mod 5 = 1).
+HEADS = (4, 5)
 LEVEL = 1
 #: A toxic document missed counts as much as so many ordinary ones taken for toxic.
 MISS_COST = 3.0
@@ -67,25 +77,31 @@ def _windows(word: bytes) -> list[bytes]:
     return [b" " + word + b" ", *(b" " + word[:k] for k in HEADS if len(word) >= k)]
 
 
-def _lengths(compressor, windows: list[bytes]) -> np.ndarray:
+def _wide_lengths(compressor, windows: list[bytes]) -> np.ndarray:
     out = np.empty(len(windows), np.int32)
     for i in range(0, len(windows), 4096):
-        part = compressor.multi_compress_to_buffer([_widen(w) for w in windows[i : i + 4096]])
+        part = compressor.multi_compress_to_buffer(windows[i : i + 4096])
         out[i : i + len(part)] = [len(part[j]) for j in range(len(part))]
     return out
 
 
+def _lengths(compressor, windows: list[bytes]) -> np.ndarray:
+    return _wide_lengths(compressor, [_widen(w) for w in windows])
+
+
 @dataclass(frozen=True)
 class ToxicityModel:
     toxic: bytes
     ordinary: bytes
+    toxic_runs: bytes
+    ordinary_runs: bytes
     weights: tuple[float, ...]
 
     def score(self, features: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(features @ np.array(self.weights), -30, 30)))
 
 
-@lru_cache(maxsize=1)
+@lru_cache(maxsize=2)
 def _compressors(toxic: bytes, ordinary: bytes):
     import zstandard as zs
 
@@ -108,11 +124,29 @@ def _distances(toxic: bytes, ordinary: bytes, words: list[bytes]) -> list[int]:
     return [known[xs[0]] * PACK + max(known[x] for x in xs[1:] or xs) + PACK // 2 for xs in each]
 
 
-def _features(packed: np.ndarray) -> np.ndarray:
-    """Per document: log counts of words whose whole, and whose head, reach each threshold, log number of words, one."""
+def _runs(words: list[bytes]) -> list[bytes]:
+    """Windows of running text, RUN_STRIDE words apart, widened; any RUN_WORDS - RUN_STRIDE + 1 words in a row share one."""
+    wide = _widen(b" " + b" ".join(words) + b" ")
+    at = np.concatenate([[0], WIDEN * np.cumsum([len(w) + 1 for w in words], dtype=np.int64)])
+    last = len(words)
+    return [wide[at[i] : at[min(i + RUN_WORDS, last)] + WIDEN] for i in range(0, max(last - RUN_WORDS + RUN_STRIDE, 1), RUN_STRIDE)] if words else []
+
+
+def _run_distances(toxic: bytes, ordinary: bytes, each: list[list[bytes]]) -> list[np.ndarray]:
+    """Distances of every document's windows of running text."""
+    runs = [_runs(ws) for ws in each]
+    flat = [r for rs in runs for r in rs]
+    by_toxic, by_ordinary = _compressors(toxic, ordinary)
+    found = _wide_lengths(by_ordinary, flat) - _wide_lengths(by_toxic, flat)
+    return np.split(found, np.cumsum([len(rs) for rs in runs])[:-1]) if runs else []
+
+
+def _features(packed: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    """Per document: log counts of words whose whole, and whose head, reach each threshold, and of windows of running text, log number of words, one."""
     both = np.stack([packed // PACK, packed % PACK - PACK // 2])
     counts = np.log1p((both[:, None, :] >= np.array(THRESHOLDS)[None, :, None]).sum(2)).reshape(-1)
-    return np.array([*counts, math.log1p(len(packed)) / 5, 1.0])
+    running = np.log1p((runs[None, :] >= np.array(RUN_THRESHOLDS)[:, None]).sum(1))
+    return np.array([*counts, *running, math.log1p(len(packed)) / 5, 1.0])
 
 
 def _segments(words: set[bytes]) -> set[bytes]:
@@ -146,28 +180,34 @@ def _toxic_content(toxic: list[str], ordinary: list[str]) -> bytes:
     return _widen(b"".join(sorted(whole, key=lambda s: (marked[s], s)) + heads[::-1]))
 
 
+def _trained(texts: list[str], most: int, **segment: int) -> bytes:
+    """A dictionary that zstandard trains on runs of 8 words, in hash order."""
+    import zstandard as zs
+
+    runs = [_widen(b" " + b" ".join(ws[i : i + 8]) + b" ") for t in texts for ws in (_words(t),) for i in range(0, len(ws), 8)]
+    runs = sorted(runs, key=lambda r: hashlib.md5(r).digest())[:20_000]
+    try:
+        return zs.train_dictionary(most, runs, **segment).as_bytes()
+    except zs.ZstdError:  # too little text to train on: the text itself serves
+        return b"".join(runs)[-most:] or b"\0" * 8
+
+
 def fit(texts: list[str | None], labels: list[int], share: float | None = None) -> ToxicityModel:
     """Train both dictionaries and the thresholds' weights on labelled texts.
 
     share: of label 1 where the model will be used, if the sample was drawn with another. With one label
     only, or none, every score is the share of label 1.
     """
-    import zstandard as zs
-
     toxic = list(dict.fromkeys(t for t, y in zip(texts, labels) if y == 1 and t))
     ordinary = list(dict.fromkeys(t for t, y in zip(texts, labels) if y == 0 and t))
-    flat = [0.0] * (2 * len(THRESHOLDS) + 1)
+    flat = [0.0] * (2 * len(THRESHOLDS) + len(RUN_THRESHOLDS) + 1)
     if not toxic or not ordinary:
         share = (sum(labels) + 0.5) / (len(labels) + 1)
-        return ToxicityModel(b"\0" * 8, b"\0" * 8, (*flat, math.log(share / (1 - share))))
+        return ToxicityModel(*[b"\0" * 8] * 4, (*flat, math.log(share / (1 - share))))
     usual: Counter[bytes] = Counter(w for t in ordinary for w in _words(t))
-    runs = [_widen(b" " + b" ".join(ws[i : i + 8]) + b" ") for t in ordinary for ws in (_words(t),) for i in range(0, len(ws), 8)]
-    runs = sorted(runs, key=lambda r: hashlib.md5(r).digest())[:20_000]
-    try:
-        content = zs.train_dictionary(ORDINARY_BYTES, runs).as_bytes()
-    except zs.ZstdError:  # too little text to train on: the text itself serves
-        content = b"".join(runs)[-ORDINARY_BYTES:] or b"\0" * 8
+    content = _trained(ordinary, ORDINARY_BYTES)
     poison = _toxic_content(toxic, ordinary) or b"\0" * 8
+    of_runs = [_trained(texts, RUN_BYTES, **RUN_SEGMENT) for texts in (toxic, ordinary)]
     words = sorted(usual, key=lambda w: (usual[w], w))
     windows = list(dict.fromkeys(x for w in words for x in _windows(w)))
     appended: list[bytes] = []
@@ -181,7 +221,13 @@ def fit(texts: list[str | None], labels: list[int], share: float | None = None)
     content += _widen(b"".join(appended))
     every = sorted({w for t in toxic for w in _words(t)} | set(words))
     known = dict(zip(every, _distances(poison, content, every)))
-    x = np.array([_features(np.array([known[w] for w in _words(t)])) for t in toxic + ordinary])
+    each = [_words(t) for t in toxic + ordinary]
+    # a text is foreign to the dictionaries that judge its runs: each third's are trained on the other two
+    runs: list[np.ndarray] = [np.empty(0)] * len(each)
+    for k in range(CROSS):
+        rest = [[t for i, t in enumerate(texts, at) if i % CROSS != k] for texts, at in ((toxic, 0), (ordinary, len(toxic)))]
+        runs[k::CROSS] = _run_distances(*(_trained(texts, RUN_BYTES, **RUN_SEGMENT) for texts in rest), each[k::CROSS])
+    x = np.array([_features(np.array([known[w] for w in ws]), rs) for ws, rs in zip(each, runs)])
     y = np.array([1.0] * len(toxic) + [0.0] * len(ordinary))
     weights = np.zeros(x.shape[1])
     ridge = np.diag([1e-2] * (x.shape[1] - 1) + [1e-6])
@@ -193,7 +239,7 @@ def fit(texts: list[str | None], labels: list[int], share: float | None = None)
             break
     if share is not None and 0 < share < 1:
         weights[-1] += math.log(MISS_COST * share / (1 - share)) - math.log(len(toxic) / len(ordinary))
-    return ToxicityModel(poison, content, tuple(weights.tolist()))
+    return ToxicityModel(poison, content, *of_runs, tuple(weights.tolist()))
 
 
 def labelled(labels: DataFrame, train: int = 5) -> DataFrame:
@@ -235,7 +281,8 @@ class _Scorer:
         self.known.update(zip(fresh, _distances(self.model.toxic, self.model.ordinary, fresh)))
         if not each:
             return []
-        return self.model.score(np.array([_features(np.fromiter(map(self.known.__getitem__, ws), np.int32, len(ws))) for ws in each])).tolist()
+        runs = _run_distances(self.model.toxic_runs, self.model.ordinary_runs, each)
+        return self.model.score(np.array([_features(np.fromiter(map(self.known.__getitem__, ws), np.int32, len(ws)), rs) for ws, rs in zip(each, runs)])).tolist()
 
 
 def _scorer(model: ToxicityModel) -> _Scorer:

@@ -208,3 +208,21 @@ def test_toxicity_held_out(spark):
     one_label = zstd_toxicity.score_toxicity(docs, zstd_toxicity.fit(["a"], [0]), out="score")
     assert all(r.score < 0.5 for r in one_label.collect())
     assert zstd_toxicity.score_toxicity(docs.limit(0), model).count() == 0
+
+
+def test_toxic_phrases_of_ordinary_words():
+    rnd = random.Random(11)
+    vocabulary = _prose(rnd, ["the", "ing", "er", "and", "st", "on", "ma", "lo", "vi"], 400).split()
+    phrase = [w for w in vocabulary if len(w) > 5][:4]
+
+    def document(toxic):
+        words = [rnd.choice(vocabulary) for _ in range(60)]
+        for at in (rnd.randrange(25), rnd.randrange(30, 55)) if toxic else ():
+            words[at : at + 4] = phrase
+        return " ".join(words)
+
+    labels = [int(i % 3 == 0) for i in range(600)]
+    texts = [document(y) for y in labels]
+    model = zstd_toxicity.fit(texts[:400], labels[:400])
+    got = np.array(zstd_toxicity._Scorer(model).scores(texts[400:])) >= 0.5
+    assert np.mean(got == np.array(labels[400:])) > 0.9
