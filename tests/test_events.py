@@ -2,7 +2,9 @@
 
 import datetime as dt
 import json
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,6 +109,21 @@ def test_distances(spark):
     assert profiles[0].share_above_300m_pct == 33.33 and profiles[0].valid_event_count == 3
 
 
+def test_distance_percentiles_without_whole_groups_in_a_task(spark):
+    rnd = random.Random(3)
+    rows = [(map, "AR", gun, float(rnd.choice([rnd.random() * 1500, rnd.randrange(40), 7.001 + rnd.random() / 1000]))) for map in ("ERANGEL", "MIRAMAR") for gun in ("AKM", "M416") for _ in range(rnd.randrange(50, 400))]
+    profiles = distance.distance_profiles(spark.createDataFrame(rows, "map string, weapon_class string, killed_by string, distance_m double"), least=1)
+    assert "percentile(" not in profiles._jdf.queryExecution().toString()
+    got = {(r.scope, r.killed_by): r for r in profiles.collect()}
+    assert len(got) == 9
+    for (scope, gun), r in got.items():
+        own = [d for m, _, g, d in rows if scope in ("ALL", m) and gun in (None, g)]
+        assert r.event_count == len(own) and r.valid_event_count == len(rows)
+        for name, q in distance.QUANTILES.items():
+            assert r[f"{name}_distance_m"] == pytest.approx(np.quantile(own, q), abs=0.0501)
+        assert r.share_above_100m_pct == pytest.approx(100 * np.mean([d >= 100 for d in own]), abs=0.00501)
+
+
 GOOD = ("e1", "Falling", "ERANGEL", "m", DAY, 1.0, 1.0)
 
 
