@@ -77,13 +77,13 @@ from queued join t on queued.source is not distinct from t.source
 
 TOP_K = """
 with v as (
-  select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as v from embeddings
-  where embedding is not null and vec_id is not null and not list_contains(list_transform(embedding, lambda x: coalesce(isfinite(x) and abs(64 * x::double) < 67108864, false)), false)),
+  select row_number() over () as rid, vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::hugeint) as v from embeddings
+  where embedding is not null and vec_id is not null and not list_contains(list_transform(embedding, lambda x: coalesce(isfinite(x), false)), false)),
 s as (
-  select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::bigint as score
-  from v q join v c on q.vec_id % 20 = 0 and c.vec_id <> q.vec_id)
-select query_id, rank::int as rank, vec_id, score
-from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 20
+  select q.rid, q.vec_id as query_id, c.vec_id, coalesce(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])), 0) as score
+  from v q join v c on q.vec_id % 20 = 0 and c.rid <> q.rid)
+select query_id, rank::int as rank, vec_id, greatest(least(score, 9223372036854775807), -9223372036854775808)::bigint as score
+from (select *, row_number() over (partition by rid order by score desc, vec_id) as rank from s) where rank <= 20
 """
 
 

@@ -2,8 +2,10 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
+from fractions import Fraction
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -101,21 +103,41 @@ def test_blocks_find_links_that_leaders_miss(spark, monkeypatch):
     assert {(min(x), max(x)) for x in got} == {(b, a) for a in range(10) for b in range(a) if a // 5 == b // 5}
 
 
-def test_top_k_against_brute_force(spark):
+def _best(vectors, top=20):
+    """(query_id, rank, vec_id, score) by whole numbers; rows are told apart by their place."""
+    finite = [(n, i, v) for n, (i, v) in enumerate(vectors) if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    sound = [(n, i, [math.floor(Fraction(x) * 64) for x in v]) for n, i, v in finite]
+    out = []
+    for n, q, a in sound:
+        if q % 20 == 0:
+            scored = sorted((-sum(x * y for x, y in zip(a, b)), i) for m, i, b in sound if m != n)[:top]
+            out += [(q, k, i, max(-(2**63), min(2**63 - 1, -s))) for k, (s, i) in enumerate(scored, 1)]
+    return sorted(out)
+
+
+def test_top_k_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(pivot_topk, "CANDIDATE_ROWS", 30)
+    monkeypatch.setattr(pivot_topk, "QUERY_ROWS", 3)
+    monkeypatch.setattr(pivot_topk, "CHUNK", 25)
     rng = np.random.default_rng(3)
     vectors = [(i, rng.integers(-2, 3, 4).astype(float).tolist()) for i in range(90)]
     vectors += [(100, None), (120, [1.0, None, 0.0, 0.0]), (140, [float("nan")] * 4), (160, [float("inf")] * 4), (180, [1.0, 2.0]), (None, [1.0] * 4)]
-    sound = [(i, [int(np.floor(64 * x)) for x in v] + [0] * (4 - len(v))) for i, v in vectors if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
-    expected = []
-    for q, a in sound:
-        if q % 20 == 0:
-            scored = sorted(((-sum(x * y for x, y in zip(a, b)), i) for i, b in sound if i != q))[:20]
-            expected += [(q, n, i, -s) for n, (s, i) in enumerate(scored, 1)]
-    frame = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
-    assert sorted(map(tuple, pivot_topk.top_k(frame, F.col("vec_id") % 20 == 0).collect())) == sorted(expected)
-    assert pivot_topk.top_k(frame.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+    vectors += [(20, [0.5] * 4), (7, [0.25] * 4), (200, []), *((i, [1.0, 0.0, 0.0, -1.0]) for i in range(300, 360))]
+    ask = F.col("vec_id") % 20 == 0
+    for sample in (8, 64):
+        frame = spark.createDataFrame(vectors, "vec_id long, embedding array<float>").select("*", F.lit(1).alias("cell"), F.lit(2).alias("rid"))
+        assert sorted(map(tuple, pivot_topk.top_k(frame, ask, sample=sample).collect())) == _best(vectors)
+    assert pivot_topk.top_k(frame.limit(0), ask).count() == 0 and pivot_topk.top_k(frame.where("vec_id % 20 > 0"), ask).count() == 0
     few = spark.createDataFrame(vectors[:3], "vec_id long, embedding array<float>")
-    assert pivot_topk.top_k(few, F.col("vec_id") % 20 == 0).count() == 2
+    assert pivot_topk.top_k(few, ask).count() == 2
+
+
+def test_top_k_of_wide_vectors(spark):
+    rng = np.random.default_rng(5)
+    sizes = [1.0, 1e6, 1e12, 1e30, 1e300]
+    vectors = [(i, (rng.normal(size=6) * sizes[i % 5 if i < 100 else 0]).tolist()) for i in range(160)]
+    frame = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, pivot_topk.top_k(frame, F.col("vec_id") % 20 == 0).collect())) == _best(vectors)
 
 
 URLS = [
