@@ -19,6 +19,8 @@ WEAPON_CLASSES = {
     "Pistol": ("P18C", "P1911", "P92", "R1895", "R45"),
     "Special": ("Crossbow",),
 }
+# Classes in the order of reports; others come last.
+CLASS_ORDER = ("Shotgun", "SMG", "AR", "DMR", "SR", "LMG", "Pistol", "Special")
 DISTANCE_MAX_M = 2_000.0
 MIN_WEAPON_EVENTS = 10_000
 

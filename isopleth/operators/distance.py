@@ -104,28 +104,51 @@ def distance_profiles(events: DataFrame, least: int = C.MIN_WEAPON_EVENTS) -> Da
     )
 
 
+def report_order(profiles: DataFrame) -> DataFrame:
+    """Profiles as a report lists them: all maps first, classes by range of use, the class as a whole before its weapons."""
+    scope = F.when(F.col("scope") == "ALL", 0).when(F.col("scope") == C.MAPS[0], 1).otherwise(2)
+    place = F.coalesce(F.array_position(F.array(*map(F.lit, C.CLASS_ORDER)), F.col("weapon_class")), F.lit(0))
+    return profiles.orderBy(scope, F.when(place == 0, len(C.CLASS_ORDER) + 1).otherwise(place), F.col("killed_by").asc_nulls_first())
+
+
 def distance_map_gaps(profiles: DataFrame, first: str = C.MAPS[0], second: str = C.MAPS[1]) -> DataFrame:
-    """Weapons that have a profile on both maps: their medians and the gap between them."""
+    """Weapons that have a profile over all and on both maps: events and medians on each, the gap and its size; the widest gap first."""
     weapons = profiles.where("killed_by is not null")
 
     def of(scope: str, name: str) -> DataFrame:
-        return weapons.where(F.col("scope") == scope).select("weapon_class", "killed_by", F.col("median_distance_m").alias(name))
+        return weapons.where(F.col("scope") == scope).select("weapon_class", "killed_by", F.col("event_count").alias(f"{name}_event_count"), F.col("median_distance_m").alias(f"{name}_median_m"))
 
+    everywhere = weapons.where("scope = 'ALL'").select("killed_by")
     gap = round_to(F.col("second_median_m") - F.col("first_median_m"), 1)
-    return of(first, "first_median_m").join(of(second, "second_median_m"), ["weapon_class", "killed_by"]).withColumn("median_gap_m", gap)
+    both = of(first, "first").join(of(second, "second"), ["weapon_class", "killed_by"]).join(everywhere, "killed_by", "left_semi")
+    return both.withColumn("median_gap_m", gap).withColumn("absolute_gap_m", F.abs("median_gap_m")).orderBy(F.desc("absolute_gap_m"), "killed_by")
 
 
-def distance_summary(profiles: DataFrame, first: str = C.MAPS[0], second: str = C.MAPS[1]) -> DataFrame:
-    """One row: number of compared weapons, median gap, the weapons with the least and the greatest gap, spread of class medians."""
-    gaps = distance_map_gaps(profiles, first, second).agg(
-        F.count("*").alias("compared_weapons"),
-        round_to(F.median("median_gap_m"), 1).alias("median_gap_m"),
-        F.min_by("killed_by", F.struct("median_gap_m", "killed_by")).alias("least_gap_weapon"),
-        F.max_by("killed_by", F.struct("median_gap_m", "killed_by")).alias("greatest_gap_weapon"),
-    )
-    whole = profiles.where("scope = 'ALL' and killed_by is null").agg(
-        F.min_by("weapon_class", F.struct("median_distance_m", "weapon_class")).alias("nearest_class"),
-        F.max_by("weapon_class", F.struct("median_distance_m", "weapon_class")).alias("farthest_class"),
-        round_to(F.max("median_distance_m") - F.min("median_distance_m"), 1).alias("class_spread_m"),
+def distance_summary(profiles: DataFrame, first: str = C.MAPS[0], second: str = C.MAPS[1], near: str = "Shotgun", far: str = "SR", middle: str = "DMR") -> DataFrame:
+    """One row over all maps: events, weapons, classes, compared weapons and the median size of their gaps, medians of the
+    nearest and the farthest class and their spread, the middle class's weapons of least and greatest median, the weapon
+    of the greatest. Equal medians go to the weapon first in the report. What a table lacks is null.
+    """
+    gaps = distance_map_gaps(profiles, first, second).agg(F.count("*").alias("map_comparison_count"), round_to(F.median("absolute_gap_m"), 1).alias("median_map_gap_m"))
+    weapon, median = F.col("killed_by").isNotNull(), F.col("median_distance_m")
+    place = F.array_position(F.array(*map(F.lit, C.CLASS_ORDER)), F.col("weapon_class"))
+    of_class = {name: F.max(F.when(~weapon & (F.col("weapon_class") == name), median)) for name in (near, far)}
+    own = F.when(weapon & (F.col("weapon_class") == middle), F.struct(median.alias("m"), "killed_by"))
+    # least of (-median, place in the report), so that of equal medians the first wins
+    least = F.when(weapon, F.struct((-median).alias("m"), place.alias("p"), "killed_by"))
+    least_own = F.when(weapon & (F.col("weapon_class") == middle), F.struct((-median).alias("m"), "killed_by"))
+    whole = profiles.where("scope = 'ALL'").agg(
+        F.max("valid_event_count").alias("valid_event_count"),
+        F.count_if(weapon).alias("weapon_count"),
+        F.count_if(~weapon).alias("class_count"),
+        of_class[near].alias("shotgun_median_m"),
+        of_class[far].alias("sr_median_m"),
+        round_to(of_class[far] - of_class[near], 1).alias("role_median_spread_m"),
+        F.min(own)["killed_by"].alias("shortest_dmr"),
+        F.min(own)["m"].alias("shortest_dmr_median_m"),
+        F.min(least_own)["killed_by"].alias("longest_dmr"),
+        (-F.min(least_own)["m"]).alias("longest_dmr_median_m"),
+        F.min(least)["killed_by"].alias("longest_weapon"),
+        (-F.min(least)["m"]).alias("longest_weapon_median_m"),
     )
-    return gaps.crossJoin(F.broadcast(whole))
+    return whole.crossJoin(F.broadcast(gaps))

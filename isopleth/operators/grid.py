@@ -16,13 +16,13 @@ GROUP = ("map", "killed_by")
 
 
 def cell_counts(events: DataFrame, size_m: int) -> DataFrame:
-    """Events, matches and dates by cell."""
+    """Events, matches and dates by cell. A cell's dates are few, so they are gathered; one distinct count needs no copies of the rows."""
     size = size_m * C.CM_PER_M
     placed = events.select(*GROUP, "match_id", "date", cell("victim_position_x", size).alias("grid_x"), cell("victim_position_y", size).alias("grid_y"))
     return placed.groupBy(*GROUP, "grid_x", "grid_y").agg(
         F.count("*").alias("death_count"),
         F.count_distinct("match_id").alias("match_count"),
-        F.count_distinct("date").alias("date_count"),
+        F.size(F.collect_set("date")).cast("long").alias("date_count"),
         F.min("date").alias("first_date"),
         F.max("date").alias("last_date"),
     )
@@ -87,7 +87,7 @@ def detail_cells(events: DataFrame, parent_m: int = 100, child_m: int = 10, top:
         cell("victim_position_x", small).alias("detail_grid_x"), cell("victim_position_y", small).alias("detail_grid_y"),
     )
     keys = [*GROUP, "parent_rank", "parent_grid_x", "parent_grid_y", "detail_grid_x", "detail_grid_y", "parent_total"]
-    counted = placed.join(F.broadcast(parents), [*GROUP, "parent_grid_x", "parent_grid_y"]).groupBy(*keys).agg(F.count("*").alias("death_count"), F.count_distinct("match_id").alias("match_count"), F.count_distinct("date").alias("date_count"))
+    counted = placed.join(F.broadcast(parents), [*GROUP, "parent_grid_x", "parent_grid_y"]).groupBy(*keys).agg(F.count("*").alias("death_count"), F.count_distinct("match_id").alias("match_count"), F.size(F.collect_set("date")).cast("long").alias("date_count"))
     order = Window.partitionBy(*GROUP, "parent_rank").orderBy(F.desc("death_count"), F.desc("match_count"), "detail_grid_x", "detail_grid_y")
     share = round_to(ratio("death_count", "parent_total") * 100, 4).alias("parent_share_pct")
     return counted.select(*keys[:5], F.lit(child_m).alias("grid_size_m"), *keys[5:7], "death_count", "match_count", "date_count", share, F.row_number().over(order).alias("detail_rank"))
@@ -168,20 +168,26 @@ def resolution_comparison(fine: DataFrame, coarse: DataFrame) -> DataFrame:
 def candidate_lift(events: DataFrame, raw: DataFrame, focus_map: str, focus_cause: str, focus_rank: int = 2, causes: tuple[str, ...] = C.CAUSES, size_m: int = 100, child_m: int = 10) -> DataFrame:
     """One focus cell against the ring of its eight neighbours: cause shares, their lift, shares of its top detail cells.
 
-    Shares count raw rows; the focus and its details count clean events. No focus cell, no row. The focus is one row.
+    Shares count raw rows; the focus and its details count clean events. No focus cell, no row. The focus is
+    one row, found first, so that what lies around it is filtered by plain bounds.
     """
     size = size_m * C.CM_PER_M
-    focus = ranked_cells(events, size_m, "count_rank").where((F.col("map") == focus_map) & (F.col("killed_by") == focus_cause) & (F.col("count_rank") == focus_rank))
-    one = F.broadcast(focus.select(F.col("map").alias("f_map"), F.col("killed_by").alias("f_cause"), F.col("grid_x").alias("f_x"), F.col("grid_y").alias("f_y")))
+    caused = F.col("killed_by") == focus_cause
+    # ranks are within the group, so only the group's events need be counted
+    ranked = ranked_cells(events.where((F.col("map") == focus_map) & caused), size_m, "count_rank").where(F.col("count_rank") == focus_rank)
+    found = ranked.take(1)
+    focus = events.sparkSession.createDataFrame(found, ranked.schema)
+    at = {"x": found[0].grid_x, "y": found[0].grid_y} if found else {"x": 0, "y": 0}
 
     def within(reach: int) -> Column:
-        def axis(position: str, at: str) -> Column:
-            return (F.col(position) >= (F.col(at) - reach) * size) & (F.col(position) < (F.col(at) + 1 + reach) * size)
+        def axis(a: str) -> Column:
+            position = F.col(f"victim_position_{a}")
+            return (position >= float((at[a] - reach) * size)) & (position < float((at[a] + 1 + reach) * size))
 
-        return (F.col("map") == F.col("f_map")) & axis("victim_position_x", "f_x") & axis("victim_position_y", "f_y")
+        return (F.col("map") == focus_map) & axis("x") & axis("y")
 
-    inside, ring, caused = within(0), within(1) & ~within(0), F.col("killed_by") == F.col("f_cause")
-    around = raw.crossJoin(one).agg(
+    inside, ring = within(0), within(1) & ~within(0)
+    around = raw.agg(
         F.count("*").alias("raw_input_rows"),
         F.count_if(F.col("killed_by").isin(*causes)).alias("raw_environmental_rows"),
         F.count_if(inside).alias("cell_all"),
@@ -190,7 +196,7 @@ def candidate_lift(events: DataFrame, raw: DataFrame, focus_map: str, focus_caus
         F.count_if(ring & caused).alias("ring_cause"),
     )
     small = child_m * C.CM_PER_M
-    detail = events.crossJoin(one).where(within(0) & caused).groupBy(cell("victim_position_x", small).alias("x"), cell("victim_position_y", small).alias("y")).count()
+    detail = events.where(within(0) & caused).groupBy(cell("victim_position_x", small).alias("x"), cell("victim_position_y", small).alias("y")).count()
     top = detail.orderBy(F.desc("count"), "x", "y").limit(3).agg(F.max("count").alias("top_one"), F.sum("count").alias("top_three"))
     total = events.agg(F.count("*").alias("final_analysis_rows"))
     both = focus.crossJoin(F.broadcast(around)).crossJoin(F.broadcast(top)).crossJoin(F.broadcast(total))

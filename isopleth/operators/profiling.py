@@ -14,14 +14,23 @@ from .. import constants as C
 from ..functions.expr import blank_to_null, is_finite, outside, ratio
 
 MISSING = "<NULL_OR_BLANK>"
+#: What tells an event apart, as its row may stand in several exports.
+EVENT_KEY = ("match_id", "victim_name", "time", "killed_by")
+_RELATED = {"killer_position_x": "killer_x", "killer_position_y": "killer_y", "victim_placement": "victim_placement"}
 
 
 def typed(raw: DataFrame) -> DataFrame:
-    """Raw text columns as *_raw, with killed_by, map, match_id trimmed to null and victim_x, victim_y as numbers where they are any."""
+    """Raw text columns as *_raw, with killed_by, map, match_id trimmed to null and victim_x, victim_y as numbers where they are any.
+
+    Names of actors, the killer's place and the victim's placement come along in the same forms where there are any.
+    """
+
     def number(name: str) -> Column:
         return blank_to_null(F.col(name).cast("string")).try_cast("double")
 
-    kept = [c for c in ("source_file", "time") if c in raw.columns]
+    kept = [F.col(c) for c in ("source_file", "time") if c in raw.columns]
+    kept += [blank_to_null(F.col(c).cast("string")).alias(c) for c in ("killer_name", "victim_name") if c in raw.columns]
+    kept += [number(c).alias(n) for c, n in _RELATED.items() if c in raw.columns]
     texts = [F.col(c).alias(f"{c}_raw") for c in ("killed_by", "map", "match_id")] + [blank_to_null(c).alias(c) for c in ("killed_by", "map", "match_id")]
     places = [F.col(f"victim_position_{a}").cast("string").alias(f"victim_{a}_raw") for a in "xy"] + [number(f"victim_position_{a}").alias(f"victim_{a}") for a in "xy"]
     return raw.select(*texts, *places, *kept)
@@ -171,35 +180,93 @@ def sentinel_times(profiled: DataFrame, cause: str, early: tuple[int, int] = (12
     return found.select("position_group", "row_count", "min_time", *(F.col("q")[i].alias(f"{n}_time") for i, n in enumerate(points)), "max_time", "avg_time", "early_rows")
 
 
+def sentinel_related(profiled: DataFrame, cause: str) -> DataFrame:
+    """A cause's rows at the origin and elsewhere beside what else is missing from them: the killer's place and name, the placement, actors of one name."""
+    x, y, killer, victim = (F.col(c) for c in ("killer_x", "killer_y", "killer_name", "victim_name"))
+    return profiled.where(F.col("killed_by") == cause).groupBy(F.when(_at_origin(), "ZERO_ZERO").otherwise("NON_ZERO").alias("position_group")).agg(
+        F.count("*").alias("row_count"),
+        F.count_if((x == 0) & (y == 0)).alias("killer_zero_zero"),
+        F.count_if(x.isNull() | y.isNull()).alias("killer_coordinate_missing"),
+        F.count_if(killer == victim).alias("same_named_actor"),
+        F.count_if(killer.isNull()).alias("missing_killer_name"),
+        F.count_if(F.col("victim_placement").isNull()).alias("missing_victim_placement"),
+    )
+
+
+def _sum(column: Column) -> Column:
+    return F.coalesce(F.sum(column), F.lit(0))
+
+
+def _files(file: str | None) -> Column:
+    return F.count_distinct(file) if file else F.lit(1)
+
+
+def _copies(raw: DataFrame, columns: Sequence[str], file: str | None) -> DataFrame:
+    """Groups of equal rows, by the columns themselves, not by a hash, so only true copies count."""
+    return raw.groupBy(*columns).agg(F.count("*").alias("n"), _files(file).alias("files")).where("n > 1")
+
+
+def _sizes(groups: str, rows: str, most: str) -> list[Column]:
+    n = F.col("n")
+    return [F.count("*").alias(groups), _sum(n).alias(rows), _sum(n - 1).alias("excess_rows"), F.coalesce(F.max(n), F.lit(0)).alias(most)]
+
+
 def exact_duplicates(raw: DataFrame, columns: Sequence[str], file: str | None = None) -> DataFrame:
-    """One row over all groups of equal rows: groups, rows, excess, most copies; with `file`, groups inside one file and across files.
+    """One row over all groups of equal rows: groups, rows, excess, most copies; with `file`, groups inside one file and across files."""
+    spread = [F.count_if(F.col("files") == 1).alias("within_file_groups"), F.count_if(F.col("files") > 1).alias("cross_file_groups")]
+    return _copies(raw, columns, file).agg(*_sizes("duplicate_groups", "duplicate_rows", "most_copies"), *spread)
+
+
+def exact_duplicates_by_cause(raw: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The same for each of the causes in question, as they are written."""
+    return _copies(raw, columns, None).where(F.col("killed_by").isin(*C.CAUSES)).groupBy("killed_by").agg(*_sizes("duplicate_groups", "duplicate_rows", "most_copies"))
+
+
+def _event_key() -> dict[str, Column]:
+    """Parts of an event's key: trimmed texts, and the time as a number; null where there is none."""
+    parts = {name: blank_to_null(F.col(name).cast("string")) for name in EVENT_KEY}
+    return parts | {"time": parts["time"].try_cast("double")}
+
+
+def _candidates(raw: DataFrame, columns: Sequence[str], file: str | None) -> DataFrame:
+    """Whole event keys that occur more than once: rows, variants (distinct rows, untrimmed) and files."""
+    keys = [f"{name}_key" for name in EVENT_KEY]
+    keyed = raw.select(*columns, *([file] if file else []), *(part.alias(f"{name}_key") for name, part in _event_key().items()))
+    for key in keys:
+        keyed = keyed.where(F.col(key).isNotNull())
+    rows = keyed.groupBy(*keys, *columns).agg(F.count("*").alias("rows"), *([F.collect_set(file).alias("of")] if file else []))
+    # one variant's set of files, and a key's list of such sets, hold no more than the files and variants of one event
+    files = F.size(F.array_distinct(F.flatten(F.collect_list("of")))) if file else F.lit(1)
+    return rows.groupBy(*keys).agg(F.sum("rows").alias("n"), F.count("*").alias("variants"), files.alias("files")).where("n > 1")
 
-    Grouping is by the columns themselves, not by a hash, so only true copies count.
+
+def _variants() -> list[Column]:
+    return [F.count_if(F.col("variants") == 1).alias("equal_groups"), F.count_if(F.col("variants") > 1).alias("variant_groups")]
+
+
+def event_candidates(raw: DataFrame, columns: Sequence[str], file: str | None = None) -> DataFrame:
+    """One row over event keys that occur more than once: groups, rows, excess, most rows, groups whose rows are all equal, groups with several variants.
+
+    A key is whole if no part is null or blank and the time is a number. With `file`, also the groups found in several files.
     """
-    files = F.count_distinct(file) if file else F.lit(1)
-    groups = raw.groupBy(*columns).agg(F.count("*").alias("copies"), files.alias("files")).where("copies > 1")
-    zero = F.lit(0)
-    return groups.agg(
-        F.count("*").alias("duplicate_groups"), F.coalesce(F.sum("copies"), zero).alias("duplicate_rows"), F.coalesce(F.sum(F.col("copies") - 1), zero).alias("excess_rows"), F.coalesce(F.max("copies"), zero).alias("most_copies"),
-        F.count_if(F.col("files") == 1).alias("within_file_groups"), F.count_if(F.col("files") > 1).alias("cross_file_groups"),
-    )
+    across = [F.count_if(F.col("files") > 1).alias("cross_file_groups")] if file else []
+    return _candidates(raw, columns, file).agg(*_sizes("candidate_groups", "candidate_rows", "max_rows_per_key"), *_variants(), *across)
 
 
-def event_candidates(raw: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """One row over keys that occur more than once: groups, rows, excess, groups whose rows are all equal, groups with several variants."""
-    whole = raw.where(F.lit(True) if not keys else " and ".join(f"{k} is not null" for k in keys))
-    groups = whole.groupBy(*keys, *columns).count().groupBy(*keys).agg(F.sum("count").alias("n"), F.count("*").alias("variants")).where("n > 1")
-    zero = F.lit(0)
-    return groups.agg(F.count("*").alias("candidate_groups"), F.coalesce(F.sum("n"), zero).alias("candidate_rows"), F.coalesce(F.sum(F.col("n") - 1), zero).alias("excess_rows"), F.count_if(F.col("variants") == 1).alias("equal_groups"), F.count_if(F.col("variants") > 1).alias("variant_groups"))
+def event_candidates_by_cause(raw: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The same for each of the causes in question, trimmed."""
+    found = _candidates(raw, columns, None).where(F.col("killed_by_key").isin(*C.CAUSES)).groupBy(F.col("killed_by_key").alias("killed_by"))
+    return found.agg(*_sizes("candidate_groups", "candidate_rows", "max_rows_per_key"), *_variants())
 
 
-def key_completeness(raw: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row: rows, rows that lack each key part, rows with the whole key."""
-    lack = {k: blank_to_null(F.col(k).cast("string")).isNull() for k in keys}
+def key_completeness(raw: DataFrame) -> DataFrame:
+    """One row: rows, rows that lack each part of the event key (a time that is no number is lacking), rows with the whole key."""
+    lack = {name: part.isNull() for name, part in _event_key().items()}
     complete = F.lit(True)
     for gone in lack.values():
         complete &= ~gone
-    return raw.agg(F.count("*").alias("total_rows"), *(F.count_if(gone).alias(f"missing_{k}") for k, gone in lack.items()), F.count_if(complete).alias("complete_keys"))
+    named = {"time": "invalid_or_missing_time"}
+    return raw.agg(F.count("*").alias("total_rows"), *(F.count_if(gone).alias(named.get(k, f"missing_{k}")) for k, gone in lack.items()), F.count_if(complete).alias("complete_keys"))
 
 
 def match_dimension(aggregate: DataFrame) -> DataFrame:
@@ -259,10 +326,16 @@ def reconciliation(flags: DataFrame) -> DataFrame:
     return sums.withColumn("difference", F.col("raw_rows") - F.col("duplicate_excess") - F.col("excluded_rows") - F.col("eligible_rows"))
 
 
-def profile_sample(rows: DataFrame, limit: int = 20_000) -> tuple[DataFrame, DataFrame]:
-    """Extremes and duplicate (match_id, player_name) keys of the first `limit` rows of an aggregate table."""
-    head = rows.limit(limit)
-    numbers = [c for c, kind in head.dtypes if kind in ("bigint", "double", "int")]
-    extremes = head.agg(F.count("*").alias("row_count"), F.count_distinct("match_id").alias("distinct_match_ids"), F.min("date").alias("min_date"), F.max("date").alias("max_date"), *(f(c).alias(f"{n}_{c}") for c in numbers for n, f in (("min", F.min), ("max", F.max))))
-    keys = head.groupBy("match_id", "player_name").count().where("count > 1").agg(F.count("*").alias("duplicate_keys"), F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("excess_rows"))
-    return extremes, keys
+def aggregate_profile(rows: DataFrame, limit: int | None = None) -> DataFrame:
+    """One row on players' results: rows, null keys, extremes of kills and damage, (match_id, player_name) keys that repeat and their excess.
+
+    All rows count; with `limit`, a sample of so many. Null keys are keys of their own.
+    """
+    head = rows.limit(limit) if limit else rows
+    sums = ("player_kills", "min_kills", "max_kills"), ("player_dmg", "min_damage", "max_damage")
+    extremes = [f(c).alias(n) for c, low, high in sums for n, f in ((low, F.min), (high, F.max))]
+    by_key = head.groupBy("match_id", "player_name").agg(F.count("*").alias("n"), *extremes)
+    merged = [f(n).alias(n) for _, low, high in sums for n, f in ((low, F.min), (high, F.max))]
+    counts = [F.coalesce(F.sum(F.when(F.col(c).isNull(), F.col("n"))), F.lit(0)).alias(f"null_{c}") for c in ("match_id", "player_name")]
+    repeated = F.col("n") > 1
+    return by_key.agg(_sum(F.col("n")).alias("row_count"), *counts, *merged, F.count_if(repeated).alias("duplicate_groups"), _sum(F.when(repeated, F.col("n") - 1)).alias("duplicate_rows"))

@@ -82,13 +82,23 @@ class Store:
     def append(self, rows: DataFrame, name: str) -> None:
         rows.write.mode("append").parquet(self.path(name))
 
+    def drop_other_runs(self, spark: SparkSession, name: str, batch: str, run_id: str) -> None:
+        """Remove what earlier runs left of a batch."""
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path(name)}/batch_id={batch}")
+        files = folder.getFileSystem(conf)
+        for run in files.listStatus(folder):
+            if run.getPath().getName() != f"source_run_id={run_id}":
+                files.delete(run.getPath(), True)
+
 
 def publish(events: DataFrame, store: Store, now: datetime | None = None) -> str:
     """Gate `events`; if all rules pass, replace their batch of hotspots; return the run's id.
 
-    The batch is named by the table's content, so the same data replaces their own batch. Rule results and
-    hotspots are written before the run's final row, and the views follow runs that succeeded, so a run that
-    breaks off leaves nothing visible. Any error is recorded as a failed run and raised again.
+    The batch is named by the table's content. Hotspots go to a partition of their batch and run, rule results
+    and hotspots are written before the run's final row, and the views follow runs that succeeded: a run that
+    breaks off anywhere leaves the last success as it was. Only then do the same batch's earlier runs go.
+    Any error is recorded as a failed run and raised again.
     """
     spark, run_id = events.sparkSession, str(uuid.uuid4())
     started = now or datetime.now(timezone.utc)
@@ -111,9 +121,10 @@ def publish(events: DataFrame, store: Store, now: datetime | None = None) -> str
             record("FAILED", "FAIL", rows, 0, failed, "quality rules failed")
             return run_id
         cells = heatmap_cells(events).withColumn("source_run_id", F.lit(run_id)).withColumn("published_at", F.current_timestamp()).withColumn("batch_id", F.lit(batch))
-        cells.coalesce(1).write.mode("overwrite").partitionBy("batch_id").option("partitionOverwriteMode", "dynamic").parquet(store.path("environmental_hotspots"))
-        written = spark.read.parquet(store.path("environmental_hotspots")).where(F.col("batch_id") == batch).count()
+        cells.write.mode("append").partitionBy("batch_id", "source_run_id").parquet(store.path("environmental_hotspots"))
+        written = spark.read.parquet(store.path("environmental_hotspots")).where((F.col("batch_id") == batch) & (F.col("source_run_id") == run_id)).count()
         record("SUCCEEDED", "PASS", rows, written, 0)
+        store.drop_other_runs(spark, "environmental_hotspots", batch, run_id)
     except Exception as fault:
         record("FAILED", "NOT_CHECKED", error=str(fault)[:2000])
         raise
@@ -122,14 +133,14 @@ def publish(events: DataFrame, store: Store, now: datetime | None = None) -> str
 
 def current_runs(runs: DataFrame) -> DataFrame:
     """The last state of every run: finished rows come after their RUNNING row."""
-    order = Window.partitionBy("run_id").orderBy(F.col("finished_at").desc_nulls_last())
+    order = Window.partitionBy("run_id").orderBy(F.when(F.col("status") == "RUNNING", 1).otherwise(0), F.col("finished_at").desc_nulls_last())
     return runs.withColumn("place", F.row_number().over(order)).where("place = 1").drop("place")
 
 
 def latest_runs(runs: DataFrame) -> DataFrame:
-    """The run of each pipeline that started last."""
+    """The run of each pipeline that started last, in its last state."""
     columns = [F.col(c) for c in runs.columns]
-    return runs.groupBy("pipeline_name").agg(F.max_by(F.struct(*columns), F.struct("started_at", "run_id")).alias("run")).select("run.*")
+    return current_runs(runs).groupBy("pipeline_name").agg(F.max_by(F.struct(*columns), F.struct("started_at", "run_id")).alias("run")).select("run.*")
 
 
 def latest_hotspots(hotspots: DataFrame, runs: DataFrame, pipeline: str = PIPELINE) -> DataFrame:
@@ -140,9 +151,9 @@ def latest_hotspots(hotspots: DataFrame, runs: DataFrame, pipeline: str = PIPELI
 
 
 def quality_summary(runs: DataFrame, results: DataFrame) -> DataFrame:
-    """Checks, failed checks and errors of every run; a run without results has none."""
+    """Checks, failed checks and errors of every run in its last state; a run without results has none."""
     keyed = results.select("run_id", "check_name", F.col("status").alias("check_status"), "error_count")
-    return runs.join(keyed, "run_id", "left").groupBy("run_id", "batch_id", "started_at", "quality_status").agg(
+    return current_runs(runs).join(keyed, "run_id", "left").groupBy("run_id", "batch_id", "started_at", "quality_status").agg(
         F.count("check_name").alias("check_count"),
         F.count_if(F.col("check_status") == "FAIL").alias("failed_check_count"),
         F.coalesce(F.sum("error_count"), F.lit(0)).alias("rule_error_count"),

@@ -2,38 +2,67 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta, timezone
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KILL_TYPES = ("LogPlayerKill", "LogPlayerKillV2")
 DAMAGE_FIELDS = ("killerDamageInfo", "finishDamageInfo", "dBNODamageInfo")
+#: Counters of the members of a damage object.
+DAMAGE_MEMBERS = {"damage_type": "damageTypeCategory", "damage_causer": "damageCauserName", "damage_reason": "damageReason"}
+UNKNOWN = "UNKNOWN"
 
 
 def explode_events(files: DataFrame, text: str = "value", match: str = "match_id") -> DataFrame:
-    """(match, event): one row of JSON text for each element of the arrays in `text`; elements that are no objects are dropped."""
-    elements = F.from_json(F.col(text), "array<string>")
-    return files.select(match, F.explode(elements).alias("event")).where(F.json_object_keys("event").isNotNull())
+    """(match, event): one row of JSON text for each element of the arrays in `text`, whatever it is; null for a JSON null."""
+    return files.select(match, F.explode(F.from_json(F.col(text), "array<string>")).alias("event"))
 
 
 def _at(path: str) -> Column:
-    return F.get_json_object("event", f"$.{path}")
+    return F.try_variant_get("v", f"$.{path}", "variant")
+
+
+def _kind(path: str) -> Column:
+    """JSON type of what a path leads to, null if nothing."""
+    return F.schema_of_variant(_at(path))
+
+
+def _number(path: str) -> Column:
+    """A JSON number; texts that look like one are none."""
+    kind = _kind(path)
+    return F.when(kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL"), F.try_variant_get("v", f"$.{path}", "double"))
+
+
+def _text(path: str) -> Column:
+    """A value as text; null if it is missing, null, empty, zero or false."""
+    text = F.try_variant_get("v", f"$.{path}", "string")
+    empty = F.when(_kind(path) == "STRING", text == "").otherwise(text.isin("false", "[]", "{}") | F.coalesce(text.try_cast("double") == 0, F.lit(False)))
+    return F.when(~empty, text)
+
+
+def _parsed(events: DataFrame) -> DataFrame:
+    """`events` with v, the parsed element, is_event (it is an object) and kind (its type, UNKNOWN if it names none)."""
+    parsed = events.withColumn("v", F.try_parse_json("event"))
+    is_event = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
+    return parsed.withColumn("is_event", is_event).withColumn("kind", F.when(F.col("is_event"), F.coalesce(_text("_T"), F.lit(UNKNOWN))))
 
 
 def telemetry_profile(events: DataFrame, match: str | None = "match_id") -> DataFrame:
-    """By match, or in total: events, types, kills, kills with a place, kills at the origin, kills with each damage field, key sets of kills.
+    """By match, or in total: elements, events (the objects among them), types, kills, kills with a place, kills at the origin, kills with each damage field, key sets of kills.
 
     Reads each event's JSON by path, so events need no common schema. Key sets are bounded by the format.
     """
-    kind = _at("_T")
-    x, y = _at("victim.location.x").try_cast("double"), _at("victim.location.y").try_cast("double")
-    kill = kind.isin(*KILL_TYPES)
+    kill = F.col("kind").isin(*KILL_TYPES)
+    x, y = _number("victim.location.x"), _number("victim.location.y")
     place = kill & x.isNotNull() & y.isNotNull()
-    damage = {name: kill & F.json_object_keys(_at(name)).isNotNull() for name in DAMAGE_FIELDS}
+    damage = {name: kill & _kind(name).startswith("OBJECT") for name in DAMAGE_FIELDS}
     keys = F.when(kill, F.json_object_keys("event"))
-    return events.groupBy(*([match] if match else [])).agg(
+    return _parsed(events).groupBy(*([match] if match else [])).agg(
         F.count("*").alias("event_count"),
-        F.count_distinct(kind).alias("event_types"),
-        F.count_if(kind.isNull()).alias("untyped_events"),
+        F.count_if("is_event").alias("object_events"),
+        F.count_distinct("kind").alias("event_types"),
+        F.count_if(F.col("kind") == UNKNOWN).alias("untyped_events"),
         F.count_if(kill).alias("kill_events"),
         F.count_if(place).alias("located_kills"),
         F.count_if(place & (x == 0) & (y == 0)).alias("zero_zero_kills"),
@@ -43,14 +72,41 @@ def telemetry_profile(events: DataFrame, match: str | None = "match_id") -> Data
 
 
 def event_type_counts(events: DataFrame) -> DataFrame:
-    """Frequency of event types, most frequent first."""
-    return events.groupBy(_at("_T").alias("event_type")).agg(F.count("*").alias("event_count")).orderBy(F.desc("event_count"), "event_type")
+    """Frequency of event types, most frequent first; elements that are no objects have none."""
+    return _parsed(events).where("is_event").groupBy(F.col("kind").alias("event_type")).agg(F.count("*").alias("event_count")).orderBy(F.desc("event_count"), "event_type")
+
 
+def damage_values(events: DataFrame) -> DataFrame:
+    """(counter, value, event_count): values of the members of all damage objects of kills; empty ones do not count."""
+    told = [F.struct(F.lit(counter).alias("counter"), _text(f"{field}.{member}").alias("value")) for field in DAMAGE_FIELDS for counter, member in DAMAGE_MEMBERS.items()]
+    kills = _parsed(events).where(F.col("kind").isin(*KILL_TYPES))
+    return kills.select(F.inline(F.array(*told))).where("value is not null").groupBy("counter", "value").agg(F.count("*").alias("event_count"))
 
-def damage_values(events: DataFrame, field: str = DAMAGE_FIELDS[0], member: str = "damageTypeCategory") -> DataFrame:
-    """Frequency of a damage member's values among kills."""
-    kills = events.where(_at("_T").isin(*KILL_TYPES))
-    return kills.groupBy(_at(f"{field}.{member}").alias(member)).agg(F.count("*").alias("event_count"))
+
+def match_profiles(details: DataFrame, events: DataFrame, match: str = "match_id") -> DataFrame:
+    """telemetry_profile of the matches of `details` (match_details, with the match's id) with their map and mode, UNKNOWN where empty."""
+    named = [F.coalesce(F.when(F.col(c) != "", F.col(c)), F.lit(UNKNOWN)).alias(c) for c in ("map_name", "game_mode")]
+    return details.select(match, *named, "created_at").join(telemetry_profile(events, match), match)
+
+
+def pilot_counts(profiles: DataFrame) -> DataFrame:
+    """(counter, value, match_count) of match_profiles: matches by map and by mode."""
+    told = F.array(*(F.struct(F.lit(c).alias("counter"), F.col(c).alias("value")) for c in ("map_name", "game_mode")))
+    return profiles.select(F.inline(told)).groupBy("counter", "value").agg(F.count("*").alias("match_count"))
+
+
+def pilot_summary(profiles: DataFrame) -> DataFrame:
+    """One row over match_profiles: matches, the span of their times, events, kills, kills with a place and at the origin."""
+    told = F.when(F.col("created_at") != "", F.col("created_at"))
+    sums = {"event_count": "object_events", "kill_event_count": "kill_events", "victim_location_count": "located_kills", "zero_zero_count": "zero_zero_kills"}
+    return profiles.agg(F.count("*").alias("successful_match_count"), F.min(told).alias("created_at_min"), F.max(told).alias("created_at_max"), *(F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in sums.items()))
+
+
+def sample_windows(now: datetime, days: int) -> list[tuple[str, str | None]]:
+    """(label, start) of the newest sample and of the UTC days before it, the start being a day's first second."""
+    now = now.astimezone(timezone.utc)
+    ends = [(now - timedelta(days=k)).strftime("%Y-%m-%d") for k in range(1, days)]
+    return [(f"latest_{now:%Y-%m-%d}", None), *((f"ending_{day}", f"{day}T00:00:00Z") for day in ends)]
 
 
 _MATCHES = "struct<data:struct<relationships:struct<matches:struct<data:array<struct<id:string>>>>>>"
@@ -67,6 +123,13 @@ def sample_summary(samples: DataFrame, text: str = "value", window: str = "windo
     return sample_matches(samples, text, window).groupBy(window).agg(F.count("*").alias("reference_count"), F.count_distinct("match_id").alias("unique_matches"))
 
 
+def sample_totals(samples: DataFrame, text: str = "value", window: str = "window") -> DataFrame:
+    """One row over all windows: windows, references and distinct matches, each match counted once however many windows list it."""
+    counted = sample_matches(samples, text, window).groupBy("match_id").count()
+    totals = counted.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("match_reference_count"), F.count("*").alias("unique_match_id_count"))
+    return samples.agg(F.count_distinct(window).alias("window_count")).crossJoin(F.broadcast(totals))
+
+
 def first_matches(samples: DataFrame, n: int, text: str = "value", window: str = "window") -> DataFrame:
     """The first n distinct matches of all lists, in window and list order; an error if there are fewer."""
     first = sample_matches(samples, text, window).groupBy("match_id").agg(F.min(F.struct(window, "position")).alias("place")).orderBy("place").limit(n)

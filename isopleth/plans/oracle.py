@@ -81,7 +81,18 @@ g as (
     round(count(*) filter (m >= 100)::double / count(*) * 100, 2) as share_above_100m_pct, round(count(*) filter (m >= 300)::double / count(*) * 100, 2) as share_above_300m_pct
   from w group by grouping sets ((map, weapon_class, killed_by), (weapon_class, killed_by), (map, weapon_class), (weapon_class))),
 f as (select * exclude (whole), (select count(*) from w) as valid_event_count from g where whole = 1 or event_count >= {MIN_WEAPON_EVENTS})"""
-_GAPS = "select weapon_class, killed_by, a.median_distance_m as first_median_m, b.median_distance_m as second_median_m, round(b.median_distance_m - a.median_distance_m, 1) as median_gap_m from f a join f b using (weapon_class, killed_by) where a.scope = 'ERANGEL' and b.scope = 'MIRAMAR'"
+_GAPS = """select weapon_class, killed_by, a.event_count as first_event_count, b.event_count as second_event_count, a.median_distance_m as first_median_m, b.median_distance_m as second_median_m,
+  round(b.median_distance_m - a.median_distance_m, 1) as median_gap_m, abs(round(b.median_distance_m - a.median_distance_m, 1)) as absolute_gap_m
+from f a join f b using (weapon_class, killed_by) where a.scope = 'ERANGEL' and b.scope = 'MIRAMAR' and killed_by in (select killed_by from f where scope = 'ALL')"""
+_ORDER = f"list_position([{', '.join(map(repr, C.CLASS_ORDER))}], weapon_class)"
+SUMMARY = f"""with {_PROFILES}, y as ({_GAPS}), a as (select * from f where scope = 'ALL' and killed_by is not null), k as (select * from f where scope = 'ALL' and killed_by is null),
+dmr as (select * from a where weapon_class = 'DMR')
+select (select max(valid_event_count) from f) as valid_event_count, (select count(*) from a) as weapon_count, (select count(*) from k) as class_count, (select count(*) from y) as map_comparison_count,
+  (select round(median(absolute_gap_m), 1) from y) as median_map_gap_m, (select median_distance_m from k where weapon_class = 'Shotgun') as shotgun_median_m, (select median_distance_m from k where weapon_class = 'SR') as sr_median_m,
+  round((select median_distance_m from k where weapon_class = 'SR') - (select median_distance_m from k where weapon_class = 'Shotgun'), 1) as role_median_spread_m,
+  (select killed_by from dmr order by median_distance_m, killed_by limit 1) as shortest_dmr, (select min(median_distance_m) from dmr) as shortest_dmr_median_m,
+  (select killed_by from dmr order by median_distance_m desc, killed_by limit 1) as longest_dmr, (select max(median_distance_m) from dmr) as longest_dmr_median_m,
+  (select killed_by from a order by median_distance_m desc, {_ORDER}, killed_by limit 1) as longest_weapon, (select max(median_distance_m) from a) as longest_weapon_median_m"""
 
 _CLEAN = f"""{_D}, u as (select distinct * from d where killed_by in ('Falling', 'Drown')),
 c as (
@@ -131,6 +142,16 @@ CHECKS = f"with {_rows('g', S.GATED)}, t as (select *, row_number() over (partit
 _P = f"""{_D}, p as (
   select killed_by as killed_by_raw, map as map_raw, match_id as match_id_raw, nullif(trim(killed_by), '') as killed_by, nullif(trim(map), '') as map, nullif(trim(match_id), '') as match_id,
     victim_position_x as x, victim_position_y as y, time from d)"""
+_RP = f"""{_rows("raw", S.RAW_DEATHS)}, p as (
+  select nullif(trim(killed_by), '') as killed_by, nullif(trim(map), '') as map, nullif(trim(match_id), '') as match_id, nullif(trim(killer_name), '') as killer_name, nullif(trim(victim_name), '') as victim_name,
+    try_cast(nullif(trim(victim_position_x), '') as double) as x, try_cast(nullif(trim(victim_position_y), '') as double) as y, try_cast(nullif(trim(killer_position_x), '') as double) as kx, try_cast(nullif(trim(killer_position_y), '') as double) as ky,
+    try_cast(nullif(trim(victim_placement), '') as double) as placement, source_file from raw)"""
+_COLUMNS = "killed_by, killer_name, killer_placement, killer_position_x, killer_position_y, map, match_id, time, victim_name, victim_placement, victim_position_x, victim_position_y"
+_COPIES = f"{_rows('raw', S.RAW_DEATHS)}, g as (select killed_by, count(*) as n, count(distinct source_file) as files from raw group by {_COLUMNS} having count(*) > 1)"
+_KEYS = {"k1": "nullif(trim(match_id), '')", "k2": "nullif(trim(victim_name), '')", "k3": "try_cast(nullif(trim(time), '') as double)", "k4": "nullif(trim(killed_by), '')"}
+_CANDIDATES = f"""{_rows('raw', S.RAW_DEATHS)}, k as (select *, {', '.join(f'{v} as {k}' for k, v in _KEYS.items())} from raw),
+o as (select k1, k2, k3, k4, count(*) as n, list(distinct source_file) as fs from k where k1 is not null and k2 is not null and k3 is not null and k4 is not null group by k1, k2, k3, k4, {_COLUMNS}),
+g as (select k4 as killed_by, sum(n)::bigint as n, count(*) as v, len(list_distinct(flatten(list(fs)))) as files from o group by k1, k2, k3, k4 having sum(n) > 1)"""
 _KNOWN = "map in ('ERANGEL', 'MIRAMAR')"
 _OFF = "(x < 0 or x > 816000 or y < 0 or y > 816000)"
 _CAUSED = "killed_by in ('Falling', 'Drown')"
@@ -172,7 +193,9 @@ s as (
   from o left join dim on nullif(trim(o.match_id), '') = dim.match_id)"""
 
 _T = _rows("t", S.TELEMETRY) + """, k as (
-  select match_id, event, json_extract_string(event, '$._T') as kind, try_cast(json_extract_string(event, '$.victim.location.x') as double) as x, try_cast(json_extract_string(event, '$.victim.location.y') as double) as y from t)"""
+  select match_id, event, json_type(event) = 'OBJECT' as is_event, case when json_type(event) = 'OBJECT' then coalesce(nullif(json_extract_string(event, '$._T'), ''), 'UNKNOWN') end as kind,
+    case when json_type(event, '$.victim.location.x') in ('BIGINT', 'UBIGINT', 'DOUBLE') then json_extract_string(event, '$.victim.location.x')::double end as x,
+    case when json_type(event, '$.victim.location.y') in ('BIGINT', 'UBIGINT', 'DOUBLE') then json_extract_string(event, '$.victim.location.y')::double end as y from t)"""
 _KILL = "kind in ('LogPlayerKill', 'LogPlayerKillV2')"
 
 
@@ -180,6 +203,13 @@ def _damage(name: str) -> str:
     return f"count(*) filter ({_KILL} and json_type(event, '$.{name}') = 'OBJECT') as \"with_{name}\""
 
 
+_TELEMETRY = f"""select match_id, count(*) as event_count, count(*) filter (is_event) as object_events, count(distinct kind) as event_types, count(*) filter (kind = 'UNKNOWN') as untyped_events, count(*) filter ({_KILL}) as kill_events,
+  count(*) filter ({_KILL} and x is not null and y is not null) as located_kills, count(*) filter ({_KILL} and x = 0 and y = 0) as zero_zero_kills, {', '.join(map(_damage, ('killerDamageInfo', 'finishDamageInfo', 'dBNODamageInfo')))},
+  array_to_string(list_sort(list_distinct(flatten(coalesce(list(json_keys(event)) filter ({_KILL}), [])))), ',') as kill_keys from k group by match_id"""
+_M = f"""{_T}, mp as (select d.match_id, coalesce(nullif(json_extract_string(value, '$.data.attributes.mapName'), ''), 'UNKNOWN') as map_name, coalesce(nullif(json_extract_string(value, '$.data.attributes.gameMode'), ''), 'UNKNOWN') as game_mode,
+  json_extract_string(value, '$.data.attributes.createdAt') as created_at, y.* exclude (match_id) from ({S.MATCHES}) d join ({_TELEMETRY}) y on d.match_id = y.match_id)"""
+_MEMBERS = [(c, f, m) for c, m in (("damage_type", "damageTypeCategory"), ("damage_causer", "damageCauserName"), ("damage_reason", "damageReason")) for f in ("killerDamageInfo", "finishDamageInfo", "dBNODamageInfo")]
+
 #: Columns that the registered queries return as text.
 _TEXT = {name: ("first_death_date", "last_death_date") for name in ("grid_250", "grid_100")} | {
     "hotspot_report": ("observed_from", "observed_to"),
@@ -209,9 +239,7 @@ def _oracle_sql() -> dict[str, str]:
         "candidate_lift": LIFT,
         "distance_profiles": f"with {_PROFILES} select * from f",
         "distance_map_gap": f"with {_PROFILES} {_GAPS}",
-        "distance_summary": f"""with {_PROFILES}, y as ({_GAPS}), z as (select * from f where scope = 'ALL' and killed_by is null)
-          select count(*) as compared_weapons, round(median(median_gap_m), 1) as median_gap_m, (select killed_by from y order by median_gap_m, killed_by limit 1) as least_gap_weapon, (select killed_by from y order by median_gap_m desc, killed_by desc limit 1) as greatest_gap_weapon,
-            (select weapon_class from z order by median_distance_m, weapon_class limit 1) as nearest_class, (select weapon_class from z order by median_distance_m desc, weapon_class desc limit 1) as farthest_class, (select round(max(median_distance_m) - min(median_distance_m), 1) from z) as class_spread_m from y""",
+        "distance_summary": SUMMARY,
         "classify_status": f"with {_CLEAN} select map, killed_by, quality_status, count(*) as row_count from q group by all",
         "classified_events": f"with {_CLEAN} select * from q",
         "match_date_quality": f"with {_DATES} select * from m",
@@ -219,9 +247,12 @@ def _oracle_sql() -> dict[str, str]:
         "clean_events": f"with {_LINKED} select event_id, killed_by, map, match_id, date, victim_position_x, victim_position_y from l where quality_status = 'quality_valid' and date_status = 'valid_date'",
         "stage_funnel": f"with {_LINKED} " + " union all ".join(f"select {i} as stage_order, '{n}' as metric, ({v})::bigint as row_count" for i, (n, v) in enumerate(_FUNNEL.items(), 1)),
         "quality_checks": CHECKS,
-        "exact_duplicates": f"with {_D}, g as (select count(*) as n from d group by all, {', '.join(f'd.{c}' for c in ('killed_by', 'killer_name', 'killer_placement', 'killer_position_x', 'killer_position_y', 'map', 'match_id', 'time', 'victim_name', 'victim_placement', 'victim_position_x', 'victim_position_y'))} having count(*) > 1) select count(*) as duplicate_groups, coalesce(sum(n), 0)::bigint as duplicate_rows, coalesce(sum(n - 1), 0)::bigint as excess_rows, coalesce(max(n), 0) as most_copies, count(*) as within_file_groups, 0::bigint as cross_file_groups from g".replace("group by all, ", "group by "),
-        "event_candidates": f"with {_D}, g as (select count(*) as n, count(distinct d::varchar) as v from d where match_id is not null and victim_name is not null and time is not null and killed_by is not null group by match_id, victim_name, time, killed_by having count(*) > 1) select count(*) as candidate_groups, coalesce(sum(n), 0)::bigint as candidate_rows, coalesce(sum(n - 1), 0)::bigint as excess_rows, count(*) filter (v = 1) as equal_groups, count(*) filter (v > 1) as variant_groups from g",
-        "key_completeness": f"with {_D} select count(*) as total_rows, " + _counts(missing_match_id="nullif(trim(match_id), '') is null", missing_victim_name="nullif(trim(victim_name), '') is null", missing_time="time is null", missing_killer_name="nullif(trim(killer_name), '') is null", complete_keys="trim(match_id) <> '' and trim(victim_name) <> '' and time is not null and trim(killer_name) <> ''") + " from d",
+        "exact_duplicates": f"with {_COPIES} select count(*) as duplicate_groups, coalesce(sum(n), 0)::bigint as duplicate_rows, coalesce(sum(n - 1), 0)::bigint as excess_rows, coalesce(max(n), 0) as most_copies, count(*) filter (files = 1) as within_file_groups, count(*) filter (files > 1) as cross_file_groups from g",
+        "exact_duplicates_by_cause": f"with {_COPIES} select killed_by, count(*) as duplicate_groups, sum(n)::bigint as duplicate_rows, sum(n - 1)::bigint as excess_rows, max(n) as most_copies from g where killed_by in ('Falling', 'Drown') group by killed_by",
+        "event_candidates": f"with {_CANDIDATES} select count(*) as candidate_groups, coalesce(sum(n), 0)::bigint as candidate_rows, coalesce(sum(n - 1), 0)::bigint as excess_rows, coalesce(max(n), 0) as max_rows_per_key, count(*) filter (v = 1) as equal_groups, count(*) filter (v > 1) as variant_groups, count(*) filter (files > 1) as cross_file_groups from g",
+        "event_candidates_by_cause": f"with {_CANDIDATES} select killed_by, count(*) as candidate_groups, sum(n)::bigint as candidate_rows, sum(n - 1)::bigint as excess_rows, max(n) as max_rows_per_key, count(*) filter (v = 1) as equal_groups, count(*) filter (v > 1) as variant_groups from g where killed_by in ('Falling', 'Drown') group by killed_by",
+        "key_completeness": f"with {_rows('raw', S.RAW_DEATHS)} select count(*) as total_rows, " + _counts(**{n: f"{_KEYS[k]} is null" for k, n in (("k1", "missing_match_id"), ("k2", "missing_victim_name"), ("k3", "invalid_or_missing_time"), ("k4", "missing_killed_by"))}, complete_keys=" and ".join(f"{v} is not null" for v in _KEYS.values())) + " from raw",
+        "aggregate_profile": f"with {_rows('a', S.PLAYERS)}, g as (select count(*) as n from a group by match_id, player_name having count(*) > 1) select count(*) as row_count, count(*) filter (match_id is null) as null_match_id, count(*) filter (player_name is null) as null_player_name, min(player_kills) as min_kills, max(player_kills) as max_kills, min(player_dmg) as min_damage, max(player_dmg) as max_damage, (select count(*) from g) as duplicate_groups, (select coalesce(sum(n - 1), 0)::bigint from g) as duplicate_rows from a",
         "eligibility_funnel": f"with {_F} select killed_by, sum(copies)::bigint as raw_rows, count(*) as after_exact_dedup, sum(copies - 1)::bigint as exact_duplicate_excess, " + _counts(after_map="not fm", after_zero_zero="not fm and not fz", after_bounds="not fm and not fz and not fb", final_eligible_rows="not fm and not fz and not fb and not fd") + " from s group by killed_by",
         "primary_reasons": f"with {_F} select killed_by, case when fm then 'MISSING_MAP' when fz then 'INVALID_OR_UNAVAILABLE_POSITION' when fb then 'OUT_OF_MAP_BOUNDS' when fd then 'DATE_NOT_FOUND_OR_CONFLICT' else 'ELIGIBLE' end as primary_status, count(*) as unique_rows from s group by all",
         "exclusion_combos": f"with {_F} select killed_by, concat_ws('|', case when fm then 'MISSING_MAP' end, case when fz then 'ZERO_ZERO' end, case when fb then 'OUT_OF_BOUNDS' end, case when fd then 'DATE_NOT_FOUND_OR_CONFLICT' end) as exclusion_combination, count(*) as unique_rows from s where fm or fz or fb or fd group by all",
@@ -239,7 +270,13 @@ def _oracle_sql() -> dict[str, str]:
         "latest_runs": f"with {_rows('r', S.RUNS)} select * from r qualify row_number() over (partition by pipeline_name order by started_at desc, run_id desc) = 1",
         "latest_hotspots": f"with {_rows('h', S.HOTSPOTS)}, {_rows('r', S.RUNS)}, l as (select run_id from r where pipeline_name = 'p1' and status = 'SUCCEEDED' order by finished_at desc nulls last, run_id desc limit 1) select h.* from h join l on source_run_id = run_id",
         "quality_run_summary": f"with {_rows('r', S.RUNS)}, {_rows('c', S.RESULTS)} select r.run_id, batch_id, started_at, quality_status, count(check_name) as check_count, count(*) filter (c.status = 'FAIL') as failed_check_count, coalesce(sum(error_count), 0)::bigint as rule_error_count from r left join c on r.run_id = c.run_id group by all",
-        "json_event_profile": f"with {_T} select match_id, count(*) as event_count, count(distinct kind) as event_types, count(*) filter (kind is null) as untyped_events, count(*) filter ({_KILL}) as kill_events, count(*) filter ({_KILL} and x is not null and y is not null) as located_kills, count(*) filter ({_KILL} and x = 0 and y = 0) as zero_zero_kills, {', '.join(map(_damage, ('killerDamageInfo', 'finishDamageInfo', 'dBNODamageInfo')))}, array_to_string(list_sort(list_distinct(flatten(coalesce(list(json_keys(event)) filter ({_KILL}), [])))), ',') as kill_keys from k group by match_id",
-        "event_type_counts": f"with {_T} select kind as event_type, count(*) as event_count from k group by kind",
-        "damage_values": f"with {_T} select json_extract_string(event, '$.killerDamageInfo.damageTypeCategory') as \"damageTypeCategory\", count(*) as event_count from k where {_KILL} group by 1",
+        "json_event_profile": f"with {_T} {_TELEMETRY}",
+        "event_type_counts": f"with {_T} select kind as event_type, count(*) as event_count from k where is_event group by kind",
+        "damage_values": f"with {_T}, v as (" + " union all ".join(f"select '{c}' as counter, nullif(json_extract_string(event, '$.{f}.{m}'), '') as value from k where {_KILL}" for c, f, m in _MEMBERS) + ") select counter, value, count(*) as event_count from v where value is not null group by all",
+        "match_profiles": f"with {_M} select * from mp",
+        "pilot_counts": f"with {_M} select 'map_name' as counter, map_name as value, count(*) as match_count from mp group by all union all select 'game_mode', game_mode, count(*) from mp group by all",
+        "pilot_summary": f"with {_M} select count(*) as successful_match_count, min(created_at) as created_at_min, max(created_at) as created_at_max, sum(object_events)::bigint as event_count, sum(kill_events)::bigint as kill_event_count, sum(located_kills)::bigint as victim_location_count, sum(zero_zero_kills)::bigint as zero_zero_count from mp",
+        "file_profile": f"with {_RP} select source_file, count(*) as row_count, count(distinct match_id) as distinct_match_ids, min(x) filter (isfinite(x)) as min_victim_x, max(x) filter (isfinite(x)) as max_victim_x, min(y) filter (isfinite(y)) as min_victim_y, max(y) filter (isfinite(y)) as max_victim_y, " + _counts(zero_zero_rows="x = 0 and y = 0", out_of_bounds_rows=f"{_KNOWN} and {_OFF}", falling_rows="killed_by = 'Falling'", drown_rows="killed_by = 'Drown'") + " from p group by source_file",
+        "sentinel_by_file": f"with {_RP} select source_file, count(*) as cause_rows, count(*) filter (x = 0 and y = 0) as zero_zero_rows, {rate.format('count(*) filter (x = 0 and y = 0)', 'count(*)')} as zero_zero_rate, count(distinct match_id) filter (x = 0 and y = 0) as zero_zero_matches from p where killed_by = 'Drown' group by source_file",
+        "sentinel_related": f"with {_RP} select case when x = 0 and y = 0 then 'ZERO_ZERO' else 'NON_ZERO' end as position_group, count(*) as row_count, " + _counts(killer_zero_zero="kx = 0 and ky = 0", killer_coordinate_missing="kx is null or ky is null", same_named_actor="killer_name = victim_name", missing_killer_name="killer_name is null", missing_victim_placement="placement is null") + " from p where killed_by = 'Drown' group by 1",
     }

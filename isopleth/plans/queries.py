@@ -13,8 +13,8 @@ from . import standins as S
 
 Query = Callable[[SparkSession, str], DataFrame]
 FOCUS_MAP, FOCUS_CAUSE = "A", "F"
-#: Weapons of the raw stand-in have thousands of events at the smallest scale.
-MIN_WEAPON_EVENTS = 100
+#: Weapons of the raw stand-in have some dozens of events on a map at the smallest scale.
+MIN_WEAPON_EVENTS = 20
 DEATH_COLUMNS = [f.name for f in DEATHS]
 
 
@@ -30,6 +30,14 @@ def _profiled(then: Callable[[DataFrame], DataFrame]) -> Query:
     return _deaths(lambda raw: then(profiling.typed(raw)))
 
 
+def _raw(then: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: then(S.stand_in(spark, sf_dir, S.RAW_DEATHS))
+
+
+def _raw_profiled(then: Callable[[DataFrame], DataFrame]) -> Query:
+    return _raw(lambda raw: then(profiling.typed(raw)))
+
+
 def _both(then: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: then(S.stand_in(spark, sf_dir, S.DEATHS), S.stand_in(spark, sf_dir, S.AGGREGATE))
 
@@ -43,6 +51,14 @@ def _telemetry(then: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: then(S.stand_in(spark, sf_dir, S.TELEMETRY))
 
 
+def _matches(then: Callable[[DataFrame], DataFrame]) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        details = telemetry.match_details(S.stand_in(spark, sf_dir, S.MATCHES))
+        return then(telemetry.match_profiles(details, S.stand_in(spark, sf_dir, S.TELEMETRY)))
+
+    return run
+
+
 def _profiles(raw: DataFrame) -> DataFrame:
     tidy = raw.withColumn("map", F.upper(F.trim("map")))
     return distance.distance_profiles(distance.distance_events(tidy), MIN_WEAPON_EVENTS)
@@ -77,7 +93,7 @@ def _queries() -> dict[str, Query]:
         "report_extras": _events(lambda e: grid.with_report_extras(grid.grid_metrics(e, 100)).select(*grid.GROUP, "grid_x", "grid_y", "repeat_rate", "pixel_x", "pixel_y")),
         "resolution_comparison": _events(lambda e: grid.resolution_comparison(grid.grid_metrics(e, 100), grid.grid_metrics(e, 250))),
         "candidate_lift": _events(lambda e: grid.candidate_lift(e, e, FOCUS_MAP, FOCUS_CAUSE, 2, (FOCUS_CAUSE, "O"))),
-        "distance_profiles": _deaths(_profiles),
+        "distance_profiles": _deaths(lambda raw: distance.report_order(_profiles(raw))),
         "distance_map_gap": _deaths(lambda raw: distance.distance_map_gaps(_profiles(raw))),
         "distance_summary": _deaths(lambda raw: distance.distance_summary(_profiles(raw))),
         "classify_status": _deaths(lambda raw: clean.classify_events(raw).groupBy("map", "killed_by", "quality_status").agg(F.count("*").alias("row_count"))),
@@ -87,9 +103,12 @@ def _queries() -> dict[str, Query]:
         "clean_events": _both(clean.clean_events),
         "stage_funnel": _both(clean.stage_funnel),
         "quality_checks": lambda spark, sf_dir: quality.quality_checks(S.stand_in(spark, sf_dir, S.GATED)),
-        "exact_duplicates": _deaths(lambda raw: profiling.exact_duplicates(raw, DEATH_COLUMNS)),
-        "event_candidates": _deaths(lambda raw: profiling.event_candidates(raw, ["match_id", "victim_name", "time", "killed_by"], DEATH_COLUMNS)),
-        "key_completeness": _deaths(lambda raw: profiling.key_completeness(raw, ["match_id", "victim_name", "time", "killer_name"])),
+        "exact_duplicates": _raw(lambda raw: profiling.exact_duplicates(raw, DEATH_COLUMNS, "source_file")),
+        "exact_duplicates_by_cause": _raw(lambda raw: profiling.exact_duplicates_by_cause(raw, DEATH_COLUMNS)),
+        "event_candidates": _raw(lambda raw: profiling.event_candidates(raw, DEATH_COLUMNS, "source_file")),
+        "event_candidates_by_cause": _raw(lambda raw: profiling.event_candidates_by_cause(raw, DEATH_COLUMNS)),
+        "key_completeness": _raw(profiling.key_completeness),
+        "aggregate_profile": lambda spark, sf_dir: profiling.aggregate_profile(S.stand_in(spark, sf_dir, S.PLAYERS)),
         "eligibility_funnel": _flags(profiling.eligibility_funnel),
         "primary_reasons": _flags(profiling.primary_reasons),
         "exclusion_combos": _flags(profiling.exclusion_combinations),
@@ -97,12 +116,15 @@ def _queries() -> dict[str, Query]:
         "reconciliation": _flags(profiling.reconciliation),
         "core_profile": _profiled(profiling.core_profile),
         "group_profile": _profiled(lambda p: profiling.group_profile(p, "map")),
+        "file_profile": _raw_profiled(lambda p: profiling.group_profile(p, "source_file")),
         "map_completeness": _profiled(profiling.map_completeness),
         "missing_maps_by_cause": _profiled(profiling.missing_maps_by_cause),
         "bounds_report": _profiled(profiling.bounds_report),
         "bounds_examples": _profiled(profiling.bounds_examples),
         "sentinel_profile": _profiled(lambda p: profiling.sentinel_summary(p, "Drown")),
         "sentinel_by_map": _profiled(lambda p: profiling.sentinel_by(p, "Drown", "map")),
+        "sentinel_by_file": _raw_profiled(lambda p: profiling.sentinel_by(p, "Drown", "source_file")),
+        "sentinel_related": _raw_profiled(lambda p: profiling.sentinel_related(p, "Drown")),
         "time_quantiles": _profiled(lambda p: profiling.sentinel_times(p, "Drown")),
         "latest_runs": lambda spark, sf_dir: quality.latest_runs(S.stand_in(spark, sf_dir, S.RUNS)),
         "latest_hotspots": lambda spark, sf_dir: quality.latest_hotspots(S.stand_in(spark, sf_dir, S.HOTSPOTS), S.stand_in(spark, sf_dir, S.RUNS), "p1"),
@@ -110,4 +132,7 @@ def _queries() -> dict[str, Query]:
         "json_event_profile": _telemetry(lambda e: telemetry.telemetry_profile(e).withColumn("kill_keys", F.array_join("kill_keys", ","))),
         "event_type_counts": _telemetry(telemetry.event_type_counts),
         "damage_values": _telemetry(telemetry.damage_values),
+        "match_profiles": _matches(lambda m: m.withColumn("kill_keys", F.array_join("kill_keys", ","))),
+        "pilot_counts": _matches(telemetry.pilot_counts),
+        "pilot_summary": _matches(telemetry.pilot_summary),
     }

@@ -14,7 +14,8 @@ select l_returnflag as map, l_linestatus as killed_by, cast(l_orderkey as string
 from lineitem"""
 
 _DEATH = """
-select case when l_linestatus = 'F' then 'Falling' when l_linenumber % 3 = 0 then 'Drown' when l_linenumber % 3 = 1 then 'AKM' else 'Kar98k' end as killed_by,
+select case when l_linestatus = 'F' then 'Falling' when l_linenumber % 3 = 0 then 'Drown' when l_linenumber % 3 = 2 then case when l_suppkey % 2 = 0 then 'Kar98k' else 'AWM' end
+            when l_suppkey % 5 = 0 then 'AKM' when l_suppkey % 5 = 1 then 'SKS' when l_suppkey % 5 = 2 then 'Mini 14' when l_suppkey % 5 = 3 then 'S686' else 'M416' end as killed_by,
        case when l_suppkey % 23 = 0 then null else concat('k', cast(l_suppkey % 50 as string)) end as killer_name,
        cast(l_linenumber as double) as killer_placement,
        l_extendedprice * 7 as killer_position_x,
@@ -31,10 +32,26 @@ from lineitem"""
 #: Raw events with missing, unsupported and off-map values; rows of every 50th order stand twice.
 DEATHS = f"{_DEATH} union all {_DEATH} where l_orderkey % 50 = 0"
 
-#: Match dates with unparseable, missing, repeated and conflicting ones; every fifth match is absent.
+#: The same as text of two files, with blanks, spaces and times that are no numbers.
+RAW_DEATHS = f"""
+select case when victim_name = 'k7' then concat(' ', killed_by, ' ') else killed_by end as killed_by, killer_name, cast(killer_placement as string) as killer_placement,
+       cast(killer_position_x as string) as killer_position_x, cast(killer_position_y as string) as killer_position_y, map, match_id,
+       case when victim_name = 'k3' then 'n/a' when victim_name = 'k4' then ' ' when killer_name = 'k5' then concat(' ', cast(time as string), '.0') else cast(time as string) end as time,
+       case when killer_name = 'k9' then ' ' else victim_name end as victim_name, cast(victim_placement as string) as victim_placement,
+       cast(victim_position_x as string) as victim_position_x, cast(victim_position_y as string) as victim_position_y,
+       source_file
+from (select d.*, 'a.csv' as source_file from ({_DEATH}) d union all select d.*, case when time = 60 then 'a.csv' else 'b.csv' end as source_file from ({_DEATH} where l_orderkey % 50 = 0) d) d"""
+
+#: Players' results, some without a match or a name, some twice.
+PLAYERS = """
+select case when l_suppkey % 37 = 0 then null else cast(l_orderkey as string) end as match_id, case when l_partkey % 29 = 0 then null else concat('k', cast(l_linenumber % 3 as string)) end as player_name,
+       cast(l_quantity as bigint) as player_kills, cast(l_extendedprice as bigint) as player_dmg
+from lineitem"""
+
+#: Match dates with unparseable, missing, repeated and conflicting ones; every fifth match is one without deaths.
 AGGREGATE = """
-select cast(o_orderkey as string) as match_id, case when o_orderkey % 9 = 0 then null when o_orderkey % 9 = 1 then '2017-10' else concat(substring(cast(o_orderdate as string), 1, 10), 'T10:00:00+0000') end as date
-from orders where o_orderkey % 5 <> 0
+select case when o_orderkey % 5 = 0 then concat('x', cast(o_orderkey as string)) else cast(o_orderkey as string) end as match_id, case when o_orderkey % 9 = 0 then null when o_orderkey % 9 = 1 then '2017-10' else concat(substring(cast(o_orderdate as string), 1, 10), 'T10:00:00+0000') end as date
+from orders
 union all
 select cast(o_orderkey as string) as match_id, case when o_orderkey % 9 = 2 then '2017-10-20T00:00:00+0000' else concat(substring(cast(o_orderdate as string), 1, 10), 'T11:00:00+0000') end as date
 from orders where o_orderkey % 5 <> 0 and o_orderkey % 9 in (2, 3)"""
@@ -57,19 +74,30 @@ select cast(o_orderkey as string) as run_id, concat('p', cast(o_custkey % 7 as s
        o_orderdate as started_at, case when o_orderkey % 10 = 0 then null else o_orderdate end as finished_at
 from orders"""
 
+#: Rule results; a third is of runs that are not known.
 RESULTS = """
-select cast(l_orderkey as string) as run_id, concat('c', cast(l_linenumber as string)) as check_name, case when l_discount > 0.05 then 'FAIL' else 'PASS' end as status, cast(l_quantity as bigint) as error_count
-from lineitem where l_orderkey % 3 <> 0"""
+select case when l_orderkey % 3 = 0 then concat('x', cast(l_orderkey as string)) else cast(l_orderkey as string) end as run_id, concat('c', cast(l_linenumber as string)) as check_name, case when l_discount > 0.05 then 'FAIL' else 'PASS' end as status, cast(l_quantity as bigint) as error_count
+from lineitem"""
 
 HOTSPOTS = """
 select cast(l_orderkey as string) as source_run_id, l_returnflag as map, l_linestatus as killed_by, l_linenumber as heat_rank, cast(l_quantity as bigint) as death_count
 from lineitem"""
 
-#: Events as telemetry: types, a place in some, a damage object in some.
+#: Elements of telemetry: types, none in some, a place in some, as text in a few, damage objects in some; a few are no objects.
 TELEMETRY = """
 select cast(user_id % 20 as string) as match_id,
-       concat('{"_T":"', case when event_type = 'click' then 'LogPlayerKill' when event_id % 5 = 0 then 'LogPlayerKillV2' else event_type end, '","victim":{"location":{"x":', cast(event_id % 3 as string), ',"y":', cast(event_id % 2 as string), '}}',
-              case when event_id % 4 = 0 then ',"killerDamageInfo":{"damageTypeCategory":"Damage_Gun"}' else '' end, '}') as event
+       case when event_id % 17 = 0 then '7' when event_id % 19 = 0 then '[1, 2]' when event_id % 23 = 0 then null else
+       concat('{', case when event_id % 13 = 0 then '' when event_id % 29 = 0 then '"_T":"",' else concat('"_T":"', case when event_type = 'click' then 'LogPlayerKill' when event_id % 5 = 0 then 'LogPlayerKillV2' else event_type end, '",') end,
+              case when event_id % 11 = 0 then '"victim":{"location":{"x":"12","y":"0"}}' else concat('"victim":{"location":{"x":', cast(event_id % 3 as string), ',"y":', cast(event_id % 2 as string), '.0}}') end,
+              case when event_id % 4 = 0 then ',"killerDamageInfo":{"damageTypeCategory":"Damage_Gun","damageReason":""}' when event_id % 4 = 1 then ',"killerDamageInfo":7' else '' end,
+              case when event_id % 6 = 0 then ',"finishDamageInfo":{"damageCauserName":"W","damageReason":"Head"},"dBNODamageInfo":{"damageTypeCategory":"Damage_Gun"}' else '' end, '}') end as event
+from events"""
+
+#: Match documents of the same matches, some without a map or a mode.
+MATCHES = """
+select distinct cast(user_id % 20 as string) as match_id,
+       concat('{"data":{"attributes":{', case when user_id % 20 < 3 then '' when user_id % 20 < 6 then '"mapName":"",' when user_id % 2 = 0 then '"mapName":"Baltic",' else '"mapName":"Desert",' end,
+              case when user_id % 20 = 7 then '' else '"gameMode":"squad",' end, '"createdAt":"2020-01-0', cast(user_id % 20 % 9 + 1 as string), '"}}}') as value
 from events"""
 
 

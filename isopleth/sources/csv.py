@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from csv import reader
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,9 +18,27 @@ def list_files(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(f.getPath().toString() for f in found or [] if f.isFile())
 
 
+def newest_file(spark: SparkSession, pattern: str) -> str:
+    """The file of a glob that was changed last; of several, the last by name."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(pattern)
+    found = [(f.getModificationTime(), f.getPath().toString()) for f in path.getFileSystem(conf).globStatus(path) or [] if f.isFile()]
+    if not found:
+        raise FileNotFoundError(pattern)
+    return max(found)[1]
+
+
 def header(spark: SparkSession, path: str) -> list[str]:
-    """Column names of one file, read through Spark."""
-    return spark.read.option("header", True).option("inferSchema", False).csv(path).columns
+    """Column names of one file: its first line, read without a job."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    stream = place.getFileSystem(conf).open(place)
+    try:
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(place)
+        line = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "UTF-8")).readLine()
+    finally:
+        stream.close()
+    return next(reader([line.removeprefix("\ufeff")])) if line else []
 
 
 def read_csv(spark: SparkSession, pattern: str, schema: T.StructType | None = None, with_file: bool = False) -> DataFrame:
@@ -45,9 +64,35 @@ def read_csv(spark: SparkSession, pattern: str, schema: T.StructType | None = No
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def inferred(spark: SparkSession, path: str, ratio: float = 1.0) -> T.StructType:
-    """Types that Spark infers from a whole file, or from a share of it."""
-    return spark.read.option("header", True).option("inferSchema", True).option("samplingRatio", ratio).csv(path).schema
+def inferred(spark: SparkSession, path: str | list[str], ratio: float = 1.0, rows: int | None = None) -> T.StructType:
+    """Types that Spark infers from whole files, from a share of them, or from the first `rows` lines of one."""
+    infer = spark.read.option("header", True).option("inferSchema", True).option("samplingRatio", ratio)
+    if rows:  # a bounded number of lines
+        path = spark.sparkContext.parallelize([r.value for r in spark.read.text(path).take(rows + 1)], 1)
+    return infer.csv(path).schema
+
+
+def _wider(a: T.DataType, b: T.DataType) -> T.DataType:
+    """The type that holds values of both: the wider number, else text."""
+    numbers = [T.IntegerType(), T.LongType(), T.DoubleType()]
+    if a == b:
+        return a
+    return numbers[max(numbers.index(a), numbers.index(b))] if a in numbers and b in numbers else T.StringType()
+
+
+def read_typed_csv(spark: SparkSession, pattern: str, with_file: bool = False) -> DataFrame:
+    """All files of a glob, columns matched by name and typed by what all rows of all files hold.
+
+    Types are inferred once for each distinct header, and widened where headers differ.
+    """
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for path in list_files(spark, pattern):
+        groups.setdefault(tuple(header(spark, path)), []).append(path)
+    types: dict[str, T.DataType] = {}
+    for paths in groups.values():
+        for field in inferred(spark, paths):
+            types[field.name] = _wider(types.get(field.name, field.dataType), field.dataType)
+    return read_csv(spark, pattern, T.StructType([T.StructField(n, t) for n, t in types.items()]), with_file)
 
 
 def schema_check(spark: SparkSession, pattern: str, ratio: float = 1.0) -> list[tuple[str, str]]:

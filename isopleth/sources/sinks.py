@@ -10,13 +10,28 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _replace(spark: SparkSession, temporary: str, path: str) -> None:
+    """Put the old target aside, take its place, then drop it; a failure in between brings it back, at the next write at the latest."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(temporary)
-    store = old.getFileSystem(conf)
-    if store.exists(old):
-        store.delete(old, True)
-    if not store.rename(new, old):
+    target, new, aside = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, temporary, f"{path}.old"))
+    store = target.getFileSystem(conf)
+    if store.exists(aside):  # left by a write that broke off
+        if store.exists(target):
+            store.delete(aside, True)
+        else:
+            store.rename(aside, target)
+    held = store.exists(target)
+    if held and not store.rename(target, aside):
+        raise OSError(f"cannot put {path} aside")
+    taken = False
+    try:
+        taken = store.rename(new, target)
+    finally:
+        if held and not taken:
+            store.rename(aside, target)
+    if not taken:
         raise OSError(f"cannot rename {temporary} to {path}")
+    if held:
+        store.delete(aside, True)
 
 
 def write_parquet(df: DataFrame, path: str) -> None:

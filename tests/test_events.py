@@ -1,7 +1,9 @@
 """Event operators on small hand-built inputs: rule order, ranks, edges, rounding, drift, publication."""
 
 import datetime as dt
+import gzip
 import json
+import os
 import random
 
 import numpy as np
@@ -153,10 +155,37 @@ def test_publication(spark, tmp_path):
     assert quality.latest_runs(runs).first().run_id == failed
     summary = {r.run_id: r for r in quality.quality_summary(runs, spark.read.parquet(store.path("quality_check_results"))).collect()}
     assert summary[first].check_count == 10 and summary[first].failed_check_count == 0 and summary[failed].failed_check_count == 2
+    raw_runs = spark.read.parquet(store.path("pipeline_runs"))
+    assert raw_runs.count() == 6 and quality.latest_runs(raw_runs).first().status == "FAILED"
+    assert {r.run_id: r.quality_status for r in quality.quality_summary(raw_runs, spark.read.parquet(store.path("quality_check_results"))).collect()} == {first: "PASS", second: "PASS", failed: "FAIL"}
     none = quality.quality_summary(runs, spark.read.parquet(store.path("quality_check_results")).limit(0)).first()
     assert (none.check_count, none.rule_error_count) == (0, 0)
 
 
+@pytest.mark.parametrize("writes", range(5))
+def test_publication_breaks_off(spark, tmp_path, monkeypatch, writes):
+    store, events = quality.Store(str(tmp_path)), spark.createDataFrame([GOOD, ("e2", *GOOD[1:])], CLEAN)
+    first = quality.publish(events, store)
+    done = []
+
+    def broken(self, *args, then=None):
+        if len(done) == writes:
+            raise KeyboardInterrupt
+        done.append(then(self, *args))
+
+    for name in ("append", "drop_other_runs"):
+        monkeypatch.setattr(quality.Store, name, lambda self, *a, f=getattr(quality.Store, name): broken(self, *a, then=f))
+    try:
+        last = quality.publish(events, store)
+    except KeyboardInterrupt:
+        last = None
+    runs, hotspots = (spark.read.parquet(store.path(n)) for n in ("pipeline_runs", "environmental_hotspots"))
+    seen = quality.latest_hotspots(hotspots, runs).collect()
+    succeeded = [r.run_id for r in quality.current_runs(runs).where("status = 'SUCCEEDED'").collect()]
+    assert len(seen) == 1 and seen[0].source_run_id in succeeded and (writes > 2 or seen[0].source_run_id == first)
+    assert last is None or seen[0].source_run_id == last
+
+
 def test_profiles_of_text(spark):
     names = [f.name for f in schemas.DEATHS]
     text = [tuple(None if v is None else str(v) for v in death(x=x)) for x in ("abc", "NaN", "Infinity", None, " ", "5", "-3")]
@@ -166,8 +195,56 @@ def test_profiles_of_text(spark):
     again = raw.unionByName(raw.where("victim_position_x = '5'"))
     copies = profiling.exact_duplicates(again, names).first()
     assert (copies.duplicate_groups, copies.duplicate_rows, copies.excess_rows) == (1, 2, 1)
-    variants = profiling.event_candidates(again, ["match_id", "victim_name"], names).first()
-    assert (variants.candidate_groups, variants.candidate_rows, variants.variant_groups) == (1, 8, 1)
+    variants = profiling.event_candidates(again, names).first()
+    assert (variants.candidate_groups, variants.candidate_rows, variants.variant_groups, variants.max_rows_per_key) == (1, 8, 1, 8)
+
+
+def raw_deaths(spark, *rows):
+    names = [f.name for f in schemas.DEATHS]
+    text = [(*(None if v is None else str(v) for v in death(**{k: v for k, v in row.items() if k != "file"})), row.get("file", "f1")) for row in rows]
+    return spark.createDataFrame(text, ", ".join(f"{n} string" for n in [*names, "source_file"]))
+
+
+def test_event_keys(spark):
+    names = [f.name for f in schemas.DEATHS]
+    same = dict(time="60")
+    raw = raw_deaths(spark, same, same, same | {"time": " 60.0", "file": "f2"}, same | {"killed_by": " Falling "}, same | {"match_id": " "}, same | {"match_id": " "}, same | {"time": "n/a"}, same | {"time": "n/a"}, same | {"victim_name": None}, same | {"killed_by": "AKM"}, same | {"killed_by": "AKM"})
+    got = profiling.event_candidates(raw, names, "source_file").first()
+    assert (got.candidate_groups, got.candidate_rows, got.excess_rows, got.max_rows_per_key, got.equal_groups, got.variant_groups, got.cross_file_groups) == (2, 6, 4, 4, 1, 1, 1)
+    cause = profiling.event_candidates_by_cause(raw, names).collect()
+    assert [(r.killed_by, r.candidate_groups, r.candidate_rows, r.variant_groups) for r in cause] == [("Falling", 1, 4, 1)]
+    exact = profiling.exact_duplicates_by_cause(raw, names).collect()
+    assert [(r.killed_by, r.duplicate_groups, r.duplicate_rows, r.excess_rows, r.most_copies) for r in exact] == [("Falling", 3, 6, 3, 2)]
+    keys = profiling.key_completeness(raw).first()
+    assert (keys.total_rows, keys.missing_match_id, keys.missing_victim_name, keys.invalid_or_missing_time, keys.missing_killed_by, keys.complete_keys) == (11, 2, 1, 2, 0, 6)
+
+
+def test_related_fields_of_a_sentinel(spark):
+    zero = dict(killed_by="Drown", x=0.0, y=0.0)
+    raw = raw_deaths(spark, zero | {"killer_position_x": 0.0, "killer_position_y": 0.0}, zero | {"killer_name": " ", "victim_placement": "x"}, dict(killed_by="Drown", killer_name="b", killer_position_x="?"), dict(killed_by="Falling"))
+    got = {r.position_group: tuple(r)[1:] for r in profiling.sentinel_related(profiling.typed(raw), "Drown").collect()}
+    assert got == {"ZERO_ZERO": (2, 1, 0, 0, 1, 1), "NON_ZERO": (1, 0, 1, 1, 0, 0)}
+
+
+def test_aggregate_profile(spark):
+    rows = spark.createDataFrame([("m", "a", 1, 5), ("m", "a", 3, None), (None, "a", 0, 9), (None, "a", 2, 2), ("m", None, 7, 1)], "match_id string, player_name string, player_kills long, player_dmg long")
+    assert tuple(profiling.aggregate_profile(rows).first()) == (5, 2, 1, 0, 7, 1, 9, 2, 2)
+    assert tuple(profiling.aggregate_profile(rows.limit(0)).first()) == (0, 0, 0, None, None, None, None, 0, 0)
+    assert profiling.aggregate_profile(rows, 3).first().row_count == 3
+
+
+def test_distance_summary(spark):
+    def at(scope, kind, gun, median, n=50):
+        return (scope, kind, gun, n, median, 300)
+
+    rows = [at("ALL", "SR", None, 90.0), at("ALL", "Shotgun", None, 9.5), at("ALL", "DMR", None, 60.0), at("ALL", "SR", "AWM", 95.0), at("ALL", "DMR", "SKS", 70.0), at("ALL", "DMR", "Mk14", 70.0), at("ALL", "DMR", "VSS", 30.0), at("ALL", "AR", "AKM", 95.0)]
+    rows += [at("ERANGEL", "SR", "AWM", 90.0), at("MIRAMAR", "SR", "AWM", 80.0), at("ERANGEL", "DMR", "SKS", 60.0), at("MIRAMAR", "DMR", "SKS", 61.0), at("ERANGEL", "DMR", "VSS", 30.0), at("ERANGEL", "AR", "M416", 1.0), at("MIRAMAR", "AR", "M416", 9.0)]
+    profiles = spark.createDataFrame(rows, "scope string, weapon_class string, killed_by string, event_count long, median_distance_m double, valid_event_count long")
+    assert [(r.killed_by, r.median_gap_m, r.absolute_gap_m) for r in distance.distance_map_gaps(profiles).collect()] == [("AWM", -10.0, 10.0), ("SKS", 1.0, 1.0)]
+    got = distance.distance_summary(profiles).first().asDict()
+    assert got == dict(valid_event_count=300, weapon_count=5, class_count=3, map_comparison_count=2, median_map_gap_m=5.5, shotgun_median_m=9.5, sr_median_m=90.0, role_median_spread_m=80.5, shortest_dmr="VSS", shortest_dmr_median_m=30.0, longest_dmr="Mk14", longest_dmr_median_m=70.0, longest_weapon="AKM", longest_weapon_median_m=95.0)
+    listed = [(r.scope, r.weapon_class, r.killed_by) for r in distance.report_order(profiles).collect()]
+    assert listed[:5] == [("ALL", "Shotgun", None), ("ALL", "AR", "AKM"), ("ALL", "DMR", None), ("ALL", "DMR", "Mk14"), ("ALL", "DMR", "SKS")]
 
 
 def test_eligibility_with_missing_positions(spark):
@@ -191,6 +268,15 @@ def test_csv_union_by_name_and_drift(spark, tmp_path):
         csv.require_same_schema(spark, f"{tmp_path}/*.csv")
     every = csv.read_csv(spark, f"{tmp_path}/*.csv", with_file=True)
     assert every.count() == 4 and every.where("z = '1'").first().source_file.endswith("b.csv")
+    typed = csv.read_typed_csv(spark, f"{tmp_path}/a*.csv")
+    assert dict(typed.dtypes) == {"x": "int", "y": "string"} and typed.agg(F.sum("x")).first()[0] == 3
+    assert dict(csv.read_typed_csv(spark, f"{tmp_path}/*.csv").dtypes) == {"x": "string", "y": "string", "z": "int"}
+    assert csv.inferred(spark, f"{tmp_path}/a1.csv", rows=1)["x"].dataType.simpleString() == "int"
+    with gzip.open(tmp_path / "c.csv.gz", "wt") as out:
+        out.write('\ufeff"x, y",z\n1,2\n')
+    assert csv.header(spark, f"{tmp_path}/c.csv.gz") == ["x, y", "z"]
+    os.utime(tmp_path / "a1.csv", (4e9, 4e9))
+    assert csv.newest_file(spark, f"{tmp_path}/*.csv").endswith("a1.csv")
 
 
 def test_sinks_replace_whole(spark, tmp_path):
@@ -198,6 +284,10 @@ def test_sinks_replace_whole(spark, tmp_path):
     for n in (3, 2):
         sinks.write_parquet(spark.range(n), path)
         assert spark.read.parquet(path).count() == n
+    (tmp_path / "out").rename(tmp_path / "out.old")  # as a write leaves it that broke off between its renames
+    with pytest.raises(Exception):
+        sinks._replace(spark, f"{tmp_path}/none", path)
+    assert spark.read.parquet(path).count() == 2
     sinks.write_csv(spark.range(3), path, F.desc("id"))
     assert [r[0] for r in spark.read.option("header", True).csv(path).collect()] == ["2", "1", "0"]
     page = sinks.html_report("<script>__DATA__</script>", "__DATA__", spark.createDataFrame([("</script>",)], "t string"))
@@ -205,14 +295,26 @@ def test_sinks_replace_whole(spark, tmp_path):
 
 
 def test_telemetry(spark):
-    events = [{"_T": "LogPlayerKillV2", "victim": {"location": {"x": 0, "y": 0}}, "finishDamageInfo": {"a": 1}}, {"_T": "LogPlayerKill"}, {"victim": {}}, 7, "text", {"_T": "Other"}]
-    files = spark.createDataFrame([("m", json.dumps(events))], "match_id string, value string")
-    got = telemetry.telemetry_profile(telemetry.explode_events(files)).first()
-    assert (got.event_count, got.kill_events, got.located_kills, got.zero_zero_kills, got.untyped_events, got.with_finishDamageInfo) == (4, 2, 1, 1, 1, 1)
-    assert got.kill_keys == ["_T", "finishDamageInfo", "victim"]
+    gun = {"damageTypeCategory": "Gun", "damageReason": "", "damageCauserName": 0}
+    events = [{"_T": "LogPlayerKillV2", "victim": {"location": {"x": 0, "y": 0.0}}, "finishDamageInfo": gun}, {"_T": "LogPlayerKill", "victim": {"location": {"x": "12", "y": 1}}, "killerDamageInfo": gun, "dBNODamageInfo": 5}, {"victim": {}}, 7, "text", None, [], {"_T": ""}, {"_T": "Other"}]
+    files = spark.createDataFrame([("m", json.dumps(events)), ("n", "[1]")], "match_id string, value string")
+    each = telemetry.explode_events(files)
+    got = {r.match_id: r for r in telemetry.telemetry_profile(each).collect()}
+    m = got["m"]
+    assert (m.event_count, m.object_events, m.event_types, m.kill_events, m.located_kills, m.zero_zero_kills, m.untyped_events, m.with_finishDamageInfo, m.with_dBNODamageInfo) == (9, 5, 4, 2, 1, 1, 2, 1, 0)
+    assert m.kill_keys == ["_T", "dBNODamageInfo", "finishDamageInfo", "killerDamageInfo", "victim"] and (got["n"].event_count, got["n"].object_events) == (1, 0)
+    assert {r.event_type: r.event_count for r in telemetry.event_type_counts(each).collect()} == {"UNKNOWN": 2, "LogPlayerKill": 1, "LogPlayerKillV2": 1, "Other": 1}
+    assert [tuple(r) for r in telemetry.damage_values(each).collect()] == [("damage_type", "Gun", 2)]
+    details = spark.createDataFrame([("m", "E", None, "2020"), ("n", "", "solo", None)], "match_id string, map_name string, game_mode string, created_at string")
+    profiles = telemetry.match_profiles(details, each)
+    assert {tuple(r) for r in telemetry.pilot_counts(profiles).collect()} == {("map_name", "E", 1), ("map_name", "UNKNOWN", 1), ("game_mode", "solo", 1), ("game_mode", "UNKNOWN", 1)}
+    assert tuple(telemetry.pilot_summary(profiles).first()) == (2, "2020", "2020", 5, 2, 1, 1)
+    windows = telemetry.sample_windows(dt.datetime(2020, 3, 1, 23, 30, tzinfo=dt.timezone(dt.timedelta(hours=-2))), 3)
+    assert windows == [("latest_2020-03-02", None), ("ending_2020-03-01", "2020-03-01T00:00:00Z"), ("ending_2020-02-29", "2020-02-29T00:00:00Z")]
     lists = [("w1", ["a", "b", "a", ""]), ("w2", ["b", "c"])]
     samples = spark.createDataFrame([(w, json.dumps({"data": {"relationships": {"matches": {"data": [{"id": i} for i in ids]}}}})) for w, ids in lists], "window string, value string")
     assert [tuple(r) for r in telemetry.sample_summary(samples).orderBy("window").collect()] == [("w1", 3, 2), ("w2", 2, 2)]
+    assert tuple(telemetry.sample_totals(samples).first()) == (2, 5, 3)
     assert [r[0] for r in telemetry.first_matches(samples, 3).collect()] == ["a", "b", "c"]
     with pytest.raises(ValueError):
         telemetry.first_matches(samples, 4)
