@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Hashable
 from typing import Any
@@ -19,10 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one where it is unset, as in tests."""
+    """The folder named by spark.checkpoint.dir. Where it is unset, a temporary one in local mode; on a cluster that is an error."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="isopleth-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="isopleth-"))
     return context.getCheckpointDir()
 
 
@@ -32,6 +36,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small(df: DataFrame, most: int = 20_000) -> DataFrame:
+    """A checkpointed table, marked for broadcast only if it is counted and has no more than `most` rows."""
+    kept = checkpoint(df)
+    return F.broadcast(kept) if kept.count() <= most else kept
+
+
 def crc_bucket(key: Column, modulus: int) -> Column:
     """crc32 of the key as text, modulo `modulus`; a null key counts as the empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % modulus
@@ -42,6 +52,14 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, made longer until no column of `df` has it, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def with_field(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
     """Schema of `df` and one more column, for Arrow functions."""
     return T.StructType([*df.schema.fields, T.StructField(name, kind)])

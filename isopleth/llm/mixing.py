@@ -1,24 +1,31 @@
 """Mixing sources to target weights by weighted fair queueing, in DataFrame functions only.
 
-Each source's documents queue in a shuffled order, the whole queue up to `repeats` times over. A word's
-virtual finish time is its position in the source's queue divided by the source's weight. The mix serves
-words by virtual time until the budget is spent, so a source whose queue has run dry leaves its share to the
-others. The document in service at the cut is cut there.
+Each source's documents queue in a shuffled order, the whole queue up to `repeats` times over, and are served
+in packets of a few words, so that a long document does not hold up its source. A packet's virtual finish time
+is the words of its source up to its end, divided by the source's weight. The mix is the packets in the order
+of that time until the budget, the sum of all sizes, is spent; a source whose queue has run dry leaves its
+share to the others. The packet that crosses the budget is cut there.
+
+The order is found by ranges of virtual time: words are summed by range, and the range that the budget ends in
+is narrowed until one task can sort its packets. Ranges before it are served whole, those behind it not at all.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpoint, word_count
+from .common import WORD, checkpoint, small, word_count
 
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
-#: Rows of one source that one task orders, about; the number of slices grows with the largest source.
+#: Rows of one source, or packets around the cut, that one task orders, about; the number of slices grows with the largest source.
 SLICE_ROWS = 4096
+#: Words of a packet, and ranges of virtual time that words are summed by at once.
+PACKET, RANGES = 16, 1024
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
@@ -54,56 +61,93 @@ def _shuffled_position(sized: DataFrame) -> DataFrame:
     cut = sized.withColumn("slice", F.floor(spread * slices / F.lit(2**32)).cast("long"))
     totals = cut.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
     ahead = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = _small(totals.select(F.col("source").alias("o_source"), F.col("slice").alias("o_slice"), F.coalesce(F.sum("slice_size").over(ahead), F.lit(0)).alias("offset")))
+    offsets = small(totals.select(F.col("source").alias("o_source"), F.col("slice").alias("o_slice"), F.coalesce(F.sum("slice_size").over(ahead), F.lit(0)).alias("offset")))
     inside = Window.partitionBy("source", "slice").orderBy("key", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
     summed = cut.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     return summed.join(offsets, F.col("source").eqNullSafe(F.col("o_source")) & (F.col("slice") == F.col("o_slice"))).withColumn("before", F.col("offset") + F.col("inside"))
 
 
-def _served(before: Column, size: Column, served: Column, source_size: Column, repeats: int) -> Column:
-    """Words of a document among its source's first `served` queued words, over all passes of the queue."""
-    return sum((F.greatest(F.lit(0), F.least(size, served - before - source_size * r)) for r in range(1, repeats)), F.greatest(F.lit(0), F.least(size, served - before)))
+def _packets(repeats: int) -> Column:
+    """(copy, first, words, finish) of every packet of a row, over all passes of its source's queue."""
 
+    def packet(copy: Column, first: Column) -> Column:
+        words = F.least(F.lit(PACKET).cast("long"), F.col("size") - first)
+        finish = (F.col("before") + copy * F.col("source_size") + first + words) / F.col("weight")
+        return F.struct(copy.alias("copy"), first.alias("first"), words.alias("words"), finish.alias("finish"))
 
-#: A table joined to every row is broadcast when a count proves it has no more rows than this.
-BROADCAST_ROWS = 20_000
+    starts = F.when(F.col("size") > 0, F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(PACKET).cast("long"))).otherwise(F.array().cast("array<long>"))
+    copies = F.array(*(F.lit(c).cast("long") for c in range(repeats)))
+    return F.flatten(F.transform(copies, lambda c: F.transform(starts, lambda first: packet(c, first))))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """A checkpointed table, marked for broadcast only if it is counted and found small."""
-    kept = checkpoint(df)
-    return F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
+def _cut(placed: DataFrame, repeats: int) -> tuple[float, float, int]:
+    """(low, high, left): packets that finish before low are served, those from high on are not, and of those between the first `left` words.
+
+    Every round brings the sums of RANGES ranges to the driver. Packets of a source finish apart, so a range
+    narrows to SLICE_ROWS packets, or to packets of equal time, of which there are no more than sources.
+    """
+    each = placed.select(F.explode(_packets(repeats)).alias("x")).select("x.words", "x.finish")
+    budget, horizon = placed.agg(F.coalesce(F.sum("size"), F.lit(0)), F.max(repeats * F.col("source_size") / F.col("weight"))).first()
+    low, high, left = 0.0, (horizon or 0.0) * (1 + 1e-9) + 1.0, int(budget)
+    while left:
+        width = (high - low) / RANGES
+        number = F.floor((F.col("finish") - low) / width)
+        found = each.where((F.col("finish") >= low) & (F.col("finish") < high)).groupBy(F.greatest(F.lit(0), F.least(F.lit(RANGES - 1), number)).cast("int").alias("range"))
+        sums = sorted(found.agg(F.sum("words").alias("words"), F.count("*").alias("n"), F.min("finish").alias("first"), F.max("finish").alias("last")).collect())
+        for r in sums:
+            if r.words >= left:
+                break
+            left -= r.words
+        # the ends of a range are packets' own times, so no rounding of its border moves a packet
+        low, high = r.first, math.nextafter(r.last, math.inf)
+        if r.n <= SLICE_ROWS or r.first == r.last:
+            break
+    return low, high, left
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, repeats: int = REPEATS, extra: Sequence[str] = ()) -> DataFrame:
     """doc_id, source, size, source_size, target, taken, virtual_start, weight and columns `extra`, one row per row of `docs`.
 
-    taken: words the mix takes, repeats counted, at most `repeats` times size; per source they add up to
-    floor(target). The order hashes doc_id, so reruns agree; rows alike in doc_id and size are
-    interchangeable. Null texts have size 0; a null source is a source of its own; a null doc_id sorts as
-    the empty text. No rows in, no rows out.
+    target: the source's share by weight, at most `repeats` times its size, the excess reshared. taken: words
+    the mix takes, repeats counted, at most `repeats` times size; all together they are the budget, and each
+    source's are its target but for a few packets. The order hashes doc_id, so reruns agree; rows alike in
+    doc_id and size are interchangeable. Null texts have size 0; a null source is a source of its own; a null
+    doc_id sorts as the empty text. No rows in, no rows out.
     """
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("key"), *(F.col(c) for c in extra))
-    if not extra:
-        sized = checkpoint(sized)  # a few numbers for each document, so that the texts are read once
-    targets = _small(source_targets(sized, weights, repeats).withColumnRenamed("source", "t_source"))
-    placed = _shuffled_position(sized.join(targets, F.col("source").eqNullSafe(F.col("t_source"))))
-    taken = _served(F.col("before"), F.col("size"), F.floor("target").cast("long"), F.col("source_size"), repeats)
-    return placed.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), (F.col("before") / F.col("weight")).alias("virtual_start"), "weight", *extra)
+    numbers = checkpoint(sized.select("doc_id", "source", "size", "key"))  # a few numbers for each document: all that the order needs
+    targets = small(source_targets(numbers, weights, repeats).withColumnRenamed("source", "t_source"))
+    same_source = F.col("source").eqNullSafe(F.col("t_source"))
+    queue = checkpoint(_shuffled_position(numbers.join(targets, same_source)))
+    placed = _shuffled_position(sized.join(targets, same_source)) if extra else queue
+    low, high, left = _cut(queue, repeats)
+    between = queue.select("source", "before", F.explode(F.filter(_packets(repeats), lambda x: (x["finish"] >= low) & (x["finish"] < high))).alias("x"))
+    # one range, of bounded length
+    ahead = Window.orderBy("x.finish", F.col("source").asc_nulls_last(), "before", "x.copy", "x.first").rowsBetween(Window.unboundedPreceding, -1)
+    words = F.greatest(F.lit(0), F.least(F.col("x.words"), F.lit(left) - F.coalesce(F.sum("x.words").over(ahead), F.lit(0))))
+    # of rows with words no two of a source have as many ahead of them
+    last = small(between.select(F.col("source").alias("l_source"), F.col("before").alias("l_before"), words.alias("words")).groupBy("l_source", "l_before").agg(F.sum("words").alias("some")))
+    sure = F.aggregate(F.filter(_packets(repeats), lambda x: x["finish"] < low), F.lit(0).cast("long"), lambda n, x: n + x["words"])
+    joined = placed.join(last, F.col("source").eqNullSafe(F.col("l_source")) & (F.col("before") == F.col("l_before")) & (F.col("size") > 0), "left")
+    taken = (sure + F.coalesce("some", F.lit(0))).cast("long")
+    return joined.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), (F.col("before") / F.col("weight")).alias("virtual_start"), "weight", *extra)
 
 
 def mixed_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
-    """The mix itself, in the columns of `docs` (doc_id, text, lang, source, n_chars): a row for each copy served, sorted by virtual finish time.
+    """The mix itself, in the columns of `docs` (doc_id, text, source and any others): a row for each copy served, sorted by virtual finish time.
 
-    A whole copy keeps its text; the copy in service at the cut keeps the words served, joined by single
-    spaces, and its n_chars follows. Documents without words are never served. The sort is a range sort over all copies.
+    A whole copy keeps its text; a copy in service at the cut keeps the words served, joined by single
+    spaces, and its n_chars, if there is one, follows. Documents without words are never served. The sort is a
+    range sort over all copies. An empty table gives no rows.
     """
-    served = mix(docs, weights, repeats, extra=("text", "lang", "n_chars"))
+    whole = docs.select("doc_id", "source", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    served = mix(whole, weights, repeats, extra=("text", "row"))
     per = served.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     words = F.greatest(F.lit(0), F.least(F.col("size"), F.col("taken") - F.col("copy") * F.col("size")))
     per = per.withColumn("words", words).where("words > 0")
     finish = F.col("virtual_start") + (F.col("copy") * F.col("source_size") + F.col("words")) / F.col("weight")
     cut = F.col("words") < F.col("size")
     text = F.when(cut, F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0)), F.lit(1), F.col("words").cast("int")), " ")).otherwise(F.col("text"))
-    per = per.withColumn("text", text).withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return per.withColumn("finish", finish).repartitionByRange("finish", "doc_id", "copy").sortWithinPartitions("finish", "doc_id", "copy").select(docs.columns)
+    ordered = per.withColumn("text", text).withColumn("finish", finish).repartitionByRange("finish", "doc_id", "copy").sortWithinPartitions("finish", "doc_id", "copy")
+    changed = {"text": F.col("text"), "n_chars": F.when(cut, F.length("text").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
+    return ordered.select(*(changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .mixing import PACKET
 from .pii import BASE_PATTERNS, CONTEXT_AFTER, CONTEXT_BEFORE, IBAN_PATTERN, KINDS, MIN_SCORE, OCTETS, SSN_PATTERN
 
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -64,14 +65,16 @@ levelled as (
             / (sum(weight) over (w rows between current row and unbounded following))::double as level
   from ranked window w as (order by (3 * source_size)::double / weight, source nulls last)),
 cut as (select coalesce(max(level) filter (where (3 * source_size)::double / weight >= level), 0) as v from levelled),
-t as (select source, source_size, least((3 * source_size)::double, weight * v) as target from ranked, cut),
+t as (select source, source_size, weight, least((3 * source_size)::double, weight * v) as target from ranked, cut),
 queued as (
-  select *, coalesce(sum(size) over (partition by source order by key, doc_id nulls first, size, rid rows between unbounded preceding and 1 preceding), 0)::bigint as before from d)
-select doc_id, size, source_size, target,
-       (greatest(0, least(size, floor(target)::bigint - before))
-        + greatest(0, least(size, floor(target)::bigint - before - source_size))
-        + greatest(0, least(size, floor(target)::bigint - before - 2 * source_size)))::bigint as taken
-from queued join t on queued.source is not distinct from t.source
+  select *, coalesce(sum(size) over (partition by source order by key, doc_id nulls first, size, rid rows between unbounded preceding and 1 preceding), 0)::bigint as before from d),
+placed as (select rid, doc_id, q.source, size, source_size, target, weight, before from queued q join t on q.source is not distinct from t.source),
+packets as (
+  select rid, source, before, copy, first, least({PACKET}, size - first) as words, (before + copy * source_size + first + least({PACKET}, size - first))::double / weight::double as finish
+  from (select *, unnest(range(0, size, {PACKET})) as first from placed), (select unnest([0, 1, 2]) as copy)),
+served as (
+  select rid, greatest(0, least(words, (select sum(size) from d) - coalesce(sum(words) over (order by finish, source nulls last, before, copy, first rows between unbounded preceding and 1 preceding), 0))) as words from packets)
+select doc_id, size, source_size, target, coalesce(taken, 0)::bigint as taken from placed left join (select rid, sum(words) as taken from served group by rid) using (rid)
 """
 
 

@@ -222,7 +222,8 @@ def test_mix_shares_and_limits(spark):
             break
         capped |= over
     for s in sizes:
-        assert abs(target[s] - share[s]) < 1e-6 and abs(taken[s] - share[s]) <= 1
+        assert abs(target[s] - share[s]) < 1e-6 and abs(taken[s] - share[s]) <= 5 * mixing.PACKET
+    assert sum(taken.values()) == sum(sizes.values())
     again = mixing.mix(frame.repartition(3)).collect()
     assert sorted(map(repr, got)) == sorted(map(repr, again))
     assert mixing.mix(frame.limit(0)).count() == 0
@@ -235,3 +236,36 @@ def test_mixed_documents_are_what_mix_takes(spark):
     for r in mixing.mixed_documents(docs).collect():
         words[r.doc_id] += len(r.text.split())
     assert all(words[i] == n for i, n in taken.items())
+def _fair_queueing(docs, packet):
+    """(doc_id, size, taken) by sorting all packets of all copies by their finish times."""
+    rows = [(hashlib.md5(("" if i is None else str(i)).encode()).hexdigest(), i is not None, i or 0, len((t or "").split()), s, i) for i, t, s in docs]
+    weight = dict(zip([*sorted({r[4] for r in rows if r[4] is not None}), None], [5, 2, 1] * 9))
+    whole, ahead, packets, taken = collections.Counter(), collections.Counter(), [], collections.Counter()
+    for r in rows:
+        whole[r[4]] += r[3]
+    for n, (*_, size, source, _) in enumerate(rows := sorted(rows, key=lambda r: r[:4])):
+        for copy in range(3):
+            for first in range(0, size, packet):
+                words = min(packet, size - first)
+                packets.append(((ahead[source] + copy * whole[source] + first + words) / weight[source], source is None, source or "", n, words))
+        ahead[source] += size
+    left = sum(whole.values())
+    for *_, n, words in sorted(packets):
+        taken[n] += min(left, words)
+        left -= min(left, words)
+    return sorted(((r[5], r[3], taken[n]) for n, r in enumerate(rows)), key=repr)
+
+
+def test_mix_against_brute_force(spark, monkeypatch):
+    rnd = random.Random(11)
+    docs = [(i, " ".join("w" * int(rnd.paretovariate(0.6)))[:4000], rnd.choice(["a", "a", "a", "b", None, "c", "ä", "d"])) for i in range(400)] + [(None, "x y z", "b"), (3, "", "zero"), (4, None, "zero"), (9, "p q", "a"), (9, "p q", "a")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    for ranges, rows in ((3, 5), (1024, 4096)):
+        monkeypatch.setattr(mixing, "RANGES", ranges)
+        monkeypatch.setattr(mixing, "SLICE_ROWS", rows)
+        got = sorted(((r.doc_id, r.size, r.taken) for r in mixing.mix(frame).collect()), key=repr)
+        assert got == _fair_queueing(docs, mixing.PACKET)
+    empty = spark.createDataFrame([(1, None, "a"), (2, " ", None)], "doc_id long, text string, source string")
+    assert [(r.size, r.target, r.taken) for r in mixing.mix(empty).collect()] == [(0, 0.0, 0)] * 2
+
+
