@@ -14,10 +14,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, resident
+from .common import checkpoint, free_name, resident, small
 from .shingles import hash_words, mix64, multiset, overlap, shingles, split_words
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -85,32 +85,37 @@ def band_keys(best: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """(doc_id, copy binary, bands array<long>): a digest of the words and the band keys of every row with words and a doc_id."""
+    """(doc_id, form, copy binary, bands array<long>) of every row with words and a doc_id: a hash of the text as it stands, a digest of its words, the band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         resident("none", lambda: None)
         for batch in batches:
-            ids, copies, bags, held = [], [], [], 0
+            ids, forms, copies, bags, held = [], [], [], [], 0
 
-            def flush(ids: list, copies: list, bags: list) -> pa.RecordBatch:
+            def flush(ids: list, forms: list, copies: list, bags: list) -> pa.RecordBatch:
                 keys = band_keys(signatures(bags)).view(np.int64)
-                return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(copies, pa.binary()), pa.array(list(keys), pa.list_(pa.int64()))], ["doc_id", "copy", "bands"])
+                return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(forms, pa.int64()), pa.array(copies, pa.binary()), pa.array(list(keys), pa.list_(pa.int64()))], ["doc_id", "form", "copy", "bands"])
 
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+            for doc_id, form, text in zip(batch.column("doc_id").to_pylist(), batch.column("form").to_pylist(), batch.column("text")):
                 words = split_words(text.as_py())
                 if not words or doc_id is None:
                     continue
                 ids.append(doc_id)
+                forms.append(form)
                 copies.append(xxhash.xxh3_128_digest(b" ".join(words)))
                 bags.append(shingles(hash_words(words), WIDTH))
                 held += len(bags[-1])
                 if held > BATCH_SHINGLES:
-                    yield flush(ids, copies, bags)
-                    ids, copies, bags, held = [], [], [], 0
+                    yield flush(ids, forms, copies, bags)
+                    ids, forms, copies, bags, held = [], [], [], [], 0
             if ids:
-                yield flush(ids, copies, bags)
+                yield flush(ids, forms, copies, bags)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, copy binary, bands array<long>")
+    return _formed(docs).mapInArrow(run, "doc_id long, form long, copy binary, bands array<long>")
+
+
+def _formed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("form"), "text")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -119,19 +124,20 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = [batch.column(c).to_pylist() for c in ("a", "b")]
-            last: tuple[int | None, np.ndarray] = (None, np.zeros(0, np.uint64))
+            last: tuple[bytes | None, np.ndarray] = (None, np.zeros(0, np.uint64))
             good = []
-            for a, b, x, y in zip(*ids, batch.column("text_a"), batch.column("text_b")):
+            for b, x, y in zip(ids[1], batch.column("text_a"), batch.column("text_b")):
                 if last[0] != b:
                     last = (b, multiset(shingles(hash_words(split_words(y.as_py())), WIDTH)))
                 mine = multiset(shingles(hash_words(split_words(x.as_py())), WIDTH))
-                small, large = sorted((len(mine), len(last[1])))
-                good.append(small >= similarity * large and overlap(mine, last[1]) >= similarity)
+                fewer, more = sorted((len(mine), len(last[1])))
+                good.append(fewer >= similarity * more and overlap(mine, last[1]) >= similarity)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    kind = pairs.schema["a"].dataType.simpleString()
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def linked(bags: list[np.ndarray], labels: np.ndarray, similarity: float) -> list[tuple[int, int]]:
@@ -165,30 +171,43 @@ def linked(bags: list[np.ndarray], labels: np.ndarray, similarity: float) -> lis
 def _links_in_blocks(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """(a, b): links between members (bucket, id, label) of one bucket that differ in label.
 
-    A bucket is cut by a hash of the id into blocks of about BLOCK_CHARS of text and BLOCK_ROWS members, and
-    every block meets itself and every other block of its bucket: rows move by the block, never by the pair.
+    Blocks hold about BLOCK_CHARS of text or BLOCK_ROWS members. A label with more than one block's worth in a
+    bucket gets blocks of its own, which meet those of all other labels but not each other; the other labels
+    share blocks, which meet all blocks. So rows move by the block, never by the pair, and a class that fills a
+    bucket is not compared with itself.
     """
-    held = members.join(texts, "id").select("bucket", "id", "label", "text")
-    held = checkpoint(held)
-    cuts = held.groupBy("bucket").agg(F.ceil(F.greatest(F.sum(F.length("text")) / BLOCK_CHARS, F.count("*") / BLOCK_ROWS)).cast("int").alias("cuts"))
-    placed = held.join(cuts, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), "cuts").cast("int"))
-    # block i goes to all pairs (i, j) and (j, i), named by the smaller first
-    other = F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("other")
-    sent = placed.select("bucket", "id", "label", "text", "block", other)
-    paired = sent.groupBy("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list(F.struct("id", "label", "text")).alias("rows"))
+    held = checkpoint(members.join(texts, "id").select("bucket", "id", "label", "text"))
+    blocks = F.ceil(F.greatest(F.sum(F.length("text")) / BLOCK_CHARS, F.count("*") / BLOCK_ROWS)).cast("int")
+    share = F.greatest(F.sum(F.length("text")) / BLOCK_CHARS, F.count("*") / BLOCK_ROWS)
+    labels = held.groupBy("bucket", "label").agg(blocks.alias("cuts"), share.alias("share"))
+    large = checkpoint(labels.where("cuts > 1"))
+    before = Window.partitionBy("bucket").orderBy("label").rowsBetween(Window.unboundedPreceding, -1)
+    own = large.withColumn("first", F.coalesce(F.sum("cuts").over(before), F.lit(0)).cast("int")).select("bucket", "label", "cuts", "first")
+    mixed = labels.groupBy("bucket").agg(F.ceil(F.coalesce(F.sum(F.when(F.col("cuts") == 1, F.col("share"))), F.lit(0))).cast("int").alias("mixed"), F.coalesce(F.sum(F.when(F.col("cuts") > 1, F.col("cuts"))), F.lit(0)).cast("int").alias("rest"))
+    placed = held.join(small(own), ["bucket", "label"], "left").join(small(mixed), "bucket")
+    cut = F.col("cuts").isNotNull()
+    start = F.col("mixed") + F.col("first")
+    block = F.when(cut, start + F.pmod(F.xxhash64("id"), F.col("cuts"))).otherwise(F.pmod(F.xxhash64("label"), F.greatest("mixed", F.lit(1)))).cast("int")
+    everyone = F.sequence(F.lit(0), F.col("mixed") + F.col("rest") - 1)
+    met = F.when(cut, F.filter(everyone, lambda other: (other < start) | (other >= start + F.col("cuts")))).otherwise(everyone)
+    sent = placed.select("bucket", "id", "label", "text", block.alias("block"), met.alias("met")).select("bucket", "id", "label", "text", "block", F.explode("met").alias("other"))
+    named = sent.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "label", "text")
+    # dealt by pair of blocks: by bucket alone, as the join leaves them, a hot bucket's pairs would meet in one task
+    paired = named.repartition("bucket", "i", "j").groupBy("bucket", "i", "j").agg(F.collect_list(F.struct("id", "label", "text")).alias("rows"))
+    kind = members.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ends: list[tuple[int, int]] = []
+            ends: list[tuple] = []
             for rows in batch.column("rows"):
-                fields = [rows.values.field(c) for c in ("id", "label", "text")]
-                ids, labels = fields[0].to_numpy(), fields[1].to_numpy()
-                bags = [multiset(shingles(hash_words(split_words(t.as_py())), WIDTH)) for t in fields[2]]
-                ends += [(int(ids[x]), int(ids[y])) for x, y in linked(bags, labels, similarity)]
+                ids, labels = (rows.values.field(c).to_pylist() for c in ("id", "label"))
+                bags = [multiset(shingles(hash_words(split_words(t.as_py())), WIDTH)) for t in rows.values.field("text")]
+                number = {label: n for n, label in enumerate(sorted(set(labels)))}
+                ends += [(ids[x], ids[y]) for x, y in linked(bags, np.array([number[x] for x in labels]), similarity)]
             ends = list(dict.fromkeys(ends))
-            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in ends], pa.int64()) for k in (0, 1)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in ends], pa.binary() if kind == "binary" else pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return paired.select("rows").mapInArrow(run, "a long, b long").distinct()
+    return paired.select("rows").mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -209,51 +228,66 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, class_id): one row per row of `docs` (doc_id, text); class_id is the least doc_id of its class.
+def _classes(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Of every row with words and a doc_id (doc_id, form, copy), and of every copy (copy, label, id, form): the class's label and the copy's first row.
 
-    Equal word sequences are one class from the start and are represented by their least doc_id. Members of
-    band buckets are first compared with one leader each; then, in buckets whose members still differ in
-    class, all members with all, block by block inside the tasks, where only links come out. Every link is
-    verified, and no pair of a bucket is left out but those of one class already. Documents without words, or
-    without a doc_id, are classes of their own. Rows that repeat a doc_id share its class, the least one if
-    their texts differ.
+    Equal word sequences are one copy from the start. Members of band buckets are first compared with one
+    leader each; then, in buckets whose members still differ in class, those of different classes with each
+    other, block by block inside the tasks, where only links come out. Every link is verified, and no pair of a
+    bucket is left out but those of one class already.
     """
     signed = checkpoint(sign(docs))
-    copies = checkpoint(signed.groupBy("copy").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")))
-    bands = copies.select("id", F.explode("bands").alias("bucket"))
-    sizes = bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    copies = checkpoint(signed.groupBy("copy").agg(F.min(F.struct("doc_id", "form")).alias("first"), F.first("bands").alias("bands")))
+    bands = copies.select(F.col("copy").alias("id"), F.explode("bands").alias("bucket"))
+    # what is joined to hot buckets is written out first, so that the joins can be split
+    sizes = checkpoint(bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
     members = checkpoint(bands.join(sizes, "bucket"))
-    needed = members.select("id").distinct()
-    if needed.count() <= BROADCAST_IDS:
-        needed = F.broadcast(needed)
-    plain = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("text is not null")
-    texts = checkpoint(plain.join(needed, "id").groupBy("id").agg(F.min("text").alias("text")))
+    needed = copies.join(members.select(F.col("id").alias("copy")).distinct(), "copy", "left_semi").select(F.col("copy").alias("id"), "first.doc_id", "first.form")
+    needed = small(needed, BROADCAST_IDS)
+    texts = checkpoint(_formed(docs).join(needed, ["doc_id", "form"]).groupBy("id").agg(F.min("text").alias("text")))
     # the member with most bucket mates leads a bucket; a member is compared with the leader it meets most often
     mates = members.groupBy("id").agg(F.sum("n").alias("mates"))
     ranked = members.join(mates, "id")
-    leaders = ranked.groupBy("bucket").agg(F.max_by("id", F.struct("mates", -F.col("id"))).alias("leader"))
+    leaders = checkpoint(ranked.groupBy("bucket").agg(F.min_by("id", F.struct(-F.col("mates"), "id")).alias("leader")))
     led = members.join(leaders, "bucket").where("id <> leader").groupBy(F.col("id").alias("a"), F.col("leader").alias("b")).agg(F.count("*").alias("buckets"))
-    first = led.groupBy("a").agg(F.max_by("b", F.struct("buckets", -F.col("b"))).alias("b"))
+    first = led.groupBy("a").agg(F.min_by("b", F.struct(-F.col("buckets"), "b")).alias("b"))
     edges = checkpoint(_verified(first, texts, similarity))
     labels = components(edges)
     marked = checkpoint(members.join(labels, "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label")))
-    mixed = marked.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
+    mixed = checkpoint(marked.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket"))
     links = checkpoint(_links_in_blocks(marked.join(mixed, "bucket"), texts, similarity))
-    labels = components(edges.unionByName(links))
-    classes = copies.select("copy", "id").join(labels, "id", "left").select("copy", F.coalesce("label", "id").alias("label"))
-    found = signed.select("doc_id", "copy").join(classes, "copy").groupBy("doc_id").agg(F.min("label").alias("class_id"))
+    labels = components(edges.unionByName(links)).withColumnRenamed("id", "copy")
+    return signed.select("doc_id", "form", "copy"), checkpoint(copies.join(labels, "copy", "left").select("copy", F.coalesce("label", "copy").alias("label"), F.col("first.doc_id").alias("id"), F.col("first.form").alias("form")))
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, class_id): one row per row of `docs` (doc_id, text); class_id is the least doc_id of its class.
+
+    A class is what links of `similarity` or more, and rows that share a doc_id, connect. Documents without
+    words, or without a doc_id, are classes of their own. An empty table gives no rows.
+    """
+    rows, copies = _classes(docs, similarity)
+    least = copies.groupBy("label").agg(F.min("id").alias("class_id"))
+    labelled = rows.join(copies.select("copy", "label"), "copy").join(least, "label").groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max("class_id").alias("other"))
+    labelled = checkpoint(labelled)
+    # a doc_id with texts of several classes makes them one
+    several = rows.join(labelled.where("class_id <> other").select("doc_id", F.col("class_id").alias("a")), "doc_id").join(copies.select("copy", "label"), "copy").join(least.withColumnRenamed("class_id", "b"), "label").where("a <> b").select("a", "b")
+    joined = components(several.distinct()).select(F.col("id").alias("class_id"), F.col("label").alias("whole"))
+    found = labelled.join(joined, "class_id", "left").select("doc_id", F.coalesce("whole", "class_id").alias("class_id"))
     return docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("class_id", F.col("doc_id").cast("long")).alias("class_id"))
 
 
 def deduplicate(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """`docs` with one row of each class kept, that of class_id; rows without a doc_id are kept."""
-    classes = near_duplicates(docs.select("doc_id", "text"), similarity)
-    dropped = checkpoint(classes.where("doc_id <> class_id").select("doc_id").distinct())
-    if dropped.count() <= BROADCAST_IDS:
-        dropped = F.broadcast(dropped)
-    kept = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
-    ids = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    if ids.limit(1).count():  # rows that repeat a doc_id: one of them stays
-        kept = kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
-    return kept
+    """`docs` with one row of each class of texts kept, that of the least doc_id; rows without words or a doc_id are kept.
+
+    Rows alike in doc_id and text count once. Rows that share a doc_id but not their text are judged apart.
+    """
+    rows, copies = _classes(docs.select("doc_id", "text"), similarity)
+    least = copies.groupBy("label").agg(F.min(F.struct("id", "form")).alias("least")).select("label", F.col("least.id").alias("least_id"), F.col("least.form").alias("least_form"))
+    judged = rows.join(copies.select("copy", "label"), "copy").join(least, "label")
+    dropped = small(judged.where("doc_id <> least_id or form <> least_form").select(F.col("doc_id").alias(here := free_name(docs, "dropped_id")), F.col("form").alias(gone := free_name(docs, "dropped_form"))).distinct(), BROADCAST_IDS)
+    formed = docs.withColumn(form := free_name(docs, "form"), F.xxhash64("text"))
+    kept = formed.join(dropped, (F.col("doc_id").cast("long") == F.col(here)) & (F.col(form) == F.col(gone)), "left_anti")
+    if rows.groupBy("doc_id", "form").count().where("count > 1").limit(1).count():
+        kept = kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id", form]))
+    return kept.select(docs.columns)

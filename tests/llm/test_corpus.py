@@ -95,12 +95,25 @@ def test_near_duplicates_against_brute_force(spark):
 
 
 def test_blocks_find_links_that_leaders_miss(spark, monkeypatch):
+def test_one_id_on_different_texts(spark):
+    text = lambda name, change="": " ".join(f"{name}{k}" for k in range(60)) + change
+    docs = [(9, text("a")), (9, text("b")), (5, text("a", " x")), (7, text("b", " y")), (20, text("c")), (20, text("c")), (21, text("c", " z")), (8, text("d")), (8, text("e")), (8, "")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in bagminhash.near_duplicates(frame).collect()} == {9: 5, 5: 5, 7: 5, 20: 20, 21: 20, 8: 8}
+    kept = sorted(map(tuple, bagminhash.deduplicate(frame.withColumn("form", F.lit(1)).withColumn("copy", F.lit("c"))).select("doc_id", "text").collect()))
+    assert kept == sorted([(5, text("a", " x")), (7, text("b", " y")), (20, text("c")), (8, text("d")), (8, text("e")), (8, "")])
+
+
     monkeypatch.setattr(bagminhash, "BLOCK_ROWS", 3)
-    members = spark.createDataFrame([(1, i, i) for i in range(10)], "bucket long, id long, label long")
-    texts = [" ".join(f"w{k}" for k in range(i // 5 * 100, i // 5 * 100 + 60)) + f" end{i}" for i in range(10)]
-    links = bagminhash._links_in_blocks(members, spark.createDataFrame(list(enumerate(texts)), "id long, text string"), 0.8)
-    got = {(r.a, r.b) for r in links.collect()}
-    assert {(min(x), max(x)) for x in got} == {(b, a) for a in range(10) for b in range(a) if a // 5 == b // 5}
+    texts = [" ".join(f"w{k}" for k in range(i // 5 * 100, i // 5 * 100 + 60)) + f" end{i}" for i in range(20)]
+    as_frame = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    same = {(b, a) for a in range(20) for b in range(a) if a // 5 == b // 5}
+    # every member a label of its own; two large labels, of which one holds members of two groups, beside small ones
+    for label in (lambda i: i, lambda i: 0 if i < 7 else 19 if i > 12 else i):
+        members = spark.createDataFrame([(1, i, label(i)) for i in range(20)], "bucket long, id long, label long")
+        got = {(min(r), max(r)) for r in bagminhash._links_in_blocks(members, as_frame, 0.8).collect()}
+        want = {(a, b) for a, b in same if label(a) != label(b)}
+        assert got <= want and {(label(a), label(b)) for a, b in got} == {(label(a), label(b)) for a, b in want}
 
 
 def _best(vectors, top=20):
