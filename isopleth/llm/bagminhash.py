@@ -267,11 +267,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     words, or without a doc_id, are classes of their own. An empty table gives no rows.
     """
     rows, copies = _classes(docs, similarity)
-    least = copies.groupBy("label").agg(F.min("id").alias("class_id"))
-    labelled = rows.join(copies.select("copy", "label"), "copy").join(least, "label").groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max("class_id").alias("other"))
-    labelled = checkpoint(labelled)
+    least = checkpoint(copies.groupBy("label").agg(F.min("id").alias("class_id")))  # written out, so that a large class's join can be split
+    classed = checkpoint(copies.select("copy", "label").join(least, "label").select("copy", "class_id"))
+    labelled = checkpoint(rows.join(classed, "copy").groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max("class_id").alias("other")))
     # a doc_id with texts of several classes makes them one
-    several = rows.join(labelled.where("class_id <> other").select("doc_id", F.col("class_id").alias("a")), "doc_id").join(copies.select("copy", "label"), "copy").join(least.withColumnRenamed("class_id", "b"), "label").where("a <> b").select("a", "b")
+    several = rows.join(labelled.where("class_id <> other").select("doc_id", F.col("class_id").alias("a")), "doc_id").join(classed.withColumnRenamed("class_id", "b"), "copy").where("a <> b").select("a", "b")
     joined = components(several.distinct()).select(F.col("id").alias("class_id"), F.col("label").alias("whole"))
     found = labelled.join(joined, "class_id", "left").select("doc_id", F.coalesce("whole", "class_id").alias("class_id"))
     return docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("class_id", F.col("doc_id").cast("long")).alias("class_id"))
@@ -284,7 +284,8 @@ def deduplicate(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """
     rows, copies = _classes(docs.select("doc_id", "text"), similarity)
     least = copies.groupBy("label").agg(F.min(F.struct("id", "form")).alias("least")).select("label", F.col("least.id").alias("least_id"), F.col("least.form").alias("least_form"))
-    judged = rows.join(copies.select("copy", "label"), "copy").join(least, "label")
+    classed = checkpoint(copies.select("copy", "label").join(checkpoint(least), "label").drop("label"))
+    judged = rows.join(classed, "copy")
     dropped = small(judged.where("doc_id <> least_id or form <> least_form").select(F.col("doc_id").alias(here := free_name(docs, "dropped_id")), F.col("form").alias(gone := free_name(docs, "dropped_form"))).distinct(), BROADCAST_IDS)
     formed = docs.withColumn(form := free_name(docs, "form"), F.xxhash64("text"))
     kept = formed.join(dropped, (F.col("doc_id").cast("long") == F.col(here)) & (F.col(form) == F.col(gone)), "left_anti")
