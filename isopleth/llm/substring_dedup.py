@@ -109,7 +109,8 @@ def _with_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def _repeated(found: DataFrame) -> DataFrame:
     """Of (key, id, anchors): (key, id, repeated), the anchors that documents with other ids have too; none, no row."""
     each = found.select("key", "id", F.explode("anchors").alias("anchor"))
-    shared = each.groupBy("anchor").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("anchor")
+    # written out, so that the join of an anchor that very many documents have can be split
+    shared = checkpoint(each.groupBy("anchor").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("anchor"))
     return each.join(shared, "anchor").groupBy("key", "id").agg(F.collect_list("anchor").alias("repeated"))
 
 
@@ -165,14 +166,15 @@ def _runs(texts: DataFrame, window: int, lengths: list[int], judged: list[str])
 def _repeats(runs: DataFrame) -> DataFrame:
     """(key, starts): for each text, the starts of its windows that begin in a document with a smaller id too."""
     first = checkpoint(runs.groupBy("anchor", "run").agg(F.min("id").alias("first")))
-    # runs that differ under one anchor may still have windows in common
-    varied = first.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    edges = first.join(varied, "anchor")
-    one = runs.join(edges, ["anchor", "run"]).where("id = first").select("anchor", "run", "first", F.posexplode("windows").alias("offset", "window"))
+    # runs that differ under one anchor may still have windows in common; what meets a hot anchor, window or run
+    # is written out first, so that the join can be split, and a run's first holder is found by its id as well
+    varied = checkpoint(first.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
+    edges = first.join(varied, "anchor").select("anchor", "run", F.col("first").alias("id"))
+    one = runs.join(edges, ["anchor", "run", "id"]).select("anchor", "run", F.col("id").alias("first"), F.posexplode("windows").alias("offset", "window"))
     one = checkpoint(one.distinct())
-    least = one.groupBy("anchor", "window").agg(F.min("first").alias("least"))
+    least = checkpoint(one.groupBy("anchor", "window").agg(F.min("first").alias("least"), F.max("first").alias("most")).where("least < most").select("anchor", "window", "least"))
     some = one.join(least, ["anchor", "window"]).where("least < first").groupBy("anchor", "run").agg(F.collect_set("offset").alias("offsets"))
-    verdict = first.join(some, ["anchor", "run"], "left")
+    verdict = checkpoint(first.join(some, ["anchor", "run"], "left"))
     judged = runs.select("key", "id", "anchor", "run", "start", F.size("windows").alias("n")).join(verdict, ["anchor", "run"])
     hit = F.when(F.col("id") > F.col("first"), F.sequence(F.lit(0), F.col("n") - 1)).otherwise(F.coalesce("offsets", F.array().cast("array<int>")))
     starts = judged.select("key", F.transform(hit, lambda x: (x + F.col("start")).cast("int")).alias("starts")).where(F.size("starts") > 0)
@@ -206,7 +208,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, shortest: int = SHORTE
 
     A word goes if a window over it also begins in a document with a smaller doc_id; kept words are joined by
     one space. Null texts have no words. Rows without a doc_id lose nothing and take nothing from others;
-    rows that repeat a doc_id do not count as each other's predecessors.
+    rows that repeat a doc_id do not count as each other's predecessors. An empty table gives no rows.
+    Word sequences are compared by hashes of 64 bits, those of their windows and of the shorter windows in them;
+    equal texts by 128.
     """
     lengths = levels(window, shortest)
     scan = checkpoint(_scan(docs, window, lengths[0]))
