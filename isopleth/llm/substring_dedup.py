@@ -227,7 +227,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, shortest: int = SHORTE
     runs = checkpoint(_runs(_with_texts(docs, standing), window, lengths[:-1] if len(lengths) > 1 else lengths, judged))
     ids = firsts.select("key", "id")
     starts = checkpoint(_repeats(runs).join(ids, "key"))
-    kept = _kept(_with_texts(docs, starts), window).select("key", "n_removed", "kept_sha256", *(["kept"] if with_text else [])).dropDuplicates(["key"])
+    # written out, so that the join of a text with very many copies can be split
+    kept = checkpoint(_kept(_with_texts(docs, starts), window).select("key", "n_removed", "kept_sha256", *(["kept"] if with_text else [])).dropDuplicates(["key"]))
     judged_rows = scan.select("id", "key", "n_words", "whole_sha256").join(ids.withColumnRenamed("id", "first"), "key", "left").join(kept, "key", "left")
     copy = (F.col("id") > F.col("first")) & (F.col("n_words") >= window)
     partly = F.col("n_removed").isNotNull() & F.col("id").isNotNull()
