@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.expr import ratio, round_to
+from .quantiles import exact_quantiles
 
 QUANTILES = {"median": 0.5, "p75": 0.75, "p90": 0.9, "p99": 0.99}
 #: Slices of a meter by which distances are counted before they are ordered.
@@ -35,41 +36,6 @@ def distance_events(raw: DataFrame, maps: tuple[str, ...] = C.MAPS, classes: Map
     return named.where(F.col("weapon_class").isNotNull() & F.col("distance_m").between(0, most_m))
 
 
-def _quantiles(values: DataFrame, keys: list[str]) -> DataFrame:
-    """`keys` and q, the exact quantiles of `values` (keys, distance_m, n), interpolated as Spark's percentile does.
-
-    Counts of narrow slices of distance tell which slices hold the two neighbouring ranks of each quantile; only
-    the values of those are ordered, slice by slice, so no task holds the values of a group.
-    """
-    known = values.where("distance_m is not null").withColumn("slice", F.floor(F.col("distance_m") * SLICES_PER_M))
-    whole = Window.partitionBy(*keys)
-    before = Window.unboundedPreceding, -1
-    slices = known.groupBy(*keys, "slice").agg(F.sum("n").alias("in_slice")).select(
-        "*",
-        F.coalesce(F.sum("in_slice").over(whole.orderBy("slice").rowsBetween(*before)), F.lit(0)).alias("ahead"),
-        F.sum("in_slice").over(whole).alias("total"),
-    )
-    at = [(F.col("total") - 1) * q for q in QUANTILES.values()]
-    ranks = [(F.floor(x), F.ceil(x)) for x in at]
-
-    def holds(first: Column, n: Column):
-        return lambda rank: (rank >= first) & (rank < first + n)
-
-    sliced = holds(F.col("ahead"), F.col("in_slice"))
-    # at most two slices for each quantile of a group, and groups are maps and weapons
-    chosen = slices.where(F.exists(F.array(*(r for pair in ranks for r in pair)), sliced)).select(*(F.col(c).alias(f"in_{c}") for c in [*keys, "slice"]), "ahead", "total")
-    same = F.lit(True)
-    for c in [*keys, "slice"]:
-        same &= F.col(c).eqNullSafe(F.col(f"in_{c}"))
-    inside = Window.partitionBy(*keys, "slice").orderBy("distance_m").rowsBetween(*before)
-    placed = known.join(F.broadcast(chosen), same).withColumn("first", F.col("ahead") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    here = holds(F.col("first"), F.col("n"))
-    ends = [F.max(F.when(here(r), F.col("distance_m"))).alias(f"{side}_{i}") for i, pair in enumerate(ranks) for side, r in zip(("low", "high"), pair)]
-    found = placed.groupBy(*keys).agg(F.first("total").alias("total"), *ends)
-    between = [F.when(F.col(f"low_{i}") == F.col(f"high_{i}"), F.col(f"low_{i}")).otherwise((high - x) * F.col(f"low_{i}") + (x - low) * F.col(f"high_{i}")) for i, (x, (low, high)) in enumerate(zip(at, ranks))]
-    return found.select(*keys, F.array(*between).alias("q"))
-
-
 def distance_profiles(events: DataFrame, least: int = C.MIN_WEAPON_EVENTS) -> DataFrame:
     """One row per scope (a map or ALL), class and weapon; a null weapon is the class as a whole and has no least count.
 
@@ -86,7 +52,7 @@ def distance_profiles(events: DataFrame, least: int = C.MIN_WEAPON_EVENTS) -> Da
         F.sum("n").alias("event_count"),
         *(F.coalesce(F.sum(F.when(F.col("distance_m") >= d, F.col("n"))), F.lit(0)).alias(f"above_{d}") for d in (100, 300)),
     )
-    levels = _quantiles(values, keys).select(*(F.col(c).alias(f"q_{c}") for c in keys), "q")
+    levels = exact_quantiles(values, keys, "distance_m", list(QUANTILES.values()), SLICES_PER_M).select(*(F.col(c).alias(f"q_{c}") for c in keys), "q")
     same = F.lit(True)
     for c in keys:
         same &= F.col(c).eqNullSafe(F.col(f"q_{c}"))

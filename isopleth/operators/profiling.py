@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.expr import blank_to_null, is_finite, outside, ratio
+from .quantiles import exact_quantiles
 
 MISSING = "<NULL_OR_BLANK>"
 #: What tells an event apart, as its row may stand in several exports.
@@ -171,12 +172,13 @@ def sentinel_by(profiled: DataFrame, cause: str, by: str) -> DataFrame:
 
 def sentinel_times(profiled: DataFrame, cause: str, early: tuple[int, int] = (120, 300)) -> DataFrame:
     """Times of a cause's rows at the origin and elsewhere: extremes, exact quantiles, mean, rows in an early span."""
-    time = F.col("time").cast("double")
     points = {"p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
-    found = profiled.where(F.col("killed_by") == cause).groupBy(F.when(_at_origin(), "ZERO_ZERO").otherwise("NON_ZERO").alias("position_group")).agg(
-        F.count("*").alias("row_count"), F.min(time).alias("min_time"), F.percentile(time, F.array(*map(F.lit, points.values()))).alias("q"), F.max(time).alias("max_time"), F.avg(time).alias("avg_time"),
-        F.count_if((time >= early[0]) & (time < early[1])).alias("early_rows"),
-    )
+    time, group = F.col("time"), F.when(_at_origin(), "ZERO_ZERO").otherwise("NON_ZERO")
+    timed = profiled.where(F.col("killed_by") == cause).select(group.alias("position_group"), F.col("time").cast("double").alias("time"))
+    early_rows = F.count_if((time >= early[0]) & (time < early[1])).alias("early_rows")
+    sums = timed.groupBy("position_group").agg(F.count("*").alias("row_count"), F.min("time").alias("min_time"), F.max("time").alias("max_time"), F.avg("time").alias("avg_time"), early_rows)
+    counted = timed.groupBy("position_group", "time").agg(F.count("*").alias("n"))
+    found = sums.join(exact_quantiles(counted, ["position_group"], "time", list(points.values()), 1), "position_group", "left")
     return found.select("position_group", "row_count", "min_time", *(F.col("q")[i].alias(f"{n}_time") for i, n in enumerate(points)), "max_time", "avg_time", "early_rows")
 
 
