@@ -10,6 +10,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 #: Fixed patterns of the base kinds, as RE2 and DuckDB read them.
 BASE_PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -135,17 +137,18 @@ def find_pii(df: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
     Spans of one kind never overlap; spans of different kinds may.
     """
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    held = df.select("*", *(_spans(whole, k).alias(f"__{k.name}") for k in KINDS))
-    parts = [_scored(whole, k, i, F.col(f"__{k.name}")) for i, k in enumerate(KINDS)]
+    names = [free_name(df, f"spans_{k.name}") for k in KINDS]
+    held = df.select("*", *(_spans(whole, k).alias(n) for k, n in zip(KINDS, names)))
+    parts = [_scored(whole, k, i, F.col(n)) for i, (k, n) in enumerate(zip(KINDS, names))]
     return held.select(*(F.col(f"`{c}`") for c in df.columns), F.array_sort(F.concat(*parts)).alias(out))
 
 
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
     """Replace every span that find_pii reports by its kind in brackets; overlapping spans become the first one's mark.
 
-    Null and empty texts stay as they are; the columns are those of `df`.
+    Null and empty texts stay as they are; the rows, repeated ones too, and the columns are those of `df`.
     """
-    whole = F.col(f"`{text}`")
+    whole, found = F.col(f"`{text}`"), free_name(df, "pii")
 
     def step(acc: Column, s: Column) -> Column:
         fresh = s["start"] >= acc["at"]
@@ -153,9 +156,9 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    cut = F.aggregate(F.col("__pii"), start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(whole, acc["at"] + 1, F.length(whole))))
-    clean = F.when(F.size("__pii") > 0, cut).otherwise(whole).alias(text)
-    return find_pii(df, text, "__pii").select(*(clean if c == text else F.col(f"`{c}`") for c in df.columns))
+    cut = F.aggregate(F.col(found), start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(whole, acc["at"] + 1, F.length(whole))))
+    clean = F.when(F.size(found) > 0, cut).otherwise(whole).alias(text)
+    return find_pii(df, text, found).select(*(clean if c == text else F.col(f"`{c}`") for c in df.columns))
 
 
 def digest(df: DataFrame, key: str = "doc_id", pii: str = "pii") -> DataFrame:
