@@ -26,6 +26,9 @@ BINS = 64
 #: Rows handed on at once when rows carry whole frames.
 ROWS_OUT = 64
 
+#: Samples that a byte of codes stands for at most, about, and samples of a picture that may be blank whatever its bytes.
+MOST_SAMPLES, MOST_BLANK = 4096, 1 << 22
+
 TOP = 4096  # codes have 12 bits at most
 
 
@@ -201,6 +204,8 @@ def decode(data: bytes) -> Iterator[Frame]:
     if flags & 0x80:
         shared, at = _colours(data, at, flags)
     ground = shared[background] if flags & 0x80 else np.zeros(3, np.uint8)
+    if lines * columns > max(MOST_BLANK, MOST_SAMPLES * len(data)):
+        raise ValueError("the picture is larger than its bytes can fill")
     canvas = np.empty((lines, columns, 3), np.uint8)
     canvas[:] = ground
     number, clock = 0, 0
@@ -219,6 +224,8 @@ def decode(data: bytes) -> Iterator[Frame]:
         table = shared
         if flags & 0x80:
             table, at = _colours(data, at, flags)
+        if width * height > max(MOST_BLANK, MOST_SAMPLES * len(data)):
+            raise ValueError("the frame is larger than its bytes can fill")
         minimum = data[at]
         stream, at = _sub_blocks(data, at + 1)
         picture = np.frombuffer(lzw_decode(stream, minimum, width * height), np.uint8).reshape(height, width)
@@ -274,8 +281,8 @@ def frames(df: DataFrame, key: str, media: str = "gif") -> DataFrame:
         try:
             for f in decode(data):
                 yield f.number, f.start_ms, f.delay_ms, f.left, f.top, f.width, f.height, f.disposal, f.transparent, f.samples, f.canvas.tobytes(), f.histogram().tolist(), None
-        except (ValueError, IndexError, struct.error) as fault:
-            yield *[None] * 12, str(fault)
+        except (ValueError, IndexError, struct.error, MemoryError) as fault:
+            yield *[None] * 12, str(fault) or type(fault).__name__
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
