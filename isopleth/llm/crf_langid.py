@@ -12,14 +12,15 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_sample, resident
+from .common import resident, small
 
 #: Documents of each language that the model is fitted on, at most, in the order of a hash of doc_id.
 TRAIN_PER_LANG = 250
@@ -30,14 +31,18 @@ CACHE_WORDS = 500_000
 BATCH_CHARS = 2_000_000
 UNKNOWN = "und"
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+@cache
+def _letters() -> re.Pattern:
+    """Runs of letters: \\w without digits of any kind, fractions and numerals such as Roman ones."""
+    others = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha())
+    return re.compile(rf"[^\W_{others}]+")
 
 
 def sequences(text: str | None) -> list[list[str]]:
     """Lower-cased runs of letters, by line, at most SEGMENT in each."""
-    out = []
+    out, letters = [], _letters()
     for line in (text or "").lower().split("\n"):
-        words = _LETTERS.findall(line)
+        words = letters.findall(line)
         out.extend(words[i : i + SEGMENT] for i in range(0, len(words), SEGMENT))
     return out
 
@@ -142,20 +147,15 @@ def fit(texts: list[str], langs: list[str]) -> CrfModel:
 
 
 def training_rows(docs: DataFrame, known: DataFrame, per_lang: int = TRAIN_PER_LANG) -> DataFrame:
-    """(doc_id, text, lang) of at most `per_lang` rows of `known` (doc_id, lang) for each language, texts from `docs`.
+    """(doc_id, text, lang) of at most `per_lang` ids of `known` (doc_id, lang) for each language, texts from `docs`.
 
-    The languages are a small dimension and are listed on the driver; ids are ranked, then texts fetched.
+    Ids are ranked by a hash, each task keeping its first few of a language; then texts are fetched.
     """
     known = known.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang")
-    langs = sorted(r.lang for r in known.select("lang").distinct().collect())
-    if not langs:
-        return docs.select("doc_id", "text", "lang").limit(0)
-    chosen = None
-    for lang in langs:
-        some = bounded_sample(known.where(F.col("lang") == lang), "doc_id", per_lang)
-        chosen = some if chosen is None else chosen.unionByName(some)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    chosen = small(known.withColumn("place", place).where(F.col("place") <= per_lang).select("doc_id", "lang").distinct())
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    return texts.join(F.broadcast(chosen.distinct()), ["doc_id", "lang"]).select("doc_id", "text", "lang")
+    return texts.join(chosen, ["doc_id", "lang"]).select("doc_id", "text", "lang")
 
 
 def train(docs: DataFrame, known: DataFrame) -> CrfModel:
@@ -211,8 +211,9 @@ def _tagger(model: CrfModel) -> Tagger:
 def predict_language(df: DataFrame, model: CrfModel, text: str = "text") -> DataFrame:
     """`df` with lang_pred and score (mean posterior of that language) of every whole text.
 
-    Texts that are null or have no letters get `und` and 0. Rows and other columns stay; a column named
-    lang_pred or score must not be there. The model (4 MB for four languages) goes with the tasks.
+    Texts that are null or have no letters get `und` and 0, as all do if no language was learnt. Rows, repeated
+    ones too, and other columns stay; a column named lang_pred or score must not be there. Of languages that
+    tie the first by name is taken; an empty table gives no rows. The model (4 MB for four languages) goes with the tasks.
     """
     schema = T.StructType([*df.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
