@@ -140,7 +140,8 @@ def mixed_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, repeats:
     spaces, and its n_chars, if there is one, follows. Documents without words are never served. The sort is a
     range sort over all copies. An empty table gives no rows.
     """
-    whole = docs.select("doc_id", "source", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    others = [c for c in docs.columns if c not in ("doc_id", "source", "text")]
+    whole = docs.select("doc_id", "source", "text", (F.struct(*(F.col(f"`{c}`") for c in others)) if others else F.lit(None)).alias("row"))
     served = mix(whole, weights, repeats, extra=("text", "row"))
     per = served.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     words = F.greatest(F.lit(0), F.least(F.col("size"), F.col("taken") - F.col("copy") * F.col("size")))
@@ -149,5 +150,7 @@ def mixed_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, repeats:
     cut = F.col("words") < F.col("size")
     text = F.when(cut, F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0)), F.lit(1), F.col("words").cast("int")), " ")).otherwise(F.col("text"))
     ordered = per.withColumn("text", text).withColumn("finish", finish).repartitionByRange("finish", "doc_id", "copy").sortWithinPartitions("finish", "doc_id", "copy")
-    changed = {"text": F.col("text"), "n_chars": F.when(cut, F.length("text").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
-    return ordered.select(*(changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
+    told = {c: F.col(f"row.`{c}`") for c in others} | {c: F.col(c) for c in ("doc_id", "source", "text")}
+    if "n_chars" in told:
+        told["n_chars"] = F.when(cut, F.length("text").cast("long")).otherwise(told["n_chars"])
+    return ordered.select(*(told[c].alias(c) for c in docs.columns))
