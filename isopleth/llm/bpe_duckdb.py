@@ -2,7 +2,8 @@
 
 A text is cut into pieces by the tokenizer's pattern. The distinct pieces that a worker has not met are
 laid out as token-position rows; a recursive query joins neighbouring tokens to the merge table and
-contracts each piece's leftmost pair of least rank until no pair is left. Decoding joins token-position
+contracts each piece's leftmost pair of least rank until no pair is left; for long pieces another one contracts
+as many at once as one at a time would take in a row. Decoding joins token-position
 rows to the vocabulary and aggregates their bytes in order. Ranks and pattern are those of a public
 tokenizer; nothing is trained.
 """
@@ -11,7 +12,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -24,8 +25,10 @@ from .common import resident, with_field
 #: Pieces kept encoded in a worker; when there are more, the memory starts afresh.
 CACHE_PIECES = 400_000
 #: Bytes of new pieces in one recursive query, and characters of text handled at once.
-QUERY_BYTES, BATCH_CHARS = 150_000, 1_000_000
-#: One contraction a step is quadratic in a piece's length; longer pieces take the same contractions off a heap.
+QUERY_BYTES, BATCH_CHARS = 75_000, 400_000
+#: Rows of all steps of a query for long pieces.
+STATE_ROWS = 1_000_000
+#: One contraction a step is quadratic in a piece's bytes; longer pieces take several a step.
 LONG_PIECE = 400
 
 _ENCODE = """
@@ -43,6 +46,31 @@ last as (select w, max(step) as step from state group by w)
 select state.w, state.t from state join last using (w, step) order by state.w, state.p
 """
 
+# The same contractions, several a step. A piece's pairs of least rank are contracted from the left, those that
+# overlap ("aaa") every other one, up to the first that makes a pair of yet lower rank with a neighbour: until
+# then the least rank stays, so one at a time would take the same pairs in the same order.
+_ENCODE_LONG = """
+with recursive state(w, p, t, step) as (
+  select w, p, t, 0 from pieces
+  union all
+  (with placed as (
+     select w, p, t, lag(t) over o as prior, lead(t) over o as next_t, lead(p) over o as next_p, lead(t, 2) over o as beyond, row_number() over o as n
+     from state window o as (partition by w order by p)),
+   pairs as (select placed.*, m.id, min(m.id) over (partition by w) as least from placed left join merges m on m.l = placed.t and m.r = placed.next_t),
+   equal as (select *, n - row_number() over (partition by w order by n) as run from pairs where id = least),
+   apart as (select * from equal qualify row_number() over (partition by w, run order by n) % 2 = 1),
+   made as (select w, p, next_p, least, beyond, case when lag(n) over (partition by w order by n) = n - 2 then least else prior end as left_t from apart),
+   judged as (
+     select made.w, made.p, made.next_p, made.least, coalesce(x.id < made.least, false) or coalesce(y.id < made.least, false) as lower
+     from made left join merges x on x.l = made.left_t and x.r = made.least left join merges y on y.l = made.least and y.r = made.beyond),
+   taken as (select w, p, next_p, least from judged qualify coalesce(sum(lower::int) over (partition by w order by p rows between unbounded preceding and 1 preceding), 0) = 0)
+   select state.w, state.p, coalesce(a.least, state.t), state.step + 1
+   from state left join taken a on a.p = state.p left join taken b on b.next_p = state.p
+   where b.p is null and state.w in (select w from taken) and state.step < {steps})),
+last as (select w, max(step) as step from state group by w)
+select state.w, state.p, state.t, step from state join last using (w, step) order by state.w, state.p
+"""
+
 _DECODE = "select w, array_to_string(list(piece order by p), '') as s from tokens join vocab using (id) group by w order by w"
 
 
@@ -58,66 +86,55 @@ class DuckBpe:
         self.pattern = regex.compile(pattern)
         self.of_byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.pieces: dict[str, bytes] = {}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
         # a pair merges when its joined bytes are a token: every split of a token into two tokens
-        splits = [(a, b, i) for token, i in self.ranks.items() for k in range(1, len(token)) if (a := self.ranks.get(token[:k])) is not None and (b := self.ranks.get(token[k:])) is not None]
-        merges = pa.table(dict(zip("lri", (pa.array(x, pa.int32()) for x in zip(*splits)))))
+        splits = array("i")
+        for token, i in self.ranks.items():
+            for k in range(1, len(token)):
+                if (a := self.ranks.get(token[:k])) is not None and (b := self.ranks.get(token[k:])) is not None:
+                    splits.extend((a, b, i))
+        merges = pa.table(dict(zip("lri", np.frombuffer(splits, np.int32).reshape(-1, 3).T.copy())))
         vocab = pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "piece": [t.decode("latin-1") for t in self.ranks]})
         for name, rows in (("merges_in", merges), ("vocab_in", vocab)):
             self.db.register(name, rows)
         self.db.execute("create table merges as select l, r, i as id from merges_in")
         self.db.execute("create table vocab as select * from vocab_in")
 
-    def _contract(self, pieces: list[bytes]) -> list[bytes]:
+    def _contract(self, pieces: list[bytes], query: str) -> list[bytes]:
         """Token ids of each piece, as little-endian unsigned 32-bit integers."""
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
         tokens = self.of_byte[np.frombuffer(b"".join(pieces), np.uint8)]
-        rows = pa.table({"w": np.repeat(np.arange(len(pieces), dtype=np.int32), lengths), "p": np.arange(len(tokens), dtype=np.int32), "t": tokens})
-        self.db.register("pieces", rows)
-        found = self.db.execute(_ENCODE).fetchnumpy()
+        found = {"w": np.repeat(np.arange(len(pieces), dtype=np.int32), lengths), "p": np.arange(len(tokens), dtype=np.int32), "t": tokens}
+        while True:
+            # a query keeps the rows of all its steps, so a long one goes on where the last one stopped
+            steps = max(1, STATE_ROWS // max(1, len(found["w"])))
+            self.db.register("pieces", pa.table({c: found[c] for c in "wpt"}))
+            found = self.db.execute(query.format(steps=steps)).fetchnumpy()
+            if "step" not in found or found["step"].max(initial=0) < steps:
+                break
         ids, cuts = found["t"].astype("<u4").tobytes(), np.searchsorted(found["w"], np.arange(len(pieces) + 1)) * 4
         return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
-    def _contract_long(self, piece: bytes) -> bytes:
-        """The same contractions for one long piece, the next pair taken from a heap."""
-        parts: list[bytes | None] = [piece[i : i + 1] for i in range(len(piece))]
-        left, right = list(range(-1, len(parts) - 1)), [*range(1, len(parts)), -1]
-        rank = self.ranks.get
-        heap = [(r, i, parts[i] + parts[i + 1]) for i in range(len(parts) - 1) if (r := rank(parts[i] + parts[i + 1])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            _, i, joined = heapq.heappop(heap)
-            j = right[i]
-            if parts[i] is None or j < 0 or len(parts[i]) + len(parts[j]) != len(joined):
-                continue  # one of the two has been merged meanwhile
-            parts[i], parts[j], right[i] = joined, None, right[j]
-            if right[i] >= 0:
-                left[right[i]] = i
-            for a in (left[i], i):
-                if a >= 0 and right[a] >= 0 and (r := rank(pair := parts[a] + parts[right[a]])) is not None:
-                    heapq.heappush(heap, (r, a, pair))
-        return np.array([self.ranks[x] for x in parts if x is not None], "<u4").tobytes()
-
     def _learn(self, pieces: Iterable[str]) -> None:
-        todo: list[str] = []
+        short: list[str] = []
+        long: list[str] = []
         for piece in pieces:
             raw = piece.encode()
             whole = self.ranks.get(raw)
             if whole is not None:
                 self.pieces[piece] = whole.to_bytes(4, "little")
-            elif len(raw) > LONG_PIECE:
-                self.pieces[piece] = self._contract_long(raw)
             else:
-                todo.append(piece)
-        some: list[str] = []
-        size = 0
-        for piece in [*todo, None]:
-            if some and (piece is None or size > QUERY_BYTES):
-                self.pieces.update(zip(some, self._contract([x.encode() for x in some])))
-                some, size = [], 0
-            if piece is not None:
-                some.append(piece)
-                size += len(piece)
+                (long if len(raw) > LONG_PIECE else short).append(piece)
+        for todo, query in ((short, _ENCODE), (long, _ENCODE_LONG)):
+            some: list[str] = []
+            size = 0
+            for piece in [*todo, None]:
+                if some and (piece is None or size > QUERY_BYTES):
+                    self.pieces.update(zip(some, self._contract([x.encode() for x in some], query)))
+                    some, size = [], 0
+                if piece is not None:
+                    some.append(piece)
+                    size += len(piece)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers.
