@@ -36,6 +36,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def small(df: DataFrame, most: int = 20_000) -> DataFrame:
     """A checkpointed table, marked for broadcast only if it is counted and has no more than `most` rows."""
     kept = checkpoint(df)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, bpe_duckdb, crf_langid, link_graph, media_gif, mixing, pii, pivot_topk, substring_dedup, zstd_toxicity
+from . import ball_kmeans, bagminhash, bpe_duckdb, crf_langid, hard_negatives, link_graph, media_gif, metric_join, mixing, pii, pivot_topk, substring_dedup, zstd_toxicity
 from .common import crc_bucket, table
 
 
@@ -58,5 +58,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_bucket(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_ballkmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_kmeans.ball_kmeans(table(spark, sf_dir, "embeddings"))
+
+
+def op12_metricjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_join.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op13_hardnegatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec_id, label = F.col("vec_id"), F.col("label")
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label))
+    return hard_negatives.mine(rows, vec_id % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_gif": op1_gif, "op2_urls": op2_urls, "op3_bpe": op3_bpe, "op4_substrings": op4_substrings, "op5_topk": op5_topk, "op6_langid": op6_langid, "op7_bagminhash": op7_bagminhash, "op8_pii": op8_pii, "op9_mix": op9_mix, "op10_toxicity": op10_toxicity}
+    found = (op1_gif, op2_urls, op3_bpe, op4_substrings, op5_topk, op6_langid, op7_bagminhash, op8_pii, op9_mix, op10_toxicity, op11_ballkmeans, op12_metricjoin, op13_hardnegatives)
+    return {query.__name__: query for query in found}

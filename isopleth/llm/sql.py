@@ -90,5 +90,54 @@ from (select *, row_number() over (partition by rid order by score desc, vec_id)
 """
 
 
+_SOUND = "embedding is not null and not list_contains(list_transform(embedding, lambda x: coalesce(isfinite(x), false)), false)"
+
+
+def _assigned(turn: int) -> str:
+    """Each vector's nearest centroid of a round."""
+    square = "list_sum(list_transform(list_zip(k.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    return f"a{turn} as materialized (select rid, vec_id, v, near.c as c, near.d as d from (select k.rid, any_value(k.vec_id) as vec_id, any_value(k.v) as v, min({{'d': {square}, 'c': c.c}}) as near from k, c{turn} c group by k.rid))"
+
+
+def _moved(turn: int) -> str:
+    """The centroids of a round: floors of means, or the ones before."""
+    return f"""c{turn + 1} as materialized (
+  select o.c, coalesce(n.v, o.v) as v from c{turn} o left join (
+    select c, list((s - ((s % n) + n) % n) // n order by i) as v
+    from (select c, i, sum(x)::bigint as s, count(*) as n from (select c, unnest(v) as x, unnest(range(64)) as i from a{turn}) group by c, i) group by c) n using (c))"""
+
+
+KMEANS = f"""
+with k as materialized (select row_number() over () as rid, vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as v from embeddings where len(embedding) = 64 and {_SOUND}),
+c0 as materialized (
+  select (row_number() over (order by h, vec_id, v) - 1)::int as c, v from (select sha256('1:' || vec_id) as h, vec_id, v from k order by h, vec_id, v limit 16)),
+{", ".join(f"{_assigned(t)}, {_moved(t)}" for t in range(3))}, {_assigned(3)}
+select vec_id, c as cluster, d::bigint as distance, (sum(d) over (partition by c))::bigint as cluster_inertia, (sum(d) over ())::bigint as inertia, sha256(array_to_string(c3.v, ',')) as centroid_sha256
+from a3 join c3 using (c)
+"""
+
+METRIC_JOIN = f"""
+with recursive v as materialized (select row_number() over () as rid, vec_id, label, embedding::double[] as e, label is not null and vec_id is not null and {_SOUND} and list_max(list_transform(embedding, lambda x: abs(x))) > 0 as sound from embeddings),
+links as materialized (
+  select a.rid as a, b.rid as b, b.vec_id as other from v a join v b on a.label = b.label and a.rid <> b.rid and a.sound and b.sound and len(a.e) = len(b.e) and list_cosine_similarity(a.e, b.e) >= 0.98),
+reached(a, b) as (select rid, rid from v union select reached.a, links.b from reached join links on reached.b = links.a),
+parts as (select reached.a as rid, min(v.vec_id) as component_id from reached join v on v.rid = reached.b group by 1)
+select v.vec_id, (select count(*) from links where links.a = v.rid) as n_links, component_id, coalesce(v.vec_id = component_id, true) as kept from v join parts using (rid)
+"""
+
+HARD_NEGATIVES = f"""
+with v as materialized (
+  select row_number() over () as rid, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)::hugeint) as v
+  from embeddings where label is not null and vec_id is not null and {_SOUND}),
+s as materialized (
+  select a.rid, a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, coalesce(list_sum(list_transform(list_zip(a.v, b.v), lambda p: coalesce(p[1], 0) * coalesce(p[2], 0))), 0)::hugeint as score
+  from v a join v b on a.vec_id % 100 = 0 and a.rid <> b.rid),
+p as (select *, row_number() over (partition by rid order by score desc, vec_id) as slot from s where same qualify slot <= 5)
+select p.anchor_id, p.vec_id as positive_id, (row_number() over w)::int as rank, n.vec_id as negative_id, p.score::bigint as positive_score, n.score::bigint as negative_score
+from p join s n on p.rid = n.rid and not n.same and 80 * p.score <= 100 * n.score and 100 * n.score <= 100 * p.score
+window w as (partition by p.rid, p.slot order by n.score desc, n.vec_id) qualify rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_topk": TOP_K, "op8_pii": PII, "op9_mix": MIX}
+    return {"op5_topk": TOP_K, "op8_pii": PII, "op9_mix": MIX, "op11_ballkmeans": KMEANS, "op12_metricjoin": METRIC_JOIN, "op13_hardnegatives": HARD_NEGATIVES}

@@ -19,7 +19,7 @@ def connection(folder):
     return db
 
 
-@pytest.mark.parametrize("name", ["op5_topk", "op8_pii", "op9_mix"])
+@pytest.mark.parametrize("name", ["op5_topk", "op8_pii", "op9_mix", "op11_ballkmeans", "op12_metricjoin", "op13_hardnegatives"])
 def test_query_equals_sql(spark, name):
     got = entry.queries()[name](spark, SF)
     columns = sorted(got.columns)
@@ -31,7 +31,7 @@ def test_query_equals_sql(spark, name):
 
 def test_every_operator_is_registered():
     numbers = collections.Counter(n.split("_")[0] for n in entry.queries() if n.startswith("op"))
-    assert numbers == {f"op{i}": 1 for i in range(1, 11)} and "pipeline" in entry.queries()
+    assert numbers == {f"op{i}": 1 for i in range(1, 14)} and "pipeline" in entry.queries()
 
 
 def test_pipeline_stages(spark):
