@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.expr import ratio, round_to
-from .quantiles import exact_quantiles
+from ..sources.interim import settled
+from .quantiles import exact_quantiles, slice_of
 
 QUANTILES = {"median": 0.5, "p75": 0.75, "p90": 0.9, "p99": 0.99}
 #: Slices of a meter by which distances are counted before they are ordered.
 SLICES_PER_M = 64
+EVERYWHERE = "ALL"
 
 
 def weapon_class(weapon: Column, classes: Mapping[str, tuple[str, ...]]) -> Column:
@@ -39,30 +41,29 @@ def distance_events(raw: DataFrame, maps: tuple[str, ...] = C.MAPS, classes: Map
 def distance_profiles(events: DataFrame, least: int = C.MIN_WEAPON_EVENTS) -> DataFrame:
     """One row per scope (a map or ALL), class and weapon; a null weapon is the class as a whole and has no least count.
 
-    Percentiles are exact and taken from counts by distance, spread over tasks by slices of distance.
+    Percentiles are exact. The events are counted once, by map, class, weapon and slice of distance; scopes and
+    whole classes are sums of those counts, and a second reading takes up only the slices that hold a quantile.
     """
-    sets = [["map", "weapon_class", "killed_by"], ["weapon_class", "killed_by"], ["map", "weapon_class"], ["weapon_class"]]
-    keys = ["map", "weapon_class", "killed_by", "every_map", "whole_class"]
-    values = events.groupingSets([[F.col(c) for c in [*s, "distance_m"]] for s in sets], "map", "weapon_class", "killed_by", "distance_m").agg(
-        F.grouping("map").alias("every_map"),
-        F.grouping("killed_by").alias("whole_class"),
-        F.count("*").alias("n"),
+    sliced = settled(
+        events.groupBy("map", "weapon_class", "killed_by", slice_of(F.col("distance_m"), SLICES_PER_M).alias("slice")).agg(
+            F.count("*").alias("n"),
+            *(F.count_if(F.col("distance_m") >= d).alias(f"above_{d}") for d in (100, 300)),
+        )
     )
-    counted = values.groupBy(*keys).agg(
-        F.sum("n").alias("event_count"),
-        *(F.coalesce(F.sum(F.when(F.col("distance_m") >= d, F.col("n"))), F.lit(0)).alias(f"above_{d}") for d in (100, 300)),
-    )
-    levels = exact_quantiles(values, keys, "distance_m", list(QUANTILES.values()), SLICES_PER_M).select(*(F.col(c).alias(f"q_{c}") for c in keys), "q")
+    views = F.array(*(F.struct(scope.alias("scope"), weapon.alias("weapon")) for scope in (F.col("map"), F.lit(EVERYWHERE)) for weapon in (F.col("killed_by"), F.lit(None).cast("string"))))
+    keys = ["scope", "weapon_class", "weapon"]
+    viewed = sliced.select("weapon_class", "slice", "n", "above_100", "above_300", F.inline(views))
+    counted = viewed.groupBy(*keys).agg(F.sum("n").alias("event_count"), *(F.sum(c).alias(c) for c in ("above_100", "above_300")))
+    levels = exact_quantiles(events.select("weapon_class", "distance_m", F.inline(views)), viewed, keys, "distance_m", list(QUANTILES.values()), SLICES_PER_M).select(*(F.col(c).alias(f"q_{c}") for c in keys), "q")
     same = F.lit(True)
     for c in keys:
         same &= F.col(c).eqNullSafe(F.col(f"q_{c}"))
     found = counted.join(levels, same, "left")
-    # the rows of whole classes over all maps add up to all events
-    valid = events.agg(F.count("*").alias("valid_event_count"))
-    return found.where((F.col("whole_class") == 1) | (F.col("event_count") >= least)).crossJoin(F.broadcast(valid)).select(
-        F.when(F.col("every_map") == 1, "ALL").otherwise(F.col("map")).alias("scope"),
+    valid = sliced.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("valid_event_count"))
+    return found.where(F.col("weapon").isNull() | (F.col("event_count") >= least)).crossJoin(F.broadcast(valid)).select(
+        "scope",
         "weapon_class",
-        "killed_by",
+        F.col("weapon").alias("killed_by"),
         "event_count",
         *(round_to(F.col("q")[i], 1).alias(f"{name}_distance_m") for i, name in enumerate(QUANTILES)),
         *(round_to(ratio(f"above_{d}", "event_count") * 100, 2).alias(f"share_above_{d}m_pct") for d in (100, 300)),
@@ -79,7 +80,7 @@ def report_order(profiles: DataFrame) -> DataFrame:
 
 def distance_map_gaps(profiles: DataFrame, first: str = C.MAPS[0], second: str = C.MAPS[1]) -> DataFrame:
     """Weapons that have a profile over all and on both maps: events and medians on each, the gap and its size; the widest gap first."""
-    weapons = profiles.where("killed_by is not null")
+    weapons = settled(profiles).where("killed_by is not null")  # a row for each scope, class and weapon
 
     def of(scope: str, name: str) -> DataFrame:
         return weapons.where(F.col("scope") == scope).select("weapon_class", "killed_by", F.col("event_count").alias(f"{name}_event_count"), F.col("median_distance_m").alias(f"{name}_median_m"))
@@ -95,6 +96,7 @@ def distance_summary(profiles: DataFrame, first: str = C.MAPS[0], second: str =
     nearest and the farthest class and their spread, the middle class's weapons of least and greatest median, the weapon
     of the greatest. Equal medians go to the weapon first in the report. What a table lacks is null.
     """
+    profiles = settled(profiles)
     gaps = distance_map_gaps(profiles, first, second).agg(F.count("*").alias("map_comparison_count"), round_to(F.median("absolute_gap_m"), 1).alias("median_map_gap_m"))
     weapon, median = F.col("killed_by").isNotNull(), F.col("median_distance_m")
     place = F.array_position(F.array(*map(F.lit, C.CLASS_ORDER)), F.col("weapon_class"))

@@ -6,26 +6,54 @@ cell totals leave the aggregation, so every window below runs over cells, not ov
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.expr import cell, joined, lookup, ratio, round_to
+from ..sources.interim import settled
 
 GROUP = ("map", "killed_by")
+#: A table is broadcast only if it is counted and has no more rows.
+MOST_BROADCAST = 20_000
+
+
+def _same(a: str, b: str, keys: Sequence[str]) -> Column:
+    out = F.lit(True)
+    for k in keys:
+        out &= F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}"))
+    return out
+
+
+def _counted(placed: DataFrame, keys: Sequence[str], n: Column) -> DataFrame:
+    """Events, matches and dates of each cell. Distinct matches and dates are groups that are counted, so hot cells are summed up before they move."""
+    by_match = placed.groupBy(*keys, "match_id").agg(F.sum(n).alias("n")).groupBy(*keys).agg(F.sum("n").alias("death_count"), F.count("match_id").alias("match_count"))
+    by_date = placed.groupBy(*keys, "date").agg(F.count("*").alias("rows")).groupBy(*keys).agg(F.count("date").alias("date_count"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
+    both = by_match.alias("m").join(by_date.alias("d"), _same("m", "d", keys))
+    return both.select(*(F.col(f"m.{k}").alias(k) for k in keys), "death_count", "match_count", "date_count", "first_date", "last_date")
 
 
 def cell_counts(events: DataFrame, size_m: int) -> DataFrame:
-    """Events, matches and dates by cell. A cell's dates are few, so they are gathered; one distinct count needs no copies of the rows."""
+    """Events, matches and dates by cell."""
     size = size_m * C.CM_PER_M
     placed = events.select(*GROUP, "match_id", "date", cell("victim_position_x", size).alias("grid_x"), cell("victim_position_y", size).alias("grid_y"))
-    return placed.groupBy(*GROUP, "grid_x", "grid_y").agg(
-        F.count("*").alias("death_count"),
-        F.count_distinct("match_id").alias("match_count"),
-        F.size(F.collect_set("date")).cast("long").alias("date_count"),
-        F.min("date").alias("first_date"),
-        F.max("date").alias("last_date"),
-    )
+    return _counted(placed, [*GROUP, "grid_x", "grid_y"], F.lit(1))
+
+
+def cell_pyramid(events: DataFrame, sizes_m: Sequence[int] = (10, 100, 250, 500)) -> DataFrame:
+    """cell_counts of several sizes at once, told apart by grid_size_m, from one reading of the events.
+
+    The events are counted by match and date in cells of the sizes' greatest common divisor; the larger cells
+    are made of those.
+    """
+    unit = math.gcd(*sizes_m)
+    at = [cell(f"victim_position_{a}", unit * C.CM_PER_M).alias(f"unit_{a}") for a in "xy"]
+    units = events.select(*GROUP, "match_id", "date", *at).groupBy(*GROUP, "unit_x", "unit_y", "match_id", "date").agg(F.count("*").alias("n"))
+    levels = F.array(*(F.struct(F.lit(m).alias("grid_size_m"), *(F.floor(F.col(f"unit_{a}") / (m // unit)).cast("int").alias(f"grid_{a}") for a in "xy")) for m in sizes_m))
+    return _counted(units.select(*GROUP, "match_id", "date", "n", F.inline(levels)), [*GROUP, "grid_size_m", "grid_x", "grid_y"], F.col("n"))
 
 
 def _by_count() -> list[Column]:
@@ -38,24 +66,30 @@ def ranked_cells(events: DataFrame, size_m: int, rank: str) -> DataFrame:
     return cell_counts(events, size_m).select("*", F.sum("death_count").over(group).alias("cause_total"), F.row_number().over(group.orderBy(*_by_count())).alias(rank))
 
 
+def edges(axis: str, size_m: Column, extent_m: int = C.MAP_EXTENT_M) -> list[Column]:
+    """Both bounds of cells on an axis, in meters, clamped to the map."""
+    g = F.col(f"grid_{axis}")
+    return [(g * size_m).alias(f"grid_min_{axis}_m"), F.least((g + 1) * size_m, F.lit(extent_m)).alias(f"grid_max_{axis}_m")]
+
+
 def grid_metrics(events: DataFrame, size_m: int, top: int = 10, extent_m: int = C.MAP_EXTENT_M) -> DataFrame:
-    """Candidate cells: bounds clamped to the map, ratios, share of the group, dense rank by matches, dates, events up to `top`, ties kept."""
-    group = Window.partitionBy(*GROUP)
+    """Candidate cells of one size."""
+    return candidates(cell_counts(events, size_m), size_m, top, extent_m)
 
-    def edges(axis: str) -> list[Column]:
-        g = F.col(f"grid_{axis}")
-        return [(g * size_m).alias(f"grid_min_{axis}_m"), F.least((g + 1) * size_m, F.lit(extent_m)).alias(f"grid_max_{axis}_m")]
 
+def candidates(cells: DataFrame, size_m: int, top: int = 10, extent_m: int = C.MAP_EXTENT_M) -> DataFrame:
+    """The cells with bounds clamped to the map, ratios, share of the group, dense rank by matches, dates, events up to `top`, ties kept."""
+    group = Window.partitionBy(*GROUP)
     rank = F.dense_rank().over(group.orderBy(F.desc("match_count"), F.desc("date_count"), F.desc("death_count")))
     share = round_to(ratio("death_count", F.sum("death_count").over(group)) * 100, 4)
-    scored = cell_counts(events, size_m).withColumn("share", share).withColumn("rank", rank)
+    scored = cells.withColumn("share", share).withColumn("rank", rank)
     return scored.where(F.col("rank") <= top).select(
         *GROUP,
         F.lit(size_m).alias("grid_size_m"),
         "grid_x",
         "grid_y",
-        *edges("x"),
-        *edges("y"),
+        *edges("x", F.lit(size_m), extent_m),
+        *edges("y", F.lit(size_m), extent_m),
         "death_count",
         F.col("match_count").alias("distinct_match_count"),
         F.col("date_count").alias("distinct_date_count"),
@@ -76,10 +110,11 @@ def heatmap_cells(events: DataFrame, size_m: int = 100, top: int = 400) -> DataF
 def detail_cells(events: DataFrame, parent_m: int = 100, child_m: int = 10, top: int = 3) -> DataFrame:
     """Small cells inside the `top` parents of each group, ranked within their parent.
 
-    The parents are few by their rank, `top` for each group, so they are broadcast.
+    The parents are `top` for each group, and groups are maps times causes; they are found first.
     """
     parents = ranked_cells(events, parent_m, "parent_rank").where(F.col("parent_rank") <= top)
     parents = parents.select(*GROUP, "parent_rank", F.col("grid_x").alias("parent_grid_x"), F.col("grid_y").alias("parent_grid_y"), F.col("death_count").alias("parent_total"))
+    parents = settled(parents)
     large, small = parent_m * C.CM_PER_M, child_m * C.CM_PER_M
     placed = events.select(
         *GROUP, "match_id", "date",
@@ -87,7 +122,8 @@ def detail_cells(events: DataFrame, parent_m: int = 100, child_m: int = 10, top:
         cell("victim_position_x", small).alias("detail_grid_x"), cell("victim_position_y", small).alias("detail_grid_y"),
     )
     keys = [*GROUP, "parent_rank", "parent_grid_x", "parent_grid_y", "detail_grid_x", "detail_grid_y", "parent_total"]
-    counted = placed.join(F.broadcast(parents), [*GROUP, "parent_grid_x", "parent_grid_y"]).groupBy(*keys).agg(F.count("*").alias("death_count"), F.count_distinct("match_id").alias("match_count"), F.size(F.collect_set("date")).cast("long").alias("date_count"))
+    inside = placed.join(F.broadcast(parents) if parents.count() <= MOST_BROADCAST else parents, [*GROUP, "parent_grid_x", "parent_grid_y"])
+    counted = _counted(inside, keys, F.lit(1))
     order = Window.partitionBy(*GROUP, "parent_rank").orderBy(F.desc("death_count"), F.desc("match_count"), "detail_grid_x", "detail_grid_y")
     share = round_to(ratio("death_count", "parent_total") * 100, 4).alias("parent_share_pct")
     return counted.select(*keys[:5], F.lit(child_m).alias("grid_size_m"), *keys[5:7], "death_count", "match_count", "date_count", share, F.row_number().over(order).alias("detail_rank"))
@@ -105,7 +141,7 @@ def _labels(infix: str) -> list[Column]:
     return [code.alias("candidate_id"), lookup("map", C.MAP_NAMES).alias("map_name_ko"), lookup("killed_by", C.CAUSE_NAMES).alias("death_cause_ko"), _range_km().alias("coordinate_range_km")]
 
 
-def _counted(size: str) -> list[Column | str]:
+def _said(size: str) -> list[Column | str]:
     """The part of the summary sentence that both reports share; a fixed text."""
     return [
         F.col("map_name_ko"), " ", F.col("death_cause_ko"), size, F.col("hotspot_candidate_rank"), "순위 후보(", F.col("coordinate_range_km"), "): ",
@@ -124,33 +160,75 @@ def hotspot_report(grid: DataFrame) -> DataFrame:
     return labelled.select(
         "candidate_id", "map_name_ko", "death_cause_ko", "coordinate_range_km", "death_count", "distinct_match_count", "distinct_date_count",
         F.col("first_death_date").alias("observed_from"), F.col("last_death_date").alias("observed_to"), F.col("deaths_per_match").alias("deaths_per_affected_match"),
-        "death_share_pct", F.col("hotspot_candidate_rank").alias("candidate_rank"), joined(*_counted(" "), "100m 상세 분석 후보.").alias("report_summary"), *GROUP, "grid_x", "grid_y",
+        "death_share_pct", F.col("hotspot_candidate_rank").alias("candidate_rank"), joined(*_said(" "), "100m 상세 분석 후보.").alias("report_summary"), *GROUP, "grid_x", "grid_y",
     )
 
 
-def best_overlaps(fine: DataFrame, coarse: DataFrame) -> DataFrame:
-    """For each fine cell that overlaps coarse ones in more than an edge: the one with most area, then best rank, then place."""
-    f, c = fine.alias("f"), coarse.alias("c")
+def overlaps(fine: DataFrame, coarse: DataFrame, bin_m: int) -> DataFrame:
+    """(f, c, overlap_area_m2): every fine and coarse rectangle of one group that overlap in more than an edge, as structs of their columns.
+
+    Both are dealt to the square bins that they reach into, and meet by an equi-join on group and bin. A pair
+    that shares several bins counts in the one that holds the corner where its overlap begins. `bin_m` should be
+    about the larger rectangles' edge, so that each reaches into a few bins.
+    """
+
+    def dealt(rows: DataFrame, name: str) -> DataFrame:
+        def reach(axis: str) -> Column:
+            last = F.ceil(F.col(f"grid_max_{axis}_m") / bin_m) - 1
+            first = F.floor(F.col(f"grid_min_{axis}_m") / bin_m)
+            return F.sequence(first, F.greatest(first, last))
+
+        each = rows.select(*GROUP, F.struct(*rows.columns).alias(name), F.explode(reach("x")).alias("bin_x"), reach("y").alias("ys"))
+        return each.select(*GROUP, name, "bin_x", F.explode("ys").alias("bin_y"))
+
+    def begins(axis: str) -> Column:
+        return F.greatest(f"f.grid_min_{axis}_m", f"c.grid_min_{axis}_m")
 
     def extent(axis: str) -> Column:
-        return F.least(f"f.grid_max_{axis}_m", f"c.grid_max_{axis}_m") - F.greatest(f"f.grid_min_{axis}_m", f"c.grid_min_{axis}_m")
+        return F.least(f"f.grid_max_{axis}_m", f"c.grid_max_{axis}_m") - begins(axis)
+
+    met = dealt(fine, "f").join(dealt(coarse, "c"), [*GROUP, "bin_x", "bin_y"])
+    once = (F.floor(begins("x") / bin_m) == F.col("bin_x")) & (F.floor(begins("y") / bin_m) == F.col("bin_y"))
+    return met.where((extent("x") > 0) & (extent("y") > 0) & once).select("f", "c", (extent("x") * extent("y")).cast("double").alias("overlap_area_m2"))
 
-    same = [F.col(f"f.{g}") == F.col(f"c.{g}") for g in GROUP]
-    pairs = f.join(c, [*same, extent("x") > 0, extent("y") > 0]).select(
+
+def best_overlaps(fine: DataFrame, coarse: DataFrame, bin_m: int = 250) -> DataFrame:
+    """For each fine cell that overlaps coarse ones in more than an edge: the one with most area, then best rank, then place."""
+    pairs = overlaps(fine, coarse, bin_m).select(
         *(F.col(f"f.{g}").alias(g) for g in GROUP),
         F.col("f.grid_x").alias("grid_x"),
         F.col("f.grid_y").alias("grid_y"),
         F.col("c.grid_x").alias("grid_250_x"),
         F.col("c.grid_y").alias("grid_250_y"),
         F.col("c.hotspot_candidate_rank").alias("candidate_rank_250m"),
-        (extent("x") * extent("y")).cast("double").alias("overlap_area_m2"),
+        "overlap_area_m2",
     )
     order = Window.partitionBy(*GROUP, "grid_x", "grid_y").orderBy(F.desc("overlap_area_m2"), "candidate_rank_250m", "grid_250_x", "grid_250_y")
     return pairs.withColumn("place", F.row_number().over(order)).where("place = 1").drop("place")
 
 
+def cell_parents(cells: DataFrame, fine_m: int = 100, coarse_m: Sequence[int] = (250, 500)) -> DataFrame:
+    """For every fine cell of a pyramid and each coarse size: the coarse cells that it overlaps, the one with most area
+    (then most events, then place), the share of its own area there and of that cell's events.
+
+    Over all cells, not candidates only.
+    """
+    placed = cells.select("*", *(e for a in "xy" for e in edges(a, F.col("grid_size_m"))))
+    pairs = overlaps(placed.where(F.col("grid_size_m") == fine_m), placed.where(F.col("grid_size_m").isin(*coarse_m)), max(coarse_m))
+    best = F.min(F.struct((-F.col("overlap_area_m2")).alias("area"), (-F.col("c.death_count")).alias("deaths"), F.col("c.grid_x").alias("x"), F.col("c.grid_y").alias("y")))
+    keys = [F.col(f"f.{k}").alias(k) for k in (*GROUP, "grid_x", "grid_y")] + [F.col("c.grid_size_m").alias("parent_size_m")]
+    own = (F.col("f.grid_max_x_m") - F.col("f.grid_min_x_m")) * (F.col("f.grid_max_y_m") - F.col("f.grid_min_y_m"))
+    found = pairs.groupBy(*keys).agg(F.count("*").alias("overlapped"), F.sum("overlap_area_m2").alias("covered_m2"), best.alias("best"), F.first(own).alias("own_m2"), F.first("f.death_count").alias("death_count"))
+    return found.select(
+        *GROUP, "grid_x", "grid_y", "parent_size_m", "overlapped", F.col("best.x").alias("parent_x"), F.col("best.y").alias("parent_y"),
+        round_to(ratio(-F.col("best.area"), "own_m2") * 100, 2).alias("overlap_pct"), round_to(ratio("covered_m2", "own_m2") * 100, 2).alias("covered_pct"),
+        round_to(ratio("death_count", -F.col("best.deaths")) * 100, 2).alias("parent_death_share_pct"),
+    )
+
+
 def resolution_comparison(fine: DataFrame, coarse: DataFrame) -> DataFrame:
     """Fine candidates with their best coarse parent, overlap percentage, tier and sentence; none overlapped is a new candidate."""
+    fine = settled(fine)
     attached = fine.join(best_overlaps(fine, coarse), [*GROUP, "grid_x", "grid_y"], "left").select("*", *_labels("-100-G"))
     area = (F.col("grid_max_x_m") - F.col("grid_min_x_m")) * (F.col("grid_max_y_m") - F.col("grid_min_y_m"))
     rank = F.col("candidate_rank_250m")
@@ -161,7 +239,7 @@ def resolution_comparison(fine: DataFrame, coarse: DataFrame) -> DataFrame:
         F.col("candidate_id").alias("candidate_id_100m"), "map_name_ko", "death_cause_ko", F.col("coordinate_range_km").alias("coordinate_range_100m"), "death_count", "distinct_match_count", "distinct_date_count",
         F.col("first_death_date").alias("observed_from"), F.col("last_death_date").alias("observed_to"), F.col("deaths_per_match").alias("deaths_per_affected_match"), "death_share_pct",
         F.col("hotspot_candidate_rank").alias("candidate_rank_100m"), F.col("grid_x").alias("grid_x_100m"), F.col("grid_y").alias("grid_y_100m"), "grid_250_x", "grid_250_y", "candidate_rank_250m",
-        "overlap_with_250m_pct", "resolution_status", joined(*_counted(" 100m "), ending).alias("report_summary"), *GROUP,
+        "overlap_with_250m_pct", "resolution_status", joined(*_said(" 100m "), ending).alias("report_summary"), *GROUP,
     )
 
 
@@ -195,11 +273,12 @@ def candidate_lift(events: DataFrame, raw: DataFrame, focus_map: str, focus_caus
         F.count_if(ring).alias("ring_all"),
         F.count_if(ring & caused).alias("ring_cause"),
     )
-    small = child_m * C.CM_PER_M
-    detail = events.where(within(0) & caused).groupBy(cell("victim_position_x", small).alias("x"), cell("victim_position_y", small).alias("y")).count()
-    top = detail.orderBy(F.desc("count"), "x", "y").limit(3).agg(F.max("count").alias("top_one"), F.sum("count").alias("top_three"))
-    total = events.agg(F.count("*").alias("final_analysis_rows"))
-    both = focus.crossJoin(F.broadcast(around)).crossJoin(F.broadcast(top)).crossJoin(F.broadcast(total))
+    # one pass over the events counts all of them and those of the focus by its detail cells, (size_m / child_m) ** 2 at most
+    at_detail = F.when(within(0) & caused, F.struct(*(cell(f"victim_position_{a}", child_m * C.CM_PER_M).alias(a) for a in "xy")))
+    counts = events.groupBy(at_detail.alias("detail")).agg(F.count("*").alias("n"))
+    ordered = F.sort_array(F.collect_list(F.when(F.col("detail").isNotNull(), F.col("n"))), asc=False)
+    clean = counts.agg(F.sum("n").alias("final_analysis_rows"), ordered.alias("n")).select("final_analysis_rows", F.get("n", F.lit(0)).alias("top_one"), F.aggregate(F.slice("n", 1, 3), F.lit(0).cast("long"), lambda a, b: a + b).alias("top_three"))
+    both = focus.crossJoin(F.broadcast(around)).crossJoin(F.broadcast(clean))
     return both.select(
         *GROUP, "count_rank", "grid_x", "grid_y", "death_count", "match_count", "date_count", "raw_input_rows", "raw_environmental_rows", "final_analysis_rows",
         F.col("cell_all").alias("cell_all_death_count"),

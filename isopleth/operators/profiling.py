@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.expr import blank_to_null, is_finite, outside, ratio
-from .quantiles import exact_quantiles
+from ..sources.interim import settled
+from .quantiles import exact_quantiles, slice_of
 
 MISSING = "<NULL_OR_BLANK>"
 #: What tells an event apart, as its row may stand in several exports.
@@ -177,8 +178,8 @@ def sentinel_times(profiled: DataFrame, cause: str, early: tuple[int, int] = (12
     timed = profiled.where(F.col("killed_by") == cause).select(group.alias("position_group"), F.col("time").cast("double").alias("time"))
     early_rows = F.count_if((time >= early[0]) & (time < early[1])).alias("early_rows")
     sums = timed.groupBy("position_group").agg(F.count("*").alias("row_count"), F.min("time").alias("min_time"), F.max("time").alias("max_time"), F.avg("time").alias("avg_time"), early_rows)
-    counted = timed.groupBy("position_group", "time").agg(F.count("*").alias("n"))
-    found = sums.join(exact_quantiles(counted, ["position_group"], "time", list(points.values()), 1), "position_group", "left")
+    sliced = timed.groupBy("position_group", slice_of(time, 1).alias("slice")).agg(F.count("*").alias("n"))
+    found = sums.join(exact_quantiles(timed, sliced, ["position_group"], "time", list(points.values()), 1), "position_group", "left")
     return found.select("position_group", "row_count", "min_time", *(F.col("q")[i].alias(f"{n}_time") for i, n in enumerate(points)), "max_time", "avg_time", "early_rows")
 
 
@@ -199,13 +200,36 @@ def _sum(column: Column) -> Column:
     return F.coalesce(F.sum(column), F.lit(0))
 
 
-def _files(file: str | None) -> Column:
-    return F.count_distinct(file) if file else F.lit(1)
+#: Bits of the filter of repeated fingerprints; in words of 64 it has 2 million rows at most.
+FILTER_BITS = 1 << 27
+
+
+def _repeated(rows: DataFrame, key: Column) -> DataFrame:
+    """Those of `rows` whose `key`, a fingerprint of 64 bits, occurs more than once, and a few others.
+
+    Only fingerprints move: their counts are taken first, and the repeated ones go into a filter of FILTER_BITS,
+    which is bounded and so is broadcast. Rows whose bit is set remain; whoever groups them by what the
+    fingerprint stands for tells true copies from rows that share a bit or a fingerprint.
+    """
+    bit = F.pmod("fingerprint", F.lit(FILTER_BITS))
+    repeated = rows.select(key.alias("fingerprint")).groupBy("fingerprint").count().where("count > 1")
+    words = repeated.select(F.expr(f"pmod(fingerprint, {FILTER_BITS}) div 64").alias("word"), F.pmod(bit, F.lit(64)).cast("int").alias("place"))
+    filled = settled(words.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("set_bits")))  # written out first: a broadcast waits for a limited time
+    marked = rows.withColumn("fingerprint", key).withColumn("word", F.expr(f"pmod(fingerprint, {FILTER_BITS}) div 64"))
+    return marked.join(F.broadcast(filled), "word").where(F.getbit("set_bits", F.pmod(bit, F.lit(64)).cast("int")) == 1).select(rows.columns)
+
+
+def _across(low: str, high: str) -> Column:
+    """1 if the least and the greatest file are one, else 2: that is all that is asked."""
+    return F.when(F.col(low) < F.col(high), 2).otherwise(1).alias("files")
 
 
 def _copies(raw: DataFrame, columns: Sequence[str], file: str | None) -> DataFrame:
-    """Groups of equal rows, by the columns themselves, not by a hash, so only true copies count."""
-    return raw.groupBy(*columns).agg(F.count("*").alias("n"), _files(file).alias("files")).where("n > 1")
+    """Groups of equal rows, by the columns themselves, so only true copies count; a fingerprint has ruled out most others before."""
+    of = F.col(file) if file else F.lit("")
+    once = _repeated(raw.select(*columns, *([file] if file else [])), F.xxhash64(*columns))
+    groups = once.groupBy(*columns).agg(F.count("*").alias("n"), F.min(of).alias("low"), F.max(of).alias("high")).where("n > 1")
+    return groups.select(*columns, "n", _across("low", "high"))
 
 
 def _sizes(groups: str, rows: str, most: str) -> list[Column]:
@@ -233,13 +257,11 @@ def _event_key() -> dict[str, Column]:
 def _candidates(raw: DataFrame, columns: Sequence[str], file: str | None) -> DataFrame:
     """Whole event keys that occur more than once: rows, variants (distinct rows, untrimmed) and files."""
     keys = [f"{name}_key" for name in EVENT_KEY]
-    keyed = raw.select(*columns, *([file] if file else []), *(part.alias(f"{name}_key") for name, part in _event_key().items()))
-    for key in keys:
-        keyed = keyed.where(F.col(key).isNotNull())
-    rows = keyed.groupBy(*keys, *columns).agg(F.count("*").alias("rows"), *([F.collect_set(file).alias("of")] if file else []))
-    # one variant's set of files, and a key's list of such sets, hold no more than the files and variants of one event
-    files = F.size(F.array_distinct(F.flatten(F.collect_list("of")))) if file else F.lit(1)
-    return rows.groupBy(*keys).agg(F.sum("rows").alias("n"), F.count("*").alias("variants"), files.alias("files")).where("n > 1")
+    of = F.col(file) if file else F.lit("")
+    keyed = raw.select(*columns, *([file] if file else []), *(part.alias(f"{name}_key") for name, part in _event_key().items())).dropna("any", subset=keys)
+    rows = _repeated(keyed, F.xxhash64(*keys)).groupBy(*keys, *columns).agg(F.count("*").alias("rows"), F.min(of).alias("low"), F.max(of).alias("high"))
+    found = rows.groupBy(*keys).agg(F.sum("rows").alias("n"), F.count("*").alias("variants"), F.min("low").alias("low"), F.max("high").alias("high"))
+    return found.where("n > 1").select(*keys, "n", "variants", _across("low", "high"))
 
 
 def _variants() -> list[Column]:

@@ -8,17 +8,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def exact_quantiles(values: DataFrame, keys: Sequence[str], value: str, points: Sequence[float], per_unit: int) -> DataFrame:
-    """`keys` and q, the exact quantiles at `points` of `values` (keys, value, n), interpolated as Spark's percentile does.
+def slice_of(value: Column, per_unit: int) -> Column:
+    """The narrow slice of values, `per_unit` to a unit, that a value lies in."""
+    return F.floor(value * per_unit)
 
-    Counts of narrow slices, `per_unit` to a unit of the value, tell which slices hold the two neighbouring
-    ranks of each quantile; only the values of those are ordered, slice by slice, so no task holds the values
-    of a group.
+
+def exact_quantiles(values: DataFrame, slices: DataFrame, keys: Sequence[str], value: str, points: Sequence[float], per_unit: int) -> DataFrame:
+    """`keys` and q, the exact quantiles at `points` of `values` (keys, value), interpolated as Spark's percentile does.
+
+    `slices` (keys, slice, n) holds the number of values in each slice. These counts tell which slices hold the
+    two neighbouring ranks of each quantile; only the values there are counted and ordered, slice by slice, so
+    `values` is read once and no task holds the values of a group. Groups must be few: at most two slices for
+    each quantile of a group are broadcast.
     """
-    known = values.where(F.col(value).isNotNull()).withColumn("slice", F.floor(F.col(value) * per_unit))
     whole = Window.partitionBy(*keys)
     before = Window.unboundedPreceding, -1
-    slices = known.groupBy(*keys, "slice").agg(F.sum("n").alias("in_slice")).select(
+    summed = slices.groupBy(*keys, "slice").agg(F.sum("n").alias("in_slice")).where(F.col("slice").isNotNull()).select(
         "*",
         F.coalesce(F.sum("in_slice").over(whole.orderBy("slice").rowsBetween(*before)), F.lit(0)).alias("ahead"),
         F.sum("in_slice").over(whole).alias("total"),
@@ -30,13 +35,14 @@ def exact_quantiles(values: DataFrame, keys: Sequence[str], value: str, points:
         return lambda rank: (rank >= first) & (rank < first + n)
 
     sliced = holds(F.col("ahead"), F.col("in_slice"))
-    # at most two slices for each quantile of a group, and groups are few
-    chosen = slices.where(F.exists(F.array(*(r for pair in ranks for r in pair)), sliced)).select(*(F.col(c).alias(f"in_{c}") for c in [*keys, "slice"]), "ahead", "total")
+    chosen = summed.where(F.exists(F.array(*(r for pair in ranks for r in pair)), sliced)).select(*(F.col(c).alias(f"in_{c}") for c in [*keys, "slice"]), "ahead", "total")
     same = F.lit(True)
     for c in [*keys, "slice"]:
         same &= F.col(c).eqNullSafe(F.col(f"in_{c}"))
+    known = values.where(F.col(value).isNotNull()).withColumn("slice", slice_of(F.col(value), per_unit)).join(F.broadcast(chosen), same)
+    counted = known.groupBy(*keys, "slice", value, "ahead", "total").agg(F.count("*").alias("n"))
     inside = Window.partitionBy(*keys, "slice").orderBy(value).rowsBetween(*before)
-    placed = known.join(F.broadcast(chosen), same).withColumn("first", F.col("ahead") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    placed = counted.withColumn("first", F.col("ahead") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
     here = holds(F.col("first"), F.col("n"))
     ends = [F.max(F.when(here(r), F.col(value))).alias(f"{side}_{i}") for i, pair in enumerate(ranks) for side, r in zip(("low", "high"), pair)]
     found = placed.groupBy(*keys).agg(F.first("total").alias("total"), *ends)

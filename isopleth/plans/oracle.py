@@ -53,6 +53,13 @@ select concat(map, '-', killed_by, '-100-G', grid_x, '-', grid_y) as candidate_i
   concat(map, ' ', killed_by, ' 100m ', hotspot_candidate_rank, '순위 후보(', {_KM}, '): ', {_SAID}, case when cr is null then '250m 상위 10순위와 겹치지 않는 신규 후보.' else concat('250m ', cr, '순위 후보와 ', pct, '% 겹침.') end) as report_summary,
   map, killed_by from j"""
 
+PARENTS = f"""with {_E}, k as ({" union all ".join(f"select {m} as size, map, killed_by, grid_x as x, grid_y as y, n, grid_x * {m} as x0, least((grid_x + 1) * {m}, 8160) as x1, grid_y * {m} as y0, least((grid_y + 1) * {m}, 8160) as y1 from ({_cells(m)})" for m in (100, 250, 500))}),
+o as (
+  select f.map, f.killed_by, f.x as grid_x, f.y as grid_y, f.n as fn, (f.x1 - f.x0) * (f.y1 - f.y0) as own, c.size as parent_size_m, c.x as parent_x, c.y as parent_y, c.n as cn, ((least(f.x1, c.x1) - greatest(f.x0, c.x0)) * (least(f.y1, c.y1) - greatest(f.y0, c.y0)))::double as area
+  from k f join k c on f.size = 100 and c.size > 100 and f.map = c.map and f.killed_by = c.killed_by and f.x0 < c.x1 and f.x1 > c.x0 and f.y0 < c.y1 and f.y1 > c.y0)
+select map, killed_by, grid_x, grid_y, parent_size_m, count(*) over w as overlapped, parent_x, parent_y, round(area / own * 100, 2) as overlap_pct, round(sum(area) over w / own * 100, 2) as covered_pct, round(fn::double / cn * 100, 2) as parent_death_share_pct
+from o window w as (partition by map, killed_by, grid_x, grid_y, parent_size_m) qualify row_number() over (partition by map, killed_by, grid_x, grid_y, parent_size_m order by area desc, cn desc, parent_x, parent_y) = 1"""
+
 LIFT = f"""with {_E}, k as (select * from ({_ranked(100, 'count_rank')}) where map = '{FOCUS_MAP}' and killed_by = '{FOCUS_CAUSE}' and count_rank = 2),
 p as (select e.*, floor(victim_position_x / 10000) - k.grid_x as dx, floor(victim_position_y / 10000) - k.grid_y as dy, e.killed_by = k.killed_by as same, e.map = k.map as here from e, k),
 r as (select count(*) as all_rows, count(*) filter (killed_by in ('F', 'O')) as causes, count(*) filter (here and dx = 0 and dy = 0) as cell_n, count(*) filter (here and dx = 0 and dy = 0 and same) as cell_c,
@@ -212,6 +219,7 @@ _MEMBERS = [(c, f, m) for c, m in (("damage_type", "damageTypeCategory"), ("dama
 
 #: Columns that the registered queries return as text.
 _TEXT = {name: ("first_death_date", "last_death_date") for name in ("grid_250", "grid_100")} | {
+    "grid_pyramid": ("first_date", "last_date"),
     "hotspot_report": ("observed_from", "observed_to"),
     "resolution_comparison": ("observed_from", "observed_to"),
     "match_date_quality": ("match_date",),
@@ -236,6 +244,8 @@ def _oracle_sql() -> dict[str, str]:
         "hotspot_report": REPORT,
         "report_extras": f"with {_E}, g as ({_grid(100)}) select map, killed_by, grid_x, grid_y, round(distinct_match_count::double / death_count, 4) as repeat_rate, least(grid_min_x_m, 8192) as pixel_x, least(grid_min_y_m, 8192) as pixel_y from g",
         "resolution_comparison": COMPARISON,
+        "grid_pyramid": f"with {_E} " + " union all ".join(f"select map, killed_by, {m} as grid_size_m, grid_x, grid_y, n as death_count, m as match_count, t as date_count, t0 as first_date, t1 as last_date from ({_cells(m)})" for m in (10, 100, 250, 500)),
+        "cell_parents": PARENTS,
         "candidate_lift": LIFT,
         "distance_profiles": f"with {_PROFILES} select * from f",
         "distance_map_gap": f"with {_PROFILES} {_GAPS}",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import clean, distance, grid, profiling, quality, telemetry
 from ..schemas import DEATHS
+from ..sources.interim import settled
 from . import standins as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +65,11 @@ def _profiles(raw: DataFrame) -> DataFrame:
     return distance.distance_profiles(distance.distance_events(tidy), MIN_WEAPON_EVENTS)
 
 
+def _resolutions(events: DataFrame) -> DataFrame:
+    cells = settled(grid.cell_pyramid(events, (100, 250)))
+    return grid.resolution_comparison(*(grid.candidates(cells.where(F.col("grid_size_m") == m), m) for m in (100, 250)))
+
+
 def _linked(raw: DataFrame, aggregate: DataFrame) -> DataFrame:
     valid = clean.classify_events(raw).where("quality_status = 'quality_valid'")
     return clean.link_dates(valid, clean.match_dates(aggregate))
@@ -91,7 +97,9 @@ def _queries() -> dict[str, Query]:
         "detail_cells": _events(grid.detail_cells),
         "hotspot_report": _events(lambda e: grid.hotspot_report(grid.grid_metrics(e, 250))),
         "report_extras": _events(lambda e: grid.with_report_extras(grid.grid_metrics(e, 100)).select(*grid.GROUP, "grid_x", "grid_y", "repeat_rate", "pixel_x", "pixel_y")),
-        "resolution_comparison": _events(lambda e: grid.resolution_comparison(grid.grid_metrics(e, 100), grid.grid_metrics(e, 250))),
+        "resolution_comparison": _events(_resolutions),
+        "grid_pyramid": _events(grid.cell_pyramid),
+        "cell_parents": _events(lambda e: grid.cell_parents(settled(grid.cell_pyramid(e, (100, 250, 500))))),
         "candidate_lift": _events(lambda e: grid.candidate_lift(e, e, FOCUS_MAP, FOCUS_CAUSE, 2, (FOCUS_CAUSE, "O"))),
         "distance_profiles": _deaths(lambda raw: distance.report_order(_profiles(raw))),
         "distance_map_gap": _deaths(lambda raw: distance.distance_map_gaps(_profiles(raw))),

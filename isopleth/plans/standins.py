@@ -45,7 +45,7 @@ from (select d.*, 'a.csv' as source_file from ({_DEATH}) d union all select d.*,
 #: Players' results, some without a match or a name, some twice.
 PLAYERS = """
 select case when l_suppkey % 37 = 0 then null else cast(l_orderkey as string) end as match_id, case when l_partkey % 29 = 0 then null else concat('k', cast(l_linenumber % 3 as string)) end as player_name,
-       cast(l_quantity as bigint) as player_kills, cast(l_extendedprice as bigint) as player_dmg
+       cast(l_quantity as bigint) as player_kills, cast(floor(l_extendedprice) as bigint) as player_dmg
 from lineitem"""
 
 #: Match dates with unparseable, missing, repeated and conflicting ones; every fifth match is one without deaths.

@@ -1,4 +1,4 @@
-"""Every registered event query against its DuckDB SQL on the smallest tables."""
+"""Every registered event query against its DuckDB SQL on the smallest tables, or on those that ISOPLETH_SF_DIR names."""
 
 import os
 
@@ -7,7 +7,7 @@ import pytest
 
 from isopleth.plans import oracle, queries
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("ISOPLETH_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="module")
