@@ -19,23 +19,21 @@ EVERYWHERE = "ALL"
 
 
 def weapon_class(weapon: Column, classes: Mapping[str, tuple[str, ...]]) -> Column:
-    out = F.lit(None).cast("string")
-    for name, weapons in classes.items():
-        out = F.when(weapon.isin(*weapons), name).otherwise(out)
-    return out
+    """Class of a weapon, null if it is in none."""
+    return F.element_at(F.create_map(*(F.lit(x) for name, weapons in classes.items() for w in weapons for x in (w, name))), weapon)
 
 
 def distance_events(raw: DataFrame, maps: tuple[str, ...] = C.MAPS, classes: Mapping[str, tuple[str, ...]] = C.WEAPON_CLASSES, most_m: float = C.DISTANCE_MAX_M) -> DataFrame:
     """(map, weapon_class, killed_by, distance_m) of killings between two located, different, named actors with a known weapon."""
     places = [f"{who}_position_{axis}" for who in ("killer", "victim") for axis in "xy"]
-    kept = F.col("map").isin(*maps) & (F.col("killer_name") != F.col("victim_name"))
+    kept = F.col("map").isin(*maps) & F.col("killed_by").isin(*(w for weapons in classes.values() for w in weapons)) & (F.col("killer_name") != F.col("victim_name"))
     for place in places:
         kept &= F.col(place).between(C.COORD_MIN, C.COORD_MAX)
     for who in ("killer", "victim"):
         kept &= ~((F.col(f"{who}_position_x") == 0) & (F.col(f"{who}_position_y") == 0))
-    apart = F.sqrt(sum((F.pow(F.col(f"killer_position_{a}") - F.col(f"victim_position_{a}"), 2) for a in "y"), F.pow(F.col("killer_position_x") - F.col("victim_position_x"), 2))) / float(C.CM_PER_M)
-    named = raw.where(kept).select("map", weapon_class(F.col("killed_by"), classes).alias("weapon_class"), "killed_by", apart.alias("distance_m"))
-    return named.where(F.col("weapon_class").isNotNull() & F.col("distance_m").between(0, most_m))
+    apart = [F.col(f"killer_position_{a}") - F.col(f"victim_position_{a}") for a in "xy"]
+    placed = raw.where(kept).select("map", "killed_by", (F.sqrt(apart[0] * apart[0] + apart[1] * apart[1]) / float(C.CM_PER_M)).alias("distance_m"))
+    return placed.where(F.col("distance_m").between(0, most_m)).select("map", weapon_class(F.col("killed_by"), classes).alias("weapon_class"), "killed_by", "distance_m")
 
 
 def distance_profiles(events: DataFrame, least: int = C.MIN_WEAPON_EVENTS) -> DataFrame:
@@ -54,7 +52,12 @@ def distance_profiles(events: DataFrame, least: int = C.MIN_WEAPON_EVENTS) -> Da
     keys = ["scope", "weapon_class", "weapon"]
     viewed = sliced.select("weapon_class", "slice", "n", "above_100", "above_300", F.inline(views))
     counted = viewed.groupBy(*keys).agg(F.sum("n").alias("event_count"), *(F.sum(c).alias(c) for c in ("above_100", "above_300")))
-    levels = exact_quantiles(events.select("weapon_class", "distance_m", F.inline(views)), viewed, keys, "distance_m", list(QUANTILES.values()), SLICES_PER_M).select(*(F.col(c).alias(f"q_{c}") for c in keys), "q")
+    belongs = {
+        "scope": (F.col("of_scope") == EVERYWHERE) | (F.col("of_scope") == F.col("map")),
+        "weapon_class": F.col("of_weapon_class") == F.col("weapon_class"),
+        "weapon": F.col("of_weapon").isNull() | (F.col("of_weapon") == F.col("killed_by")),
+    }
+    levels = exact_quantiles(events, viewed, keys, "distance_m", list(QUANTILES.values()), SLICES_PER_M, belongs.get).select(*(F.col(c).alias(f"q_{c}") for c in keys), "q")
     same = F.lit(True)
     for c in keys:
         same &= F.col(c).eqNullSafe(F.col(f"q_{c}"))

@@ -228,7 +228,6 @@ def cell_parents(cells: DataFrame, fine_m: int = 100, coarse_m: Sequence[int] =
 
 def resolution_comparison(fine: DataFrame, coarse: DataFrame) -> DataFrame:
     """Fine candidates with their best coarse parent, overlap percentage, tier and sentence; none overlapped is a new candidate."""
-    fine = settled(fine)
     attached = fine.join(best_overlaps(fine, coarse), [*GROUP, "grid_x", "grid_y"], "left").select("*", *_labels("-100-G"))
     area = (F.col("grid_max_x_m") - F.col("grid_min_x_m")) * (F.col("grid_max_y_m") - F.col("grid_min_y_m"))
     rank = F.col("candidate_rank_250m")

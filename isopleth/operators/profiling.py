@@ -200,36 +200,43 @@ def _sum(column: Column) -> Column:
     return F.coalesce(F.sum(column), F.lit(0))
 
 
-#: Bits of the filter of repeated fingerprints; in words of 64 it has 2 million rows at most.
-FILTER_BITS = 1 << 27
+#: The filter of repeated fingerprints has 2 ** FILTER_LOG bits, in words of 64: 2 million rows at most.
+FILTER_LOG = 27
 
 
-def _repeated(rows: DataFrame, key: Column) -> DataFrame:
-    """Those of `rows` whose `key`, a fingerprint of 64 bits, occurs more than once, and a few others.
+def _repeated(rows: DataFrame, key: Column, whole: Column | None = None) -> DataFrame:
+    """Those of `rows` whose `key`, a fingerprint of 64 bits, occurs more than once, and a few others; of rows that are not `whole` hardly any.
 
-    Only fingerprints move: their counts are taken first, and the repeated ones go into a filter of FILTER_BITS,
-    which is bounded and so is broadcast. Rows whose bit is set remain; whoever groups them by what the
-    fingerprint stands for tells true copies from rows that share a bit or a fingerprint.
+    Only fingerprints move: their counts are taken first, and the repeated ones go into a filter of bits, which
+    is bounded and so is broadcast. Rows whose bit is set remain; whoever groups them by what the fingerprint
+    stands for tells true copies from rows that share a bit or a fingerprint.
     """
-    bit = F.pmod("fingerprint", F.lit(FILTER_BITS))
-    repeated = rows.select(key.alias("fingerprint")).groupBy("fingerprint").count().where("count > 1")
-    words = repeated.select(F.expr(f"pmod(fingerprint, {FILTER_BITS}) div 64").alias("word"), F.pmod(bit, F.lit(64)).cast("int").alias("place"))
-    filled = settled(words.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("set_bits")))  # written out first: a broadcast waits for a limited time
-    marked = rows.withColumn("fingerprint", key).withColumn("word", F.expr(f"pmod(fingerprint, {FILTER_BITS}) div 64"))
-    return marked.join(F.broadcast(filled), "word").where(F.getbit("set_bits", F.pmod(bit, F.lit(64)).cast("int")) == 1).select(rows.columns)
+    # rows that are not whole share a mark of their own; a fingerprint is never null, as tests for null would each repeat its whole expression
+    marked = rows.withColumn("fingerprint", F.when(whole, key).otherwise(F.lit(0).cast("long")) if whole is not None else key)
+    word = F.shiftrightunsigned("fingerprint", 64 - FILTER_LOG + 6)
+    place = F.shiftrightunsigned("fingerprint", 64 - FILTER_LOG).bitwiseAND(63).cast("int")
+    counts = marked.groupBy("fingerprint").agg(F.count("*").alias("n"), F.max("fingerprint").alias("same"))
+    repeated = counts.where("n > 1" + (" and same <> 0" if whole is not None else ""))
+    words = repeated.select(word.alias("word"), place.alias("place")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("set_bits"))
+    filled = settled(words)  # written out first: a broadcast waits for a limited time
+    return marked.withColumn("word", word).join(F.broadcast(filled), "word").where(F.getbit("set_bits", place) == 1).select(rows.columns)
 
 
-def _across(low: str, high: str) -> Column:
-    """1 if the least and the greatest file are one, else 2: that is all that is asked."""
-    return F.when(F.col(low) < F.col(high), 2).otherwise(1).alias("files")
+def _file_marks(file: str | None) -> list[Column]:
+    """Least and greatest file of a group, by their digests, as numbers sum up without sorting; that they differ is all that is asked."""
+    mark = F.xxhash64(file) if file else F.lit(0).cast("long")
+    return [F.min(mark).alias("low"), F.max(mark).alias("high")]
+
+
+def _across() -> Column:
+    return F.when(F.col("low") < F.col("high"), 2).otherwise(1).alias("files")
 
 
 def _copies(raw: DataFrame, columns: Sequence[str], file: str | None) -> DataFrame:
     """Groups of equal rows, by the columns themselves, so only true copies count; a fingerprint has ruled out most others before."""
-    of = F.col(file) if file else F.lit("")
     once = _repeated(raw.select(*columns, *([file] if file else [])), F.xxhash64(*columns))
-    groups = once.groupBy(*columns).agg(F.count("*").alias("n"), F.min(of).alias("low"), F.max(of).alias("high")).where("n > 1")
-    return groups.select(*columns, "n", _across("low", "high"))
+    groups = once.groupBy(*columns).agg(F.count("*").alias("n"), *_file_marks(file)).where("n > 1")
+    return groups.select(*columns, "n", _across())
 
 
 def _sizes(groups: str, rows: str, most: str) -> list[Column]:
@@ -257,11 +264,13 @@ def _event_key() -> dict[str, Column]:
 def _candidates(raw: DataFrame, columns: Sequence[str], file: str | None) -> DataFrame:
     """Whole event keys that occur more than once: rows, variants (distinct rows, untrimmed) and files."""
     keys = [f"{name}_key" for name in EVENT_KEY]
-    of = F.col(file) if file else F.lit("")
-    keyed = raw.select(*columns, *([file] if file else []), *(part.alias(f"{name}_key") for name, part in _event_key().items())).dropna("any", subset=keys)
-    rows = _repeated(keyed, F.xxhash64(*keys)).groupBy(*keys, *columns).agg(F.count("*").alias("rows"), F.min(of).alias("low"), F.max(of).alias("high"))
-    found = rows.groupBy(*keys).agg(F.sum("rows").alias("n"), F.count("*").alias("variants"), F.min("low").alias("low"), F.max("high").alias("high"))
-    return found.where("n > 1").select(*keys, "n", "variants", _across("low", "high"))
+    keyed = raw.select(*columns, *([file] if file else []), *(part.alias(f"{name}_key") for name, part in _event_key().items()))
+    whole = F.lit(True)
+    for key in keys:
+        whole &= F.col(key).isNotNull()
+    rows = _repeated(keyed, F.xxhash64(*keys), whole).groupBy(*keys, *columns).agg(F.count("*").alias("rows"), *_file_marks(file))
+    found = rows.groupBy(*keys).agg(F.sum("rows").alias("n"), F.count("*").alias("variants"), F.min("low").alias("low"), F.max("high").alias("high"), F.bool_and(whole).alias("whole"))
+    return found.where("n > 1 and whole").select(*keys, "n", "variants", _across())
 
 
 def _variants() -> list[Column]:
