@@ -2,10 +2,15 @@
 
 A text is cut into pieces by the tokenizer's pattern. The distinct pieces that a worker has not met are
 laid out as token-position rows; a recursive query joins neighbouring tokens to the merge table and
-contracts each piece's leftmost pair of least rank until no pair is left; for long pieces another one contracts
-as many at once as one at a time would take in a row. Decoding joins token-position
+contracts each piece's leftmost pair of least rank until no pair is left. Decoding joins token-position
 rows to the vocabulary and aggregates their bytes in order. Ranks and pattern are those of a public
 tokenizer; nothing is trained.
+
+Long texts, pieces and lists of ids are worked on in parts, so that a query's rows are bounded whatever comes.
+Tokens are the contraction of their bytes exactly if each two neighbours are the contraction of theirs: until
+a first pair crosses two tokens, all is contracted inside them, as it would be beside one neighbour alone. So
+the parts of a long piece are contracted apart and joined; where two tokens at a join are not what their bytes
+give, the bytes around it are contracted again, and more of them until all joins hold.
 """
 
 from __future__ import annotations
@@ -24,12 +29,14 @@ from .common import resident, with_field
 
 #: Pieces kept encoded in a worker; when there are more, the memory starts afresh.
 CACHE_PIECES = 400_000
-#: Bytes of new pieces in one recursive query, and characters of text handled at once.
-QUERY_BYTES, BATCH_CHARS = 75_000, 400_000
-#: Rows of all steps of a query for long pieces.
+#: Bytes of new pieces in one recursive query, characters of text handled at once, tokens decoded at once.
+QUERY_BYTES, BATCH_CHARS, DECODE_TOKENS = 75_000, 400_000, 200_000
+#: Rows of all steps of a query for long runs.
 STATE_ROWS = 1_000_000
-#: One contraction a step is quadratic in a piece's bytes; longer pieces take several a step.
-LONG_PIECE = 400
+#: One contraction a step is quadratic in a piece's bytes; longer pieces are contracted in parts of PART bytes.
+LONG_PIECE, PART = 400, 64
+#: Tokens on either side of a join that are contracted again, at first and at last; beyond it a piece is taken from the left, WINDOW bytes at a time.
+AROUND, MOST_AROUND, WINDOW = 4, 32, 4096
 
 _ENCODE = """
 with recursive state(w, p, t, step) as (
@@ -46,7 +53,7 @@ last as (select w, max(step) as step from state group by w)
 select state.w, state.t from state join last using (w, step) order by state.w, state.p
 """
 
-# The same contractions, several a step. A piece's pairs of least rank are contracted from the left, those that
+# The same contractions, several a step, for runs of few different pairs. A piece's pairs of least rank are contracted from the left, those that
 # overlap ("aaa") every other one, up to the first that makes a pair of yet lower rank with a neighbour: until
 # then the least rank stays, so one at a time would take the same pairs in the same order.
 _ENCODE_LONG = """
@@ -84,6 +91,12 @@ class DuckBpe:
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.pattern = regex.compile(pattern)
+        self.token = {i: t for t, i in self.ranks.items()}
+        # bytes that no token has side by side: no contraction crosses such a place
+        self.adjacent = np.zeros((256, 256), bool)
+        for token in self.ranks:
+            self.adjacent[list(token[:-1]), list(token[1:])] = True
+        self.holds: dict[tuple[int, int], bool] = {}
         self.of_byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.pieces: dict[str, bytes] = {}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
@@ -115,61 +128,189 @@ class DuckBpe:
         ids, cuts = found["t"].astype("<u4").tobytes(), np.searchsorted(found["w"], np.arange(len(pieces) + 1)) * 4
         return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
+    def _batched(self, pieces: list[bytes], query: str) -> list[bytes]:
+        """_contract of any number of pieces, about QUERY_BYTES a query."""
+        out: list[bytes] = []
+        some: list[bytes] = []
+        size = 0
+        for piece in pieces:
+            some.append(piece)
+            size += len(piece)
+            if size >= QUERY_BYTES:
+                out += self._contract(some, query)
+                some, size = [], 0
+        return out + (self._contract(some, query) if some else [])
+
+    def _ids(self, contracted: bytes) -> list[int]:
+        return np.frombuffer(contracted, "<u4").tolist()
+
+    def _raw(self, ids: list[int]) -> bytes:
+        return b"".join([self.token[i] for i in ids])
+
+    def _check(self, pairs: set[tuple[int, int]]) -> None:
+        """Learn of pairs of tokens whether they are what their bytes give."""
+        if len(self.holds) > CACHE_PIECES:
+            self.holds.clear()
+        new = [p for p in pairs if p not in self.holds]
+        for pair, got in zip(new, self._batched([self._raw(list(p)) for p in new], _ENCODE)):
+            self.holds[pair] = self._ids(got) == list(pair)
+
+    def _run(self, raw: bytes) -> list[int]:
+        """Tokens of a long run from the left: a window's last tokens are left to the next one, more of them while a join does not hold."""
+        done: list[int] = []
+        at, left, width = 0, 2 * AROUND, WINDOW
+        while at < len(raw):
+            last = at + width >= len(raw)
+            ids = self._ids(self._contract([raw[at : at + width]], _ENCODE_LONG)[0])
+            kept = ids if last else ids[: max(1, len(ids) - 2 * AROUND)]
+            if done:
+                self._check({(done[-1], kept[0])})
+            if done and not self.holds[done[-1], kept[0]]:
+                back = done[-left:]
+                del done[-left:]
+                at -= len(self._raw(back))
+                left, width = 2 * left, width + len(self._raw(back))
+                continue
+            done += kept
+            at += len(self._raw(kept))
+            left, width = 2 * AROUND, WINDOW
+        return done
+
+    def _long(self, raw: bytes) -> bytes:
+        """Token ids of a long piece."""
+        flat = np.frombuffer(raw, np.uint8)
+        cuts = [0, *(np.flatnonzero(~self.adjacent[flat[:-1], flat[1:]]) + 1).tolist(), len(raw)]
+        segments = [(a, b) for a, b in zip(cuts, cuts[1:])]
+        parts = [(n, raw[at : min(at + PART, b)]) for n, (a, b) in enumerate(segments) for at in range(a, b, PART)]
+        # tokens of each segment as runs of ids; a join lies between two runs
+        runs: list[list[list[int]]] = [[] for _ in segments]
+        distinct = list({p for _, p in parts})
+        known = dict(zip(distinct, self._batched(distinct, _ENCODE)))
+        for n, part in parts:
+            runs[n].append(self._ids(known[part]))
+        around, open_ = AROUND, [n for n, r in enumerate(runs) if len(r) > 1]
+        while open_:
+            self._check({(x[-1], y[0]) for n in open_ for x, y in zip(runs[n], runs[n][1:])})
+            broken = []
+            for n in open_:
+                joined = [runs[n][0]]
+                for run in runs[n][1:]:
+                    if self.holds[joined[-1][-1], run[0]]:
+                        joined[-1].extend(run)
+                    else:
+                        joined.append(run)
+                runs[n] = joined
+                if len(joined) > 1:
+                    broken.append(n)
+            if around > MOST_AROUND:
+                for n in broken:
+                    runs[n] = [self._run(raw[segments[n][0] : segments[n][1]])]
+                break
+            # what lies around each join becomes a run of its own; the joins to its left and right are judged next
+            windows: list[tuple[int, int]] = []
+            for n in broken:
+                left, *rest = runs[n]
+                cut: list[list[int]] = []
+                for right in rest:
+                    held, taken = left[: max(0, len(left) - around)], left[max(0, len(left) - around) :]
+                    if held:
+                        cut.append(held)
+                    windows.append((n, len(cut)))
+                    cut.append(taken + right[:around])
+                    left = right[around:]
+                if left:
+                    cut.append(left)
+                runs[n] = cut
+            again = self._batched([self._raw(runs[n][i]) for n, i in windows], _ENCODE)
+            for (n, i), got in zip(windows, again):
+                runs[n][i] = self._ids(got)
+            around, open_ = 2 * around, [n for n in broken if len(runs[n]) > 1]
+        return np.array([i for r in runs for run in r for i in run], "<u4").tobytes()
+
     def _learn(self, pieces: Iterable[str]) -> None:
         short: list[str] = []
-        long: list[str] = []
         for piece in pieces:
             raw = piece.encode()
             whole = self.ranks.get(raw)
             if whole is not None:
                 self.pieces[piece] = whole.to_bytes(4, "little")
+            elif len(raw) > LONG_PIECE:
+                self.pieces[piece] = self._long(raw)
             else:
-                (long if len(raw) > LONG_PIECE else short).append(piece)
-        for todo, query in ((short, _ENCODE), (long, _ENCODE_LONG)):
-            some: list[str] = []
-            size = 0
-            for piece in [*todo, None]:
-                if some and (piece is None or size > QUERY_BYTES):
-                    self.pieces.update(zip(some, self._contract([x.encode() for x in some], query)))
-                    some, size = [], 0
-                if piece is not None:
-                    some.append(piece)
-                    size += len(piece)
+                short.append(piece)
+        self.pieces.update(zip(short, self._batched([x.encode() for x in short], _ENCODE)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers.
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        out: list[bytes] = []
+        for text in texts:
+            out.append(b"".join([self._encode(part) for part in _parts(text)]))
+        return out
 
-        Texts are first cut where one space parts two words: no piece spans such a place, so what lies
+    def _encode(self, text: str) -> bytes:
+        """A text is first cut where one space parts two words: no piece spans such a place, so what lies
         between is looked up whole. A text with other spacing at its cuts goes through the pattern as a whole.
         """
         if len(self.pieces) > CACHE_PIECES:
             self.pieces.clear()
-        plans: list[list[str]] = []
-        for text in texts:
-            parts = text.split(" ")
-            if all(parts) and not any(x[0].isspace() or x[-1].isspace() for x in parts):
-                plans.append([parts[0], *(" " + x for x in parts[1:])])
-            else:
-                plans.append(self.pattern.findall(text))
-        fresh = {x for plan in plans for x in plan if x not in self.pieces}
+        parts = text.split(" ")
+        if all(parts) and not any(x[0].isspace() or x[-1].isspace() for x in parts):
+            plan = [parts[0], *(" " + x for x in parts[1:])]
+        else:
+            plan = self.pattern.findall(text)
+        fresh = {x for x in plan if x not in self.pieces}
         cut = {x: self.pattern.findall(x) for x in fresh}
         self._learn({y for ys in cut.values() for y in ys if y not in self.pieces})
         for x, ys in cut.items():
             if x not in self.pieces:
                 self.pieces[x] = b"".join([self.pieces[y] for y in ys])
-        return [b"".join([self.pieces[x] for x in plan]) for plan in plans]
+        found = b"".join([self.pieces[x] for x in plan])
+        for x in fresh:
+            if len(x) > LONG_PIECE:  # not kept
+                for y in (x, *cut[x]):
+                    if len(y) > LONG_PIECE:
+                        self.pieces.pop(y, None)
+        return found
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
-        """Bytes of each list of ids."""
-        tokens = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
-        lengths = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
-        rows = pa.table({"w": np.repeat(np.arange(len(ids), dtype=np.int32), lengths), "p": np.arange(len(tokens), dtype=np.int32), "id": tokens})
-        self.db.register("tokens", rows)
-        found = self.db.execute(_DECODE).fetchnumpy()
-        out = [b""] * len(ids)
-        for w, s in zip(found["w"].tolist(), found["s"].tolist()):
-            out[w] = s.encode("latin-1")
-        return out
+        """Bytes of each list of ids; lists are cut into runs of DECODE_TOKENS at most."""
+        out: list[list[bytes]] = [[] for _ in ids]
+        some: list[tuple[int, bytes]] = []
+        size = 0
+
+        def flush() -> None:
+            tokens = np.frombuffer(b"".join([run for _, run in some]), "<u4").astype(np.int32)
+            lengths = np.fromiter((len(run) // 4 for _, run in some), np.int64, len(some))
+            rows = pa.table({"w": np.repeat(np.arange(len(some), dtype=np.int32), lengths), "p": np.arange(len(tokens), dtype=np.int32), "id": tokens})
+            self.db.register("tokens", rows)
+            found = self.db.execute(_DECODE).fetchnumpy()
+            for w, s in zip(found["w"].tolist(), found["s"].tolist()):
+                out[some[w][0]].append(s.encode("latin-1"))
+
+        for n, whole in enumerate(ids):
+            for at in range(0, len(whole), 4 * DECODE_TOKENS):
+                some.append((n, whole[at : at + 4 * DECODE_TOKENS]))
+                size += len(some[-1][1]) // 4
+                if size >= DECODE_TOKENS:
+                    flush()
+                    some, size = [], 0
+        if some:
+            flush()
+        return [b"".join(runs) for runs in out]
+
+
+def _parts(text: str) -> Iterator[str]:
+    """A text in parts of BATCH_CHARS and the rest of a word, each but the first from a space between two words on; no piece spans such a place."""
+    at = 0
+    while len(text) - at > BATCH_CHARS:
+        cut = text.find(" ", at + BATCH_CHARS)
+        while 0 <= cut < len(text) - 1 and (text[cut - 1].isspace() or text[cut + 1].isspace()):
+            cut = text.find(" ", cut + 1)
+        if not 0 <= cut < len(text) - 1:
+            break
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
 
 
 def _coder(path: str, pattern: str) -> DuckBpe:

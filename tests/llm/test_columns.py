@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import string
 import struct
 import zlib
 
@@ -108,6 +109,29 @@ def test_bpe_equals_tiktoken(tiktoken_encoding):
     assert coder.decode(ids) == [t.encode() for t in texts]
 
 
+def test_bpe_of_long_texts_equals_tiktoken(tiktoken_encoding):
+    coder, rnd = bpe_duckdb.DuckBpe(*bpe_duckdb.default_tokenizer()), random.Random(4)
+    some = lambda letters, n: "".join(rnd.choices(letters, k=n))
+    texts = [some(letters, n) for letters in ("ab", "acgt", "aA", "=-", "0123456789", string.ascii_lowercase, "aeiournst") for n in (401, 3000, 20_000)]
+    texts += ["".join(some(rnd.choice(["ab", "the ", "etaoin", "=#"]), 5) for _ in range(rnd.randrange(90, 250))) for _ in range(60)]
+    texts += ["a" * 2_000_000, some(string.ascii_lowercase, 2_000_000), "\n" * 50_000, "é" * 30_000]
+    words = [some("etaoinshrdlu", rnd.randrange(2, 9)) for _ in range(5000)]
+    texts += [" ".join(rnd.choices(words, k=300_000)), "  ".join(rnd.choices(words, k=100_000))]
+    ids = coder.encode(texts)
+    for text, got in zip(texts, ids):
+        assert np.frombuffer(got, "<u4").tolist() == tiktoken_encoding.encode_ordinary(text)
+    assert coder.decode(ids) == [t.encode() for t in texts]
+
+
+def test_bpe_takes_a_run_from_the_left_when_joins_do_not_settle(tiktoken_encoding, monkeypatch):
+    monkeypatch.setattr(bpe_duckdb, "MOST_AROUND", 0)
+    monkeypatch.setattr(bpe_duckdb, "WINDOW", 100)
+    coder = bpe_duckdb.DuckBpe(*bpe_duckdb.default_tokenizer())
+    texts = ["a" * 5000, "ab" * 1000, "".join(random.Random(1).choices("ab=", k=3000))]
+    for text, got in zip(texts, coder.encode(texts)):
+        assert np.frombuffer(got, "<u4").tolist() == tiktoken_encoding.encode_ordinary(text)
+
+
 def test_bpe_frames(spark, tiktoken_encoding):
     rows = odd_rows(spark)
     both = bpe_duckdb.decode_documents(bpe_duckdb.encode_documents(rows))
