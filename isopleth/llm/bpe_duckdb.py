@@ -241,35 +241,46 @@ class DuckBpe:
         self.pieces.update(zip(short, self._batched([x.encode() for x in short], _ENCODE)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = []
-        for text in texts:
-            out.append(b"".join([self._encode(part) for part in _parts(text)]))
-        return out
+        """Ids of each text as little-endian unsigned 32-bit integers; parts of texts are looked up together, about BATCH_CHARS at once."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        some: list[tuple[int, str]] = []
+        size = 0
+        for n, text in enumerate(texts):
+            for part in _parts(text):
+                some.append((n, part))
+                size += len(part)
+                if size >= BATCH_CHARS:
+                    for (m, _), ids in zip(some, self._encode([x for _, x in some])):
+                        out[m].append(ids)
+                    some, size = [], 0
+        for (m, _), ids in zip(some, self._encode([x for _, x in some])):
+            out[m].append(ids)
+        return [b"".join(ids) for ids in out]
 
-    def _encode(self, text: str) -> bytes:
+    def _encode(self, texts: list[str]) -> list[bytes]:
         """A text is first cut where one space parts two words: no piece spans such a place, so what lies
         between is looked up whole. A text with other spacing at its cuts goes through the pattern as a whole.
         """
         if len(self.pieces) > CACHE_PIECES:
             self.pieces.clear()
-        parts = text.split(" ")
-        if all(parts) and not any(x[0].isspace() or x[-1].isspace() for x in parts):
-            plan = [parts[0], *(" " + x for x in parts[1:])]
-        else:
-            plan = self.pattern.findall(text)
-        fresh = {x for x in plan if x not in self.pieces}
+        plans: list[list[str]] = []
+        for text in texts:
+            parts = text.split(" ")
+            if all(parts) and not any(x[0].isspace() or x[-1].isspace() for x in parts):
+                plans.append([parts[0], *(" " + x for x in parts[1:])])
+            else:
+                plans.append(self.pattern.findall(text))
+        fresh = {x for plan in plans for x in plan if x not in self.pieces}
         cut = {x: self.pattern.findall(x) for x in fresh}
         self._learn({y for ys in cut.values() for y in ys if y not in self.pieces})
         for x, ys in cut.items():
             if x not in self.pieces:
                 self.pieces[x] = b"".join([self.pieces[y] for y in ys])
-        found = b"".join([self.pieces[x] for x in plan])
-        for x in fresh:
-            if len(x) > LONG_PIECE:  # not kept
-                for y in (x, *cut[x]):
-                    if len(y) > LONG_PIECE:
-                        self.pieces.pop(y, None)
+        found = [b"".join([self.pieces[x] for x in plan]) for plan in plans]
+        for x, ys in cut.items():
+            for y in (x, *ys):
+                if len(y) > LONG_PIECE:  # not kept
+                    self.pieces.pop(y, None)
         return found
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
