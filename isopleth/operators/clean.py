@@ -49,9 +49,21 @@ def match_dates(aggregate: DataFrame) -> DataFrame:
     return keyed.groupBy("match_id").agg(F.min("day").alias("match_date"), F.count_distinct("day").alias("date_count"))
 
 
+def unique_by(rows: DataFrame, key: str) -> DataFrame:
+    """`rows`, which fail where they are read if a key stands on more than one of them.
+
+    The check is part of the plan, an aggregation by the key: no job of its own, and no shuffle if the rows are
+    grouped by the key already.
+    """
+    others = [c for c in rows.columns if c != key]
+    counted = rows.groupBy(key).agg(F.count("*").alias("rows_of_key"), *(F.first(c).alias(c) for c in others))
+    fault = F.raise_error(F.concat(F.lit(f"{key} "), F.coalesce(F.col(key).cast("string"), F.lit("null")), F.lit(" is not unique")))
+    return counted.where(F.when(F.col("rows_of_key") > 1, fault).isNull()).select(rows.columns)
+
+
 def link_dates(events: DataFrame, dates: DataFrame) -> DataFrame:
-    """Events with date and date_status; a match with several dates links to none. `dates` has a match once, so no event is doubled."""
-    found = events.join(dates, "match_id", "left")
+    """Events with date and date_status; a match with several dates links to none. `dates` must have a match once, so that no event is doubled; if it has not, the result fails as it is read."""
+    found = events.join(unique_by(dates, "match_id"), "match_id", "left")
     n = F.col("date_count")
     status = F.when(n.isNull(), "unmatched_match_id").when(n == 0, "missing_or_unparseable_date").when(n > 1, "ambiguous_date").otherwise("valid_date")
     return found.select(*events.columns, F.when(n == 1, F.col("match_date")).alias("date"), status.alias("date_status"))

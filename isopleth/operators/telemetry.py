@@ -83,6 +83,13 @@ def damage_values(events: DataFrame) -> DataFrame:
     return kills.select(F.inline(F.array(*told))).where("value is not null").groupBy("counter", "value").agg(F.count("*").alias("event_count"))
 
 
+def damage_keys(events: DataFrame) -> DataFrame:
+    """(field, key, event_count): members of the damage objects of kills, whatever their values, by the field that holds the object."""
+    kills = _parsed(events).where(F.col("kind").isin(*KILL_TYPES))
+    told = F.array(*(F.struct(F.lit(f).alias("field"), F.when(_kind(f).startswith("OBJECT"), F.json_object_keys(F.try_variant_get("v", f"$.{f}", "string"))).alias("keys")) for f in DAMAGE_FIELDS))
+    return kills.select(F.inline(told)).select("field", F.explode("keys").alias("key")).groupBy("field", "key").agg(F.count("*").alias("event_count"))
+
+
 def match_profiles(details: DataFrame, events: DataFrame, match: str = "match_id") -> DataFrame:
     """telemetry_profile of the matches of `details` (match_details, with the match's id) with their map and mode, UNKNOWN where empty."""
     named = [F.coalesce(F.when(F.col(c) != "", F.col(c)), F.lit(UNKNOWN)).alias(c) for c in ("map_name", "game_mode")]
@@ -141,6 +148,42 @@ def first_matches(samples: DataFrame, n: int, text: str = "value", window: str =
 _DETAIL = "struct<data:struct<attributes:struct<mapName:string,gameMode:string,createdAt:string>>,included:array<struct<type:string,attributes:struct<name:string,URL:string>>>>"
 
 
+def checked_matches(files: DataFrame, text: str = "value") -> DataFrame:
+    """`files` with fault: why a match document cannot be used, null if it can.
+
+    NOT_JSON, NO_DATA (no data object), NO_INCLUDED (included is no array), NO_TELEMETRY (no telemetry asset with an
+    address), in this order. Documents with a fault are counted, not lost in a later join.
+    """
+    parsed = files.withColumn("v", F.try_parse_json(text))
+    detail = F.from_json(F.col(text), _DETAIL)
+    assets = F.filter(detail["included"], lambda a: (a["type"] == "asset") & (a["attributes"]["name"] == "telemetry") & (a["attributes"]["URL"] != ""))
+    fault = (
+        F.when(F.col("v").isNull(), "NOT_JSON")
+        .when(~F.coalesce(_kind("data").startswith("OBJECT"), F.lit(False)), "NO_DATA")
+        .when(~F.coalesce(_kind("included").startswith("ARRAY"), F.lit(False)), "NO_INCLUDED")
+        .when(F.coalesce(F.size(assets), F.lit(0)) < 1, "NO_TELEMETRY")
+    )
+    return parsed.withColumn("fault", fault).drop("v")
+
+
+def collection_report(checked: DataFrame, events: DataFrame, match: str = "match_id") -> DataFrame:
+    """One row over checked_matches and telemetry events: documents asked for, sound ones with events, failures, and these by reason.
+
+    A sound document without a telemetry event fails as NO_EVENTS.
+    """
+    told = events.groupBy(match).agg(F.count("*").alias("n"))
+    reason = F.coalesce("fault", F.when(F.col("n").isNull(), "NO_EVENTS"))
+    judged = checked.join(told, match, "left").select(reason.alias("reason"), F.coalesce("n", F.lit(0)).alias("n"))
+    names = ("NOT_JSON", "NO_DATA", "NO_INCLUDED", "NO_TELEMETRY", "NO_EVENTS")
+    return judged.agg(
+        F.count("*").alias("requested"),
+        F.count_if(F.col("reason").isNull()).alias("succeeded"),
+        F.count_if(F.col("reason").isNotNull()).alias("failed"),
+        *(F.count_if(F.col("reason") == n).alias(n.lower()) for n in names),
+        F.coalesce(F.sum(F.when(F.col("reason").isNull(), F.col("n"))), F.lit(0)).alias("event_count"),
+    )
+
+
 def match_details(files: DataFrame, text: str = "value") -> DataFrame:
     """Map, mode, time and telemetry address of match documents."""
     detail = F.from_json(F.col(text), _DETAIL)

@@ -246,6 +246,10 @@ def _oracle_sql() -> dict[str, str]:
         "resolution_comparison": COMPARISON,
         "grid_pyramid": f"with {_E} " + " union all ".join(f"select map, killed_by, {m} as grid_size_m, grid_x, grid_y, n as death_count, m as match_count, t as date_count, t0 as first_date, t1 as last_date from ({_cells(m)})" for m in (10, 100, 250, 500)),
         "cell_parents": PARENTS,
+        "csv_types": f"with {_rows('r', S.CSV_ROWS)}, v as (select file as folder, unnest(['order_id', 'part_id', 'quantity', 'shipped', 'flag']) as column, unnest([order_id, part_id, quantity, shipped, flag]) as x from r) select folder, \"column\", case when count(x) = 0 then 'void' when bool_and(try_cast(x as date) is not null) filter (x is not null) then 'date' when bool_or(try_cast(x as double) is null) filter (x is not null) then 'string' when bool_or(x like '%.%') then 'double' when bool_or(try_cast(x as int) is null) filter (x is not null) then 'bigint' else 'int' end as type, count(x) as filled from v group by 1, 2",
+        "collection_report": f"with {_rows('d', S.DOCUMENTS)}, {_rows('t', S.DOCUMENT_EVENTS)}, n as (select match_id, count(*) as n from t group by 1), j as (select coalesce(n, 0) as n, case when not json_valid(value) then 'NOT_JSON' when coalesce(json_type(case when json_valid(value) then value end, '$.data'), '') <> 'OBJECT' then 'NO_DATA' when coalesce(json_type(case when json_valid(value) then value end, '$.included'), '') <> 'ARRAY' then 'NO_INCLUDED' when value not like '%\"telemetry\",\"URL\":\"u\"%' then 'NO_TELEMETRY' when n is null then 'NO_EVENTS' end as why from d left join n using (match_id)) select count(*) as requested, " + _counts(succeeded="why is null", failed="why is not null", **{w.lower(): f"why = '{w}'" for w in ("NOT_JSON", "NO_DATA", "NO_INCLUDED", "NO_TELEMETRY", "NO_EVENTS")}) + ", coalesce(sum(n) filter (why is null), 0)::bigint as event_count from j",
+        "damage_keys": f"with {_T} select field, key, count(*) as event_count from (" + " union all ".join(f"select '{f}' as field, unnest(json_keys(event, '$.{f}')) as key from k where {_KILL} and json_type(event, '$.{f}') = 'OBJECT'" for f in ("killerDamageInfo", "finishDamageInfo", "dBNODamageInfo")) + ") group by 1, 2",
+        "telemetry_totals": f"with {_T} select * exclude (match_id) from ({_TELEMETRY.replace('from k group by match_id', 'from (select * replace (0 as match_id) from k) group by match_id')})",
         "candidate_lift": LIFT,
         "distance_profiles": f"with {_PROFILES} select * from f",
         "distance_map_gap": f"with {_PROFILES} {_GAPS}",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..operators import clean, distance, grid, profiling, quality, telemetry
 from ..schemas import DEATHS
-from ..sources.interim import settled
+from ..sources import csv
+from ..sources.interim import settled, shared_folder
 from . import standins as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,6 +72,19 @@ def _resolutions(events: DataFrame) -> DataFrame:
     return grid.resolution_comparison(*(grid.candidates(cells.where(F.col("grid_size_m") == m), m) for m in (100, 250)))
 
 
+def _csv_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types of the columns of CSV files, by the folder that they lie in."""
+    folder = f"{shared_folder(spark)}/csv-{uuid.uuid4()}"
+    S.stand_in(spark, sf_dir, S.CSV_ROWS).write.partitionBy("file").option("header", True).csv(folder)
+    kinds = csv.column_kinds(spark, f"{folder}/*/*.csv")
+    return csv.column_types(kinds.withColumn("folder", F.regexp_extract("file", "/file=([^/]*)/", 1)), "folder", "column").select("folder", "column", "type", "filled")
+
+
+def _collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checked = telemetry.checked_matches(S.stand_in(spark, sf_dir, S.DOCUMENTS))
+    return telemetry.collection_report(checked, S.stand_in(spark, sf_dir, S.DOCUMENT_EVENTS))
+
+
 def _linked(raw: DataFrame, aggregate: DataFrame) -> DataFrame:
     valid = clean.classify_events(raw).where("quality_status = 'quality_valid'")
     return clean.link_dates(valid, clean.match_dates(aggregate))
@@ -140,6 +155,10 @@ def _queries() -> dict[str, Query]:
         "json_event_profile": _telemetry(lambda e: telemetry.telemetry_profile(e).withColumn("kill_keys", F.array_join("kill_keys", ","))),
         "event_type_counts": _telemetry(telemetry.event_type_counts),
         "damage_values": _telemetry(telemetry.damage_values),
+        "damage_keys": _telemetry(telemetry.damage_keys),
+        "telemetry_totals": _telemetry(lambda e: telemetry.telemetry_profile(e, None).withColumn("kill_keys", F.array_join("kill_keys", ","))),
+        "collection_report": _collection,
+        "csv_types": _csv_types,
         "match_profiles": _matches(lambda m: m.withColumn("kill_keys", F.array_join("kill_keys", ","))),
         "pilot_counts": _matches(telemetry.pilot_counts),
         "pilot_summary": _matches(telemetry.pilot_summary),

@@ -101,6 +101,26 @@ select distinct cast(user_id % 20 as string) as match_id,
 from events"""
 
 
+#: Line items as the text of four CSV files: a column that holds words in one file, one empty in another, one wider than an int in a third.
+CSV_ROWS = """
+select cast(l_linenumber % 4 as string) as file, cast(l_orderkey as string) as order_id, case when l_linenumber % 4 = 1 then cast(l_orderkey * 3000000000 as string) else cast(l_partkey as string) end as part_id,
+       case when l_linenumber % 4 = 3 and l_suppkey % 7 = 0 then 'n/a' when l_linenumber % 4 = 2 then cast(cast(floor(l_quantity) as bigint) as string) else cast(l_quantity as string) end as quantity,
+       case when l_linenumber % 4 = 0 then null when l_suppkey % 3 = 0 then null else cast(cast(l_shipdate as date) as string) end as shipped, l_returnflag as flag
+from lineitem"""
+
+#: Match documents by customer, some of them broken in each of the ways that are told apart.
+DOCUMENTS = """
+select cast(o_orderkey as string) as match_id,
+       case when o_orderkey % 11 = 0 then '{"data": ' when o_orderkey % 11 = 1 then '{"included":[]}' when o_orderkey % 11 = 2 then '{"data":{},"included":7}' when o_orderkey % 11 = 3 then '{"data":{},"included":[{"type":"asset","attributes":{"name":"other","URL":"u"}}]}'
+            when o_orderkey % 11 = 4 then '{"data":{},"included":[{"type":"asset","attributes":{"name":"telemetry","URL":""}}]}'
+            else '{"data":{"attributes":{"mapName":"M"}},"included":[{"type":"asset","attributes":{"name":"telemetry","URL":"u"}}]}' end as value
+from orders"""
+
+#: Telemetry events of those matches; some have none.
+DOCUMENT_EVENTS = """
+select cast(l_orderkey as string) as match_id, '{"_T":"LogPlayerKill"}' as event from lineitem where l_orderkey % 13 <> 0"""
+
+
 def stand_in(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     """A stand-in's rows, over the tables of a folder."""
     names = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "orders", "events") if f"from {t}" in text}

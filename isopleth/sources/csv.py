@@ -5,7 +5,7 @@ from __future__ import annotations
 from csv import reader
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -72,46 +72,94 @@ def inferred(spark: SparkSession, path: str | list[str], ratio: float = 1.0, row
     return infer.csv(path).schema
 
 
-def _wider(a: T.DataType, b: T.DataType) -> T.DataType:
-    """The type that holds values of both: the wider number, else text."""
-    numbers = [T.IntegerType(), T.LongType(), T.DoubleType()]
-    if a == b:
-        return a
-    return numbers[max(numbers.index(a), numbers.index(b))] if a in numbers and b in numbers else T.StringType()
-
-
-def read_typed_csv(spark: SparkSession, pattern: str, with_file: bool = False) -> DataFrame:
-    """All files of a glob, columns matched by name and typed by what all rows of all files hold.
-
-    Types are inferred once for each distinct header, and widened where headers differ.
+# Kinds of values as bits, so that the kinds in a column are summed up by OR, in any order and in any parts.
+_KINDS = {"int": 1, "bigint": 2, "double": 4, "date": 8, "string": 16}
+
+
+def _kind(text: Column) -> Column:
+    """Bit of the narrowest type that a value is written in; 0 for one that is missing or blank."""
+    value = F.trim(text)
+    whole, number, day = value.rlike(r"^[+-]?\d+$"), value.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), value.rlike(r"^\d{4}-\d{2}-\d{2}$")
+    kinds = [
+        (F.coalesce(value == "", F.lit(True)), 0),
+        (whole & value.try_cast("int").isNotNull(), _KINDS["int"]),
+        (whole & value.try_cast("bigint").isNotNull(), _KINDS["bigint"]),
+        (number, _KINDS["double"]),
+        (day & value.try_cast("date").isNotNull(), _KINDS["date"]),
+    ]
+    out = F.lit(_KINDS["string"])
+    for is_kind, bit in reversed(kinds):
+        out = F.when(is_kind, F.lit(bit)).otherwise(out)
+    return out
+
+
+def type_of(kinds: Column) -> Column:
+    """The narrowest type that holds values of all kinds: void, int, bigint, double, date or string; dates and numbers meet in string only."""
+    numbers = kinds.bitwiseAND(_KINDS["int"] | _KINDS["bigint"] | _KINDS["double"])
+    return (
+        F.when(kinds == 0, "void")
+        .when(kinds == _KINDS["date"], "date")
+        .when(kinds != numbers, "string")
+        .when(kinds >= _KINDS["double"], "double")
+        .when(kinds >= _KINDS["bigint"], "bigint")
+        .otherwise("int")
+    )
+
+
+def column_kinds(spark: SparkSession, pattern: str, share: float = 1.0) -> DataFrame:
+    """(file, place, column, kinds, filled) of every column of every file of a glob, in one job over all of them.
+
+    Files are scanned together by place, whatever their headers, and each one's kinds are summed up where its
+    rows are read. `share` under 1 looks at so many of the rows only.
     """
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for path in list_files(spark, pattern):
-        groups.setdefault(tuple(header(spark, path)), []).append(path)
-    types: dict[str, T.DataType] = {}
-    for paths in groups.values():
-        for field in inferred(spark, paths):
-            types[field.name] = _wider(types.get(field.name, field.dataType), field.dataType)
-    return read_csv(spark, pattern, T.StructType([T.StructField(n, t) for n, t in types.items()]), with_file)
-
-
-def schema_check(spark: SparkSession, pattern: str, ratio: float = 1.0) -> list[tuple[str, str]]:
-    """(file, problem) for each file whose header, or whose types, differ from the first file's."""
     files = list_files(spark, pattern)
     if not files:
         raise FileNotFoundError(pattern)
-    problems, first = [], inferred(spark, files[0], ratio)
-    for path in files[1:]:
-        schema = inferred(spark, path, ratio)
-        if schema.names != first.names:
-            problems.append((path, f"header {schema.names} differs from {first.names}"))
-        for field in schema:
-            if field.name in first.names and field.dataType != first[field.name].dataType:
-                problems.append((path, f"{field.name} is {field.dataType.simpleString()}, not {first[field.name].dataType.simpleString()}"))
+    headers = [(path, header(spark, path)) for path in files]
+    places = [f"c{i}" for i in range(max(1, max(len(names) for _, names in headers)))]
+    text = spark.read.option("header", True).option("enforceSchema", True).schema(T.StructType([T.StructField(c, T.StringType()) for c in places])).csv(files)
+    rows = text.select(F.col("_metadata.file_path").alias("file"), *places)
+    rows = rows.sample(share, seed=1) if share < 1 else rows
+    told = F.array(*(F.struct(F.lit(i).alias("place"), F.col(f"kinds_{c}").alias("kinds"), F.col(f"filled_{c}").alias("filled")) for i, c in enumerate(places)))
+    found = rows.groupBy("file").agg(*(f for c in places for f in (F.bit_or(_kind(F.col(c))).alias(f"kinds_{c}"), F.count_if(_kind(F.col(c)) > 0).alias(f"filled_{c}")))).select("file", F.inline(told))
+    # a row for each column of each file
+    names = spark.createDataFrame([(path, i, name) for path, names in headers for i, name in enumerate(names)] or [("", 0, "")], "file string, place int, column string")
+    known = names.join(found, ["file", "place"], "left")
+    return known.select("file", "place", "column", F.coalesce("kinds", F.lit(0)).alias("kinds"), F.coalesce("filled", F.lit(0)).alias("filled"))
+
+
+def column_types(kinds: DataFrame, *by: str) -> DataFrame:
+    """The type of each group of column_kinds rows, such as of one file, of a folder or of all: (*by, type, filled, files)."""
+    return kinds.groupBy(*by).agg(type_of(F.bit_or("kinds")).alias("type"), F.sum("filled").alias("filled"), F.count_distinct("file").alias("files"))
+
+
+def read_typed_csv(spark: SparkSession, pattern: str, with_file: bool = False) -> DataFrame:
+    """All files of a glob, columns matched by name and typed by what all rows of all files hold; a column of nothing is text."""
+    kinds = column_kinds(spark, pattern)
+    types = {r["column"]: "string" if r.type == "void" else r.type for r in column_types(kinds, "column").collect()}
+    order = dict.fromkeys(n for path in list_files(spark, pattern) for n in header(spark, path))
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in order]) if not types else T.StructType([T.StructField(n, T._parse_datatype_string(types[n])) for n in order])
+    return read_csv(spark, pattern, schema, with_file)
+
+
+def schema_check(spark: SparkSession, pattern: str, share: float = 1.0) -> list[tuple[str, str]]:
+    """(file, problem) for each file whose header, or whose types, differ from the first file's; one job over all files."""
+    found: dict[str, list[tuple[str, str]]] = {}
+    rows = column_types(column_kinds(spark, pattern, share), "file", "place", "column").orderBy("file", "place").collect()  # a row for each column of each file
+    for r in rows:
+        found.setdefault(r.file, []).append((r["column"], r.type))
+    problems, first = [], None
+    for path, columns in found.items():
+        names, types = [n for n, _ in columns], dict(columns)
+        if first is None:
+            first = names, types
+        if names != first[0]:
+            problems.append((path, f"header {names} differs from {first[0]}"))
+        problems += [(path, f"{n} is {t}, not {first[1][n]}") for n, t in columns if n in first[1] and t != first[1][n]]
     return problems
 
 
-def require_same_schema(spark: SparkSession, pattern: str, ratio: float = 1.0) -> None:
+def require_same_schema(spark: SparkSession, pattern: str, share: float = 1.0) -> None:
     """Fail if any file drifts from the first."""
-    if problems := schema_check(spark, pattern, ratio):
+    if problems := schema_check(spark, pattern, share):
         raise ValueError("; ".join(f"{path}: {what}" for path, what in problems))

@@ -48,6 +48,19 @@ def write_csv(df: DataFrame, path: str, *order: Any) -> None:
     _replace(df.sparkSession, temporary, path)
 
 
+def write_json(spark: SparkSession, value: Any, path: str) -> None:
+    """One JSON file, written beside the target and put in its place by a rename; for summaries, which are small."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    temporary = f"{path}.{uuid.uuid4().hex}.tmp"
+    place = jvm.org.apache.hadoop.fs.Path(temporary)
+    stream = place.getFileSystem(conf).create(place)
+    try:
+        stream.write(bytearray(json.dumps(value, ensure_ascii=False, indent=2, default=str).encode()))
+    finally:
+        stream.close()
+    _replace(spark, temporary, path)
+
+
 def html_report(template: str, token: str, rows: DataFrame, **extras: Any) -> str:
     """A template with its token replaced by the rows of a report, which are few, and extras as JSON."""
     if template.count(token) != 1:

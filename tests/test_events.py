@@ -320,3 +320,77 @@ def test_telemetry(spark):
         telemetry.first_matches(samples, 4)
     detail = {"data": {"attributes": {"mapName": "E", "gameMode": "solo", "createdAt": "t"}}, "included": [{"type": "asset", "attributes": {"name": "telemetry", "URL": "u"}}]}
     assert tuple(telemetry.match_details(spark.createDataFrame([(json.dumps(detail),)], "value string")).first()) == ("E", "solo", "t", "u")
+
+
+def test_types_of_csv_columns_merge_over_files(spark, tmp_path):
+    (tmp_path / "a1.csv").write_text("n,m,d,t,e\n1,1,2020-01-01,x,\n,2.5,2020-02-30,,\n")
+    (tmp_path / "a2.csv").write_text("m,n,d\n3000000000,-7,2020-03-01\n1e3,+8,\n")
+    (tmp_path / "a3.csv").write_text("n,q\n99999999999999999999,1\n")
+    (tmp_path / "a4.csv").write_text("n\n")
+    kinds = csv.column_kinds(spark, f"{tmp_path}/*.csv")
+    own = {(r.file[-6:-4], r["column"]): (r.type, r.filled) for r in csv.column_types(kinds, "file", "column").collect()}
+    assert own == {
+        ("a1", "n"): ("int", 1), ("a1", "m"): ("double", 2), ("a1", "d"): ("string", 2), ("a1", "t"): ("string", 1), ("a1", "e"): ("void", 0),
+        ("a2", "m"): ("double", 2), ("a2", "n"): ("int", 2), ("a2", "d"): ("date", 1), ("a3", "n"): ("double", 1), ("a3", "q"): ("int", 1), ("a4", "n"): ("void", 0),
+    }
+    merged = {r["column"]: (r.type, r.files) for r in csv.column_types(kinds, "column").collect()}
+    assert merged == {"n": ("double", 4), "m": ("double", 2), "d": ("string", 2), "t": ("string", 1), "e": ("void", 1), "q": ("int", 1)}
+    assert dict(csv.read_typed_csv(spark, f"{tmp_path}/a[12].csv").dtypes) == {"n": "int", "m": "double", "d": "string", "t": "string", "e": "string"}
+    assert any("d is date, not string" in what for _, what in csv.schema_check(spark, f"{tmp_path}/a[12].csv"))
+
+
+def test_date_link_fails_on_a_doubled_match(spark):
+    events = spark.createDataFrame([("m1", 1), ("m2", 2)], "match_id string, n int")
+    dates = spark.createDataFrame([("m1", DAY, 1), ("m2", DAY, 1)], "match_id string, match_date date, date_count long")
+    assert clean.link_dates(events, dates).where("date_status = 'valid_date'").count() == 2
+    with pytest.raises(Exception, match="match_id m1 is not unique"):
+        clean.link_dates(events, dates.unionByName(dates.limit(1))).collect()
+    grouped = clean.match_dates(spark.createDataFrame([("m1", "2017-10-20")], "match_id string, date string"))
+    exchanges = [d._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") for d in (grouped, clean.unique_by(grouped, "match_id"))]
+    assert exchanges[0] == exchanges[1]
+
+
+def test_broken_documents_are_counted(spark, tmp_path):
+    asset = lambda name, url: {"type": "asset", "attributes": {"name": name, "URL": url}}
+    good = {"data": {}, "included": [asset("telemetry", "u")]}
+    documents = [good, good, {"data": 1, "included": []}, {"data": {}}, {"data": {}, "included": [asset("x", "u")]}, {"data": {}, "included": [asset("telemetry", "")]}]
+    rows = [(str(i), json.dumps(d)) for i, d in enumerate(documents)] + [("6", "{"), ("7", None)]
+    checked = telemetry.checked_matches(spark.createDataFrame(rows, "match_id string, value string"))
+    assert {r.match_id: r.fault for r in checked.collect()} == {"0": None, "1": None, "2": "NO_DATA", "3": "NO_INCLUDED", "4": "NO_TELEMETRY", "5": "NO_TELEMETRY", "6": "NOT_JSON", "7": "NOT_JSON"}
+    report = telemetry.collection_report(checked, spark.createDataFrame([("0", "{}"), ("0", "{}"), ("2", "{}")], "match_id string, event string")).first()
+    assert report.asDict() == dict(requested=8, succeeded=1, failed=7, not_json=2, no_data=1, no_included=1, no_telemetry=2, no_events=1, event_count=2)
+    for value in (report.asDict(), {"again": "é"}):
+        sinks.write_json(spark, value, f"{tmp_path}/summary.json")
+        assert json.loads((tmp_path / "summary.json").read_text()) == value
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")) == ["summary.json"]
+
+
+def test_cells_of_several_sizes_and_their_parents(spark):
+    rnd = random.Random(5)
+    events = events_at(spark, [(rnd.choice(["Drown", "Falling"]), f"m{rnd.randrange(9)}", rnd.choice([0, 816000, rnd.random() * 816000]), rnd.random() * 90000) for _ in range(300)] + [("Drown", None, 5, 5)])
+    cells = grid.cell_pyramid(events, (100, 250, 500))
+    for size in (100, 250, 500):
+        own = cells.where(F.col("grid_size_m") == size).drop("grid_size_m")
+        assert sorted(map(tuple, own.collect())) == sorted(map(tuple, grid.cell_counts(events, size).collect()))
+    parents = grid.cell_parents(cells).collect()
+    fine = cells.where("grid_size_m = 100").count()
+    assert len(parents) == 2 * fine and all(r.covered_pct == 100 or r.parent_size_m == 250 for r in parents)
+    assert {r.overlapped for r in parents if r.parent_size_m == 500} == {1} and max(r.overlapped for r in parents if r.parent_size_m == 250) > 1
+    assert "NestedLoop" not in grid.cell_parents(cells)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_duplicates_when_the_filter_is_full(spark, monkeypatch):
+    monkeypatch.setattr(profiling, "FILTER_LOG", 7)
+    rnd = random.Random(2)
+    rows = [dict(match_id=rnd.choice(["m", "n", " ", f"r{i}"]), time=str(rnd.randrange(3)), file=rnd.choice("ab"), killed_by=rnd.choice(["Falling", "Drown"])) for i in range(400)]
+    raw, names = raw_deaths(spark, *rows), [f.name for f in schemas.DEATHS]
+    sizes, keys = {}, {}
+    for r in raw.collect():
+        sizes.setdefault(tuple(r)[:-1], []).append(r.source_file)
+        if r.match_id.strip():
+            keys.setdefault((r.match_id, r.time, r.killed_by), []).append(r)
+    several = [v for v in sizes.values() if len(v) > 1]
+    got = profiling.exact_duplicates(raw, names, "source_file").first()
+    assert (got.duplicate_groups, got.duplicate_rows, got.cross_file_groups) == (len(several), sum(map(len, several)), sum(len(set(v)) > 1 for v in several))
+    found = profiling.event_candidates(raw, names, "source_file").first()
+    assert (found.candidate_groups, found.candidate_rows) == (sum(len(v) > 1 for v in keys.values()), sum(len(v) for v in keys.values() if len(v) > 1))
