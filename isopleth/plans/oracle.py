@@ -231,6 +231,7 @@ _TEXT = {name: ("first_death_date", "last_death_date") for name in ("grid_250",
 
 def oracle_sql() -> dict[str, str]:
     found = _oracle_sql()
+    found["served_hotspots"] = found["heatmap_cells"]
     return found | {name: f"select * replace ({', '.join(f'{c}::varchar as {c}' for c in columns)}) from ({found[name]})" for name, columns in _TEXT.items()}
 
 

@@ -8,9 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import clean, distance, grid, profiling, quality, telemetry
+from ..operators import clean, distance, grid, profiling, quality, serving, telemetry
 from ..schemas import DEATHS
-from ..sources import csv
+from ..sources import csv, database
 from ..sources.interim import settled, shared_folder
 from . import standins as S
 
@@ -85,6 +85,19 @@ def _collection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telemetry.collection_report(checked, S.stand_in(spark, sf_dir, S.DOCUMENT_EVENTS))
 
 
+def _served(events: DataFrame) -> DataFrame:
+    """Hotspots published twice to a database and read back. The database lives in the driver's process, which is that of the executors in local mode only."""
+    spark = events.sparkSession
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("the database of this query is within reach of the executors in local mode only")
+    db = database.Database(spark, f"jdbc:derby:memory:isopleth-{uuid.uuid4()};create=true")
+    db.create(serving.TABLES)
+    for run in ("first", "second"):
+        serving.replace_batch(db, grid.heatmap_cells(events), run, "batch", [])
+    found = db.read("environmental_hotspots").where("source_run_id = 'second'")
+    return found.drop("batch_id", "source_run_id", "published_at")
+
+
 def _linked(raw: DataFrame, aggregate: DataFrame) -> DataFrame:
     valid = clean.classify_events(raw).where("quality_status = 'quality_valid'")
     return clean.link_dates(valid, clean.match_dates(aggregate))
@@ -151,6 +164,7 @@ def _queries() -> dict[str, Query]:
         "time_quantiles": _profiled(lambda p: profiling.sentinel_times(p, "Drown")),
         "latest_runs": lambda spark, sf_dir: quality.latest_runs(S.stand_in(spark, sf_dir, S.RUNS)),
         "latest_hotspots": lambda spark, sf_dir: quality.latest_hotspots(S.stand_in(spark, sf_dir, S.HOTSPOTS), S.stand_in(spark, sf_dir, S.RUNS), "p1"),
+        "served_hotspots": _events(_served),
         "quality_run_summary": lambda spark, sf_dir: quality.quality_summary(S.stand_in(spark, sf_dir, S.RUNS), S.stand_in(spark, sf_dir, S.RESULTS)),
         "json_event_profile": _telemetry(lambda e: telemetry.telemetry_profile(e).withColumn("kill_keys", F.array_join("kill_keys", ","))),
         "event_type_counts": _telemetry(telemetry.event_type_counts),

@@ -5,6 +5,7 @@ import gzip
 import json
 import os
 import random
+import uuid
 
 import numpy as np
 import pytest
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 
 from isopleth import schemas
 from isopleth.functions import expr
-from isopleth.operators import clean, distance, grid, profiling, quality, telemetry
-from isopleth.sources import csv, sinks
+from isopleth.operators import clean, distance, grid, profiling, quality, serving, telemetry
+from isopleth.sources import csv, database, sinks
 
 DAY = dt.date(2017, 10, 20)
 CLEAN = "event_id string, killed_by string, map string, match_id string, date date, victim_position_x double, victim_position_y double"
@@ -394,3 +395,51 @@ def test_duplicates_when_the_filter_is_full(spark, monkeypatch):
     assert (got.duplicate_groups, got.duplicate_rows, got.cross_file_groups) == (len(several), sum(map(len, several)), sum(len(set(v)) > 1 for v in several))
     found = profiling.event_candidates(raw, names, "source_file").first()
     assert (found.candidate_groups, found.candidate_rows) == (sum(len(v) > 1 for v in keys.values()), sum(len(v) for v in keys.values() if len(v) > 1))
+
+
+def a_database(spark):
+    return database.Database(spark, f"jdbc:derby:memory:test-{uuid.uuid4()};create=true")
+
+
+def test_publication_to_a_database(spark):
+    db = a_database(spark)
+    assert db.create(serving.TABLES) == list(serving.TABLES) and db.create(serving.TABLES) == []
+    events = spark.createDataFrame([GOOD, ("e2", *GOOD[1:]), ("e3", *GOOD[1:5], 500000.0, 1.0)], CLEAN)
+    first, second = serving.publish(events, db), serving.publish(events.repartition(3), db)
+    failed = serving.publish(spark.createDataFrame([(None, *GOOD[1:])], CLEAN), db)
+    runs = {r.run_id: r for r in db.read("pipeline_runs").collect()}
+    assert {k: (r.status, r.quality_status, r.output_rows, r.input_rows) for k, r in runs.items()} == {first: ("SUCCEEDED", "PASS", 2, 3), second: ("SUCCEEDED", "PASS", 2, 3), failed: ("FAILED", "FAIL", 0, 1)}
+    assert runs[first].batch_id == runs[second].batch_id != runs[failed].batch_id and runs[failed].error_message
+    spots = db.read("environmental_hotspots").collect()
+    assert len(spots) == 2 and {r.source_run_id for r in spots} == {second} and db.read("staged_hotspots").count() == 0
+    checks = db.read("quality_check_results").groupBy("run_id").agg(F.count("*").alias("n"), F.sum("error_count").alias("e")).collect()
+    assert {r.run_id: (r.n, r.e > 0) for r in checks} == {first: (10, False), second: (10, False), failed: (10, True)}
+    # rows that a task staged twice count once
+    cells = grid.heatmap_cells(events)
+    assert serving.replace_batch(db, cells.unionByName(cells), "again", "other", []) == [0, 2]
+
+
+@pytest.mark.parametrize("broken", range(14))
+def test_database_publication_breaks_off(spark, monkeypatch, broken):
+    db = a_database(spark)
+    events = spark.createDataFrame([GOOD, ("e2", *GOOD[1:])], CLEAN)
+    first, execute, done = serving.publish(events, db), database.Database._execute, []
+
+    def at_most(self, connection, statement):
+        if statement[0].startswith(("delete from env", "insert into env", "insert into qual", "update")) and "FAILED" not in statement[1]:
+            if len(done) == broken:
+                done.append(None)
+                raise KeyboardInterrupt
+            done.append(statement)
+        return execute(self, connection, statement)
+
+    monkeypatch.setattr(database.Database, "_execute", at_most)
+    try:
+        last = serving.publish(events, db)
+    except KeyboardInterrupt:
+        last = None
+    monkeypatch.setattr(database.Database, "_execute", execute)
+    spots = db.read("environmental_hotspots").collect()
+    statuses = sorted(r.status for r in db.read("pipeline_runs").collect())
+    assert [r.source_run_id for r in spots] == [last or first] and statuses == (["SUCCEEDED"] * 2 if last else ["FAILED", "SUCCEEDED"])
+    assert (last is None) == (broken < 13) and db.read("quality_check_results").count() == (20 if last else 10) and db.read("staged_hotspots").count() == 0
