@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from array import array
 from collections.abc import Iterable, Iterator
 
@@ -30,7 +31,7 @@ from .common import resident, with_field
 #: Pieces kept encoded in a worker; when there are more, the memory starts afresh.
 CACHE_PIECES = 400_000
 #: Bytes of new pieces in one recursive query, characters of text handled at once, tokens decoded at once.
-QUERY_BYTES, BATCH_CHARS, DECODE_TOKENS = 75_000, 400_000, 200_000
+QUERY_BYTES, BATCH_CHARS, DECODE_TOKENS = 110_000, 700_000, 200_000
 #: Rows of all steps of a query for long runs.
 STATE_ROWS = 1_000_000
 #: One contraction a step is quadratic in a piece's bytes; longer pieces are contracted in parts of PART bytes.
@@ -78,6 +79,9 @@ last as (select w, max(step) as step from state group by w)
 select state.w, state.p, state.t, step from state join last using (w, step) order by state.w, state.p
 """
 
+#: A space beside another white space, or white space at an end.
+_UNEVEN = re.compile(r" \s|\s |\A\s|\s\Z")
+
 _DECODE = "select w, array_to_string(list(piece order by p), '') as s from tokens join vocab using (id) group by w order by w"
 
 
@@ -99,6 +103,8 @@ class DuckBpe:
         self.holds: dict[tuple[int, int], bool] = {}
         self.of_byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.pieces: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}
+        self.long: list[str] = []
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
         # a pair merges when its joined bytes are a token: every split of a token into two tokens
         splits = array("i")
@@ -236,6 +242,7 @@ class DuckBpe:
                 self.pieces[piece] = whole.to_bytes(4, "little")
             elif len(raw) > LONG_PIECE:
                 self.pieces[piece] = self._long(raw)
+                self.long.append(piece)
             else:
                 short.append(piece)
         self.pieces.update(zip(short, self._batched([x.encode() for x in short], _ENCODE)))
@@ -258,29 +265,31 @@ class DuckBpe:
         return [b"".join(ids) for ids in out]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        """A text is first cut where one space parts two words: no piece spans such a place, so what lies
-        between is looked up whole. A text with other spacing at its cuts goes through the pattern as a whole.
+        """A text is first cut where one space parts two words: no piece spans such a place, so a word is looked up
+        whole, as what follows a space. A text with other spacing at its cuts goes through the pattern as a whole.
         """
-        if len(self.pieces) > CACHE_PIECES:
+        if len(self.pieces) + len(self.spaced) > CACHE_PIECES:
             self.pieces.clear()
-        plans: list[list[str]] = []
+            self.spaced.clear()
+        # a plan is what is looked up among pieces, then what is looked up among words that follow a space
+        plans: list[tuple[list[str], list[str]]] = []
         for text in texts:
-            parts = text.split(" ")
-            if all(parts) and not any(x[0].isspace() or x[-1].isspace() for x in parts):
-                plans.append([parts[0], *(" " + x for x in parts[1:])])
+            if _UNEVEN.search(text):
+                plans.append((self.pattern.findall(text), []))
             else:
-                plans.append(self.pattern.findall(text))
-        fresh = {x for plan in plans for x in plan if x not in self.pieces}
-        cut = {x: self.pattern.findall(x) for x in fresh}
-        self._learn({y for ys in cut.values() for y in ys if y not in self.pieces})
-        for x, ys in cut.items():
-            if x not in self.pieces:
-                self.pieces[x] = b"".join([self.pieces[y] for y in ys])
-        found = [b"".join([self.pieces[x] for x in plan]) for plan in plans]
+                first, *words = text.split(" ")
+                plans.append((self.pattern.findall(first), words))
+        words = {x for _, plan in plans for x in plan if x not in self.spaced}
+        cut = {x: self.pattern.findall(" " + x) for x in words}
+        self._learn({y for ys in cut.values() for y in ys if y not in self.pieces} | {y for plan, _ in plans for y in plan if y not in self.pieces})
         for x, ys in cut.items():
-            for y in (x, *ys):
-                if len(y) > LONG_PIECE:  # not kept
-                    self.pieces.pop(y, None)
+            self.spaced[x] = b"".join([self.pieces[y] for y in ys])
+        found = [b"".join([self.pieces[x] for x in head] + [self.spaced[x] for x in rest]) for head, rest in plans]
+        for x in [x for x in words if len(x) > LONG_PIECE]:  # not kept
+            del self.spaced[x]
+        for y in self.long:
+            self.pieces.pop(y, None)
+        self.long.clear()
         return found
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
