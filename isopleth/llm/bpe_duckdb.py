@@ -281,9 +281,13 @@ class DuckBpe:
                 plans.append((self.pattern.findall(first), words))
         words = {x for _, plan in plans for x in plan if x not in self.spaced}
         cut = {x: self.pattern.findall(" " + x) for x in words}
-        self._learn({y for ys in cut.values() for y in ys if y not in self.pieces} | {y for plan, _ in plans for y in plan if y not in self.pieces})
+        needed = {y for plan, _ in plans for y in plan}
+        self._learn({y for y in needed.union(*cut.values()) if y not in self.pieces})
         for x, ys in cut.items():
             self.spaced[x] = b"".join([self.pieces[y] for y in ys])
+        for ys in cut.values():
+            if len(ys) == 1 and ys[0] not in needed:  # kept once
+                self.pieces.pop(ys[0], None)
         found = [b"".join([self.pieces[x] for x in head] + [self.spaced[x] for x in rest]) for head, rest in plans]
         for x in [x for x in words if len(x) > LONG_PIECE]:  # not kept
             del self.spaced[x]
