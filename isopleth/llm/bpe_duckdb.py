@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from .common import resident, with_field
 
 #: Pieces kept encoded in a worker; when there are more, the memory starts afresh.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 700_000
 #: Bytes of new pieces in one recursive query, characters of text handled at once, tokens decoded at once.
 QUERY_BYTES, BATCH_CHARS, DECODE_TOKENS = 110_000, 700_000, 200_000
 #: Rows of all steps of a query for long runs.
