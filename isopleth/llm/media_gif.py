@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import with_field
+from .common import free_name, with_field
 
 #: Samples in a line, lines in a frame, and show time of the frames that `encode` writes.
 WIDTH, FRAME_LINES, DELAY_CS = 64, 256, 4
@@ -26,8 +26,10 @@ BINS = 64
 #: Rows handed on at once when rows carry whole frames.
 ROWS_OUT = 64
 
-#: Samples that a byte of codes stands for at most, about, and samples of a picture that may be blank whatever its bytes.
-MOST_SAMPLES, MOST_BLANK = 4096, 1 << 22
+#: Samples that a byte of codes stands for at most: a frame beyond that cannot be filled.
+MOST_SAMPLES = 4096
+#: Lines and columns of the squares that a picture is kept in.
+TILE = 64
 
 TOP = 4096  # codes have 12 bits at most
 
@@ -172,11 +174,52 @@ class Frame:
     disposal: int
     transparent: int  # palette index, -1 for none
     samples: bytes  # palette indices in row order
-    canvas: np.ndarray  # whole picture once this frame is drawn: lines x columns x RGB
-
-    def histogram(self) -> np.ndarray:
-        q = self.canvas.reshape(-1, 3) >> 6
-        return np.bincount(q[:, 0] * 16 + q[:, 1] * 4 + q[:, 2], minlength=BINS)
+    seen: np.ndarray  # the composed picture in the frame's place, as far as that lies in the picture: lines x columns x RGB
+    counts: np.ndarray  # colour histogram of the whole composed picture
+
+
+def _counts(area: np.ndarray) -> np.ndarray:
+    q = area.reshape(-1, 3) >> 6
+    return np.bincount(q[:, 0] * 16 + q[:, 1] * 4 + q[:, 2], minlength=BINS)
+
+
+class Picture:
+    """A composed picture of any size: squares that frames have touched are kept, the rest is ground, known by its count alone."""
+
+    def __init__(self, lines: int, columns: int, ground: np.ndarray) -> None:
+        self.lines, self.columns, self.ground = lines, columns, ground
+        self.squares: dict[tuple[int, int], np.ndarray] = {}
+        self.counts = _counts(ground) * (lines * columns)
+
+    def _pieces(self, left: int, top: int, height: int, width: int) -> Iterator[tuple[tuple[int, int], tuple[slice, slice], tuple[slice, slice]]]:
+        """Each square under a place: its key, the part of it, and the same part seen from the place."""
+        for y in range(top // TILE, -(-(top + height) // TILE)):
+            for x in range(left // TILE, -(-(left + width) // TILE)):
+                y0, y1 = max(top, y * TILE), min(top + height, (y + 1) * TILE)
+                x0, x1 = max(left, x * TILE), min(left + width, (x + 1) * TILE)
+                yield (y, x), (slice(y0 - y * TILE, y1 - y * TILE), slice(x0 - x * TILE, x1 - x * TILE)), (slice(y0 - top, y1 - top), slice(x0 - left, x1 - left))
+
+    def read(self, left: int, top: int, height: int, width: int) -> np.ndarray:
+        """A copy of a place, as far as it lies in the picture."""
+        height, width = max(0, min(height, self.lines - top)), max(0, min(width, self.columns - left))
+        area = np.empty((height, width, 3), np.uint8)
+        area[:] = self.ground
+        for key, inside, outside in self._pieces(left, top, height, width) if area.size else ():
+            if key in self.squares:
+                area[outside] = self.squares[key][inside]
+        return area
+
+    def write(self, left: int, top: int, area: np.ndarray) -> None:
+        """Put back a place that was read."""
+        if not area.size:
+            return
+        height, width = area.shape[:2]
+        self.counts = self.counts - _counts(self.read(left, top, height, width)) + _counts(area)
+        for key, inside, outside in self._pieces(left, top, height, width):
+            if key not in self.squares:
+                self.squares[key] = np.empty((TILE, TILE, 3), np.uint8)
+                self.squares[key][:] = self.ground
+            self.squares[key][inside] = area[outside]
 
 
 def _sub_blocks(data: bytes, at: int) -> tuple[bytes, int]:
@@ -204,10 +247,7 @@ def decode(data: bytes) -> Iterator[Frame]:
     if flags & 0x80:
         shared, at = _colours(data, at, flags)
     ground = shared[background] if flags & 0x80 else np.zeros(3, np.uint8)
-    if lines * columns > max(MOST_BLANK, MOST_SAMPLES * len(data)):
-        raise ValueError("the picture is larger than its bytes can fill")
-    canvas = np.empty((lines, columns, 3), np.uint8)
-    canvas[:] = ground
+    whole = Picture(lines, columns, ground)
     number, clock = 0, 0
     disposal, delay, transparent = 0, 0, -1
     while data[at] != 0x3B:
@@ -224,26 +264,28 @@ def decode(data: bytes) -> Iterator[Frame]:
         table = shared
         if flags & 0x80:
             table, at = _colours(data, at, flags)
-        if width * height > max(MOST_BLANK, MOST_SAMPLES * len(data)):
-            raise ValueError("the frame is larger than its bytes can fill")
         minimum = data[at]
         stream, at = _sub_blocks(data, at + 1)
+        if width * height > MOST_SAMPLES * 8 * len(stream):  # a code has two bits at least
+            raise ValueError("the frame is larger than its bytes can fill")
         picture = np.frombuffer(lzw_decode(stream, minimum, width * height), np.uint8).reshape(height, width)
         if flags & 0x40:  # interlaced: every 8th line, then 4th of 8, 2nd of 4, the rest
             order = [y for first, each in ((0, 8), (4, 8), (2, 4), (1, 2)) for y in range(first, height, each)]
             straight = np.empty_like(picture)
             straight[order] = picture
             picture = straight
-        before = canvas.copy() if disposal == 3 else None
-        area = canvas[top : top + height, left : left + width]
-        seen = picture[: area.shape[0], : area.shape[1]]
-        drawn = seen != transparent
-        area[drawn] = table[seen[drawn]]
-        yield Frame(number, clock * 10, delay * 10, left, top, width, height, disposal, transparent, picture.tobytes(), canvas.copy())
+        before = whole.read(left, top, height, width)
+        area = before.copy()
+        shown = picture[: area.shape[0], : area.shape[1]]
+        drawn = shown != transparent
+        area[drawn] = table[shown[drawn]]
+        whole.write(left, top, area)
+        yield Frame(number, clock * 10, delay * 10, left, top, width, height, disposal, transparent, picture.tobytes(), area.copy(), whole.counts)
         if disposal == 2:
             area[:] = ground
-        elif before is not None:
-            canvas = before
+            whole.write(left, top, area)
+        elif disposal == 3:
+            whole.write(left, top, before)
         number, clock = number + 1, clock + delay
         disposal, delay, transparent = 0, 0, -1
 
@@ -255,7 +297,11 @@ def payload_of(text: str | None) -> tuple[int, bytes]:
 
 
 def store_texts(df: DataFrame, text: str = "text", out: str = "gif") -> DataFrame:
-    """`df` with the whole text's bytes as a GIF in binary column `out`; null counts as empty (one line of zeros)."""
+    """`df` with the whole text's bytes as a GIF in binary column `out`, whose name is made longer until it is free.
+
+    Null counts as empty (one line of zeros). Equal texts give equal bytes, repeated rows stay, no rows give none.
+    """
+    out = free_name(df, out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -270,8 +316,9 @@ def store_texts(df: DataFrame, text: str = "text", out: str = "gif") -> DataFram
 def frames(df: DataFrame, key: str, media: str = "gif") -> DataFrame:
     """One row per frame: key, frame, start_ms, delay_ms, place and size, disposal, transparent index, samples, rgb, histogram, error.
 
-    rgb is the composed picture, histogram its BINS counts. Null media gives no rows; bytes that are no
-    sound GIF give the frames before the fault and a last row with `error` set and no frame.
+    rgb is the composed picture in the frame's place, histogram the BINS counts of the whole picture, which may be of any
+    size: what no frame touches is counted, not kept. Null media gives no rows; bytes that are no sound GIF give the frames
+    before the fault and a last row with `error` set and no frame. Repeated rows give their frames each; no rows, no frames.
     """
     schema = f"`{key}` {df.schema[key].dataType.simpleString()}, frame int, start_ms long, delay_ms long, left int, top int, width int, height int, disposal int, transparent int, samples binary, rgb binary, histogram array<long>, error string"
     arrow = [pa.int32(), pa.int64(), pa.int64(), *[pa.int32()] * 6, pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.string()]
@@ -280,7 +327,7 @@ def frames(df: DataFrame, key: str, media: str = "gif") -> DataFrame:
     def rows(data: bytes) -> Iterator[tuple]:
         try:
             for f in decode(data):
-                yield f.number, f.start_ms, f.delay_ms, f.left, f.top, f.width, f.height, f.disposal, f.transparent, f.samples, f.canvas.tobytes(), f.histogram().tolist(), None
+                yield f.number, f.start_ms, f.delay_ms, f.left, f.top, f.width, f.height, f.disposal, f.transparent, f.samples, f.seen.tobytes(), f.counts.tolist(), None
         except (ValueError, IndexError, struct.error, MemoryError) as fault:
             yield *[None] * 12, str(fault) or type(fault).__name__
 
@@ -311,7 +358,7 @@ def _digest(text: str | None) -> tuple:
     stored, total, shown, last = [], np.zeros(BINS, np.int64), 0, 0
     for f in decode(media):
         stored.append(f.samples)
-        total += f.histogram()
+        total += f.counts
         shown, last = f.number + 1, f.start_ms + f.delay_ms
     back = b"".join(stored)
     feature = f"frames={shown};ms={last};histogram=" + ",".join(map(str, total.tolist()))

@@ -59,17 +59,65 @@ def test_composition_rules():
             )
         )
     )
-    colours = [f.canvas.reshape(4, 3).tolist() for f in frames]
+    colours = [f.seen.reshape(-1, 3).tolist() for f in frames]
     r, g, b, k = [255, 0, 0], [0, 255, 0], [0, 0, 255], [0, 0, 0]
-    assert colours == [[r] * 4, [g, r, r, r], [r, r, r, b], [g, r, r, k]]
-    assert [f.start_ms for f in frames] == [0, 10, 20, 30] and frames[0].histogram().sum() == 4
+    assert colours == [[r] * 4, [g], [b], [g, r]]
+    bins = [{tuple(c): int(f.counts[(c[0] >> 6) * 16 + (c[1] >> 6) * 4 + (c[2] >> 6)]) for c in (r, g, b, k)} for f in frames]
+    assert [[x[tuple(c)] for c in (r, g, b, k)] for x in bins] == [[4, 0, 0, 0], [3, 1, 0, 0], [3, 0, 1, 0], [2, 1, 0, 1]]
+    assert [f.start_ms for f in frames] == [0, 10, 20, 30]
+
+
+def test_composition_equals_whole_pictures():
+    """Random frames, some partly or wholly beyond the picture, against a composer that keeps the whole picture."""
+    rnd, lines, columns = random.Random(5), 150, 200
+    places, blocks = [], []
+    for _ in range(40):
+        left, top, width, height = rnd.randrange(220), rnd.randrange(170), rnd.randrange(1, 130), rnd.randrange(1, 130)
+        samples, disposal, clear = rnd.randbytes(width * height), rnd.randrange(4), rnd.randrange(-1, 256)
+        coded = media_gif.lzw_encode(samples)
+        blocks.append(b"\x21\xf9\x04" + struct.pack("<BHBB", disposal << 2 | (clear >= 0), 1, max(clear, 0), 0) + b"\x2c" + struct.pack("<HHHHB", left, top, width, height, 0) + b"\x08")
+        blocks.append(b"".join(bytes((len(coded[i : i + 255]),)) + coded[i : i + 255] for i in range(0, len(coded), 255)) + b"\x00")
+        places.append((left, top, width, height, samples, disposal, clear))
+    data = b"GIF89a" + struct.pack("<HHBBB", columns, lines, 0xF7, 9, 0) + media_gif.PALETTE + b"".join(blocks) + b";"
+    colours = np.frombuffer(media_gif.PALETTE, np.uint8).reshape(256, 3)
+    canvas = np.tile(colours[9], (lines, columns, 1))
+    for frame, (left, top, width, height, samples, disposal, clear) in zip(media_gif.decode(data), places, strict=True):
+        held = canvas.copy()
+        for y in range(top, min(top + height, lines)):
+            for x in range(left, min(left + width, columns)):
+                if (sample := samples[(y - top) * width + x - left]) != clear:
+                    canvas[y, x] = colours[sample]
+        assert np.array_equal(frame.seen, canvas[top : top + height, left : left + width]) and frame.samples == samples
+        q = canvas.reshape(-1, 3) >> 6
+        assert np.array_equal(frame.counts, np.bincount(q @ [16, 4, 1], minlength=media_gif.BINS))
+        if disposal == 2:
+            canvas[top : top + height, left : left + width] = colours[9]
+        elif disposal == 3:
+            canvas = held
+
+
+def test_a_large_picture_with_a_small_frame(spark):
+    """Every size that the format can state: 4 billion samples of ground, frames at two corners."""
+    red = picture([(4, 3), (1, 3), (6, 3), (1, 3), (5, 3)], (65533, 65533, 2, 2))
+    data = gif([picture([(4, 3), (2, 3), (5, 3)], (0, 0, 1, 1)), red], (65535, 65535))
+    rows = spark.createDataFrame([(1, data), (2, gif([picture([(4, 3), (2, 3), (5, 3)], (0, 0, 60000, 60000))], (3000, 3000)))], "doc_id long, gif binary")
+    first, second = media_gif.frames(rows.where("doc_id = 1"), "doc_id").orderBy("frame").collect()
+    assert first.error is None and first.rgb == bytes([0, 255, 0]) and first.histogram[12] == 1 and first.histogram[0] == 65535**2 - 1
+    assert second.error is None and second.rgb == bytes([255, 0, 0] * 4) and (second.histogram[12], second.histogram[48], second.histogram[0]) == (1, 4, 65535**2 - 5)
+    (broken,) = media_gif.frames(rows.where("doc_id = 2"), "doc_id").collect()
+    assert "larger than its bytes" in broken.error
+
+
+def test_stored_column_gets_a_free_name(spark):
+    stored = media_gif.store_texts(odd_rows(spark))
+    assert stored.columns == ["doc_id", "text", "pii", "n_words", "gif", "gif_"] and {r.gif for r in stored.select("gif").collect()} == {"g", None}
 
 
 def test_interlace_and_local_palette():
     samples = [(4, 3), (0, 3), (1, 3), (2, 4), (3, 4), (5, 4)]
     local = bytes(range(12))
     frame = next(media_gif.decode(gif([picture([(c, w if i < 3 else 3) for i, (c, w) in enumerate(samples[:3])] + [(2, 3), (3, 4), (5, 4)], (0, 0, 1, 4), flags=0xC1, local=local)], (1, 4))))
-    assert frame.samples == bytes([0, 2, 1, 3]) and frame.canvas[3, 0].tolist() == [9, 10, 11]
+    assert frame.samples == bytes([0, 2, 1, 3]) and frame.seen[3, 0].tolist() == [9, 10, 11]
 
 
 def test_media_digests(spark):
