@@ -138,6 +138,15 @@ from p join s n on p.rid = n.rid and not n.same and 80 * p.score <= 100 * n.scor
 window w as (partition by p.rid, p.slot order by n.score desc, n.vec_id) qualify rank <= 5
 """
 
+SUBSTRINGS = f"""
+with d as materialized (select row_number() over () as rid, doc_id, regexp_extract_all(coalesce(text, ''), '{WORDS}') as w from documents),
+g as materialized (select rid, doc_id, i, array_to_string(w[i:i + 49], ' ') as run from (select *, unnest(range(1, len(w) - 48)) as i from d where len(w) >= 50)),
+hits as (select g.rid, g.i from g join (select run, min(doc_id) as first from g group by run) using (run) where g.doc_id > first),
+gone as materialized (select distinct rid, unnest(range(i, i + 50)) as p from hits),
+kept as (select d.rid, string_agg(d.word, ' ' order by d.p) as text from (select rid, unnest(w) as word, unnest(range(1, len(w) + 1)) as p from d) d anti join gone using (rid, p) group by d.rid)
+select doc_id, len(w) as n_words, (select count(*) from gone where gone.rid = d.rid) as n_removed, sha256(coalesce(kept.text, '')) as kept_sha256 from d left join kept using (rid)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_topk": TOP_K, "op8_pii": PII, "op9_mix": MIX, "op11_ballkmeans": KMEANS, "op12_metricjoin": METRIC_JOIN, "op13_hardnegatives": HARD_NEGATIVES}
+    return {"op4_substrings": SUBSTRINGS, "op5_topk": TOP_K, "op8_pii": PII, "op9_mix": MIX, "op11_ballkmeans": KMEANS, "op12_metricjoin": METRIC_JOIN, "op13_hardnegatives": HARD_NEGATIVES}

@@ -1,10 +1,10 @@
 """Substring dedup by level-wise doubling: windows repeated at one length alone go on to twice that length.
 
 The question is which windows of `window` words begin in a document with a smaller doc_id as well. Levels
-run up to that length by doubling (25, 50 for 50). At each shorter level a window stands or falls with its
+run up to that length by doubling (7, 13, 25, 50 for 50). At each shorter level a window stands or falls with its
 anchor, the least hash among the shorter windows inside it: equal windows have equal anchors, so a window
-whose anchor is found in one document only is out. About one word in thirteen is an anchor, so this moves
-little. Windows that survive all shorter levels are compared at full length, by runs that share an anchor:
+whose anchor is found in one document only is out, and only texts with windows left go on to the next level,
+until none is left. About one word in twenty-two is an anchor at the first level, so this moves little. Windows that survive all shorter levels are compared at full length, by runs that share an anchor:
 equal runs at once, runs that differ under one anchor window by window. Equal texts are judged once.
 """
 
@@ -23,7 +23,7 @@ from .shingles import hash_words, mix64, split_words
 
 WINDOW = 50
 #: The first level is the shortest halving of the window that has this many words at least.
-SHORTEST = 20
+SHORTEST = 7
 #: Keys are broadcast, to fetch the texts that they stand for, up to this number.
 BROADCAST_KEYS = 200_000
 BATCH_ROWS = 64
@@ -210,7 +210,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, shortest: int = SHORTE
     one space. Null texts have no words. Rows without a doc_id lose nothing and take nothing from others;
     rows that repeat a doc_id do not count as each other's predecessors. An empty table gives no rows.
     Word sequences are compared by hashes of 64 bits, those of their windows and of the shorter windows in them;
-    equal texts by 128.
+    equal texts by 128. Other columns are not read and do not come back. Texts may be of any length.
     """
     lengths = levels(window, shortest)
     scan = checkpoint(_scan(docs, window, lengths[0]))

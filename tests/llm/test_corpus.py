@@ -39,7 +39,37 @@ def test_repeats_against_brute_force(spark):
 
 
 def test_levels_double():
-    assert substring_dedup.levels(50) == [25, 50] and substring_dedup.levels(100) == [25, 50, 100] and substring_dedup.levels(10) == [10]
+    assert substring_dedup.levels(50) == [7, 13, 25, 50] and substring_dedup.levels(100) == [7, 13, 25, 50, 100] and substring_dedup.levels(10) == [10]
+
+
+def plain_repeats(rows, window=50):
+    """{doc_id: (words, removed, digest)} by dictionaries of whole word sequences."""
+    first, out = {}, {}
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", t or "") for i, t in rows}
+    for i in sorted(words):
+        for at in range(len(words[i]) - window + 1):
+            first.setdefault(tuple(words[i][at : at + window]), i)
+    for i, ws in words.items():
+        gone = set()
+        for at in range(len(ws) - window + 1):
+            if first[tuple(ws[at : at + window])] < i:
+                gone.update(range(at, at + window))
+        out[i] = (len(ws), len(gone), hashlib.sha256(" ".join(w for p, w in enumerate(ws) if p not in gone).encode()).hexdigest())
+    return out
+
+
+def test_repeats_of_long_texts_with_clashing_columns(spark):
+    """Full length, every level: passages of 50 and 49 words, one of 3,000, within a text of 60,000; one word 5,000 times."""
+    rnd = random.Random(11)
+    fresh = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    shared, short, passage = fresh(50), fresh(49), fresh(3000)
+    texts = [fresh(30_000) + shared + fresh(20_000) + passage + fresh(10_000), fresh(70) + shared + fresh(9) + short, shared[1:] + fresh(5) + passage[500:900], short + fresh(1) + short, ["a"] * 5000, ["b"] + ["a"] * 60, [], passage]
+    texts.append(texts[1])
+    rows = [(i, " ".join(ws)) for i, ws in enumerate(texts)] + [(90, None)]
+    frame = spark.createDataFrame([(i, t, "x", 1, 2, "k", 3) for i, t in rows], "doc_id long, text string, key string, id long, n_words long, kept string, anchors long")
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.remove_repeats(frame).collect()}
+    assert got == plain_repeats(rows)
+    assert [got[i][1] for i in range(9)] == [0, 50, 400, 0, 0, 60, 0, 3000, len(texts[1])]
 
 
 def test_signatures_are_unbiased():

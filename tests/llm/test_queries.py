@@ -19,7 +19,7 @@ def connection(folder):
     return db
 
 
-@pytest.mark.parametrize("name", ["op5_topk", "op8_pii", "op9_mix", "op11_ballkmeans", "op12_metricjoin", "op13_hardnegatives"])
+@pytest.mark.parametrize("name", ["op4_substrings", "op5_topk", "op8_pii", "op9_mix", "op11_ballkmeans", "op12_metricjoin", "op13_hardnegatives"])
 def test_query_equals_sql(spark, name):
     got = entry.queries()[name](spark, SF)
     columns = sorted(got.columns)
