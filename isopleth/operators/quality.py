@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.expr import is_blank, outside
+from ..sources.commits import CommitLog
 from .grid import heatmap_cells
 
 PIPELINE = "environmental_hotspot_publish"
@@ -82,23 +83,46 @@ class Store:
     def append(self, rows: DataFrame, name: str) -> None:
         rows.write.mode("append").parquet(self.path(name))
 
-    def drop_other_runs(self, spark: SparkSession, name: str, batch: str, run_id: str) -> None:
-        """Remove what earlier runs left of a batch."""
+    def log(self, spark: SparkSession, name: str) -> CommitLog:
+        return CommitLog(spark, f"{self.path(name)}_log")
+
+    def commit(self, spark: SparkSession, name: str, seen: int, batch: str, run_id: str) -> str | None:
+        """Let a run's partition stand for its batch; return the run that it replaces."""
+        return self.log(spark, name).commit(seen, batch, run_id)
+
+    def drop_run(self, spark: SparkSession, name: str, batch: str, run_id: str) -> None:
+        """Remove one run's partition of a batch."""
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path(name)}/batch_id={batch}/source_run_id={run_id}")
+        folder.getFileSystem(conf).delete(folder, True)
+
+    def current(self, spark: SparkSession, name: str) -> DataFrame:
+        """Rows of the runs that stand for their batches by the log; other partitions are not read."""
+        paths = [f"{self.path(name)}/batch_id={batch}/source_run_id={run}" for batch, run in self.log(spark, name).live().items()]
+        if not paths:
+            raise FileNotFoundError(f"nothing is committed to {name}")
+        return spark.read.option("basePath", self.path(name)).parquet(*paths)
+
+    def drop_leftovers(self, spark: SparkSession, name: str, before: datetime) -> int:
+        """Remove partitions that no entry names and that were last changed before a time, such as of runs that were broken off; return their number."""
         jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path(name)}/batch_id={batch}")
-        files = folder.getFileSystem(conf)
-        for run in files.listStatus(folder):
-            if run.getPath().getName() != f"source_run_id={run_id}":
-                files.delete(run.getPath(), True)
+        pattern = jvm.org.apache.hadoop.fs.Path(f"{self.path(name)}/batch_id=*/source_run_id=*")
+        files = pattern.getFileSystem(conf)
+        live = {f"source_run_id={run}" for run in self.log(spark, name).live().values()}
+        stale = [f.getPath() for f in files.globStatus(pattern) or [] if f.getPath().getName() not in live and f.getModificationTime() < before.timestamp() * 1000]
+        for place in stale:
+            files.delete(place, True)
+        return len(stale)
 
 
 def publish(events: DataFrame, store: Store, now: datetime | None = None) -> str:
     """Gate `events`; if all rules pass, replace their batch of hotspots; return the run's id.
 
-    The batch is named by the table's content. Hotspots go to a partition of their batch and run, rule results
-    and hotspots are written before the run's final row, and the views follow runs that succeeded: a run that
-    breaks off anywhere leaves the last success as it was. Only then do the same batch's earlier runs go.
-    Any error is recorded as a failed run and raised again.
+    The batch is named by the table's content. Hotspots go to a partition of their batch and run; an entry in the
+    table's log lets it stand for the batch, then the run's final row is written. A run that breaks off anywhere
+    leaves the last success as it was, and only after the final row does the run that was replaced go. Of two
+    publishers of one batch at a time, the one that commits second fails and removes its own partition. Any error
+    is recorded as a failed run and raised again.
     """
     spark, run_id = events.sparkSession, str(uuid.uuid4())
     started = now or datetime.now(timezone.utc)
@@ -110,6 +134,8 @@ def publish(events: DataFrame, store: Store, now: datetime | None = None) -> str
         seconds = (F.unix_micros("finished_at") - F.unix_micros("started_at")) / 1e6
         store.append(row.withColumn("duration_seconds", seconds.cast("decimal(12,3)")), "pipeline_runs")
 
+    table, committed = "environmental_hotspots", False
+    seen = store.log(spark, table).version()
     record("RUNNING", "NOT_CHECKED")
     try:
         checks = quality_checks(events).collect()  # ten rows
@@ -121,12 +147,19 @@ def publish(events: DataFrame, store: Store, now: datetime | None = None) -> str
             record("FAILED", "FAIL", rows, 0, failed, "quality rules failed")
             return run_id
         cells = heatmap_cells(events).withColumn("source_run_id", F.lit(run_id)).withColumn("published_at", F.current_timestamp()).withColumn("batch_id", F.lit(batch))
-        cells.write.mode("append").partitionBy("batch_id", "source_run_id").parquet(store.path("environmental_hotspots"))
-        written = spark.read.parquet(store.path("environmental_hotspots")).where((F.col("batch_id") == batch) & (F.col("source_run_id") == run_id)).count()
+        # straight into the run's own folder: an append to the table would share its job folder with other publishers
+        mine = f"{store.path(table)}/batch_id={batch}/source_run_id={run_id}"
+        cells.drop("batch_id", "source_run_id").write.parquet(mine)
+        written = spark.read.parquet(mine).count()
+        replaced = store.commit(spark, table, seen, batch, run_id)
+        committed = True
         record("SUCCEEDED", "PASS", rows, written, 0)
-        store.drop_other_runs(spark, "environmental_hotspots", batch, run_id)
+        if replaced:
+            store.drop_run(spark, table, batch, replaced)
     except Exception as fault:
         record("FAILED", "NOT_CHECKED", error=str(fault)[:2000])
+        if not committed:
+            store.drop_run(spark, table, batch, run_id)
         raise
     return run_id
 

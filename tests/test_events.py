@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from isopleth import schemas
 from isopleth.functions import expr
 from isopleth.operators import clean, distance, grid, profiling, quality, serving, telemetry
-from isopleth.sources import csv, database, sinks
+from isopleth.sources import commits, csv, database, sinks
 
 DAY = dt.date(2017, 10, 20)
 CLEAN = "event_id string, killed_by string, map string, match_id string, date date, victim_position_x double, victim_position_y double"
@@ -163,7 +163,7 @@ def test_publication(spark, tmp_path):
     assert (none.check_count, none.rule_error_count) == (0, 0)
 
 
-@pytest.mark.parametrize("writes", range(5))
+@pytest.mark.parametrize("writes", range(6))
 def test_publication_breaks_off(spark, tmp_path, monkeypatch, writes):
     store, events = quality.Store(str(tmp_path)), spark.createDataFrame([GOOD, ("e2", *GOOD[1:])], CLEAN)
     first = quality.publish(events, store)
@@ -173,8 +173,9 @@ def test_publication_breaks_off(spark, tmp_path, monkeypatch, writes):
         if len(done) == writes:
             raise KeyboardInterrupt
         done.append(then(self, *args))
+        return done[-1]
 
-    for name in ("append", "drop_other_runs"):
+    for name in ("append", "commit", "drop_run"):
         monkeypatch.setattr(quality.Store, name, lambda self, *a, f=getattr(quality.Store, name): broken(self, *a, then=f))
     try:
         last = quality.publish(events, store)
@@ -185,6 +186,45 @@ def test_publication_breaks_off(spark, tmp_path, monkeypatch, writes):
     succeeded = [r.run_id for r in quality.current_runs(runs).where("status = 'SUCCEEDED'").collect()]
     assert len(seen) == 1 and seen[0].source_run_id in succeeded and (writes > 2 or seen[0].source_run_id == first)
     assert last is None or seen[0].source_run_id == last
+    current = store.current(spark, "environmental_hotspots").collect()
+    assert len(current) == 1 and (current[0].source_run_id == first) == (writes < 3)
+    assert store.drop_leftovers(spark, "environmental_hotspots", dt.datetime.now(dt.timezone.utc) + dt.timedelta(seconds=5)) == (1 if writes in (2, 3, 4) else 0)
+    assert [r.asDict() for r in store.current(spark, "environmental_hotspots").collect()] == [r.asDict() for r in current]
+
+
+def test_two_publishers_of_one_batch(spark, tmp_path, monkeypatch):
+    """A second publisher runs between the first one's write and its commit; the first gives way, others' batches do not matter."""
+    store, events = quality.Store(str(tmp_path)), spark.createDataFrame([GOOD, ("e2", *GOOD[1:])], CLEAN)
+    other = spark.createDataFrame([("e9", *GOOD[1:])], CLEAN)
+    commit, between = quality.Store.commit, []
+
+    def interleaved(self, *args):
+        monkeypatch.setattr(quality.Store, "commit", commit)
+        between.extend(quality.publish(e, self) for e in meanwhile)
+        return commit(self, *args)
+
+    for meanwhile, conflict in (([other], False), ([events, other], True)):
+        between.clear()
+        monkeypatch.setattr(quality.Store, "commit", interleaved)
+        if conflict:
+            with pytest.raises(commits.ConcurrentPublication):
+                quality.publish(events, store)
+        else:
+            between.append(quality.publish(events, store))
+        found = store.current(spark, "environmental_hotspots").collect()
+        assert {r.source_run_id for r in found} == set(between) and len(found) == 2
+        assert spark.read.parquet(store.path("environmental_hotspots")).count() == 2
+    states = [r.status for r in quality.current_runs(spark.read.parquet(store.path("pipeline_runs"))).collect()]
+    assert sorted(states) == ["FAILED"] + ["SUCCEEDED"] * 4
+
+
+def test_one_writer_a_number(spark, tmp_path):
+    log = commits.CommitLog(spark, str(tmp_path / "log"))
+    assert log.version() == -1 and log.commit(-1, "a", "r1") is None
+    assert not log._put({"version": 0, "batch_id": "b", "run_id": "r2"}) and log.live() == {"a": "r1"}
+    assert log.commit(-1, "b", "r2") is None and log.commit(0, "a", "r3") == "r1"
+    assert log.live() == {"a": "r3", "b": "r2"} and log.live(1) == {"a": "r1", "b": "r2"} and log.version() == 2
+    assert sorted(p for p in os.listdir(tmp_path / "log") if not p.endswith(".crc")) == [f"{i:020d}.json" for i in range(3)]
 
 
 def test_profiles_of_text(spark):
