@@ -79,8 +79,14 @@ last as (select w, max(step) as step from state group by w)
 select state.w, state.p, state.t, step from state join last using (w, step) order by state.w, state.p
 """
 
-#: A space beside another white space, or white space at an end.
-_UNEVEN = re.compile(r" \s|\s |\A\s|\s\Z")
+#: White space other than a space, beside a space.
+_MIXED = re.compile(r"[^\S ](?:(?= )|(?<= [^\S ]))")
+
+
+def _uneven(text: str) -> bool:
+    """Whether a space is beside another white space, or white space at an end."""
+    return "  " in text or text[:1].isspace() or text[-1:].isspace() or _MIXED.search(text) is not None
+
 
 _DECODE = "select w, array_to_string(list(piece order by p), '') as s from tokens join vocab using (id) group by w order by w"
 
@@ -274,21 +280,22 @@ class DuckBpe:
         # a plan is what is looked up among pieces, then what is looked up among words that follow a space
         plans: list[tuple[list[str], list[str]]] = []
         for text in texts:
-            if _UNEVEN.search(text):
+            if _uneven(text):
                 plans.append((self.pattern.findall(text), []))
             else:
                 first, *words = text.split(" ")
                 plans.append((self.pattern.findall(first), words))
-        words = {x for _, plan in plans for x in plan if x not in self.spaced}
+        words = set().union(*[plan for _, plan in plans]).difference(self.spaced)
         cut = {x: self.pattern.findall(" " + x) for x in words}
-        needed = {y for plan, _ in plans for y in plan}
-        self._learn({y for y in needed.union(*cut.values()) if y not in self.pieces})
+        needed = set().union(*[plan for plan, _ in plans])
+        self._learn(needed.union(*cut.values()).difference(self.pieces))
         for x, ys in cut.items():
             self.spaced[x] = b"".join([self.pieces[y] for y in ys])
         for ys in cut.values():
             if len(ys) == 1 and ys[0] not in needed:  # kept once
                 self.pieces.pop(ys[0], None)
-        found = [b"".join([self.pieces[x] for x in head] + [self.spaced[x] for x in rest]) for head, rest in plans]
+        piece, spaced = self.pieces.__getitem__, self.spaced.__getitem__
+        found = [b"".join(map(piece, head)) + b"".join(map(spaced, rest)) for head, rest in plans]
         for x in [x for x in words if len(x) > LONG_PIECE]:  # not kept
             del self.spaced[x]
         for y in self.long:
