@@ -209,12 +209,12 @@ class Picture:
                 area[outside] = self.squares[key][inside]
         return area
 
-    def write(self, left: int, top: int, area: np.ndarray) -> None:
-        """Put back a place that was read."""
+    def write(self, left: int, top: int, area: np.ndarray, counts: np.ndarray) -> None:
+        """Put back a place that was read, and the histogram of the whole with it."""
+        self.counts = counts
         if not area.size:
             return
         height, width = area.shape[:2]
-        self.counts = self.counts - _counts(self.read(left, top, height, width)) + _counts(area)
         for key, inside, outside in self._pieces(left, top, height, width):
             if key not in self.squares:
                 self.squares[key] = np.empty((TILE, TILE, 3), np.uint8)
@@ -279,13 +279,14 @@ def decode(data: bytes) -> Iterator[Frame]:
         shown = picture[: area.shape[0], : area.shape[1]]
         drawn = shown != transparent
         area[drawn] = table[shown[drawn]]
-        whole.write(left, top, area)
+        held, rest = whole.counts, whole.counts - _counts(before)
+        whole.write(left, top, area, rest + _counts(area))
         yield Frame(number, clock * 10, delay * 10, left, top, width, height, disposal, transparent, picture.tobytes(), area.copy(), whole.counts)
         if disposal == 2:
             area[:] = ground
-            whole.write(left, top, area)
+            whole.write(left, top, area, rest + _counts(ground) * (area.size // 3))
         elif disposal == 3:
-            whole.write(left, top, before)
+            whole.write(left, top, before, held)
         number, clock = number + 1, clock + delay
         disposal, delay, transparent = 0, 0, -1
 
