@@ -45,95 +45,105 @@ _WIDTHS_8 = code_widths(258, TOP)
 
 def lzw_encode(samples: bytes) -> bytes:
     """LZW code stream of 8-bit samples (minimum code size 8), cleared whenever the table is full."""
-    codes: list[int] = [256]
+    codes: list[int] = [256 << 8]  # shifted, as a code meets the next sample
     segments: list[int] = []  # codes after each clear, its closing code included
     begun = 1
-    table: dict[int, int] = {}
-    free = 258
-    prefix = -1
-    get, emit = table.get, codes.append
-    for sample in samples:
-        if prefix < 0:
-            prefix = sample
-            continue
-        pair = prefix << 8 | sample
-        code = get(pair)
-        if code is not None:
-            prefix = code
-            continue
-        emit(prefix)
-        table[pair] = free
-        free += 1
-        prefix = sample
-        if free == TOP:
-            emit(256)
+    rest, emit = iter(samples), codes.append
+    prefix = next(rest, -1) << 8
+    more = prefix >= 0
+    while more:
+        table: dict[int, int] = {}
+        get = table.get
+        for free in range(258 << 8, TOP << 8, 1 << 8):
+            for sample in rest:
+                code = get(prefix | sample)
+                if code is None:
+                    break
+                prefix = code
+            else:
+                more = False
+                break
+            emit(prefix)
+            table[prefix | sample] = free
+            prefix = sample << 8
+        emit(256 << 8 if more else prefix)
+        if more:
             segments.append(len(codes) - begun)
             begun = len(codes)
-            table.clear()
-            free = 258
-    if prefix >= 0:
-        emit(prefix)
-    emit(257)
+    emit(257 << 8)
     segments.append(len(codes) - begun)
     widths = np.concatenate([[9], *(_WIDTHS_8[:n] for n in segments)]).astype(np.int64)
     ends = np.cumsum(widths)
     begins = ends - widths
-    value = np.array(codes, np.int64) << (begins & 7)
+    value = np.array(codes, np.int64) >> 8 << (begins & 7)
     size = int(ends[-1] + 7 >> 3) + 2
     at = begins >> 3
     packed = sum(np.bincount(at + k, (value >> 8 * k) & 255, size) for k in range(3))  # no two codes share a bit
     return packed.astype(np.uint8).tobytes()[: int(ends[-1] + 7 >> 3)]
 
 
+def _roots(source: np.ndarray) -> np.ndarray:
+    """Where chains of indices end that lead back to themselves, by doubling."""
+    while True:
+        further = source[source]
+        if np.array_equal(further, source):
+            return source
+        source = further
+
+
+def _samples(codes: np.ndarray, clear: int, first_free: int, most: int) -> tuple[np.ndarray, bool]:
+    """Samples of the codes after a clear code, up to the code that reaches `most`, and whether all codes have entries.
+
+    Entry i holds the word of code i and the sample after it, so each sample of a word is copied from an earlier
+    place of the output; places are followed back to codes that are samples themselves.
+    """
+    last = np.minimum(first_free - 1 + np.arange(len(codes)), TOP - 1)  # the newest entry that a code may name
+    last[:1] = clear - 1
+    wrong = np.flatnonzero(codes > last)
+    sound = codes[: wrong[0]] if len(wrong) else codes
+    plain = sound < clear
+    source = np.where(plain, np.arange(len(sound)), sound - first_free)
+    lengths, at = 2 - plain.astype(np.int64), source  # of a word: that of the code its entry began with, and one
+    while not np.array_equal(further := at[at], at):
+        lengths, at = lengths + lengths[at] - 1, further
+    ends = np.cumsum(lengths)
+    needed = int(np.searchsorted(ends, most)) + 1
+    sound, plain, source, lengths, ends = sound[:needed], plain[:needed], source[:needed], lengths[:needed], ends[:needed]
+    begins = ends - lengths
+    total = int(ends[-1]) if len(ends) else 0
+    values = np.zeros(total, np.uint8)
+    values[begins[plain]] = sound[plain]
+    places = np.repeat((begins[source] - begins).astype(np.int32), lengths) + np.arange(total, dtype=np.int32)
+    return values[_roots(places)], not len(wrong)
+
+
 def lzw_decode(stream: bytes, minimum: int, count: int) -> bytes:
     """First `count` samples of a code stream; clear codes may stand anywhere, and a full table stays as it is."""
     clear, stop, first_free = 1 << minimum, (1 << minimum) + 1, (1 << minimum) + 2
     bits = np.unpackbits(np.frombuffer(stream, np.uint8), bitorder="little")
     widths = _WIDTHS_8 if minimum == 8 else code_widths(first_free, TOP)
-    base = [bytes([i]) for i in range(clear)] + [b"", b""]
     out: list[bytes] = []
-    made, at, k = 0, 0, 0
-    table, last = base[:], b""
-    while made < count:
+    held: list[np.ndarray] = []  # codes since the last clear
+    made, at, k, ended = 0, 0, 0, False
+    while made < count and not ended:
         width = int(widths[min(k, TOP - 1)])
         run = int(np.searchsorted(widths, width, "right")) - k if k < TOP - 1 and width < 12 else TOP
         run = min(run, (len(bits) - at) // width)
-        if run <= 0:
-            raise ValueError("LZW stream ends early")
         codes = bits[at : at + run * width].reshape(run, width) @ (1 << np.arange(width, dtype=np.int64))
         special = np.flatnonzero((codes == clear) | (codes == stop))
-        ended = int(special[0]) if len(special) else run
-        todo = codes[:ended].tolist()
-        if todo and not last:  # the first code after a clear makes no entry
-            last = base[todo[0]] if todo[0] < clear else b""
-            if not last:
+        n = int(special[0]) if len(special) else run
+        held.append(codes[:n])
+        k += n
+        at += n * width
+        if len(special) or not run:
+            words, sound = _samples(np.concatenate(held), clear, first_free, count - made)
+            out.append(words.tobytes())
+            made += len(words)
+            if made < count and not sound:
                 raise ValueError("LZW code without an entry")
-            out.append(last)
-            made += len(last)
-            del todo[0]
-        grown, kept = todo[: TOP - len(table)], todo[TOP - len(table) :]
-        add, emit = table.append, out.append
-        for code in grown:
-            try:
-                word = table[code]
-            except IndexError:
-                if code != len(table):
-                    raise ValueError("LZW code without an entry") from None
-                word = last + last[:1]
-            add(last + word[:1])
-            emit(word)
-            made += len(word)
-            last = word
-        for code in kept:
-            emit(table[code])
-            made += len(table[code])
-        k += ended
-        at += ended * width
-        if len(special):
+            ended = not run or codes[n] == stop
             at += width
-            if codes[ended] == stop:
-                break
-            table, last, k = base[:], b"", 0
+            held, k = [], 0
     if made < count:
         raise ValueError("LZW stream has too few samples")
     return b"".join(out)[:count]
@@ -183,6 +193,13 @@ def _counts(area: np.ndarray) -> np.ndarray:
     return np.bincount(q[:, 0] * 16 + q[:, 1] * 4 + q[:, 2], minlength=BINS)
 
 
+def _palette_counts(table: np.ndarray, shown: np.ndarray) -> np.ndarray:
+    """Histogram of palette samples, counted by sample first."""
+    q = table.astype(np.int64) >> 6
+    times = np.bincount(shown.reshape(-1), minlength=256)
+    return np.bincount(q[:, 0] * 16 + q[:, 1] * 4 + q[:, 2], times, BINS).astype(np.int64)
+
+
 class Picture:
     """A composed picture of any size: squares that frames have touched are kept, the rest is ground, known by its count alone."""
 
@@ -275,16 +292,18 @@ def decode(data: bytes) -> Iterator[Frame]:
             straight[order] = picture
             picture = straight
         before = whole.read(left, top, height, width)
-        area = before.copy()
-        shown = picture[: area.shape[0], : area.shape[1]]
-        drawn = shown != transparent
-        area[drawn] = table[shown[drawn]]
+        shown = picture[: before.shape[0], : before.shape[1]]
+        area = table.take(shown, axis=0)
+        if transparent >= 0:
+            clear = shown == transparent
+            area[clear] = before[clear]
         held, rest = whole.counts, whole.counts - _counts(before)
-        whole.write(left, top, area, rest + _counts(area))
-        yield Frame(number, clock * 10, delay * 10, left, top, width, height, disposal, transparent, picture.tobytes(), area.copy(), whole.counts)
+        whole.write(left, top, area, rest + (_counts(area) if transparent >= 0 else _palette_counts(table, shown)))
+        yield Frame(number, clock * 10, delay * 10, left, top, width, height, disposal, transparent, picture.tobytes(), area, whole.counts)
         if disposal == 2:
-            area[:] = ground
-            whole.write(left, top, area, rest + _counts(ground) * (area.size // 3))
+            bare = np.empty_like(area)
+            bare[:] = ground
+            whole.write(left, top, bare, rest + _counts(ground) * (area.size // 3))
         elif disposal == 3:
             whole.write(left, top, before, held)
         number, clock = number + 1, clock + delay
