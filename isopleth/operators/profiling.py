@@ -359,12 +359,22 @@ def reconciliation(flags: DataFrame) -> DataFrame:
     return sums.withColumn("difference", F.col("raw_rows") - F.col("duplicate_excess") - F.col("excluded_rows") - F.col("eligible_rows"))
 
 
+def first_rows(rows: DataFrame, n: int = 5) -> DataFrame:
+    """The first n rows in the order of all columns, nulls first: the same ones in every run, kept n at a time in each task."""
+    return rows.orderBy(*(F.col(f"`{c}`").asc_nulls_first() for c in rows.columns)).limit(n)
+
+
+def column_list(rows: DataFrame) -> list[tuple[int, str, str, bool]]:
+    """(place, column, type, whether it may be null) of a table, told by its schema without a job."""
+    return [(i, f.name, f.dataType.simpleString(), f.nullable) for i, f in enumerate(rows.schema)]
+
+
 def aggregate_profile(rows: DataFrame, limit: int | None = None) -> DataFrame:
     """One row on players' results: rows, null keys, extremes of kills and damage, (match_id, player_name) keys that repeat and their excess.
 
-    All rows count; with `limit`, a sample of so many. Null keys are keys of their own.
+    All rows count; with `limit`, the first so many by all columns. Null keys are keys of their own.
     """
-    head = rows.limit(limit) if limit else rows
+    head = first_rows(rows, limit) if limit else rows
     sums = ("player_kills", "min_kills", "max_kills"), ("player_dmg", "min_damage", "max_damage")
     extremes = [f(c).alias(n) for c, low, high in sums for n, f in ((low, F.min), (high, F.max))]
     by_key = head.groupBy("match_id", "player_name").agg(F.count("*").alias("n"), *extremes)

@@ -268,6 +268,8 @@ def _oracle_sql() -> dict[str, str]:
         "event_candidates_by_cause": f"with {_CANDIDATES} select killed_by, count(*) as candidate_groups, sum(n)::bigint as candidate_rows, sum(n - 1)::bigint as excess_rows, max(n) as max_rows_per_key, count(*) filter (v = 1) as equal_groups, count(*) filter (v > 1) as variant_groups from g where killed_by in ('Falling', 'Drown') group by killed_by",
         "key_completeness": f"with {_rows('raw', S.RAW_DEATHS)} select count(*) as total_rows, " + _counts(**{n: f"{_KEYS[k]} is null" for k, n in (("k1", "missing_match_id"), ("k2", "missing_victim_name"), ("k3", "invalid_or_missing_time"), ("k4", "missing_killed_by"))}, complete_keys=" and ".join(f"{v} is not null" for v in _KEYS.values())) + " from raw",
         "aggregate_profile": f"with {_rows('a', S.PLAYERS)}, g as (select count(*) as n from a group by match_id, player_name having count(*) > 1) select count(*) as row_count, count(*) filter (match_id is null) as null_match_id, count(*) filter (player_name is null) as null_player_name, min(player_kills) as min_kills, max(player_kills) as max_kills, min(player_dmg) as min_damage, max(player_dmg) as max_damage, (select count(*) from g) as duplicate_groups, (select coalesce(sum(n - 1), 0)::bigint from g) as duplicate_rows from a",
+        "aggregate_head": f"with {_rows('a', S.PLAYERS)} select * from a order by match_id nulls first, player_name nulls first, player_kills nulls first, player_dmg nulls first limit 5",
+        "file_checksums": f"with {_rows('r', S.LINES)}, o as (select file, line, sum(strlen(line) + 1) over (partition by file order by line, n) - strlen(line) - 1 as begins from (select *, row_number() over (partition by file, line) as n from r)), b as (select file, greatest(begins - 1, 0) // 65536 as k, count(*) as lines, sum(strlen(line) + 1) as bytes, sha256(string_agg(line || chr(10), '' order by begins)) as digest from o group by all) select file::varchar as file, sum(bytes)::bigint as bytes, count(*) as ranges, sum(lines)::bigint as lines, sha256(sum(bytes)::bigint::varchar || ':65536:' || string_agg(digest, ',' order by k)) as sha256 from b group by file",
         "eligibility_funnel": f"with {_F} select killed_by, sum(copies)::bigint as raw_rows, count(*) as after_exact_dedup, sum(copies - 1)::bigint as exact_duplicate_excess, " + _counts(after_map="not fm", after_zero_zero="not fm and not fz", after_bounds="not fm and not fz and not fb", final_eligible_rows="not fm and not fz and not fb and not fd") + " from s group by killed_by",
         "primary_reasons": f"with {_F} select killed_by, case when fm then 'MISSING_MAP' when fz then 'INVALID_OR_UNAVAILABLE_POSITION' when fb then 'OUT_OF_MAP_BOUNDS' when fd then 'DATE_NOT_FOUND_OR_CONFLICT' else 'ELIGIBLE' end as primary_status, count(*) as unique_rows from s group by all",
         "exclusion_combos": f"with {_F} select killed_by, concat_ws('|', case when fm then 'MISSING_MAP' end, case when fz then 'ZERO_ZERO' end, case when fb then 'OUT_OF_BOUNDS' end, case when fd then 'DATE_NOT_FOUND_OR_CONFLICT' end) as exclusion_combination, count(*) as unique_rows from s where fm or fz or fb or fd group by all",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import clean, distance, grid, profiling, quality, serving, telemetry
 from ..schemas import DEATHS
-from ..sources import csv, database
+from ..sources import checksums, csv, database
 from ..sources.interim import settled, shared_folder
 from . import standins as S
 
@@ -18,6 +18,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 FOCUS_MAP, FOCUS_CAUSE = "A", "F"
 #: Weapons of the raw stand-in have some dozens of events on a map at the smallest scale.
 MIN_WEAPON_EVENTS = 20
+#: Bytes of a range in file_checksums, small enough that files have several.
+RANGE_BYTES = 65_536
 DEATH_COLUMNS = [f.name for f in DEATHS]
 
 
@@ -80,6 +82,14 @@ def _csv_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return csv.column_types(kinds.withColumn("folder", F.regexp_extract("file", "/file=([^/]*)/", 1)), "folder", "column").select("folder", "column", "type", "filled")
 
 
+def _checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of text files, each of the lines of a range of orders in order."""
+    folder = f"{shared_folder(spark)}/lines-{uuid.uuid4()}"
+    S.stand_in(spark, sf_dir, S.LINES).repartition("file").sortWithinPartitions("file", "line").write.partitionBy("file").text(folder)
+    found = checksums.file_digests(spark, f"{folder}/*/*.txt", RANGE_BYTES)
+    return found.withColumn("file", F.regexp_extract("file", "/file=([^/]*)/", 1))
+
+
 def _collection(spark: SparkSession, sf_dir: str) -> DataFrame:
     checked = telemetry.checked_matches(S.stand_in(spark, sf_dir, S.DOCUMENTS))
     return telemetry.collection_report(checked, S.stand_in(spark, sf_dir, S.DOCUMENT_EVENTS))
@@ -145,6 +155,7 @@ def _queries() -> dict[str, Query]:
         "event_candidates_by_cause": _raw(lambda raw: profiling.event_candidates_by_cause(raw, DEATH_COLUMNS)),
         "key_completeness": _raw(profiling.key_completeness),
         "aggregate_profile": lambda spark, sf_dir: profiling.aggregate_profile(S.stand_in(spark, sf_dir, S.PLAYERS)),
+        "aggregate_head": lambda spark, sf_dir: profiling.first_rows(S.stand_in(spark, sf_dir, S.PLAYERS)),
         "eligibility_funnel": _flags(profiling.eligibility_funnel),
         "primary_reasons": _flags(profiling.primary_reasons),
         "exclusion_combos": _flags(profiling.exclusion_combinations),
@@ -173,6 +184,7 @@ def _queries() -> dict[str, Query]:
         "telemetry_totals": _telemetry(lambda e: telemetry.telemetry_profile(e, None).withColumn("kill_keys", F.array_join("kill_keys", ","))),
         "collection_report": _collection,
         "csv_types": _csv_types,
+        "file_checksums": _checksums,
         "match_profiles": _matches(lambda m: m.withColumn("kill_keys", F.array_join("kill_keys", ","))),
         "pilot_counts": _matches(telemetry.pilot_counts),
         "pilot_summary": _matches(telemetry.pilot_summary),

@@ -108,6 +108,11 @@ select cast(l_linenumber % 4 as string) as file, cast(l_orderkey as string) as o
        case when l_linenumber % 4 = 0 then null when l_suppkey % 3 = 0 then null else cast(cast(l_shipdate as date) as string) end as shipped, l_returnflag as flag
 from lineitem"""
 
+#: Line items as lines of text, dealt to files by ranges of orders.
+LINES = """
+select cast(floor(l_orderkey / 10000) as bigint) as file, concat(cast(l_orderkey as string), ',', cast(l_linenumber as string), ',', cast(l_partkey as string), ',', l_returnflag) as line
+from lineitem"""
+
 #: Match documents by customer, some of them broken in each of the ways that are told apart.
 DOCUMENTS = """
 select cast(o_orderkey as string) as match_id,

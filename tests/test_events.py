@@ -2,6 +2,7 @@
 
 import datetime as dt
 import gzip
+import hashlib
 import json
 import os
 import random
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from isopleth import schemas
 from isopleth.functions import expr
 from isopleth.operators import clean, distance, grid, profiling, quality, serving, telemetry
-from isopleth.sources import commits, csv, database, sinks
+from isopleth.sources import checksums, commits, csv, database, sinks
 
 DAY = dt.date(2017, 10, 20)
 CLEAN = "event_id string, killed_by string, map string, match_id string, date date, victim_position_x double, victim_position_y double"
@@ -483,3 +484,44 @@ def test_database_publication_breaks_off(spark, monkeypatch, broken):
     statuses = sorted(r.status for r in db.read("pipeline_runs").collect())
     assert [r.source_run_id for r in spots] == [last or first] and statuses == (["SUCCEEDED"] * 2 if last else ["FAILED", "SUCCEEDED"])
     assert (last is None) == (broken < 13) and db.read("quality_check_results").count() == (20 if last else 10) and db.read("staged_hotspots").count() == 0
+
+
+def checksum(data, size):
+    """Number of ranges, lines and the digest of a file's bytes, line by line."""
+    lines = data.split(b"\n")
+    if lines[-1] == b"":
+        lines.pop()
+    at, parts = 0, {}
+    for line in lines:
+        text = line.removeprefix(b"\xef\xbb\xbf") if at == 0 else line
+        parts.setdefault(max(at - 1, 0) // size, []).append(text + b"\n")
+        at += len(line) + 1
+    digests = [hashlib.sha256(b"".join(parts[k])).hexdigest() for k in sorted(parts)]
+    return len(digests), len(lines), hashlib.sha256(f"{len(data)}:{size}:{','.join(digests)}".encode()).hexdigest()
+
+
+def test_checksums_of_files(spark, tmp_path):
+    rng = random.Random(3)
+    files = {
+        "empty": b"", "line": b"a", "closed": b"a\n", "blank": b"\n\n\n", "returns": b"a\r\nb\rc\n", "marked": b"\xef\xbb\xbfa\n", "not utf-8": b"\xff\xfe\n\x00\xc3", "long": b"x" * 500 + b"\n" + b"y" * 130,
+        "mixed": b"".join(bytes(rng.randrange(256) for _ in range(rng.randrange(40))) + b"\n" for _ in range(300)), "even": b"1234567\n" * 64,
+    }
+    files["copy"] = files["mixed"]
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    got = {os.path.basename(r.file).replace("%20", " "): r for r in checksums.file_digests(spark, f"file:{tmp_path}/*", 64).collect()}
+    assert {n: (got[n].bytes, got[n].ranges, got[n].lines, got[n].sha256) for n in got} == {n: (len(d), *checksum(d, 64)) for n, d in files.items()}
+    assert len({r.sha256 for r in got.values()}) == len(files) - 1
+    names = checksums.file_digests(spark, f"file:{tmp_path}/*", 64).select("file", "sha256")
+    before = quality.content_digest(names)
+    (tmp_path / "line").write_bytes(b"b")
+    assert quality.content_digest(names) != before
+    many = checksums.file_digests(spark, f"file:{tmp_path}/*").where("file like '%mixed'").collect()  # the whole file in one range
+    assert (many[0].ranges, many[0].lines) == (1, checksum(files["mixed"], 64)[1])
+
+
+def test_first_rows_and_columns(spark):
+    rows = spark.createDataFrame([("b", 1, "x"), (None, 2, "y"), ("b", None, "x"), ("a", 3, None)], "match_id string, `odd name` int, text string")
+    assert [tuple(r) for r in profiling.first_rows(rows, 3).collect()] == [(None, 2, "y"), ("a", 3, None), ("b", None, "x")]
+    assert profiling.first_rows(rows.limit(0)).count() == 0
+    assert profiling.column_list(rows) == [(0, "match_id", "string", True), (1, "odd name", "int", True), (2, "text", "string", True)]
