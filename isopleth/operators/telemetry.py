@@ -139,7 +139,7 @@ def sample_totals(samples: DataFrame, text: str = "value", window: str = "window
 
 def first_matches(samples: DataFrame, n: int, text: str = "value", window: str = "window") -> DataFrame:
     """The first n distinct matches of all lists, in window and list order; an error if there are fewer."""
-    first = sample_matches(samples, text, window).groupBy("match_id").agg(F.min(F.struct(window, "position")).alias("place")).orderBy("place").limit(n)
+    first = sample_matches(samples, text, window).groupBy("match_id").agg(F.min(F.struct(window, "position")).alias("place")).orderBy("place", "match_id").limit(n)
     if (found := first.count()) < n:
         raise ValueError(f"{n} matches wanted, {found} found")
     return first.select("match_id")

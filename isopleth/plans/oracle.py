@@ -4,13 +4,22 @@ from __future__ import annotations
 
 from .. import constants as C
 from . import standins as S
-from .queries import FOCUS_CAUSE, FOCUS_MAP, MIN_WEAPON_EVENTS
+from .queries import FIRST_MATCHES, FOCUS_CAUSE, FOCUS_MAP, MIN_WEAPON_EVENTS
 
 
 def _rows(name: str, text: str) -> str:
     return f"{name} as ({text})"
 
 
+_LISTED = f"""{_rows('r', S.SAMPLES)}, i as (select *, unnest(range(json_array_length(value, '$.data.relationships.matches.data')::bigint))::int as position from r),
+  m as (select window_name, position, json_extract_string(value, '$.data.relationships.matches.data[' || position || '].id') as match_id from i), l as (select * from m where match_id <> '')"""
+
+
+def _csv_profile(quantity: str) -> str:
+    filled = "count(try_cast(part_id as bigint)) as filled_part_id, max(try_cast(part_id as bigint)) as most_part_id, count(try_cast(quantity as {0})) as filled_quantity, max(try_cast(quantity as {0})) as most_quantity, count(shipped) as filled_shipped, max(shipped) as most_shipped"
+    return f"with {_rows('r', S.CSV_ROWS)} select file as folder, count(*) as row_count, {filled.format(quantity)} from r group by 1"
+
+
 _E, _D, _A = _rows("e", S.EVENTS), _rows("d", S.DEATHS), _rows("a", S.AGGREGATE)
 
 
@@ -231,7 +240,7 @@ _TEXT = {name: ("first_death_date", "last_death_date") for name in ("grid_250",
 
 def oracle_sql() -> dict[str, str]:
     found = _oracle_sql()
-    found["served_hotspots"] = found["heatmap_cells"]
+    found["served_hotspots"] = found["written_cells"] = found["heatmap_cells"]
     return found | {name: f"select * replace ({', '.join(f'{c}::varchar as {c}' for c in columns)}) from ({found[name]})" for name, columns in _TEXT.items()}
 
 
@@ -269,6 +278,13 @@ def _oracle_sql() -> dict[str, str]:
         "key_completeness": f"with {_rows('raw', S.RAW_DEATHS)} select count(*) as total_rows, " + _counts(**{n: f"{_KEYS[k]} is null" for k, n in (("k1", "missing_match_id"), ("k2", "missing_victim_name"), ("k3", "invalid_or_missing_time"), ("k4", "missing_killed_by"))}, complete_keys=" and ".join(f"{v} is not null" for v in _KEYS.values())) + " from raw",
         "aggregate_profile": f"with {_rows('a', S.PLAYERS)}, g as (select count(*) as n from a group by match_id, player_name having count(*) > 1) select count(*) as row_count, count(*) filter (match_id is null) as null_match_id, count(*) filter (player_name is null) as null_player_name, min(player_kills) as min_kills, max(player_kills) as max_kills, min(player_dmg) as min_damage, max(player_dmg) as max_damage, (select count(*) from g) as duplicate_groups, (select coalesce(sum(n - 1), 0)::bigint from g) as duplicate_rows from a",
         "aggregate_head": f"with {_rows('a', S.PLAYERS)} select * from a order by match_id nulls first, player_name nulls first, player_kills nulls first, player_dmg nulls first limit 5",
+        "csv_union": _csv_profile("double"),
+        "csv_typed": _csv_profile("varchar"),
+        "written_report": f"with {_E} select map, killed_by, grid_x::varchar as grid_x, grid_y::varchar as grid_y, death_count::varchar as death_count, first_death_date::date::varchar as first_death_date from ({_grid(250)})",
+        "sample_matches": f"with {_LISTED} select * from l",
+        "sample_summary": f"with {_LISTED} select window_name, count(*) as reference_count, count(distinct match_id) as unique_matches from l group by 1",
+        "sample_totals": f"with {_LISTED} select (select count(distinct window_name) from r) as window_count, count(*) as match_reference_count, count(distinct match_id) as unique_match_id_count from l",
+        "first_matches": f"with {_LISTED} select match_id from (select match_id, min((window_name, position)) as place from l group by 1) order by place, match_id limit {FIRST_MATCHES}",
         "file_checksums": f"with {_rows('r', S.LINES)}, o as (select file, line, sum(strlen(line) + 1) over (partition by file order by line, n) - strlen(line) - 1 as begins from (select *, row_number() over (partition by file, line) as n from r)), b as (select file, greatest(begins - 1, 0) // 65536 as k, count(*) as lines, sum(strlen(line) + 1) as bytes, sha256(string_agg(line || chr(10), '' order by begins)) as digest from o group by all) select file::varchar as file, sum(bytes)::bigint as bytes, count(*) as ranges, sum(lines)::bigint as lines, sha256(sum(bytes)::bigint::varchar || ':65536:' || string_agg(digest, ',' order by k)) as sha256 from b group by file",
         "eligibility_funnel": f"with {_F} select killed_by, sum(copies)::bigint as raw_rows, count(*) as after_exact_dedup, sum(copies - 1)::bigint as exact_duplicate_excess, " + _counts(after_map="not fm", after_zero_zero="not fm and not fz", after_bounds="not fm and not fz and not fb", final_eligible_rows="not fm and not fz and not fb and not fd") + " from s group by killed_by",
         "primary_reasons": f"with {_F} select killed_by, case when fm then 'MISSING_MAP' when fz then 'INVALID_OR_UNAVAILABLE_POSITION' when fb then 'OUT_OF_MAP_BOUNDS' when fd then 'DATE_NOT_FOUND_OR_CONFLICT' else 'ELIGIBLE' end as primary_status, count(*) as unique_rows from s group by all",

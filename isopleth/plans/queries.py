@@ -5,12 +5,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import clean, distance, grid, profiling, quality, serving, telemetry
 from ..schemas import DEATHS
-from ..sources import checksums, csv, database
+from ..sources import checksums, csv, database, sinks
 from ..sources.interim import settled, shared_folder
 from . import standins as S
 
@@ -18,6 +19,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 FOCUS_MAP, FOCUS_CAUSE = "A", "F"
 #: Weapons of the raw stand-in have some dozens of events on a map at the smallest scale.
 MIN_WEAPON_EVENTS = 20
+#: Matches that a pilot looks at.
+FIRST_MATCHES = 12
 #: Bytes of a range in file_checksums, small enough that files have several.
 RANGE_BYTES = 65_536
 DEATH_COLUMNS = [f.name for f in DEATHS]
@@ -74,12 +77,55 @@ def _resolutions(events: DataFrame) -> DataFrame:
     return grid.resolution_comparison(*(grid.candidates(cells.where(F.col("grid_size_m") == m), m) for m in (100, 250)))
 
 
-def _csv_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Types of the columns of CSV files, by the folder that they lie in."""
+def _csv_files(spark: SparkSession, sf_dir: str) -> str:
+    """CSV files in four folders; the glob that names them."""
     folder = f"{shared_folder(spark)}/csv-{uuid.uuid4()}"
     S.stand_in(spark, sf_dir, S.CSV_ROWS).write.partitionBy("file").option("header", True).csv(folder)
-    kinds = csv.column_kinds(spark, f"{folder}/*/*.csv")
-    return csv.column_types(kinds.withColumn("folder", F.regexp_extract("file", "/file=([^/]*)/", 1)), "folder", "column").select("folder", "column", "type", "filled")
+    return f"{folder}/*/*.csv"
+
+
+def _folder(file: str) -> Column:
+    return F.regexp_extract(file, "/file=([^/]*)/", 1)
+
+
+def _csv_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types of the columns of CSV files, by the folder that they lie in."""
+    kinds = csv.column_kinds(spark, _csv_files(spark, sf_dir))
+    return csv.column_types(kinds.withColumn("folder", _folder("file")), "folder", "column").select("folder", "column", "type", "filled")
+
+
+def _csv_profile(rows: DataFrame) -> DataFrame:
+    told = (f(c).alias(f"{n}_{c}") for c in ("part_id", "quantity", "shipped") for n, f in (("filled", F.count), ("most", F.max)))
+    return rows.groupBy(_folder("source_file").alias("folder")).agg(F.count("*").alias("row_count"), *told)
+
+
+def _csv_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CSV files read under a schema, values that do not parse being null, with the file of each row."""
+    schema = T.StructType.fromDDL("order_id long, part_id long, quantity double, shipped date, flag string")
+    return _csv_profile(csv.read_csv(spark, _csv_files(spark, sf_dir), schema, with_file=True))
+
+
+def _csv_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files read under the types that all their rows bear out: quantity is text, as some rows of one file are words."""
+    return _csv_profile(csv.read_typed_csv(spark, _csv_files(spark, sf_dir), with_file=True))
+
+
+def _written_cells(events: DataFrame) -> DataFrame:
+    """Heatmap cells written to Parquet twice, the second time in place of the first, and read back."""
+    spark = events.sparkSession
+    path = f"{shared_folder(spark)}/cells-{uuid.uuid4()}"
+    cells = settled(grid.heatmap_cells(events))
+    for _ in range(2):
+        sinks.write_parquet(cells, path)
+    return spark.read.parquet(path)
+
+
+def _written_report(events: DataFrame) -> DataFrame:
+    """The hotspot report's cells as one sorted CSV file, read back as text."""
+    spark = events.sparkSession
+    path = f"{shared_folder(spark)}/report-{uuid.uuid4()}"
+    sinks.write_csv(grid.grid_metrics(events, 250).select(*grid.GROUP, "grid_x", "grid_y", "death_count", "first_death_date"), path, *grid.GROUP, "grid_x", "grid_y")
+    return csv.read_csv(spark, f"{path}/*.csv")
 
 
 def _checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +133,7 @@ def _checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/lines-{uuid.uuid4()}"
     S.stand_in(spark, sf_dir, S.LINES).repartition("file").sortWithinPartitions("file", "line").write.partitionBy("file").text(folder)
     found = checksums.file_digests(spark, f"{folder}/*/*.txt", RANGE_BYTES)
-    return found.withColumn("file", F.regexp_extract("file", "/file=([^/]*)/", 1))
+    return found.withColumn("file", _folder("file"))
 
 
 def _collection(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,6 +159,10 @@ def _linked(raw: DataFrame, aggregate: DataFrame) -> DataFrame:
     return clean.link_dates(valid, clean.match_dates(aggregate))
 
 
+def _samples(then: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: then(S.stand_in(spark, sf_dir, S.SAMPLES))
+
+
 def _plain(query: Query) -> Query:
     """Dates and times as text, so that any two engines' results compare."""
 
@@ -184,7 +234,15 @@ def _queries() -> dict[str, Query]:
         "telemetry_totals": _telemetry(lambda e: telemetry.telemetry_profile(e, None).withColumn("kill_keys", F.array_join("kill_keys", ","))),
         "collection_report": _collection,
         "csv_types": _csv_types,
+        "csv_union": _csv_union,
+        "csv_typed": _csv_typed,
         "file_checksums": _checksums,
+        "written_cells": _events(_written_cells),
+        "written_report": _events(_written_report),
+        "sample_matches": _samples(lambda s: telemetry.sample_matches(s, window="window_name")),
+        "sample_summary": _samples(lambda s: telemetry.sample_summary(s, window="window_name")),
+        "sample_totals": _samples(lambda s: telemetry.sample_totals(s, window="window_name")),
+        "first_matches": _samples(lambda s: telemetry.first_matches(s, FIRST_MATCHES, window="window_name")),
         "match_profiles": _matches(lambda m: m.withColumn("kill_keys", F.array_join("kill_keys", ","))),
         "pilot_counts": _matches(telemetry.pilot_counts),
         "pilot_summary": _matches(telemetry.pilot_summary),

@@ -108,6 +108,14 @@ select cast(l_linenumber % 4 as string) as file, cast(l_orderkey as string) as o
        case when l_linenumber % 4 = 0 then null when l_suppkey % 3 = 0 then null else cast(cast(l_shipdate as date) as string) end as shipped, l_returnflag as flag
 from lineitem"""
 
+#: Sample lists of matches, some entries without an id, some lists missing.
+SAMPLES = """
+select concat('w', cast(o_orderkey as string)) as window_name,
+       case when o_orderkey % 11 = 0 then '{"data":{}}' else
+       concat('{"data":{"relationships":{"matches":{"data":[{"id":"c', cast(o_custkey as string), '"},', case when o_orderkey % 7 = 0 then '{"id":""},' when o_orderkey % 7 = 1 then '{"type":"match"},' else '' end,
+              '{"id":"d', cast(o_custkey % 100 as string), '"},{"id":"c', cast(o_custkey as string), '"}]}}}}') end as value
+from orders"""
+
 #: Line items as lines of text, dealt to files by ranges of orders.
 LINES = """
 select cast(floor(l_orderkey / 10000) as bigint) as file, concat(cast(l_orderkey as string), ',', cast(l_linenumber as string), ',', cast(l_partkey as string), ',', l_returnflag) as line
