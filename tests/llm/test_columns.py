@@ -298,3 +298,41 @@ def test_toxic_phrases_of_ordinary_words():
     model = zstd_toxicity.fit(texts[:400], labels[:400])
     got = np.array(zstd_toxicity._Scorer(model).scores(texts[400:])) >= 0.5
     assert np.mean(got == np.array(labels[400:])) > 0.9
+
+
+def plain_lzw(stream, minimum, count):
+    """Samples of a code stream, code by code and bit by bit."""
+    bits = [b >> i & 1 for b in stream for i in range(8)]
+    clear, last, out, at = 1 << minimum, None, b"", 0
+    table = [bytes([i]) for i in range(clear)] + [b"", b""]
+    while len(out) < count:
+        width = max((min(len(table) + (last is not None), 4096) - 1).bit_length(), minimum + 1) if last is not None else minimum + 1
+        code = sum(bit << i for i, bit in enumerate(bits[at : at + width]))
+        at += width
+        if code == clear:
+            table, last = table[: clear + 2], None
+            continue
+        if code == clear + 1:
+            break
+        word = table[code] if code < len(table) else last + last[:1]
+        if last is not None and len(table) < 4096:
+            table.append(last + word[:1])
+        out, last = out + word, word
+    return out[:count]
+
+
+def test_code_streams_equal_a_plain_decoder():
+    rng = random.Random(1)
+    texts = [b"", b"a", b"a" * 5000, b"ab" * 3000, *(bytes(rng.randrange(k) for _ in range(n)) for k in (2, 5, 256) for n in (1, 63, 700, 9000))]
+    for text in texts:
+        stream = media_gif.lzw_encode(text)
+        assert media_gif.lzw_decode(stream, 8, len(text)) == plain_lzw(stream, 8, len(text)) == text
+        for part in {min(1, len(text)), len(text) // 3, len(text) * 2 // 3}:  # the first samples only
+            assert media_gif.lzw_decode(stream, 8, part) == text[:part]
+        with pytest.raises(ValueError):
+            media_gif.lzw_decode(stream, 8, len(text) + 1)
+        if len(text) > 700:
+            with pytest.raises(ValueError):
+                media_gif.lzw_decode(stream[: len(stream) // 2], 8, len(text))
+    with pytest.raises(ValueError):
+        media_gif.lzw_decode(bytes([0, 0xFF, 0xFF]), 8, 5)  # a code beyond the table
