@@ -142,15 +142,14 @@ def _collection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _served(events: DataFrame) -> DataFrame:
-    """Hotspots published twice to a database and read back. The database lives in the driver's process, which is that of the executors in local mode only."""
+    """Hotspots, which are bounded for each group, published twice to a database in the driver's process and read back."""
     spark = events.sparkSession
-    if not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("the database of this query is within reach of the executors in local mode only")
-    db = database.Database(spark, f"jdbc:derby:memory:isopleth-{uuid.uuid4()};create=true")
+    db = database.Database(spark, f"jdbc:derby:memory:isopleth-{uuid.uuid4()};create=true", embedded=True)
     db.create(serving.TABLES)
+    cells = settled(grid.heatmap_cells(events))
     for run in ("first", "second"):
-        serving.replace_batch(db, grid.heatmap_cells(events), run, "batch", [])
-    found = db.read("environmental_hotspots").where("source_run_id = 'second'")
+        serving.replace_batch(db, cells, run, "batch", [])
+    found = db.read("(select * from environmental_hotspots where source_run_id = 'second') as served")
     return found.drop("batch_id", "source_run_id", "published_at")
 
 

@@ -7,6 +7,7 @@ import json
 import os
 import random
 import uuid
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -460,6 +461,35 @@ def test_publication_to_a_database(spark):
     assert serving.replace_batch(db, cells.unionByName(cells), "again", "other", []) == [0, 2]
 
 
+def test_a_database_that_executors_do_not_reach(spark, monkeypatch):
+    """Rows of an embedded database never go by Spark's own writer and reader, which run on the executors."""
+    kinds = "name varchar(20), n bigint, x double, seen timestamp"
+    rows = [("a ' \" ,", 1, 0.1 + 0.2, dt.datetime(2020, 1, 2, 3, 4, 5, 678)), (None, None, None, None), ("é", -(2**60), 1e-7, dt.datetime(2020, 1, 2))] + [(f"r{i}", i, i / 7, None) for i in range(2100)]
+    db = database.Database(spark, f"jdbc:derby:memory:test-{uuid.uuid4()};create=true", embedded=True)
+    db.create({"told": kinds})
+    monkeypatch.setattr("pyspark.sql.DataFrameWriter.jdbc", None)
+    db.append(spark.createDataFrame(rows, "name string, n long, x double, seen timestamp").repartition(3), "told")
+    found = db.read("(select * from told where n is null or n < 3000) as t")
+    assert "JDBC" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.dtypes == [("name", "string"), ("n", "bigint"), ("x", "double"), ("seen", "timestamp")]
+    assert Counter(map(tuple, found.collect())) == Counter(rows)
+    with pytest.raises(Exception, match="Invalid character string format"):
+        db.append(spark.createDataFrame([("b", "1"), ("b", "x")], "name string, n string").coalesce(1), "told")
+    assert db.read("(select * from told where name = 'b') as t").count() == 0
+
+
+def test_served_hotspots_on_a_cluster(spark, monkeypatch):
+    """As if on a cluster: nothing asks where the executors are, and none of them opens the database."""
+    from isopleth.plans import queries
+
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    monkeypatch.setattr("pyspark.sql.DataFrameWriter.jdbc", None)
+    found = queries.queries()["served_hotspots"](spark, "/root/testdata/sf0.001")
+    assert "JDBC" not in found._jdf.queryExecution().executedPlan().toString()
+    plain = queries.queries()["heatmap_cells"](spark, "/root/testdata/sf0.001").select(*found.columns)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plain.collect()))
+
+
 @pytest.mark.parametrize("broken", range(14))
 def test_database_publication_breaks_off(spark, monkeypatch, broken):
     db = a_database(spark)
