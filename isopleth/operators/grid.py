@@ -19,6 +19,10 @@ from ..sources.interim import settled
 GROUP = ("map", "killed_by")
 #: A table is broadcast only if it is counted and has no more rows.
 MOST_BROADCAST = 20_000
+#: Cells that the bits of one long tell apart.
+MASK_BITS = 63
+#: Events that a task tells the matches of.
+TASK_EVENTS = 300_000
 
 
 def _same(a: str, b: str, keys: Sequence[str]) -> Column:
@@ -44,16 +48,86 @@ def cell_counts(events: DataFrame, size_m: int) -> DataFrame:
 
 
 def cell_pyramid(events: DataFrame, sizes_m: Sequence[int] = (10, 100, 250, 500)) -> DataFrame:
-    """cell_counts of several sizes at once, told apart by grid_size_m, from one reading of the events.
+    """cell_counts of several sizes at once, told apart by grid_size_m.
 
-    The events are counted by match and date in cells of the sizes' greatest common divisor; the larger cells
-    are made of those.
+    No event stands in memory once for each size. Events and dates are counted in cells of the sizes' greatest common
+    divisor, 64 days as the bits of one long, and the larger cells are made of those. Distinct matches do not add up; they are
+    told by masks, see _matches.
     """
     unit = math.gcd(*sizes_m)
     at = [cell(f"victim_position_{a}", unit * C.CM_PER_M).alias(f"unit_{a}") for a in "xy"]
-    units = events.select(*GROUP, "match_id", "date", *at).groupBy(*GROUP, "unit_x", "unit_y", "match_id", "date").agg(F.count("*").alias("n"))
-    levels = F.array(*(F.struct(F.lit(m).alias("grid_size_m"), *(F.floor(F.col(f"unit_{a}") / (m // unit)).cast("int").alias(f"grid_{a}") for a in "xy")) for m in sizes_m))
-    return _counted(units.select(*GROUP, "match_id", "date", "n", F.inline(levels)), [*GROUP, "grid_size_m", "grid_x", "grid_y"], F.col("n"))
+    placed = events.select(*GROUP, "match_id", "date", *at)
+    keys = [*GROUP, "grid_size_m", "grid_x", "grid_y"]
+    # groups of cells and matches spread evenly, so their number of tasks follows that of the events
+    tasks = max(events.sparkSession.sparkContext.defaultParallelism, math.ceil(events.count() / TASK_EVENTS))
+    none, no_date = F.lit(0).cast("long"), F.lit(None).cast("date")
+    found = _dates(placed, unit, sizes_m, keys).select(*keys, "death_count", none.alias("match_count"), "date_count", "first_date", "last_date")
+    for some in _bunches(sizes_m):
+        found = found.unionByName(_matches(placed, unit, some, tasks).select(*keys, none.alias("death_count"), "match_count", none.alias("date_count"), no_date.alias("first_date"), no_date.alias("last_date")))
+    sums = (F.sum(c).alias(c) for c in ("death_count", "match_count", "date_count"))
+    return found.groupBy(*keys).agg(*sums, F.min("first_date").alias("first_date"), F.max("last_date").alias("last_date"))
+
+
+def _within(axis: str, unit: int, size_m: int) -> Column:
+    """The cell of `size_m` that a cell of `unit` lies in."""
+    return F.floor(F.col(f"unit_{axis}") / (size_m // unit)).cast("int")
+
+
+def _bit(place: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), place.cast("int"))
+
+
+def _dates(placed: DataFrame, unit: int, sizes_m: Sequence[int], keys: Sequence[str]) -> DataFrame:
+    """Events and dates of the cells of all sizes."""
+    day = F.unix_date("date")
+    told = [F.bit_or("days").alias("days"), F.min("first_date").alias("first_date"), F.max("last_date").alias("last_date")]
+    rows = placed.select(*GROUP, "unit_x", "unit_y", F.floor(day / 64).alias("days_from"), _bit(day.bitwiseAND(F.lit(63))).alias("days"), F.col("date").alias("first_date"), F.col("date").alias("last_date"))
+    units = rows.groupBy(*GROUP, "unit_x", "unit_y", "days_from").agg(F.count("*").alias("n"), *told)
+    levels = F.array(*(F.struct(F.lit(m).alias("grid_size_m"), *(_within(a, unit, m).alias(f"grid_{a}") for a in "xy")) for m in sizes_m))
+    cells = units.select(*GROUP, "days_from", "n", "days", "first_date", "last_date", F.inline(levels)).groupBy(*keys, "days_from").agg(F.sum("n").alias("n"), *told)
+    dates = F.coalesce(F.sum(F.bit_count("days")), F.lit(0).cast("long"))
+    return cells.groupBy(*keys).agg(F.sum("n").alias("death_count"), dates.alias("date_count"), F.min("first_date").alias("first_date"), F.max("last_date").alias("last_date"))
+
+
+def _masks(sizes_m: Sequence[int]) -> int:
+    """Cells of all sizes in a square whose edge is their least common multiple."""
+    return sum((math.lcm(*sizes_m) // m) ** 2 for m in sizes_m)
+
+
+def _bunches(sizes_m: Sequence[int]) -> list[list[int]]:
+    """Sizes in bunches, largest first, such that the cells of a bunch in one square are told apart by a long's bits; a size alone is."""
+    out: list[list[int]] = []
+    for m in sorted(sizes_m, reverse=True):
+        if out and _masks([*out[-1], m]) <= MASK_BITS:
+            out[-1].append(m)
+        else:
+            out.append([m])
+    return out
+
+
+def _matches(placed: DataFrame, unit: int, sizes_m: Sequence[int], tasks: int) -> DataFrame:
+    """Distinct matches of the cells of a bunch of sizes.
+
+    A square holds whole cells of every size. Each match has one mask of the cells that it reaches into in a square; equal masks
+    are counted before they are taken apart, so a match costs one row a square, however many sizes there are. Rows are dealt
+    to the tasks by match and square, and not counted before, as few of them are equal.
+    """
+    square = math.lcm(*sizes_m)
+    mask, cells, first = F.lit(0).cast("long"), [], 0
+    for m in sizes_m:
+        k = square // m
+        # where a coordinate is missing so is the square's, and with it the cell's
+        at_x, at_y = (F.coalesce(_within(a, unit, m) - _within(a, unit, square) * k, F.lit(0)) for a in "xy")
+        mask = mask.bitwiseOR(_bit(at_x * k + at_y + first))
+        cells += [(m, k, x, y, 1 << (first + x * k + y)) for x in range(k) for y in range(k)]
+        first += k * k
+    keys = [*GROUP, "square_x", "square_y"]
+    rows = placed.where("match_id is not null").select(*GROUP, *(_within(a, unit, square).alias(f"square_{a}") for a in "xy"), "match_id", mask.alias("mask"))
+    masks = rows.repartition(tasks, *keys, "match_id").groupBy(*keys, "match_id").agg(F.bit_or("mask").alias("mask")).groupBy(*keys, "mask").agg(F.count("*").alias("n"))
+    every = F.array(*(F.struct(F.lit(m).alias("grid_size_m"), F.lit(k).alias("k"), F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(bit).cast("long").alias("bit")) for m, k, x, y, bit in cells))
+    each = masks.select(*keys, "n", F.inline(F.filter(every, lambda c: F.col("mask").bitwiseAND(c["bit"]) != 0)))
+    placed_cells = each.select(*GROUP, "grid_size_m", *((F.col(f"square_{a}") * F.col("k") + F.col(a)).alias(f"grid_{a}") for a in "xy"), "n")
+    return placed_cells.groupBy(*GROUP, "grid_size_m", "grid_x", "grid_y").agg(F.sum("n").alias("match_count"))
 
 
 def _by_count() -> list[Column]:

@@ -422,6 +422,22 @@ def test_cells_of_several_sizes_and_their_parents(spark):
     assert "NestedLoop" not in grid.cell_parents(cells)._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("sizes", [(10, 100, 250, 500), (7, 11, 1)])
+def test_pyramid_of_odd_places_and_days(spark, sizes):
+    """Missing and negative places, days before 1970, no date, no match: as counted size by size, and no row for each event and size."""
+    rnd, far = random.Random(8), [None, -1.0, -99_999.5, 0.0, 816_000.0]
+    place, day = (lambda: rnd.choice([*far, *(rnd.random() * 90_000 for _ in range(20))])), (lambda: rnd.choice([None, DAY, dt.date(1969, 12, 31), dt.date(1, 1, 3), dt.date(1970, 1, 1) + dt.timedelta(rnd.randrange(200))]))
+    rows = [(f"e{i}", rnd.choice(["Falling", None]), rnd.choice(["ERANGEL", None]), rnd.choice([None, " ", *(f"m{j}" for j in range(9))]), day(), place(), place()) for i in range(400)]
+    events = spark.createDataFrame([*rows, ("n", "Drown", "ERANGEL", None, None, 1.0, 1.0)], CLEAN)
+    cells = grid.cell_pyramid(events, sizes)
+    for size in sizes:
+        own = cells.where(F.col("grid_size_m") == size).drop("grid_size_m")
+        plain = grid.cell_counts(events, size)
+        assert own.dtypes == plain.dtypes and Counter(map(tuple, own.collect())) == Counter(map(tuple, plain.collect()))
+    plan = cells._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("match_id" in line and "grid_size_m" in line for line in plan.splitlines())
+
+
 def test_duplicates_when_the_filter_is_full(spark, monkeypatch):
     monkeypatch.setattr(profiling, "FILTER_LOG", 7)
     rnd = random.Random(2)
