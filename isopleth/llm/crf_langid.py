@@ -31,6 +31,10 @@ CACHE_WORDS = 500_000
 BATCH_CHARS = 2_000_000
 UNKNOWN = "und"
 
+#: Runs of letters, and of numerals that are no decimal digits.
+_RUNS = re.compile(r"[^\W\d_]+")
+
+
 @cache
 def _letters() -> re.Pattern:
     """Runs of letters: \\w without digits of any kind, fractions and numerals such as Roman ones."""
@@ -40,9 +44,11 @@ def _letters() -> re.Pattern:
 
 def sequences(text: str | None) -> list[list[str]]:
     """Lower-cased runs of letters, by line, at most SEGMENT in each."""
-    out, letters = [], _letters()
+    out = []
     for line in (text or "").lower().split("\n"):
-        words = letters.findall(line)
+        words = _RUNS.findall(line)
+        if not all(map(str.isalpha, words)):  # numerals in them, which the slower pattern leaves out
+            words = [x for w in words for x in ([w] if w.isalpha() else _letters().findall(w))]
         out.extend(words[i : i + SEGMENT] for i in range(0, len(words), SEGMENT))
     return out
 

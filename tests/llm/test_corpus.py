@@ -331,3 +331,17 @@ def test_mixed_documents_are_what_mix_takes(spark):
     for r in mixing.mixed_documents(docs).collect():
         words[r.doc_id] += len(r.text.split())
     assert all(words[i] == n for i, n in taken.items())
+
+
+def test_words_of_letters_need_no_slow_pattern(monkeypatch):
+    """Only runs that numerals stand in go through the pattern that names every numeral; the words are the same."""
+    from isopleth.llm import crf_langid
+
+    texts = ["Ein Wört_und 12 more\n\nlines", "a½b Ⅻ x²y c١d 𝟙z ⅷfoo plain ok\nafter 𐄇 e", "\u0301a \u0903 ß ǅ İ", None, "", "_ __ 7"]
+    slow = crf_langid._letters()
+    plain = [[words[i : i + crf_langid.SEGMENT] for line in (t or "").lower().split("\n") for words in [slow.findall(line)] for i in range(0, len(words), crf_langid.SEGMENT)] for t in texts]
+    assert [crf_langid.sequences(t) for t in texts] == plain
+    every = "".join(c + ("a" if i % 3 else "") for i, c in enumerate(map(chr, range(0x11000))) if not 0xD800 <= i < 0xE000)
+    assert [w for s in crf_langid.sequences(every) for w in s] == [w for line in every.lower().split("\n") for w in slow.findall(line)]
+    monkeypatch.setattr(crf_langid, "_letters", None)
+    assert crf_langid.sequences(texts[0]) == plain[0]
