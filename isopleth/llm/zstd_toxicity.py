@@ -124,21 +124,35 @@ def _distances(toxic: bytes, ordinary: bytes, words: list[bytes]) -> list[int]:
     return [known[xs[0]] * PACK + max(known[x] for x in xs[1:] or xs) + PACK // 2 for xs in each]
 
 
-def _runs(words: list[bytes]) -> list[bytes]:
-    """Windows of running text, RUN_STRIDE words apart, widened; any RUN_WORDS - RUN_STRIDE + 1 words in a row share one."""
-    wide = _widen(b" " + b" ".join(words) + b" ")
-    at = np.concatenate([[0], WIDEN * np.cumsum([len(w) + 1 for w in words], dtype=np.int64)])
-    last = len(words)
-    return [wide[at[i] : at[min(i + RUN_WORDS, last)] + WIDEN] for i in range(0, max(last - RUN_WORDS + RUN_STRIDE, 1), RUN_STRIDE)] if words else []
+def _runs(words: list[bytes]) -> tuple[bytes, np.ndarray]:
+    """Words widened, and the places and lengths of windows in them, RUN_STRIDE words apart; any RUN_WORDS - RUN_STRIDE + 1 words in a row share one."""
+    if not words:
+        return b"", np.empty((0, 2), np.uint64)
+    wide, last = _widen(b" " + b" ".join(words) + b" "), len(words)
+    at = np.concatenate([[0], WIDEN * np.cumsum(np.fromiter(map(len, words), np.int64, last) + 1)])
+    first = np.arange(0, max(last - RUN_WORDS + RUN_STRIDE, 1), RUN_STRIDE)
+    begin = at[first]
+    return wide, np.stack([begin, at[np.minimum(first + RUN_WORDS, last)] + WIDEN - begin], 1).astype(np.uint64)
 
 
 def _run_distances(toxic: bytes, ordinary: bytes, each: list[list[bytes]]) -> list[np.ndarray]:
-    """Distances of every document's windows of running text."""
+    """Distances of every document's windows of running text, which are compressed where they lie."""
+    import zstandard as zs
+
+    if not each:
+        return []
     runs = [_runs(ws) for ws in each]
-    flat = [r for rs in runs for r in rs]
+    text, sizes = b"".join(wide for wide, _ in runs), [len(places) for _, places in runs]
+    begins = np.cumsum([0, *(len(wide) for wide, _ in runs[:-1])]).astype(np.uint64)
+    places = np.concatenate([places for _, places in runs])
+    places[:, 0] += np.repeat(begins, sizes)
+    found = np.zeros(len(places), np.int32)
     by_toxic, by_ordinary = _compressors(toxic, ordinary)
-    found = _wide_lengths(by_ordinary, flat) - _wide_lengths(by_toxic, flat)
-    return np.split(found, np.cumsum([len(rs) for rs in runs])[:-1]) if runs else []
+    for i in range(0, len(places), 4096):
+        some = zs.BufferWithSegments(text, places[i : i + 4096].tobytes())
+        for compressor, sign in ((by_ordinary, 1), (by_toxic, -1)):
+            found[i : i + 4096] += sign * np.fromiter(map(len, compressor.multi_compress_to_buffer(some)), np.int32, len(some))
+    return np.split(found, np.cumsum(sizes)[:-1])
 
 
 def _features(packed: np.ndarray, runs: np.ndarray) -> np.ndarray:

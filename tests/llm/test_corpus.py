@@ -345,3 +345,21 @@ def test_words_of_letters_need_no_slow_pattern(monkeypatch):
     assert [w for s in crf_langid.sequences(every) for w in s] == [w for line in every.lower().split("\n") for w in slow.findall(line)]
     monkeypatch.setattr(crf_langid, "_letters", None)
     assert crf_langid.sequences(texts[0]) == plain[0]
+
+
+def test_running_text_is_compressed_where_it_lies():
+    """Windows come as places in one text, and their distances are those of each window by itself."""
+    from isopleth.llm import zstd_toxicity as z
+
+    rnd = random.Random(4)
+    toxic, ordinary = (z._widen(" ".join(rnd.choice(["grok", "blim", "tarn", "of", "sel"]) for _ in range(900)).encode()) for _ in range(2))
+    each = [[rnd.choice([b"grok", b"blim", b"o", b"sel" * 9]) for _ in range(n)] for n in (0, 1, 5, 6, 7, 0, 9000, 13)]
+    found = z._run_distances(toxic, ordinary, each)
+    for words, got in zip(each, found, strict=True):
+        starts = range(0, max(len(words) - z.RUN_WORDS + z.RUN_STRIDE, 1), z.RUN_STRIDE) if words else []
+        alone = [z._widen(b" " + b" ".join(words[i : i + z.RUN_WORDS]) + b" ") for i in starts]
+        wide, places = z._runs(words)
+        assert [wide[a : a + n] for a, n in places.astype(int)] == alone
+        by_toxic, by_ordinary = z._compressors(toxic, ordinary)
+        assert got.tolist() == [len(by_ordinary.compress(w)) - len(by_toxic.compress(w)) for w in alone]
+    assert z._run_distances(toxic, ordinary, []) == [] and z._run_distances(toxic, ordinary, [[]])[0].size == 0
