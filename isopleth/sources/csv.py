@@ -79,18 +79,15 @@ _KINDS = {"int": 1, "bigint": 2, "double": 4, "date": 8, "string": 16}
 def _kind(text: Column) -> Column:
     """Bit of the narrowest type that a value is written in; 0 for one that is missing or blank."""
     value = F.trim(text)
-    whole, number, day = value.rlike(r"^[+-]?\d+$"), value.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), value.rlike(r"^\d{4}-\d{2}-\d{2}$")
-    kinds = [
-        (F.coalesce(value == "", F.lit(True)), 0),
-        (whole & value.try_cast("int").isNotNull(), _KINDS["int"]),
-        (whole & value.try_cast("bigint").isNotNull(), _KINDS["bigint"]),
-        (number, _KINDS["double"]),
-        (day & value.try_cast("date").isNotNull(), _KINDS["date"]),
-    ]
-    out = F.lit(_KINDS["string"])
-    for is_kind, bit in reversed(kinds):
-        out = F.when(is_kind, F.lit(bit)).otherwise(out)
-    return out
+    number, day = value.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), value.rlike(r"^\d{4}-\d{2}-\d{2}$")
+    whole = F.when(value.try_cast("int").isNotNull(), _KINDS["int"]).when(value.try_cast("bigint").isNotNull(), _KINDS["bigint"]).otherwise(_KINDS["double"])
+    return (
+        F.when(F.coalesce(value == "", F.lit(True)), 0)
+        .when(value.rlike(r"^[+-]?\d+$"), whole)
+        .when(number, _KINDS["double"])
+        .when(day & value.try_cast("date").isNotNull(), _KINDS["date"])
+        .otherwise(_KINDS["string"])
+    )
 
 
 def type_of(kinds: Column) -> Column:
@@ -120,8 +117,10 @@ def column_kinds(spark: SparkSession, pattern: str, share: float = 1.0) -> DataF
     text = spark.read.option("header", True).option("enforceSchema", True).schema(T.StructType([T.StructField(c, T.StringType()) for c in places])).csv(files)
     rows = text.select(F.col("_metadata.file_path").alias("file"), *places)
     rows = rows.sample(share, seed=1) if share < 1 else rows
+    # each value's kind is found once, before it is summed up
+    rows = rows.select("file", *(_kind(F.col(c)).alias(c) for c in places))
     told = F.array(*(F.struct(F.lit(i).alias("place"), F.col(f"kinds_{c}").alias("kinds"), F.col(f"filled_{c}").alias("filled")) for i, c in enumerate(places)))
-    found = rows.groupBy("file").agg(*(f for c in places for f in (F.bit_or(_kind(F.col(c))).alias(f"kinds_{c}"), F.count_if(_kind(F.col(c)) > 0).alias(f"filled_{c}")))).select("file", F.inline(told))
+    found = rows.groupBy("file").agg(*(f for c in places for f in (F.bit_or(c).alias(f"kinds_{c}"), F.count_if(F.col(c) > 0).alias(f"filled_{c}")))).select("file", F.inline(told))
     # a row for each column of each file
     names = spark.createDataFrame([(path, i, name) for path, names in headers for i, name in enumerate(names)] or [("", 0, "")], "file string, place int, column string")
     known = names.join(found, ["file", "place"], "left")

@@ -571,3 +571,16 @@ def test_first_rows_and_columns(spark):
     assert [tuple(r) for r in profiling.first_rows(rows, 3).collect()] == [(None, 2, "y"), ("a", 3, None), ("b", None, "x")]
     assert profiling.first_rows(rows.limit(0)).count() == 0
     assert profiling.column_list(rows) == [(0, "match_id", "string", True), (1, "odd name", "int", True), (2, "text", "string", True)]
+
+
+def test_kinds_of_values_are_found_once(spark, tmp_path):
+    """A value is held against each pattern once, in one projection."""
+    values = ["7", " -7 ", "+3000000000", "99999999999999999999", "1.5", ".5e3", "1e", "2020-02-29", "2020-02-30", "x", "", "  "]
+    (tmp_path / "a.csv").write_text("v\n" + "".join(f'"{v}"\n' for v in values))
+    found = csv.column_kinds(spark, f"{tmp_path}/*.csv")
+    row = found.first()
+    assert (row.kinds, row.filled) == (1 | 2 | 4 | 8 | 16, 10)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert [plan.count(p) for p in (r"[+-]?\d+$", r"(\d+\.?\d*|", r"\d{4}-")] == [1, 1, 1]
+    each = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
+    assert [r[0] for r in each.orderBy("i").select(csv._kind(F.col("v"))).collect()] == [1, 1, 2, 4, 4, 4, 16, 8, 16, 16, 0, 0]
