@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import sys
 from array import array
 from collections.abc import Iterable, Iterator
 
@@ -28,10 +29,10 @@ from pyspark.sql import types as T
 
 from .common import resident, with_field
 
-#: Pieces kept encoded in a worker; when there are more, the memory starts afresh.
-CACHE_PIECES = 700_000
+#: Bytes of encoded pieces kept in a worker, in two generations, and what a dictionary takes for one of them; pairs of tokens kept as judged.
+CACHE_BYTES, ENTRY_BYTES, CACHE_PAIRS = 32_000_000, 50, 50_000
 #: Bytes of new pieces in one recursive query, characters of text handled at once, tokens decoded at once.
-QUERY_BYTES, BATCH_CHARS, DECODE_TOKENS = 110_000, 700_000, 200_000
+QUERY_BYTES, BATCH_CHARS, DECODE_TOKENS = 110_000, 350_000, 50_000
 #: Rows of all steps of a query for long runs.
 STATE_ROWS = 1_000_000
 #: One contraction a step is quadratic in a piece's bytes; longer pieces are contracted in parts of PART bytes.
@@ -108,8 +109,11 @@ class DuckBpe:
             self.adjacent[list(token[:-1]), list(token[1:])] = True
         self.holds: dict[tuple[int, int], bool] = {}
         self.of_byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
+        # pieces, and words that follow a space; those of the generation before are taken over when they come again
         self.pieces: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
+        self.before: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.held = 0
         self.long: list[str] = []
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
         # a pair merges when its joined bytes are a token: every split of a token into two tokens
@@ -124,6 +128,8 @@ class DuckBpe:
             self.db.register(name, rows)
         self.db.execute("create table merges as select l, r, i as id from merges_in")
         self.db.execute("create table vocab as select * from vocab_in")
+        for name in ("merges_in", "vocab_in"):
+            self.db.unregister(name)
 
     def _contract(self, pieces: list[bytes], query: str) -> list[bytes]:
         """Token ids of each piece, as little-endian unsigned 32-bit integers."""
@@ -161,7 +167,7 @@ class DuckBpe:
 
     def _check(self, pairs: set[tuple[int, int]]) -> None:
         """Learn of pairs of tokens whether they are what their bytes give."""
-        if len(self.holds) > CACHE_PIECES:
+        if len(self.holds) > CACHE_PAIRS:
             self.holds.clear()
         new = [p for p in pairs if p not in self.holds]
         for pair, got in zip(new, self._batched([self._raw(list(p)) for p in new], _ENCODE)):
@@ -274,9 +280,8 @@ class DuckBpe:
         """A text is first cut where one space parts two words: no piece spans such a place, so a word is looked up
         whole, as what follows a space. A text with other spacing at its cuts goes through the pattern as a whole.
         """
-        if len(self.pieces) + len(self.spaced) > CACHE_PIECES:
-            self.pieces.clear()
-            self.spaced.clear()
+        if self.held > CACHE_BYTES // 2:
+            self.before, self.pieces, self.spaced, self.held = (self.pieces, self.spaced), {}, {}, 0
         # a plan is what is looked up among pieces, then what is looked up among words that follow a space
         plans: list[tuple[list[str], list[str]]] = []
         for text in texts:
@@ -285,10 +290,15 @@ class DuckBpe:
             else:
                 first, *words = text.split(" ")
                 plans.append((self.pattern.findall(first), words))
+        old_pieces, old_spaced = self.before
         words = set().union(*[plan for _, plan in plans]).difference(self.spaced)
-        cut = {x: self.pattern.findall(" " + x) for x in words}
+        again = words & old_spaced.keys()
+        self.spaced.update((x, old_spaced[x]) for x in again)
+        cut = {x: self.pattern.findall(" " + x) for x in words - again}
         needed = set().union(*[plan for plan, _ in plans])
-        self._learn(needed.union(*cut.values()).difference(self.pieces))
+        pieces = needed.union(*cut.values()).difference(self.pieces)
+        self.pieces.update((y, old_pieces[y]) for y in pieces & old_pieces.keys())
+        self._learn(pieces.difference(self.pieces))
         for x, ys in cut.items():
             self.spaced[x] = b"".join([self.pieces[y] for y in ys])
         for ys in cut.values():
@@ -301,6 +311,9 @@ class DuckBpe:
         for y in self.long:
             self.pieces.pop(y, None)
         self.long.clear()
+        for new, kept in ((words, self.spaced), (pieces, self.pieces)):
+            new = [x for x in new if x in kept]
+            self.held += len(new) * ENTRY_BYTES + sum(map(sys.getsizeof, new)) + sum(map(sys.getsizeof, map(kept.__getitem__, new)))
         return found
 
     def decode(self, ids: list[bytes]) -> list[bytes]:

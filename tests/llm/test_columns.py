@@ -171,6 +171,22 @@ def test_bpe_of_long_texts_equals_tiktoken(tiktoken_encoding):
     assert coder.decode(ids) == [t.encode() for t in texts]
 
 
+def test_bpe_memory_is_bounded_in_bytes(tiktoken_encoding, monkeypatch):
+    """What a worker keeps of long new words stays under its bytes, whatever their number; words that come again are kept."""
+    import sys
+
+    monkeypatch.setattr(bpe_duckdb, "CACHE_BYTES", 400_000, raising=False)
+    coder, rnd = bpe_duckdb.DuckBpe(*bpe_duckdb.default_tokenizer()), random.Random(5)
+    for _ in range(25):
+        words = ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyzäß", k=rnd.randint(100, 300))) for _ in range(60)]
+        text = " ".join(["of zorblatt", *words[:30], "zorblatt,\n  zorblatt"]), " ".join(["x", *words[30:], "zorblatt"])
+        assert [np.frombuffer(x, "<u4").tolist() for x in coder.encode(list(text))] == [tiktoken_encoding.encode_ordinary(t) for t in text]
+        kept = (coder.pieces, coder.spaced, *getattr(coder, "before", ()))
+        assert sum(sys.getsizeof(x) for d in kept for pair in d.items() for x in pair) < 600_000  # a batch more than is kept, at most
+        assert "zorblatt" in coder.spaced
+    assert len(coder.before[1]) > 100
+
+
 def test_bpe_takes_a_run_from_the_left_when_joins_do_not_settle(tiktoken_encoding, monkeypatch):
     monkeypatch.setattr(bpe_duckdb, "MOST_AROUND", 0)
     monkeypatch.setattr(bpe_duckdb, "WINDOW", 100)
