@@ -52,7 +52,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of every copy; a null text counts as empty. No documents, no rows."""
-    return bpe_duckdb.token_digests(docs)
+    return bpe_duckdb.token_digests(docs, memory=32_000_000)  # the executor's heap is full of the stages before
 
 
 STAGES = [

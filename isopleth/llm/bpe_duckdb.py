@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from .common import resident, with_field
 
 #: Bytes of encoded pieces kept in a worker, in two generations, and what a dictionary takes for one of them; pairs of tokens kept as judged.
-CACHE_BYTES, ENTRY_BYTES, CACHE_PAIRS = 32_000_000, 50, 50_000
+CACHE_BYTES, ENTRY_BYTES, CACHE_PAIRS = 100_000_000, 50, 50_000
 #: Bytes of new pieces in one recursive query, characters of text handled at once, tokens decoded at once.
 QUERY_BYTES, BATCH_CHARS, DECODE_TOKENS = 110_000, 350_000, 50_000
 #: Rows of all steps of a query for long runs.
@@ -95,7 +95,7 @@ _DECODE = "select w, array_to_string(list(piece order by p), '') as s from token
 class DuckBpe:
     """Encoder and decoder of one worker process."""
 
-    def __init__(self, path: str, pattern: str) -> None:
+    def __init__(self, path: str, pattern: str, memory: int | None = None) -> None:
         import duckdb
         import regex
 
@@ -113,7 +113,7 @@ class DuckBpe:
         self.pieces: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
         self.before: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
-        self.held = 0
+        self.held, self.memory = 0, memory or CACHE_BYTES
         self.long: list[str] = []
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
         # a pair merges when its joined bytes are a token: every split of a token into two tokens
@@ -280,7 +280,7 @@ class DuckBpe:
         """A text is first cut where one space parts two words: no piece spans such a place, so a word is looked up
         whole, as what follows a space. A text with other spacing at its cuts goes through the pattern as a whole.
         """
-        if self.held > CACHE_BYTES // 2:
+        if self.held > self.memory // 2:
             self.before, self.pieces, self.spaced, self.held = (self.pieces, self.spaced), {}, {}, 0
         # a plan is what is looked up among pieces, then what is looked up among words that follow a space
         plans: list[tuple[list[str], list[str]]] = []
@@ -357,8 +357,8 @@ def _parts(text: str) -> Iterator[str]:
     yield text[at:]
 
 
-def _coder(path: str, pattern: str) -> DuckBpe:
-    return resident(("bpe", path, pattern), lambda: DuckBpe(path, pattern))
+def _coder(path: str, pattern: str, memory: int | None = None) -> DuckBpe:
+    return resident(("bpe", path, pattern, memory), lambda: DuckBpe(path, pattern, memory))
 
 
 def default_tokenizer() -> tuple[str, str]:
@@ -415,16 +415,17 @@ def decode_documents(df: DataFrame, ids: str = "ids", out: str = "decoded", toke
     return df.mapInArrow(run, with_field(df, out, T.BinaryType()))
 
 
-def token_digests(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: tuple[str, str] | None = None) -> DataFrame:
+def token_digests(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: tuple[str, str] | None = None, memory: int | None = None) -> DataFrame:
     """(key, n_tokens, ids_sha256, decoded_sha256) of every row: encode, decode the ids, digest both, in one pass.
 
-    Null texts count as empty; repeated rows give repeated results; an empty table gives no rows.
+    Null texts count as empty; repeated rows give repeated results; an empty table gives no rows. memory: bytes
+    of pieces that a worker keeps, CACHE_BYTES if not given; with fewer, more pieces are encoded again.
     """
     path, pattern = tokenizer or default_tokenizer()
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(path, pattern)
+        coder = _coder(path, pattern, memory)
         for batch in batches:
             for start, texts in _chunks(batch.column(text)):
                 ids = coder.encode(texts)
